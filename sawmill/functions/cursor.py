@@ -41,10 +41,10 @@ def decode_cursor(token) -> Column:
     round_trip = F.coalesce(_b64url(binary) == tok, F.lit(False))
     text = F.when(round_trip & F.is_valid_utf8(binary), F.decode(binary, "UTF-8"))
     doc = F.try_parse_json(text)
-    ts_v = F.try_variant_get(doc, "$.timestamp")
+    ts_v = F.try_variant_get(doc, "$.timestamp", "variant")
     ts = F.when(F.schema_of_variant(ts_v) == "STRING",
                 F.try_to_timestamp(F.try_variant_get(ts_v, "$", "string")).cast("timestamp_ntz"))
-    id_v = F.try_variant_get(doc, "$.id")
+    id_v = F.try_variant_get(doc, "$.id", "variant")
     kind = F.schema_of_variant(id_v)
     as_double = F.when(kind.isin(*_INTEGRAL) | kind.startswith("DECIMAL") | kind.isin("FLOAT", "DOUBLE"),
                        F.try_variant_get(id_v, "$", "double"))

@@ -45,7 +45,7 @@ def parse_ingest_bodies(bodies: DataFrame) -> DataFrame:
     doc = F.try_parse_json(F.col("value"))
     kind = F.schema_of_variant(doc)
     picked = F.coalesce(*[
-        F.when(~F.is_variant_null(F.try_variant_get(doc, f"$.{k}")), F.try_variant_get(doc, f"$.{k}"))
+        F.when(~F.is_variant_null(F.try_variant_get(doc, f"$.{k}", "variant")), F.try_variant_get(doc, f"$.{k}", "variant"))
         for k in ENVELOPE_KEYS])
     listed = F.when(_starts(kind, "ARRAY"), doc).when(_starts(kind, "OBJECT"), picked)
     is_list = _starts(F.schema_of_variant(listed), "ARRAY")
@@ -71,7 +71,7 @@ def validate_entries(entries: DataFrame, as_of=None) -> DataFrame:
     cand = F.when(_starts(F.schema_of_variant(e), "OBJECT"), e)
 
     def field(name: str) -> Column:
-        return F.try_variant_get(cand, f"$.{name}")
+        return F.try_variant_get(cand, f"$.{name}", "variant")
 
     def text(name: str) -> Column:
         v = field(name)
