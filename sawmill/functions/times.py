@@ -11,7 +11,6 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sawmill.schema import BUCKET_WIDTHS
 
 ISO_MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 ISO_MILLIS = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
@@ -62,22 +61,40 @@ def shift(value, **delta) -> Column:
     return ts_literal(to_utc_naive(value) + timedelta(**delta))
 
 
+BUCKET_MICROS = {"1m": 60_000_000, "5m": 300_000_000, "1h": 3_600_000_000, "1d": 86_400_000_000}
+
+
+def _as_col(ts) -> Column:
+    if isinstance(ts, Column):
+        return ts
+    if isinstance(ts, str):
+        return F.col(ts)
+    return ts_literal(ts)
+
+
+def _micros_of_day(col: Column) -> Column:
+    """Microseconds since midnight, from field extraction (zone-free on NTZ)."""
+    return (F.hour(col).cast("bigint") * 3_600_000_000 + F.minute(col).cast("bigint") * 60_000_000
+            + (F.date_part(F.lit("SECOND"), col) * 1_000_000).cast("bigint"))
+
+
 def bucket_start(ts, width: str) -> Column:
     """Epoch-aligned UTC floor to 1m/5m/1h/1d (#29); floors pre-1970 too.
 
-    ``window()`` is a tumbling window here: Catalyst lowers it to long
-    arithmetic inside whole-stage codegen and keeps the NTZ type.
+    Every width divides a day, so the offset into the bucket is the time of
+    day modulo the width.  Plain long arithmetic inside whole-stage codegen;
+    it keeps the NTZ type, does not depend on the session zone and, unlike
+    ``window()``, may appear several times in one projection.
     """
-    if width not in BUCKET_WIDTHS:
-        raise ValueError(f"bucket must be one of: {', '.join(BUCKET_WIDTHS)}")
-    col = F.col(ts) if isinstance(ts, str) else ts
-    return F.window(col, BUCKET_WIDTHS[width]).start
+    if width not in BUCKET_MICROS:
+        raise ValueError(f"bucket must be one of: {', '.join(BUCKET_MICROS)}")
+    col = _as_col(ts)
+    return F.timestamp_add("MICROSECOND", -F.pmod(_micros_of_day(col), F.lit(BUCKET_MICROS[width])), col)
 
 
 def minute_floor(ts) -> Column:
-    """Start of the UTC minute of an NTZ column or constant (not a window)."""
-    col = ts_literal(ts) if not isinstance(ts, (Column, str)) else (F.col(ts) if isinstance(ts, str) else ts)
-    return F.date_trunc("minute", col).cast("timestamp_ntz")
+    """Start of the UTC minute of an NTZ column, name or constant."""
+    return bucket_start(ts, "1m")
 
 
 def iso_micros(ts) -> Column:
