@@ -43,3 +43,34 @@ def assign_log_ids(rows: DataFrame, base: int = 0, order=("body_id", "index"),
     return with_id.select(
         (F.col("_start") + position + 1).alias("id"),
         *[c for c in staged.columns])
+
+
+def partition_counts(df: DataFrame, *conditions) -> list[tuple[int, ...]]:
+    """Per input partition: ``count_if(condition)`` for each condition (≤ #partitions rows)."""
+    rows = df.groupBy(F.spark_partition_id().alias("_pid")).agg(
+        *[F.count_if(c).alias(f"_c{i}") for i, c in enumerate(conditions)]).collect()
+    return sorted(tuple(r) for r in rows)
+
+
+def assign_arrival_ids(rows: DataFrame, base: int, counts: dict[int, int]) -> DataFrame:
+    """Adds dense ``id`` in arrival order: input partition, then position in it.
+
+    No shuffle and no sort: ``counts`` holds the rows per input partition
+    (from ``partition_counts`` over the same, deterministic input — a
+    micro-batch read from fixed source offsets, or a cached/checkpointed
+    frame), and ``monotonically_increasing_id`` gives each row's position.
+    """
+    spark = rows.sparkSession
+    pids = sorted(counts)
+    starts, running = [], base
+    for p in pids:
+        starts.append(running)
+        running += counts[p]
+    offsets = spark.createDataFrame(
+        list(zip(pids, starts)) or [(0, base)],
+        T.StructType([T.StructField("_pid", T.IntegerType()), T.StructField("_start", T.LongType())]))
+    tagged = rows.select("*", F.spark_partition_id().alias("_pid"),
+                         F.monotonically_increasing_id().alias("_mid"))
+    position = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), _ROW_BITS)
+    return tagged.join(F.broadcast(offsets), "_pid").select(
+        (F.col("_start") + position + 1).alias("id"), *rows.columns)

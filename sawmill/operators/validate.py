@@ -14,7 +14,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sawmill.functions.times import shift, ts_literal
+from sawmill.functions.times import shift
 from sawmill.schema import (
     ENVELOPE_KEYS, FUTURE_TOLERANCE_MINUTES, LEVELS, OUTCOME_ALL_REJECTED, REASON_ATTRIBUTES,
     REASON_FUTURE, REASON_LEVEL, REASON_MESSAGE, REASON_SEPARATOR, REASON_SERVICE,
@@ -64,44 +64,44 @@ def validate_entries(entries: DataFrame, as_of=None) -> DataFrame:
     ``as_of`` is the instant the 5-minute future rule is measured from; it is
     fixed once per batch (default: now).  Rows with NULL index (empty or bad
     bodies) pass through with NULL errors.
+
+    Three projections: the five fields are pulled out of the VARIANT once,
+    then typed once, then judged — so no VARIANT is inspected twice per row.
     """
     if as_of is None:
         as_of = datetime.now(timezone.utc)
-    e = F.col("entry")
-    cand = F.when(_starts(F.schema_of_variant(e), "OBJECT"), e)
-
-    def field(name: str) -> Column:
-        return F.try_variant_get(cand, f"$.{name}", "variant")
+    names = ("timestamp", "level", "message", "service", "attributes")
+    cand = F.when(F.try_variant_get("entry", "$", "map<string,variant>").isNotNull(), F.col("entry"))
+    fields = entries.select(
+        "*", *[F.try_variant_get(cand, f"$.{n}", "variant").alias(f"_v_{n}") for n in names])
 
-    def text(name: str) -> Column:
-        v = field(name)
+    def text(n: str) -> Column:
+        v = F.col(f"_v_{n}")
         return F.when(_is(F.schema_of_variant(v), "STRING"), F.try_variant_get(v, "$", "string"))
 
-    ts_text, level, message, service = text("timestamp"), text("level"), text("message"), text("service")
-    parsed = F.try_to_timestamp(ts_text).cast("timestamp_ntz")
-    limit = shift(as_of, minutes=FUTURE_TOLERANCE_MINUTES)
-    err_ts = (F.when(parsed.isNull(), F.lit(REASON_TIMESTAMP))
-              .when(parsed > limit, F.lit(REASON_FUTURE)))
-    err_level = F.when(~F.coalesce(level.isin(*LEVELS), F.lit(False)), F.lit(REASON_LEVEL))
-    err_message = F.when(F.coalesce(message.rlike(_BLANK), F.lit(True)), F.lit(REASON_MESSAGE))
-    err_service = F.when(F.coalesce(service.rlike(_BLANK), F.lit(True)), F.lit(REASON_SERVICE))
-    attrs = field("attributes")
-    attr_map = F.try_variant_get(attrs, "$", "map<string,variant>")
+    attr_map = F.try_variant_get("_v_attributes", "$", "map<string,variant>")
     nested = F.exists(F.map_values(attr_map), lambda v: _starts(F.schema_of_variant(v), "OBJECT")
                       | _starts(F.schema_of_variant(v), "ARRAY"))
-    bad_attrs = attrs.isNotNull() & (~_starts(F.schema_of_variant(attrs), "OBJECT")
-                                     | F.coalesce(nested, F.lit(False)))
-    err_attrs = F.when(bad_attrs, F.lit(REASON_ATTRIBUTES))
-    errors = F.filter(F.array(err_ts, err_level, err_message, err_service, err_attrs),
-                      lambda x: x.isNotNull())
-    has_entry = F.col("index").isNotNull()
-    return entries.select(
-        "*",
-        F.when(has_entry, errors).alias("errors"),
-        F.when(has_entry, F.array_join(errors, REASON_SEPARATOR)).alias("reason"),
-        F.when(has_entry, parsed).alias("_timestamp"),
-        F.when(has_entry, F.coalesce(F.to_json(attrs), F.lit("{}"))).alias("_attributes"),
-        level.alias("_level"), service.alias("_service"), message.alias("_message"))
+    typed = fields.select(
+        *entries.columns,
+        F.try_to_timestamp(text("timestamp")).cast("timestamp_ntz").alias("_timestamp"),
+        text("level").alias("_level"), text("message").alias("_message"),
+        text("service").alias("_service"),
+        F.col("_v_attributes").alias("_attrs"),
+        (F.col("_v_attributes").isNotNull()
+         & (attr_map.isNull() | F.coalesce(nested, F.lit(False)))).alias("_bad_attrs"))
+
+    limit = shift(as_of, minutes=FUTURE_TOLERANCE_MINUTES)
+    ts = F.col("_timestamp")
+    errors = F.filter(F.array(
+        F.when(ts.isNull(), F.lit(REASON_TIMESTAMP)).when(ts > limit, F.lit(REASON_FUTURE)),
+        F.when(~F.coalesce(F.col("_level").isin(*LEVELS), F.lit(False)), F.lit(REASON_LEVEL)),
+        F.when(F.coalesce(F.col("_message").rlike(_BLANK), F.lit(True)), F.lit(REASON_MESSAGE)),
+        F.when(F.coalesce(F.col("_service").rlike(_BLANK), F.lit(True)), F.lit(REASON_SERVICE)),
+        F.when(F.col("_bad_attrs"), F.lit(REASON_ATTRIBUTES)),
+    ), lambda x: x.isNotNull())
+    judged = typed.select("*", F.when(F.col("index").isNotNull(), errors).alias("errors"))
+    return judged.select("*", F.array_join("errors", REASON_SEPARATOR).alias("reason"))
 
 
 def accepted_logs(validated: DataFrame) -> DataFrame:
@@ -110,7 +110,7 @@ def accepted_logs(validated: DataFrame) -> DataFrame:
         "body_id", "index",
         F.col("_timestamp").alias("timestamp"), F.col("_level").alias("level"),
         F.col("_service").alias("service"), F.col("_message").alias("message"),
-        F.col("_attributes").alias("attributes"))
+        F.coalesce(F.to_json("_attrs"), F.lit("{}")).alias("attributes"))
 
 
 def rejected_entries(validated: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sawmill.functions.times import iso_text, to_utc_naive, ts_literal
-from sawmill.operators.ids import assign_log_ids
+from sawmill.operators.ids import assign_arrival_ids, partition_counts
 from sawmill.operators.retention import check_positive, retention_cutoff
 from sawmill.operators.rollup import minute_rollup
 from sawmill.operators.validate import (
@@ -62,6 +62,7 @@ class LogStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = configure(spark)
         self.root = root.rstrip("/")
+        self._last_commit: tuple[int, int] | None = None  # (batch_id, max_id) written by this object
 
     # ---- paths and file system -------------------------------------------------
     def path(self, table: str, batch_id: int | None = None) -> str:
@@ -133,6 +134,8 @@ class LogStore:
     # ---- ingest ----------------------------------------------------------------------
     def _id_base(self, batch_id: int) -> int:
         """``max_id`` of the newest commit before this batch: a replay gets the same base."""
+        if self._last_commit is not None and self._last_commit[0] == batch_id - 1:
+            return self._last_commit[1]
         row = (self.commits().where(F.col("batch_id") < batch_id)
                .agg(F.max("max_id").alias("m")).first())
         return 0 if row is None or row["m"] is None else int(row["m"])
@@ -143,11 +146,12 @@ class LogStore:
             datetime.now(timezone.utc).replace(tzinfo=None)
         validated = validate_entries(parse_ingest_bodies(bodies), as_of).persist()
         try:
-            counts = validated.agg(
-                F.count_if(F.size("errors") == 0).alias("accepted"),
-                F.count_if(F.size("errors") > 0).alias("rejected")).first()
+            # one job: materializes the cache and counts per input partition
+            stats = partition_counts(validated, F.size("errors") == 0, F.size("errors") > 0)
+            accepted_n = sum(s[1] for s in stats)
+            rejected_n = sum(s[2] for s in stats)
             base = self._id_base(batch_id)
-            accepted = assign_log_ids(accepted_logs(validated), base)
+            accepted = assign_arrival_ids(accepted_logs(validated), base, {s[0]: s[1] for s in stats})
             logs = accepted.select(*LOGS.fieldNames(), F.to_date("timestamp").alias("log_date"))
             (logs.write.mode("overwrite").partitionBy("log_date")
              .parquet(self.path("logs", batch_id)))
@@ -156,13 +160,13 @@ class LogStore:
             rejected_entries(validated).write.mode("overwrite").parquet(self.path("rejected", batch_id))
         finally:
             validated.unpersist()
-        result = BatchResult(batch_id, int(counts["accepted"]), int(counts["rejected"]),
-                             base + int(counts["accepted"]))
+        result = BatchResult(batch_id, accepted_n, rejected_n, base + accepted_n)
         commit = self.spark.createDataFrame(
             [(result.batch_id, iso_text(as_of), result.accepted, result.rejected, result.max_id)],
             "batch_id long, as_of string, accepted long, rejected long, max_id long",
         ).select("batch_id", ts_literal(as_of).alias("as_of"), "accepted", "rejected", "max_id")
         commit.drop("batch_id").coalesce(1).write.mode("overwrite").parquet(self.path("commits", batch_id))
+        self._last_commit = (result.batch_id, result.max_id)
         return result
 
     # ---- retention ----------------------------------------------------------------------
