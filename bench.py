@@ -68,11 +68,11 @@ def main() -> None:
         times[name] = round(timed(lambda: run_noop(qs[name](spark, sf_dir)), repeat), 3)
 
     # streaming ingest: body files are written first; the stream alone is timed
-    source = write_body_files(spark, sf_dir, files=max(cpus, 4))
+    source = write_body_files(spark, sf_dir, files=2 * cpus)
     root = work_dir(spark, "bench-store")
     t0 = time.perf_counter()
     q = stream_ingest_logs(spark, source, root, f"{root}/_checkpoint", as_of=FX.AS_OF,
-                           max_files_per_trigger=2)
+                           max_files_per_trigger=cpus)
     q.awaitTermination(3600)
     stream_sec = time.perf_counter() - t0
     entries = FX.logs(spark, sf_dir).count()

@@ -27,10 +27,11 @@ def number_text(v: Column) -> Column:
     double's own text.
     """
     d = F.try_variant_get(v, "$", "double")
+    integral = (d == F.floor(d)) & (F.abs(d) < F.lit(1e18))
     dec = d.try_cast("decimal(38,15)")
     plain = F.regexp_replace(F.regexp_replace(dec.cast("string"), r"0+$", ""), r"\.$", "")
-    plain = F.when(plain == "-0", F.lit("0")).otherwise(plain)
-    return F.coalesce(plain, d.cast("string"))
+    return (F.when(integral, d.cast("bigint").cast("string"))  # fast path; -0 → "0"
+            .otherwise(F.coalesce(plain, d.cast("string"))))
 
 
 def variant_text(v: Column) -> Column:
@@ -51,6 +52,12 @@ def attrs_text(attributes) -> Column:
     return F.transform_values(as_map, lambda _k, v: variant_text(v))
 
 
+def attr_text(attributes, key: str) -> Column:
+    """Text of one attribute (NULL if missing or JSON null) without building the map."""
+    as_map = F.try_variant_get(F.try_parse_json(_col(attributes)), "$", "map<string,variant>")
+    return variant_text(F.try_element_at(as_map, F.lit(key)))
+
+
 def attrs_kv(attrs) -> Column:
     """Sorted ``len:key=value`` strings of a text map (#39); ``{}`` → NULL.
 

@@ -35,23 +35,28 @@ def encode_cursor(ts, id_col) -> Column:
 
 
 def decode_cursor(token) -> Column:
-    """Token column → ``STRUCT<timestamp NTZ, id BIGINT, valid BOOLEAN>`` (#27)."""
+    """Token column → ``STRUCT<timestamp NTZ, id BIGINT, valid BOOLEAN>`` (#27).
+
+    Every step is an unconditional subexpression, so whole-stage codegen
+    evaluates each once per row (common subexpression elimination); the
+    validity test only combines their results.
+    """
     tok = F.col(token) if isinstance(token, str) else token
     binary = F.try_to_binary(F.translate(tok, "-_", "+/"), F.lit("base64"))
-    round_trip = F.coalesce(_b64url(binary) == tok, F.lit(False))
-    text = F.when(round_trip & F.is_valid_utf8(binary), F.decode(binary, "UTF-8"))
-    doc = F.try_parse_json(text)
+    bytes_ok = F.coalesce((_b64url(binary) == tok) & F.is_valid_utf8(binary), F.lit(False))
+    doc = F.try_parse_json(F.when(bytes_ok, F.decode(binary, "UTF-8")))
     ts_v = F.try_variant_get(doc, "$.timestamp", "variant")
-    ts = F.when(F.schema_of_variant(ts_v) == "STRING",
-                F.try_to_timestamp(F.try_variant_get(ts_v, "$", "string")).cast("timestamp_ntz"))
+    ts = F.try_to_timestamp(F.try_variant_get(ts_v, "$", "string")).cast("timestamp_ntz")
     id_v = F.try_variant_get(doc, "$.id", "variant")
-    kind = F.schema_of_variant(id_v)
-    as_double = F.when(kind.isin(*_INTEGRAL) | kind.startswith("DECIMAL") | kind.isin("FLOAT", "DOUBLE"),
-                       F.try_variant_get(id_v, "$", "double"))
-    ok_id = (as_double >= 0) & (as_double == F.floor(as_double))
-    id_val = F.when(ok_id, as_double.try_cast("bigint"))
-    valid = F.coalesce(ts.isNotNull() & id_val.isNotNull(), F.lit(False))
-    return F.struct(F.when(valid, ts).alias("timestamp"), F.when(valid, id_val).alias("id"),
+    id_kind = F.schema_of_variant(id_v)
+    as_double = F.try_variant_get(id_v, "$", "double")
+    numeric = id_kind.isin(*_INTEGRAL, "FLOAT", "DOUBLE") | id_kind.startswith("DECIMAL")
+    valid = F.coalesce(
+        (F.schema_of_variant(ts_v) == "STRING") & ts.isNotNull() & numeric
+        & (as_double >= 0) & (as_double == F.floor(as_double)) & as_double.try_cast("bigint").isNotNull(),
+        F.lit(False))
+    return F.struct(F.when(valid, ts).alias("timestamp"),
+                    F.when(valid, as_double.try_cast("bigint")).alias("id"),
                     valid.alias("valid"))
 
 

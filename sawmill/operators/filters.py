@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sawmill.functions.attrs import attrs_text, utf16_length
+from sawmill.functions.attrs import attr_text, utf16_length
 from sawmill.functions.patterns import like_pattern
 from sawmill.functions.times import ts_literal
 from sawmill.schema import LEVELS
@@ -61,7 +61,7 @@ def filter_message_literal(df: DataFrame, q: str) -> DataFrame:
     return df.where(F.contains(F.lower(F.col("message")), F.lower(F.lit(q))))
 
 
-def attribute_match(key: str, value: str, attrs: Column | None = None) -> Column:
+def attribute_match(key: str, value: str) -> Column:
     """One ``attr.key=value`` test as text.
 
     Equal to containment of the ``len:key=value`` token: the reference measures
@@ -70,18 +70,16 @@ def attribute_match(key: str, value: str, attrs: Column | None = None) -> Column
     """
     if utf16_length(key) != len(key):
         return F.lit(False)
-    m = attrs if attrs is not None else attrs_text("attributes")
-    return F.coalesce(F.try_element_at(m, F.lit(key)) == F.lit(value), F.lit(False))
+    return F.coalesce(attr_text("attributes", key) == F.lit(value), F.lit(False))
 
 
 def filter_attrs(df: DataFrame, filters: dict[str, str]) -> DataFrame:
     """Every pair must match as text; missing key, JSON null or ``{}`` never match (#20)."""
     if not filters:
         return df
-    m = attrs_text("attributes")
     cond = None
     for key in sorted(filters):
-        test = attribute_match(key, filters[key], m)
+        test = attribute_match(key, filters[key])
         cond = test if cond is None else cond & test
     return df.where(cond)
 

@@ -20,19 +20,19 @@ _RUNS: dict[tuple[str, str], str] = {}
 
 
 def write_body_files(spark: SparkSession, sf_dir: str, files: int = SOURCE_FILES) -> str:
-    """Envelope records of the whole ``events`` table, ``files`` JSON-lines files."""
+    """Envelope records of the whole ``events`` table as ``files`` Parquet files."""
     source = work_dir(spark, "bodies")
     (FX.ingest_bodies(spark, sf_dir).repartitionByRange(files, "body_id")
-     .write.mode("overwrite").json(source))
+     .write.mode("overwrite").parquet(source))
     return source
 
 
 def run_stream(spark: SparkSession, sf_dir: str, files: int = SOURCE_FILES,
-               timeout_s: int = 1800) -> LogStore:
+               files_per_trigger: int = 1, timeout_s: int = 1800) -> LogStore:
     source = write_body_files(spark, sf_dir, files)
     root = work_dir(spark, "store")
     query = stream_ingest_logs(spark, source, root, f"{root}/_checkpoint", as_of=FX.AS_OF,
-                               max_files_per_trigger=1)
+                               max_files_per_trigger=files_per_trigger)
     if not query.awaitTermination(timeout_s):
         query.stop()
         raise TimeoutError("ingest stream did not finish")
