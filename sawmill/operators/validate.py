@@ -41,19 +41,19 @@ def parse_ingest_bodies(bodies: DataFrame) -> DataFrame:
     A root array is the entry list; otherwise the first non-null of
     entries/logs/data/items must be an array.  Bodies that are not ``ok`` and
     empty lists keep one row with NULL index, so every body is accounted for.
+    The body is parsed once (its own projection) and inspected from there.
     """
-    doc = F.try_parse_json(F.col("value"))
-    kind = F.schema_of_variant(doc)
-    picked = F.coalesce(*[
-        F.when(~F.is_variant_null(F.try_variant_get(doc, f"$.{k}", "variant")), F.try_variant_get(doc, f"$.{k}", "variant"))
-        for k in ENVELOPE_KEYS])
-    listed = F.when(_starts(kind, "ARRAY"), doc).when(_starts(kind, "OBJECT"), picked)
-    is_list = _starts(F.schema_of_variant(listed), "ARRAY")
-    status = (F.when(doc.isNull(), F.lit(STATUS_MALFORMED))
-              .when(is_list, F.lit(STATUS_OK)).otherwise(F.lit(STATUS_INVALID)))
-    staged = bodies.select(
-        "body_id", status.alias("status"),
-        F.when(is_list, F.try_variant_get(listed, "$", "array<variant>")).alias("_entries"))
+    parsed = bodies.select("body_id", F.try_parse_json(F.col("value")).alias("_doc"))
+    doc = F.col("_doc")
+    members = [F.try_variant_get(doc, f"$.{k}", "variant") for k in ENVELOPE_KEYS]
+    picked = F.coalesce(*[F.when(~F.is_variant_null(m), m) for m in members])
+    root_is_list = F.try_variant_get(doc, "$", "array<variant>")
+    listed = F.coalesce(root_is_list, F.try_variant_get(picked, "$", "array<variant>"))
+    staged = parsed.select(
+        "body_id",
+        F.when(doc.isNull(), F.lit(STATUS_MALFORMED))
+        .when(listed.isNotNull(), F.lit(STATUS_OK)).otherwise(F.lit(STATUS_INVALID)).alias("status"),
+        listed.alias("_entries"))
     return staged.select(
         "body_id", "status", F.posexplode_outer("_entries").alias("index", "entry"))
 
@@ -71,9 +71,12 @@ def validate_entries(entries: DataFrame, as_of=None) -> DataFrame:
     if as_of is None:
         as_of = datetime.now(timezone.utc)
     names = ("timestamp", "level", "message", "service", "attributes")
-    cand = F.when(F.try_variant_get("entry", "$", "map<string,variant>").isNotNull(), F.col("entry"))
-    fields = entries.select(
-        "*", *[F.try_variant_get(cand, f"$.{n}", "variant").alias(f"_v_{n}") for n in names])
+    # a non-object entry (array, scalar, null) is judged as {}
+    objects = entries.select("*", F.when(_starts(F.schema_of_variant("entry"), "OBJECT"),
+                                         F.col("entry")).alias("_obj"))
+    fields = objects.select(
+        *entries.columns,
+        *[F.try_variant_get("_obj", f"$.{n}", "variant").alias(f"_v_{n}") for n in names])
 
     def text(n: str) -> Column:
         v = F.col(f"_v_{n}")
@@ -101,7 +104,11 @@ def validate_entries(entries: DataFrame, as_of=None) -> DataFrame:
         F.when(F.col("_bad_attrs"), F.lit(REASON_ATTRIBUTES)),
     ), lambda x: x.isNotNull())
     judged = typed.select("*", F.when(F.col("index").isNotNull(), errors).alias("errors"))
-    return judged.select("*", F.array_join("errors", REASON_SEPARATOR).alias("reason"))
+    judged = judged.select("*", F.array_join("errors", REASON_SEPARATOR).alias("reason"))
+    # Optimization fence: a one-row Generate.  Later filters on ``errors``
+    # (accepted / rejected) stay above it instead of being pushed down and
+    # re-deriving every VARIANT extraction inside the filter.
+    return judged.select(F.inline(F.array(F.struct(*judged.columns))))
 
 
 def accepted_logs(validated: DataFrame) -> DataFrame:
