@@ -90,17 +90,21 @@ def aggregate_exact(logs: DataFrame, rollup: DataFrame, since, until, bucket: st
     floor_lo = minute_floor(lo)
     inner_lo = F.when(floor_lo == lo, lo).otherwise(shift(floor_lo, minutes=1))
     inner_hi = minute_floor(hi)
+    # raw edges [lo, b) and [c, hi); with no whole minute inside they meet at b == c
+    b = F.least(inner_lo, hi)
+    c = F.greatest(inner_hi, b)
     inner = rollup.where((F.col("bucket_start") >= inner_lo) & (F.col("bucket_start") < inner_hi))
-    edges = search_logs(logs, service=service, level=level, since=lo, until=hi).where(
-        (F.col("timestamp") < inner_lo) | (F.col("timestamp") >= inner_hi))
     if service:
         inner = filter_service(inner, service)
     if level:
         inner = filter_level(inner, level)
     parts = inner.select(bucket_start("bucket_start", bucket).alias("start"),
-                         _group(group_by).alias("group"), "count").unionByName(
-        edges.select(bucket_start("timestamp", bucket).alias("start"),
-                     _group(group_by).alias("group"), F.lit(1).cast("bigint").alias("count")))
+                         _group(group_by).alias("group"), "count")
+    for edge_lo, edge_hi in ((lo, b), (c, hi)):
+        edge = search_logs(logs, service=service, level=level, since=edge_lo, until=edge_hi)
+        parts = parts.unionByName(edge.select(
+            bucket_start("timestamp", bucket).alias("start"), _group(group_by).alias("group"),
+            F.lit(1).cast("bigint").alias("count")))
     return parts.groupBy("start", "group").agg(F.sum("count").cast("bigint").alias("count"))
 
 

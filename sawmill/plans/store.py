@@ -4,6 +4,7 @@ Layout below ``root``::
 
     logs/batch_id=N/log_date=D/*.parquet      raw rows with dense ids
     deltas/batch_id=N/*.parquet               minute-rollup counts of batch N
+    rollup/upto=N/bucket_date=D/*.parquet     compacted rollup of batches ≤ N
     rejected/batch_id=N/*.parquet             quarantined entries with reasons
     commits/batch_id=N/*.parquet              one row per finished batch, written last
 
@@ -126,11 +127,49 @@ class LogStore:
     def deltas(self) -> DataFrame:
         return self._visible("deltas", _PARTITIONED_ROLLUP)
 
+    def _compacted_upto(self) -> int | None:
+        gens = [c.rstrip("/").rsplit("=", 1)[-1] for c in self._children(self.path("rollup"))
+                if c.rstrip("/").rsplit("/", 1)[-1].startswith("upto=")]
+        done = [int(g) for g in gens if self._exists(f"{self.path('rollup')}/upto={g}/_SUCCESS")]
+        return max(done) if done else None
+
     def rollup(self) -> DataFrame:
-        """The minute rollup: committed deltas folded additively (#34)."""
-        return self.deltas().groupBy("bucket_start", "service", "level").agg(
+        """The minute rollup (#34): newest compacted generation + later committed deltas.
+
+        Generations and deltas are added, never overwritten in place, so a
+        reader sees either the old or the new generation, both complete.
+        """
+        return self._rollup_upto(self._committed_upto())
+
+    def _rollup_upto(self, committed: int | None) -> DataFrame:
+        upto = self._compacted_upto()
+        deltas = self.deltas().where(F.col("batch_id") <= F.lit(committed if committed is not None else -1))
+        if upto is None:
+            parts = deltas.select("bucket_start", "service", "level", "count")
+        else:
+            base = self.spark.read.parquet(f"{self.path('rollup')}/upto={upto}")
+            parts = base.select("bucket_start", "service", "level", "count").unionByName(
+                deltas.where(F.col("batch_id") > F.lit(upto)).select("bucket_start", "service", "level", "count"))
+        return parts.groupBy("bucket_start", "service", "level").agg(
             F.sum("count").cast("bigint").alias("count"))
 
+    def compact_rollup(self) -> int | None:
+        """Fold all committed deltas into a new rollup generation; returns its batch bound.
+
+        One shuffle aggregate of (previous generation ∪ newer deltas), written
+        partitioned by ``bucket_date`` under a new ``upto=N`` folder.
+        """
+        upto = self._committed_upto()
+        if upto is None or upto == self._compacted_upto():
+            return self._compacted_upto()
+        merged = self._rollup_upto(upto)
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        # range partitioning on time: each task writes a few whole days, no hot task
+        (merged.repartitionByRange(n, "bucket_start").withColumn("bucket_date", F.to_date("bucket_start"))
+         .write.mode("overwrite").partitionBy("bucket_date")
+         .parquet(f"{self.path('rollup')}/upto={upto}"))
+        return upto
+
     # ---- ingest ----------------------------------------------------------------------
     def _id_base(self, batch_id: int) -> int:
         """``max_id`` of the newest commit before this batch: a replay gets the same base."""

@@ -44,3 +44,18 @@ def test_store_search_prunes_day_partitions(spark):
     partition_filters = p.split("PartitionFilters: ")[1].split(", PushedFilters")[0]
     assert "(log_date#" in partition_filters and "(batch_id#" in partition_filters
     assert df.count() == df.where("log_date >= '2024-01-05' AND log_date <= '2024-01-06'").count()
+
+
+def test_store_page_probes_newest_days_only(spark):
+    from pyspark.sql import functions as F
+    from sawmill.operators.paging import newest_days
+    store = LogStore(spark, work_dir(spark, "plan-store"))
+    store.ingest_batch(ingest_bodies(spark, SF_SMALL), 0, AS_OF)
+    logs = store.logs()
+    page = [r["id"] for r in log_page(logs, 100).collect()]
+    whole = [r["id"] for r in logs.orderBy(F.desc("timestamp"), F.desc("id")).limit(100).collect()]
+    assert page == whole
+    probed = newest_days(logs, 101)
+    days = probed.select("log_date").distinct().count()
+    assert days < logs.select("log_date").distinct().count()
+    assert "(log_date#" in plan(probed).split("PartitionFilters: ")[1].split(", PushedFilters")[0]

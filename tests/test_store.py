@@ -61,3 +61,17 @@ def test_stream_ingest_matches_batch_validation(spark):
     assert logs.count() == sum(c["accepted"] for c in commits)
     assert sorted(r["id"] for r in logs.select("id").collect()) == list(range(1, logs.count() + 1))
     assert rollup_mismatches(logs, store.rollup()).count() == 0
+
+
+def test_rollup_compaction_generations(spark):
+    store = LogStore(spark, work_dir(spark, "store-test"))
+    all_bodies = ingest_bodies(spark, SF_SMALL).cache()
+    store.ingest_batch(all_bodies.where("body_id < 8"), 0, AS_OF)
+    store.ingest_batch(all_bodies.where("body_id >= 8 AND body_id < 15"), 1, AS_OF)
+    before = sorted(store.rollup().collect())
+    assert store.compact_rollup() == 1
+    assert sorted(store.rollup().collect()) == before
+    store.ingest_batch(all_bodies.where("body_id >= 15"), 2, AS_OF)
+    assert rollup_mismatches(store.logs(), store.rollup()).count() == 0
+    assert store.compact_rollup() == 2
+    assert rollup_mismatches(store.logs(), store.rollup()).count() == 0
