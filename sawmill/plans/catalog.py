@@ -49,6 +49,10 @@ def _validated(spark, d):
     return validate_entries(parse_ingest_bodies(FX.ingest_bodies(spark, d)), FX.AS_OF)
 
 
+def _validated_extras(spark, d):
+    return validate_entries(parse_ingest_bodies(FX.ingest_bodies_with_extras(spark, d)), FX.AS_OF)
+
+
 def _first_unaligned(logs: DataFrame):
     """Scalar subquery: the first log at or after the aligned start."""
     return logs.where(F.col("timestamp") >= ts_literal(FX.ALIGNED_SINCE)).agg(
@@ -114,13 +118,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     cols = list(LOG_COLUMNS)
     return {
         # ingest (#1–#11)
-        "ingest_entries": lambda s, d: parse_ingest_bodies(FX.ingest_bodies(s, d)).select(
+        "ingest_entries": lambda s, d: parse_ingest_bodies(FX.ingest_bodies_with_extras(s, d)).select(
             "body_id", "status", "index"),
-        "ingest_validated": lambda s, d: _validated(s, d).select("body_id", "index", "reason"),
+        "ingest_validated": lambda s, d: _validated_extras(s, d).select("body_id", "index", "reason"),
         "ingest_accepted": lambda s, d: accepted_logs(_validated(s, d)),
-        "ingest_rejected": lambda s, d: rejected_entries(_validated(s, d)).select(
+        "ingest_rejected": lambda s, d: rejected_entries(_validated_extras(s, d)).select(
             "body_id", "index", "reason"),
-        "ingest_summary": lambda s, d: ingest_summary(_validated(s, d)),
+        "ingest_summary": lambda s, d: ingest_summary(_validated_extras(s, d)),
         "ingest_ids": lambda s, d: assign_log_ids(accepted_logs(_validated(s, d))).select(
             "id", "body_id", "index"),
         # filters (#14–#21)
@@ -233,16 +237,19 @@ def oracle_sql() -> dict[str, str]:
     oldest_batch = f'SELECT id FROM logs WHERE "timestamp" < {cutoff} ORDER BY "timestamp", id LIMIT {FX.RETENTION_BATCH}'
     accepted = "FROM entries WHERE reason = ''"
     return {
-        "ingest_entries": W("SELECT body_id, 'ok' AS status, \"index\" FROM entries", O.ENTRIES_CTE),
-        "ingest_validated": W('SELECT body_id, "index", reason FROM entries', O.ENTRIES_CTE),
+        "ingest_entries": W("SELECT body_id, 'ok' AS status, \"index\" FROM entries "
+                            f"UNION ALL SELECT * FROM ({O.EXTRA_ENTRIES})", O.ENTRIES_CTE),
+        "ingest_validated": W('SELECT body_id, "index", reason FROM entries '
+                              f"UNION ALL SELECT * FROM ({O.EXTRA_VALIDATED})", O.ENTRIES_CTE),
         "ingest_accepted": W('SELECT body_id, "index", "timestamp", level, service, message, '
                              f"stored_attributes AS attributes {accepted}", O.ENTRIES_CTE),
-        "ingest_rejected": W("SELECT body_id, \"index\", reason FROM entries WHERE reason <> ''", O.ENTRIES_CTE),
+        "ingest_rejected": W("SELECT body_id, \"index\", reason FROM entries WHERE reason <> '' "
+                             f"UNION ALL SELECT * FROM ({O.EXTRA_VALIDATED}) WHERE reason <> ''", O.ENTRIES_CTE),
         "ingest_summary": W(
             "SELECT body_id, CAST(count_if(reason = '') AS BIGINT) AS accepted, "
             "CAST(count_if(reason <> '') AS BIGINT) AS rejected, "
             "CASE WHEN count_if(reason = '') > 0 THEN 'ok' ELSE 'all_rejected' END AS outcome "
-            "FROM entries GROUP BY body_id", O.ENTRIES_CTE),
+            f"FROM entries GROUP BY body_id UNION ALL SELECT * FROM ({O.EXTRA_SUMMARY})", O.ENTRIES_CTE),
         "ingest_ids": W('SELECT CAST(row_number() OVER (ORDER BY body_id, "index") AS BIGINT) AS id, '
                         f'body_id, "index" {accepted}', O.ENTRIES_CTE),
         "filter_service": W(f"SELECT {cols} FROM logs WHERE service = 'svc-3'"),

@@ -111,3 +111,25 @@ def bodies_from_events(events: DataFrame, as_of: str = AS_OF) -> DataFrame:
 
 def ingest_bodies(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> DataFrame:
     return bodies_from_events(read_table(spark, sf_dir, "events"), as_of)
+
+
+# Fixed edge-case bodies (FIXTURES.md §3), appended with negative body ids.
+EXTRA_ENTRY = ('{"timestamp":"2024-01-15T12:00:00Z","level":"info","service":"svc-x",'
+               '"message":"extra body"}')
+EXTRA_BODIES = (
+    (-1, "[]"),
+    (-2, '{"entries":[]}'),
+    (-3, '{"entries":5,"logs":[{}]}'),
+    (-4, '{"entries":null,"logs":[' + EXTRA_ENTRY + "]}"),
+    (-5, '{"x":1}'),
+    (-6, '[5,null,"a"]'),
+    (-7, '{"entries":[{"level":"info"'),
+    (-8, '{"entries":[{"timestamp":"2024-01-15T12:00:00Z","level":"verbose","level":"info",'
+         '"service":"svc-x","message":"duplicate keys, the last one wins"}]}'),
+)
+
+
+def ingest_bodies_with_extras(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> DataFrame:
+    """``ingest_bodies`` plus the fixed edge-case bodies."""
+    from sawmill.schema import BODIES
+    return ingest_bodies(spark, sf_dir, as_of).unionByName(spark.createDataFrame(list(EXTRA_BODIES), BODIES))
