@@ -22,7 +22,9 @@ _INTEGRAL = ("TINYINT", "SMALLINT", "INT", "BIGINT")
 
 
 def _b64url(binary: Column) -> Column:
-    return F.rtrim(F.translate(F.base64(binary), "+/", "-_"), F.lit("="))
+    # base64() wraps lines at 76 characters with CRLF; translate drops those
+    # (characters without a counterpart are deleted) while mapping +/ to -_.
+    return F.rtrim(F.translate(F.base64(binary), "+/\r\n", "-_"), F.lit("="))
 
 
 def encode_cursor(ts, id_col) -> Column:
