@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sawmill.functions.attrs import attr_text, utf16_length
+from sawmill.functions.attrs import utf16_length, variant_text
 from sawmill.functions.patterns import like_pattern
 from sawmill.functions.times import ts_literal
 from sawmill.schema import LEVELS
@@ -61,27 +61,55 @@ def filter_message_literal(df: DataFrame, q: str) -> DataFrame:
     return df.where(F.contains(F.lower(F.col("message")), F.lower(F.lit(q))))
 
 
-def attribute_match(key: str, value: str) -> Column:
-    """One ``attr.key=value`` test as text.
+def _key_path(key: str) -> str | None:
+    """VARIANT path of one object key, or None when the key holds both quote kinds."""
+    if "'" not in key:
+        return f"$['{key}']"
+    if '"' not in key:
+        return f'$["{key}"]'
+    return None
 
-    Equal to containment of the ``len:key=value`` token: the reference measures
-    the filter key in UTF-16 units but the stored key in characters, so a key
-    outside the BMP can never match; that is kept.
+
+def _text_equals(want: str):
+    return lambda v: F.coalesce(variant_text(v) == F.lit(want), F.lit(False))
+
+
+def attribute_match(filters: dict[str, str]) -> Column:
+    """All ``attr.key=value`` pairs as one test on the parsed ``attributes``.
+
+    Each key is looked up by path in the VARIANT (no map is built), its value
+    turned into text as PostgreSQL's ``jsonb_each_text`` does, and compared;
+    a missing key or JSON null never matches.  Equal to containment of every
+    ``len:key=value`` token; the reference measures the filter key in UTF-16
+    units but the stored key in characters, so a key outside the BMP can never
+    match — that is kept.
     """
-    if utf16_length(key) != len(key):
+    if any(utf16_length(k) != len(k) for k in filters):
         return F.lit(False)
-    return F.coalesce(attr_text("attributes", key) == F.lit(value), F.lit(False))
+
+    def bind(value: Column, body) -> Column:
+        # Filters get no common-subexpression elimination; a one-element
+        # lambda evaluates ``value`` once and lets ``body`` reuse it.
+        return F.exists(F.array(value), body)
+
+    def all_pairs(doc: Column) -> Column:
+        cond = None
+        for key in sorted(filters):
+            path = _key_path(key)
+            value = (F.try_variant_get(doc, path, "variant") if path is not None else
+                     F.try_element_at(F.try_variant_get(doc, "$", "map<string,variant>"), F.lit(key)))
+            test = bind(value, _text_equals(filters[key]))
+            cond = test if cond is None else cond & test
+        return cond
+
+    return bind(F.try_parse_json(F.col("attributes")), all_pairs)
 
 
 def filter_attrs(df: DataFrame, filters: dict[str, str]) -> DataFrame:
     """Every pair must match as text; missing key, JSON null or ``{}`` never match (#20)."""
     if not filters:
         return df
-    cond = None
-    for key in sorted(filters):
-        test = attribute_match(key, filters[key])
-        cond = test if cond is None else cond & test
-    return df.where(cond)
+    return df.where(attribute_match(filters))
 
 
 def search_logs(df: DataFrame, service: str | None = None, level: str | None = None,

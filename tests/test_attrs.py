@@ -46,3 +46,12 @@ def test_like_pattern_normalization(spark):
     assert got(r"50\%") == ["Total 50% OFF"]
     assert got("100\\") == ["ends with 100%"]
     assert got(r"t\otal") == ["Total 50% OFF", "total 50x OFF"]
+
+
+def test_attribute_filter_odd_keys(spark):
+    import json
+    pairs = (("a.b", "1"), ("it's", "2"), ('q"x', "3"), ("both'\"", "4"), ("a\\b", "5"), ("[x]", "6"))
+    df = spark.createDataFrame([(1, json.dumps(dict(pairs)))], "id long, attributes string")
+    for key, value in pairs:
+        assert filter_attrs(df, {key: value}).count() == 1, key
+        assert filter_attrs(df, {key: value + "x"}).count() == 0, key
