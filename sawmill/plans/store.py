@@ -35,6 +35,7 @@ from sawmill.operators.rollup import minute_rollup
 from sawmill.operators.validate import (
     accepted_logs, parse_ingest_bodies, rejected_entries, validate_entries,
 )
+from sawmill.sources.bodies import with_body_ids
 from sawmill.schema import COMMITS, DEFAULT_RETENTION_BATCH, DEFAULT_RETENTION_DAYS, LOGS, ROLLUP
 from sawmill.session import configure, work_dir
 
@@ -183,7 +184,7 @@ class LogStore:
         """Validate, id, write and commit one batch of envelope records (#12, #13)."""
         as_of = to_utc_naive(as_of) if as_of is not None else \
             datetime.now(timezone.utc).replace(tzinfo=None)
-        validated = validate_entries(parse_ingest_bodies(bodies), as_of).persist()
+        validated = validate_entries(parse_ingest_bodies(with_body_ids(bodies)), as_of).persist()
         try:
             # one job: materializes the cache and counts per input partition
             stats = partition_counts(validated, F.size("errors") == 0, F.size("errors") > 0)

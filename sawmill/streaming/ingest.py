@@ -11,21 +11,11 @@ them to their old minute, which a watermarked append aggregation would drop.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession  # noqa: F401
 from pyspark.sql.streaming import StreamingQuery
 
 from sawmill.plans.store import LogStore
-from sawmill.schema import BODIES
-from sawmill.session import configure
-
-
-def read_body_stream(spark: SparkSession, source: str, max_files_per_trigger: int | None = None,
-                     source_format: str = "parquet") -> DataFrame:
-    """Streaming source of envelope records from a folder of files."""
-    reader = configure(spark).readStream.schema(BODIES).format(source_format)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return reader.load(source)
+from sawmill.sources.bodies import read_body_stream
 
 
 def stream_ingest_logs(spark: SparkSession, source: str, store_root: str, checkpoint: str,
@@ -42,7 +32,7 @@ def stream_ingest_logs(spark: SparkSession, source: str, store_root: str, checkp
     def process(batch: DataFrame, batch_id: int) -> None:
         store.ingest_batch(batch, batch_id, as_of)
 
-    writer = (read_body_stream(spark, source, max_files_per_trigger, source_format).writeStream
+    writer = (read_body_stream(spark, source, source_format, max_files_per_trigger).writeStream
               .foreachBatch(process).option("checkpointLocation", checkpoint))
     if available_now:
         writer = writer.trigger(availableNow=True)

@@ -55,3 +55,15 @@ def test_attribute_filter_odd_keys(spark):
     for key, value in pairs:
         assert filter_attrs(df, {key: value}).count() == 1, key
         assert filter_attrs(df, {key: value + "x"}).count() == 0, key
+
+
+def test_sql_function_equals_column_form(spark, small_logs):
+    from sawmill.functions.sql import register_sql_functions
+    register_sql_functions(spark)
+    doc = '{"i":1,"f":1.5,"e":1e2,"s":"x","b":false,"n":null,"small":1e-7,"o":{"x":1}}'
+    probe = spark.createDataFrame([(0, doc), (1, "{}"), (2, "not json")], "id long, attributes string")
+    for df in (small_logs.select("id", "attributes"), probe):
+        df.createOrReplaceTempView("kv_probe")
+        via_sql = spark.sql("SELECT id, logs_attributes_kv(attributes) AS kv FROM kv_probe")
+        via_col = df.select("id", attrs_kv(attrs_text("attributes")).alias("kv"))
+        assert sorted(via_sql.collect()) == sorted(via_col.collect())

@@ -75,3 +75,20 @@ def test_rollup_compaction_generations(spark):
     assert rollup_mismatches(store.logs(), store.rollup()).count() == 0
     assert store.compact_rollup() == 2
     assert rollup_mismatches(store.logs(), store.rollup()).count() == 0
+
+
+def test_text_body_stream(spark):
+    import os
+    from sawmill.streaming.ingest import stream_ingest_logs
+    src = work_dir(spark, "text-src")
+    with open(os.path.join(src, "part-0.txt"), "w") as fh:
+        fh.write(json.dumps([ENTRY, dict(ENTRY, level="verbose")]) + "\n")
+        fh.write('{"logs":[' + json.dumps(ENTRY) + "]}\n")
+        fh.write("{broken\n")
+    root = work_dir(spark, "text-store")
+    q = stream_ingest_logs(spark, src, root, root + "/_ck", as_of=AS_OF, source_format="text")
+    q.awaitTermination(300)
+    store = LogStore(spark, root)
+    (commit,) = store.commits().collect()
+    assert (commit["accepted"], commit["rejected"]) == (2, 1)
+    assert store.logs().count() == 2
