@@ -2,9 +2,11 @@
 
 A page is ``limit + 1`` rows taken newest first: Catalyst plans that as
 ``TakeOrderedAndProject`` — a per-partition top-k and a merge of at most
-``limit + 1`` rows per partition — never a full sort of the table.  Everything
-after it (the page cut and ``next_cursor``) works on that bounded set only
-(≤ 1001 rows, already in one partition).
+``limit + 1`` rows per partition — never a full sort of the table.  The top-k
+is late-materialized (keys first, then full rows above the boundary key) and,
+on a day-partitioned store, restricted to the newest days that can hold the
+page.  Everything after it (the page cut and ``next_cursor``) works on that
+bounded set only (≤ 1001 rows, already in one partition).
 """
 
 from __future__ import annotations
@@ -34,9 +36,29 @@ def newest_first(df: DataFrame) -> DataFrame:
     return df.orderBy(*_newest_first_keys())
 
 
+def newest_rows(df: DataFrame, n: int) -> DataFrame:
+    """The ``n`` newest rows, late-materialized.
+
+    Phase 1 is a top-k over ``(timestamp, id)`` alone — two narrow columns —
+    and yields the n-th key (one row to the driver).  Phase 2 reads full rows
+    only at or above that key: the ``timestamp`` bound is pushed into the
+    Parquet scan, so row groups that are entirely older are skipped and the
+    wide ``message`` / ``attributes`` columns are read for a handful of row
+    groups instead of the whole input.  Keys are unique, so phase 2 holds
+    exactly the n rows.
+    """
+    keys = newest_first(df.select("timestamp", "id")).limit(n)
+    edge = keys.orderBy("timestamp", "id").select("timestamp", "id").first()
+    if edge is None:
+        return newest_first(df).limit(n)
+    tb, ib = ts_literal(edge["timestamp"]), F.lit(edge["id"])
+    t = F.col("timestamp")
+    return newest_first(df.where((t >= tb) & ((t > tb) | (F.col("id") >= ib)))).limit(n)
+
+
 def latest_logs(df: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """Top-k newest logs (#23)."""
-    return newest_first(df).limit(check_limit(limit))
+    return newest_rows(newest_days(df, check_limit(limit)), limit)
 
 
 def after_cursor(df: DataFrame, ts, id_value) -> DataFrame:
@@ -91,7 +113,7 @@ def log_page(df: DataFrame, limit: int = DEFAULT_LIMIT, cursor: str | None = Non
         if decoded is None:
             raise ValueError("cursor must be a valid base64url-encoded log cursor")
         df = after_cursor(df, *decoded)
-    fetched = newest_first(newest_days(df, limit + 1)).limit(limit + 1)
+    fetched = newest_rows(newest_days(df, limit + 1), limit + 1)
     # The window runs over the fetched ≤ limit+1 rows, which the top-k already
     # gathered into a single partition: no exchange, no unbounded group.
     order = Window.orderBy(*_newest_first_keys())
