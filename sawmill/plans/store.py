@@ -210,6 +210,23 @@ class LogStore:
         return result
 
     # ---- retention ----------------------------------------------------------------------
+    def _intent_path(self) -> str:
+        return f"{self.root}/_retention_intent"
+
+    def _write_intent(self, swaps: list[tuple[str, str]]) -> None:
+        self.spark.createDataFrame(swaps, "staged string, target string").coalesce(1) \
+            .write.mode("overwrite").json(self._intent_path())
+
+    def _finish_swaps(self) -> None:
+        """Roll forward a boundary-day swap left unfinished by a lost driver."""
+        if not self._exists(f"{self._intent_path()}/_SUCCESS"):
+            return
+        for row in self.spark.read.schema("staged string, target string").json(self._intent_path()).collect():
+            if self._exists(row["staged"]):      # not yet moved: replace the old day
+                self._delete(row["target"])
+                self._rename(row["staged"], row["target"])
+        self._delete(self._intent_path())
+
     def run_retention(self, as_of, days: int = DEFAULT_RETENTION_DAYS,
                       batch_size: int = DEFAULT_RETENTION_BATCH) -> dict:
         """Delete committed logs older than ``as_of − days`` (#47).
@@ -221,6 +238,7 @@ class LogStore:
         would leave a day with no survivors untouched.
         """
         check_positive("batch_size", batch_size)
+        self._finish_swaps()
         cutoff = retention_cutoff(as_of, days)
         logs = self.logs()
         deleted = logs.where(F.col("timestamp") < ts_literal(cutoff)).count()
@@ -245,10 +263,13 @@ class LogStore:
                                 & (F.col("batch_id") <= F.lit(upto))
                                 & (F.col("timestamp") >= ts_literal(cutoff))))
             survivors.write.mode("overwrite").partitionBy("batch_id", "log_date").parquet(staging)
+            swaps = []
             for batch_dir, day_dir in boundary_dirs:
                 rel = batch_dir.rstrip("/").rsplit("/", 1)[-1] + "/log_date=" + day_text
-                self._delete(day_dir)
-                if self._exists(f"{staging}/{rel}"):
-                    self._rename(f"{staging}/{rel}", day_dir)
+                swaps.append((f"{staging}/{rel}", day_dir))
+            # The intent is written before the first swap: a driver lost in the
+            # middle leaves it behind, and the next run finishes the swaps first.
+            self._write_intent(swaps)
+            self._finish_swaps()
         return {"cutoff": iso_text(cutoff, millis=True), "deleted": int(deleted),
                 "batches": int(deleted) // batch_size + 1}

@@ -92,3 +92,20 @@ def test_text_body_stream(spark):
     (commit,) = store.commits().collect()
     assert (commit["accepted"], commit["rejected"]) == (2, 1)
     assert store.logs().count() == 2
+
+
+def test_retention_rolls_forward_an_unfinished_swap(spark):
+    store = LogStore(spark, work_dir(spark, "store-test"))
+    store.ingest_batch(ingest_bodies(spark, SF_SMALL), 0, AS_OF)
+    total = store.logs().count()
+    # simulate a driver lost after staging and writing the intent, before any swap
+    day_dir = store.path("logs", 0) + "/log_date=2024-01-21"
+    staged = work_dir(spark, "stage-sim") + "/batch_id=0/log_date=2024-01-21"
+    keep = store.logs().where("log_date = DATE'2024-01-21' AND timestamp >= TIMESTAMP_NTZ'2024-01-21 12:00:00'")
+    kept = keep.count()
+    dropped = store.logs().where("log_date = DATE'2024-01-21'").count() - kept
+    keep.drop("batch_id", "log_date").write.parquet(staged)
+    store._write_intent([(staged, day_dir)])
+    store._finish_swaps()
+    assert store.logs().count() == total - dropped
+    assert not store._exists(store._intent_path())
