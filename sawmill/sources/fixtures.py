@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sawmill.functions.times import bucket_start, iso_micros, iso_text, to_utc_naive
-from sawmill.sources.tables import read_table
+from sawmill.sources.tables import read_table, spread
 
 # Fixed parameters of the test scenario (FIXTURES.md §2).
 AS_OF = "2024-01-31T00:00:00Z"
@@ -110,7 +110,8 @@ def bodies_from_events(events: DataFrame, as_of: str = AS_OF) -> DataFrame:
 
 
 def ingest_bodies(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> DataFrame:
-    return bodies_from_events(read_table(spark, sf_dir, "events"), as_of)
+    # building the entry JSON is a heavy projection: spread a one-split input over all cores
+    return bodies_from_events(spread(read_table(spark, sf_dir, "events")), as_of)
 
 
 # Fixed edge-case bodies (FIXTURES.md §3), appended with negative body ids.
