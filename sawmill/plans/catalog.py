@@ -113,6 +113,40 @@ def _visibility(spark, d):
                       F.count_if(F.col("accepted") != F.col("visible")).alias("mismatched_batches"))
 
 
+STORED = ("timestamp", "level", "service", "message", "attributes")
+
+
+def _store(spark, d, tag="shared"):
+    from sawmill.plans.runs import streamed_store
+    return streamed_store(spark, d, tag)
+
+
+def _store_page(spark, d):
+    page = log_page(_store(spark, d).logs(), PAGE)
+    return page.select(*STORED, F.col("next_cursor").isNotNull().alias("has_next"))
+
+
+def _store_exact(spark, d):
+    store = _store(spark, d)
+    logs = store.logs()
+    return aggregate_exact(logs, store.rollup(), _first_unaligned(logs), FX.ALIGNED_UNTIL, "1h", "level")
+
+
+def _store_compacted(spark, d):
+    store = _store(spark, d)
+    store.compact_rollup()
+    return store.rollup()
+
+
+def _store_retention(spark, d):
+    store = _store(spark, d, "retention")
+    result = store.run_retention(FX.AS_OF, FX.RETENTION_DAYS, FX.RETENTION_BATCH)
+    remaining = store.logs().count()
+    return spark.createDataFrame(
+        [(result["cutoff"], result["deleted"], result["batches"], remaining)],
+        "cutoff string, deleted long, batches long, remaining long")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     A, S, U = FX.ALIGNED_SINCE, WHOLE_SINCE, WHOLE_UNTIL
     cols = list(LOG_COLUMNS)
@@ -135,6 +169,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "filter_message": lambda s, d: filter_message(_logs(s, d), "Purchase by USER 1").select(*cols),
         "filter_message_wildcard": lambda s, d: filter_message(_logs(s, d), "by user 1_ amount").select(*cols),
         "filter_message_literal": lambda s, d: filter_message_literal(_logs(s, d), "50%_off").select(*cols),
+        "filter_message_escaped": lambda s, d: filter_message(_logs(s, d), r"50\%\_off").select(*cols),
+        "filter_message_backslash": lambda s, d: filter_message(_logs(s, d), r"b\y user 1\2").select(*cols),
         "filter_attrs": lambda s, d: filter_attrs(_logs(s, d), {"type": "purchase", "user": "12"}).select(*cols),
         "search_combined": lambda s, d: search_logs(
             _logs(s, d), service="svc-2", level="warn", since=FX.ALIGNED_SINCE, until=FX.ALIGNED_UNTIL,
@@ -190,8 +226,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "retention_summary": lambda s, d: retention_summary(
             _logs(s, d), FX.AS_OF, FX.RETENTION_DAYS, FX.RETENTION_BATCH),
         "retention_rollup": lambda s, d: retain_rollup(minute_rollup(_logs(s, d)), CUTOFF),
-        # streaming (#12, #13)
+        # streaming (#12, #13) and the store built by it
         "stream_ingest": _stream_ingest,
+        "store_page_first": _store_page,
+        "store_search_day": lambda s, d: search_logs(
+            _store(s, d).logs(), level="warn", since="2024-01-05T00:00:00Z", until="2024-01-06T00:00:00Z"
+        ).select(*STORED),
+        "store_rollup": lambda s, d: _store(s, d).rollup(),
+        "store_rollup_compacted": _store_compacted,
+        "store_agg_exact": _store_exact,
+        "store_retention": _store_retention,
     }
 
 
@@ -259,6 +303,8 @@ def oracle_sql() -> dict[str, str]:
         "filter_message": W(f"SELECT {cols} FROM logs WHERE message ILIKE '%Purchase by USER 1%' ESCAPE '\\'"),
         "filter_message_wildcard": W(f"SELECT {cols} FROM logs WHERE message ILIKE '%by user 1_ amount%' ESCAPE '\\'"),
         "filter_message_literal": W(f"SELECT {cols} FROM logs WHERE contains(lower(message), lower('50%_off'))"),
+        "filter_message_escaped": W(f"SELECT {cols} FROM logs WHERE message ILIKE '%50\\%\\_off%' ESCAPE '\\'"),
+        "filter_message_backslash": W(f"SELECT {cols} FROM logs WHERE message ILIKE '%b\\y user 1\\2%' ESCAPE '\\'"),
         "filter_attrs": W(f"SELECT {cols} FROM logs WHERE json_extract_string(attributes, '$.type') = 'purchase' "
                           "AND json_extract_string(attributes, '$.user') = '12'"),
         "search_combined": W(
@@ -324,4 +370,20 @@ def oracle_sql() -> dict[str, str]:
                               O.ROLLUP_CTE),
         "stream_ingest": W(f'SELECT "timestamp", level, service, message, stored_attributes AS attributes {accepted}',
                            O.ENTRIES_CTE),
+        "store_page_first": W(f'SELECT "timestamp", level, service, message, stored_attributes AS attributes, '
+                              f'true AS has_next {accepted} ORDER BY "timestamp" DESC LIMIT {PAGE}', O.ENTRIES_CTE),
+        "store_search_day": W('SELECT "timestamp", level, service, message, stored_attributes AS attributes '
+                              f"{accepted} AND level = 'warn' AND \"timestamp\" >= {since} "
+                              "AND \"timestamp\" < TIMESTAMP '2024-01-06 00:00:00'", O.ENTRIES_CTE),
+        "store_rollup": W(f"SELECT {bucket('1 minute')} AS bucket_start, service, level, count(*) AS \"count\" "
+                          f"{accepted} GROUP BY ALL", O.ENTRIES_CTE),
+        "store_rollup_compacted": W(f"SELECT {bucket('1 minute')} AS bucket_start, service, level, "
+                                    f"count(*) AS \"count\" {accepted} GROUP BY ALL", O.ENTRIES_CTE),
+        "store_agg_exact": W(f"SELECT {bucket('1 hour')} AS start, level AS \"group\", count(*) AS \"count\" "
+                             f"{accepted} AND \"timestamp\" >= (SELECT min(\"timestamp\") {accepted} "
+                             f"AND \"timestamp\" >= {since}) AND \"timestamp\" < {until} GROUP BY ALL", O.ENTRIES_CTE),
+        "store_retention": W(f"SELECT '{CUTOFF.strftime('%Y-%m-%dT%H:%M:%S')}.000Z' AS cutoff, "
+                             f"count_if(\"timestamp\" < {cutoff}) AS deleted, "
+                             f"CAST(count_if(\"timestamp\" < {cutoff}) // {FX.RETENTION_BATCH} + 1 AS BIGINT) AS batches, "
+                             f"count_if(\"timestamp\" >= {cutoff}) AS remaining {accepted}", O.ENTRIES_CTE),
     }

@@ -16,7 +16,7 @@ from sawmill.sources import fixtures as FX
 from sawmill.streaming.ingest import stream_ingest_logs
 
 SOURCE_FILES = 4
-_RUNS: dict[tuple[str, str], str] = {}
+_RUNS: dict[tuple[str, str, str], str] = {}
 
 
 def write_body_files(spark: SparkSession, sf_dir: str, files: int = SOURCE_FILES) -> str:
@@ -41,9 +41,12 @@ def run_stream(spark: SparkSession, sf_dir: str, files: int = SOURCE_FILES,
     return LogStore(spark, root)
 
 
-def streamed_store(spark: SparkSession, sf_dir: str) -> LogStore:
-    """One streamed store per (application, input) — reused across queries."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def streamed_store(spark: SparkSession, sf_dir: str, tag: str = "shared") -> LogStore:
+    """One streamed store per (application, input, tag) — reused across queries.
+
+    Queries that change a store (retention) use their own tag.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, tag)
     if key not in _RUNS:
         _RUNS[key] = run_stream(spark, sf_dir).root
     return LogStore(spark, _RUNS[key])

@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from sawmill.functions.attrs import attrs_kv, attrs_text, kv_token
 from sawmill.functions.patterns import like_pattern
 from sawmill.operators.filters import filter_attrs, filter_message
