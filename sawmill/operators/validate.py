@@ -42,8 +42,16 @@ def parse_ingest_bodies(bodies: DataFrame) -> DataFrame:
     entries/logs/data/items must be an array.  Bodies that are not ``ok`` and
     empty lists keep one row with NULL index, so every body is accounted for.
     The body is parsed once (its own projection) and inspected from there.
+
+    As a strict JSON body parser does, a body must start (after JSON blanks)
+    with ``{`` or ``[``: a bare string, number or ``null`` is malformed.  An
+    empty body reads as ``{}`` and is therefore an invalid body.
     """
-    parsed = bodies.select("body_id", F.try_parse_json(F.col("value")).alias("_doc"))
+    value = F.col("value")
+    empty = value.isNull() | (value == "")
+    strict = F.coalesce(value.rlike(r"^[ \t\n\r]*[\[{]"), F.lit(False))
+    parsed = bodies.select("body_id", empty.alias("_empty"),
+                           F.when(strict, F.try_parse_json(value)).alias("_doc"))
     doc = F.col("_doc")
     members = [F.try_variant_get(doc, f"$.{k}", "variant") for k in ENVELOPE_KEYS]
     picked = F.coalesce(*[F.when(~F.is_variant_null(m), m) for m in members])
@@ -51,7 +59,7 @@ def parse_ingest_bodies(bodies: DataFrame) -> DataFrame:
     listed = F.coalesce(root_is_list, F.try_variant_get(picked, "$", "array<variant>"))
     staged = parsed.select(
         "body_id",
-        F.when(doc.isNull(), F.lit(STATUS_MALFORMED))
+        F.when(F.col("_empty"), F.lit(STATUS_INVALID)).when(doc.isNull(), F.lit(STATUS_MALFORMED))
         .when(listed.isNotNull(), F.lit(STATUS_OK)).otherwise(F.lit(STATUS_INVALID)).alias("status"),
         listed.alias("_entries"))
     return staged.select(

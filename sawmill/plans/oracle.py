@@ -51,15 +51,17 @@ _NON_OBJECT_REASON = ("timestamp must be a valid ISO 8601 date; level must be on
 EXTRA_ENTRIES = """SELECT * FROM (VALUES
   (-1::BIGINT, 'ok', NULL::INTEGER), (-2, 'ok', NULL), (-3, 'invalid_body', NULL), (-4, 'ok', 0),
   (-5, 'invalid_body', NULL), (-6, 'ok', 0), (-6, 'ok', 1), (-6, 'ok', 2), (-7, 'malformed_json', NULL),
-  (-8, 'ok', 0)) AS t(body_id, status, "index")"""
+  (-8, 'ok', 0), (-9, 'malformed_json', NULL), (-10, 'invalid_body', NULL)) AS t(body_id, status, "index")"""
 EXTRA_VALIDATED = f"""SELECT * FROM (VALUES
   (-1::BIGINT, NULL::INTEGER, NULL::VARCHAR), (-2, NULL, NULL), (-3, NULL, NULL), (-4, 0, ''),
   (-5, NULL, NULL), (-6, 0, '{_NON_OBJECT_REASON}'), (-6, 1, '{_NON_OBJECT_REASON}'),
-  (-6, 2, '{_NON_OBJECT_REASON}'), (-7, NULL, NULL), (-8, 0, '')) AS t(body_id, "index", reason)"""
+  (-6, 2, '{_NON_OBJECT_REASON}'), (-7, NULL, NULL), (-8, 0, ''), (-9, NULL, NULL), (-10, NULL, NULL)
+  ) AS t(body_id, "index", reason)"""
 EXTRA_SUMMARY = """SELECT * FROM (VALUES
   (-1::BIGINT, 0::BIGINT, 0::BIGINT, 'all_rejected'), (-2, 0, 0, 'all_rejected'), (-3, 0, 0, 'invalid_body'),
   (-4, 1, 0, 'ok'), (-5, 0, 0, 'invalid_body'), (-6, 0, 3, 'all_rejected'), (-7, 0, 0, 'malformed_json'),
-  (-8, 1, 0, 'ok')) AS t(body_id, accepted, rejected, outcome)"""
+  (-8, 1, 0, 'ok'), (-9, 0, 0, 'malformed_json'), (-10, 0, 0, 'invalid_body')
+  ) AS t(body_id, accepted, rejected, outcome)"""
 
 CURSOR_SQL = """rtrim(replace(replace(to_base64(encode(
   '{"timestamp":"' || strftime({ts}, '%Y-%m-%dT%H:%M:%S.%fZ') || '","id":' || CAST({id} AS VARCHAR) || '}')),

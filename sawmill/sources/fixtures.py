@@ -127,6 +127,8 @@ EXTRA_BODIES = (
     (-7, '{"entries":[{"level":"info"'),
     (-8, '{"entries":[{"timestamp":"2024-01-15T12:00:00Z","level":"verbose","level":"info",'
          '"service":"svc-x","message":"duplicate keys, the last one wins"}]}'),
+    (-9, '"just text"'),
+    (-10, ""),
 )
 
 

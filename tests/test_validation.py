@@ -74,13 +74,15 @@ def test_envelopes_and_bad_bodies(spark):
              '{"entries":null,"logs":[' + json.dumps(GOOD) + "]}", '{"x":1}', "{broken",
              '{"data":[' + json.dumps(GOOD) + '],"items":5}', '{"items":[' + json.dumps(GOOD) + "]}",
              '"just text"', '{"entries":[{"level":"warn","level":"info","timestamp":"2026-08-03T09:00:00Z",'
-             '"service":"a","message":"dup keys, last wins"}]}']
+             '"service":"a","message":"dup keys, last wins"}]}', "", " null", "5", ' \n [{"a":1}]']
     out = {r["body_id"]: (r["accepted"], r["rejected"], r["outcome"])
            for r in ingest_summary(run(spark, *texts)).collect()}
     assert out == {
         0: (0, 0, "all_rejected"), 1: (0, 0, "all_rejected"), 2: (0, 0, "invalid_body"),
         3: (1, 0, "ok"), 4: (0, 0, "invalid_body"), 5: (0, 0, "malformed_json"),
-        6: (1, 0, "ok"), 7: (1, 0, "ok"), 8: (0, 0, "invalid_body"), 9: (1, 0, "ok")}
+        6: (1, 0, "ok"), 7: (1, 0, "ok"), 8: (0, 0, "malformed_json"), 9: (1, 0, "ok"),
+        10: (0, 0, "invalid_body"), 11: (0, 0, "malformed_json"), 12: (0, 0, "malformed_json"),
+        13: (0, 1, "all_rejected")}
 
 
 def test_accepted_plus_rejected_equals_entries(spark):
