@@ -15,7 +15,6 @@ import json
 import os
 import re
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -56,9 +55,8 @@ def main() -> None:
     repeat = int(os.environ.get("BENCH_REPEAT", "2"))
     m = re.search(r"sf([0-9.]+)$", sf_dir)
     sf = float(m.group(1)) if m else None
+    # spark.checkpoint.dir: taken from the session; sawmill makes a private one only when unset
     extra = {"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "8g")}
-    if not os.environ.get("SPARK_CHECKPOINT_DIR_SET"):
-        extra["spark.checkpoint.dir"] = tempfile.mkdtemp(prefix="sawmill-bench-")
     spark = build_session(f"local[{cpus}]", app="sawmill-bench", shuffle_partitions=max(2 * cpus, 4),
                           extra=extra)
     qs = catalog.queries()

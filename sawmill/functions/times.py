@@ -53,6 +53,18 @@ def ts_literal(value) -> Column:
     return F.lit(dt.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
 
 
+def resolve_bound(spark, value):
+    """A Column bound (e.g. a scalar subquery) evaluated once to a Python value.
+
+    Used where one bound feeds many expressions: as a literal it is computed
+    once instead of once per use, and it reaches the Parquet scan as a pushed
+    filter and as a static partition filter.  Other values pass through.
+    """
+    if isinstance(value, Column):
+        return spark.range(1).select(value.alias("b")).first()["b"]
+    return value
+
+
 def shift(value, **delta) -> Column:
     """``value + timedelta(**delta)`` as an NTZ column (literal or Column)."""
     if isinstance(value, Column):

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sawmill.functions.times import bucket_start, iso_millis, minute_floor, shift, ts_literal
+from sawmill.functions.times import bucket_start, iso_millis, minute_floor, resolve_bound, shift, ts_literal
 from sawmill.operators.filters import filter_level, filter_service, filter_since, filter_until, search_logs
 from sawmill.schema import BUCKET_WIDTHS, GROUP_BY_VALUES
 
@@ -86,7 +86,8 @@ def aggregate_exact(logs: DataFrame, rollup: DataFrame, since, until, bucket: st
     to ``aggregate_raw`` where the raw rows still exist.
     """
     _check_bucket(bucket)
-    lo, hi = ts_literal(since), ts_literal(until)
+    spark = logs.sparkSession
+    lo, hi = ts_literal(resolve_bound(spark, since)), ts_literal(resolve_bound(spark, until))
     floor_lo = minute_floor(lo)
     inner_lo = F.when(floor_lo == lo, lo).otherwise(shift(floor_lo, minutes=1))
     inner_hi = minute_floor(hi)
