@@ -201,13 +201,17 @@ class LogStore:
         finally:
             validated.unpersist()
         result = BatchResult(batch_id, accepted_n, rejected_n, base + accepted_n)
+        self._commit(result, as_of)
+        return result
+
+    def _commit(self, result: BatchResult, as_of: datetime) -> None:
+        """Writes the batch's commit row — the last write, which makes the batch visible."""
         commit = self.spark.createDataFrame(
             [(result.batch_id, iso_text(as_of), result.accepted, result.rejected, result.max_id)],
             "batch_id long, as_of string, accepted long, rejected long, max_id long",
         ).select("batch_id", ts_literal(as_of).alias("as_of"), "accepted", "rejected", "max_id")
-        commit.drop("batch_id").coalesce(1).write.mode("overwrite").parquet(self.path("commits", batch_id))
+        commit.drop("batch_id").coalesce(1).write.mode("overwrite").parquet(self.path("commits", result.batch_id))
         self._last_commit = (result.batch_id, result.max_id)
-        return result
 
     # ---- retention ----------------------------------------------------------------------
     def _intent_path(self) -> str:

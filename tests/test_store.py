@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL, bodies
@@ -109,3 +111,38 @@ def test_retention_rolls_forward_an_unfinished_swap(spark):
     store._finish_swaps()
     assert store.logs().count() == total - dropped
     assert not store._exists(store._intent_path())
+
+
+def test_stream_replays_a_failed_batch_exactly_once(spark, monkeypatch):
+    from sawmill.plans.runs import write_body_files
+    from sawmill.streaming.ingest import stream_ingest_logs
+    source = write_body_files(spark, SF_SMALL, files=3)
+    root = work_dir(spark, "replay-store")
+    real_commit = LogStore._commit
+    failed = []
+
+    def flaky_commit(self, result, as_of):
+        if result.batch_id == 1 and not failed:
+            failed.append(1)
+            raise RuntimeError("driver lost before the commit row")
+        real_commit(self, result, as_of)
+
+    monkeypatch.setattr(LogStore, "_commit", flaky_commit)
+    q = stream_ingest_logs(spark, source, root, root + "/_ck", as_of=AS_OF, max_files_per_trigger=1)
+    with pytest.raises(Exception, match="driver lost before the commit row"):
+        q.awaitTermination(300)
+    assert failed
+    store = LogStore(spark, root)
+    assert [c["batch_id"] for c in store.commits().collect()] == [0]   # batch 1 wrote data, no commit
+    visible_before = store.logs().count()
+    # restart from the same checkpoint: batch 1 is replayed, then batch 2 runs
+    q = stream_ingest_logs(spark, source, root, root + "/_ck", as_of=AS_OF, max_files_per_trigger=1)
+    q.awaitTermination(300)
+    assert q.exception() is None
+    commits = store.commits().collect()
+    assert sorted(c["batch_id"] for c in commits) == [0, 1, 2]
+    logs = store.logs()
+    n = logs.count()
+    assert n > visible_before and n == sum(c["accepted"] for c in commits) == 652
+    assert sorted(r["id"] for r in logs.select("id").collect()) == list(range(1, n + 1))
+    assert rollup_mismatches(logs, store.rollup()).count() == 0
