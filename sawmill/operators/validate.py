@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from sawmill.functions.times import shift
 from sawmill.schema import (
     ENVELOPE_KEYS, FUTURE_TOLERANCE_MINUTES, LEVELS, OUTCOME_ALL_REJECTED, REASON_ATTRIBUTES,
-    REASON_FUTURE, REASON_LEVEL, REASON_MESSAGE, REASON_SEPARATOR, REASON_SERVICE,
-    REASON_TIMESTAMP, STATUS_INVALID, STATUS_MALFORMED, STATUS_OK,
+    REASON_FUTURE, REASON_LEVEL, REASON_MESSAGE, REASON_NUL, REASON_SEPARATOR, REASON_SERVICE,
+    REASON_SERVICE_LENGTH, REASON_TIMESTAMP, SERVICE_MAX_CHARS, STATUS_INVALID, STATUS_MALFORMED,
+    STATUS_OK,
 )
 
 # JavaScript's String.prototype.trim removes these (ECMAScript WhiteSpace and
@@ -66,13 +67,18 @@ def parse_ingest_bodies(bodies: DataFrame) -> DataFrame:
         "body_id", "status", F.posexplode_outer("_entries").alias("index", "entry"))
 
 
-def validate_entries(entries: DataFrame, as_of=None) -> DataFrame:
+def validate_entries(entries: DataFrame, as_of=None, strict_storage: bool = False) -> DataFrame:
     """Adds ``errors ARRAY<STRING>`` and ``reason`` to parsed entries (#2–#7).
 
     ``as_of`` is the instant the 5-minute future rule is measured from; it is
     fixed once per batch (default: now).  Rows with NULL index (empty or bad
     bodies) pass through with NULL errors.
 
+    ``strict_storage`` adds two checks after the standard ones: a service over
+    255 characters, and a NUL character in service, message or attributes —
+    entries that pass validation but that a relational store would refuse on
+    insert (failing every entry written with them).
+
     Three projections: the five fields are pulled out of the VARIANT once,
     then typed once, then judged — so no VARIANT is inspected twice per row.
     """
@@ -110,6 +116,7 @@ def validate_entries(entries: DataFrame, as_of=None) -> DataFrame:
         F.when(F.coalesce(F.col("_message").rlike(_BLANK), F.lit(True)), F.lit(REASON_MESSAGE)),
         F.when(F.coalesce(F.col("_service").rlike(_BLANK), F.lit(True)), F.lit(REASON_SERVICE)),
         F.when(F.col("_bad_attrs"), F.lit(REASON_ATTRIBUTES)),
+        *_storage_checks(strict_storage),
     ), lambda x: x.isNotNull())
     judged = typed.select("*", F.when(F.col("index").isNotNull(), errors).alias("errors"))
     judged = judged.select("*", F.array_join("errors", REASON_SEPARATOR).alias("reason"))
@@ -119,6 +126,17 @@ def validate_entries(entries: DataFrame, as_of=None) -> DataFrame:
     return judged.select(F.inline(F.array(F.struct(*judged.columns))))
 
 
+def _storage_checks(strict: bool) -> list[Column]:
+    if not strict:
+        return []
+    nul = "\u0000"
+    has_nul = (F.coalesce(F.col("_service").contains(nul), F.lit(False))
+               | F.coalesce(F.col("_message").contains(nul), F.lit(False))
+               | F.coalesce(F.to_json("_attrs").contains("\\u0000"), F.lit(False)))
+    return [F.when(F.char_length("_service") > SERVICE_MAX_CHARS, F.lit(REASON_SERVICE_LENGTH)),
+            F.when(has_nul, F.lit(REASON_NUL))]
+
+
 def accepted_logs(validated: DataFrame) -> DataFrame:
     """Valid entries as typed log rows, without ids (#8); missing attributes → ``{}``."""
     return validated.where(F.size("errors") == 0).select(

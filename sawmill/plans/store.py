@@ -180,11 +180,13 @@ class LogStore:
                .agg(F.max("max_id").alias("m")).first())
         return 0 if row is None or row["m"] is None else int(row["m"])
 
-    def ingest_batch(self, bodies: DataFrame, batch_id: int, as_of=None) -> BatchResult:
+    def ingest_batch(self, bodies: DataFrame, batch_id: int, as_of=None,
+                     strict_storage: bool = False) -> BatchResult:
         """Validate, id, write and commit one batch of envelope records (#12, #13)."""
         as_of = to_utc_naive(as_of) if as_of is not None else \
             datetime.now(timezone.utc).replace(tzinfo=None)
-        validated = validate_entries(parse_ingest_bodies(with_body_ids(bodies)), as_of).persist()
+        validated = validate_entries(parse_ingest_bodies(with_body_ids(bodies)), as_of,
+                                     strict_storage).persist()
         try:
             # one job: materializes the cache and counts per input partition
             stats = partition_counts(validated, F.size("errors") == 0, F.size("errors") > 0)

@@ -22,6 +22,12 @@ MIN_LIMIT, DEFAULT_LIMIT, MAX_LIMIT = 1, 100, 1000
 DEFAULT_RETENTION_DAYS = 30
 DEFAULT_RETENTION_BATCH = 5000
 
+# Extra reasons of the opt-in strict_storage check (ours, not the reference's): entries
+# a relational store would refuse at insert time are quarantined instead.
+SERVICE_MAX_CHARS = 255
+REASON_SERVICE_LENGTH = "service must be at most 255 characters"
+REASON_NUL = "text must not contain NUL characters"
+
 # Body outcomes of parse_ingest_bodies / ingest_summary.
 STATUS_OK = "ok"
 STATUS_MALFORMED = "malformed_json"

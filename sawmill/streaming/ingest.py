@@ -21,7 +21,7 @@ from sawmill.sources.bodies import read_body_stream
 def stream_ingest_logs(spark: SparkSession, source: str, store_root: str, checkpoint: str,
                        as_of=None, max_files_per_trigger: int | None = None,
                        available_now: bool = True, processing_time: str | None = None,
-                       source_format: str = "parquet") -> StreamingQuery:
+                       source_format: str = "parquet", strict_storage: bool = False) -> StreamingQuery:
     """Start the ingest stream; returns the running query.
 
     ``as_of`` pins the clock of the 5-minute future rule (tests); by default
@@ -30,7 +30,7 @@ def stream_ingest_logs(spark: SparkSession, source: str, store_root: str, checkp
     store = LogStore(spark, store_root)
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        store.ingest_batch(batch, batch_id, as_of)
+        store.ingest_batch(batch, batch_id, as_of, strict_storage)
 
     writer = (read_body_stream(spark, source, source_format, max_files_per_trigger).writeStream
               .foreachBatch(process).option("checkpointLocation", checkpoint))

@@ -97,3 +97,18 @@ def test_rejected_entry_keeps_original(spark):
     e = dict(GOOD, level="verbose")
     (rej,) = rejected_entries(run(spark, json.dumps([e]))).collect()
     assert json.loads(rej["entry"]) == e
+
+
+def test_strict_storage_quarantines_unstorable_entries(spark):
+    from sawmill.schema import REASON_NUL, REASON_SERVICE_LENGTH
+    long_service = dict(GOOD, service="s" * 256)
+    nul_message = dict(GOOD, message="a\u0000b")
+    nul_attr = dict(GOOD, attributes={"k": "x\u0000"})
+    ok = dict(GOOD, service="s" * 255)
+    body = json.dumps([long_service, nul_message, nul_attr, ok])
+    lenient = run(spark, body)
+    assert accepted_logs(lenient).count() == 4
+    df = bodies(spark, [(0, body)])
+    strict = validate_entries(parse_ingest_bodies(df), AS_OF, strict_storage=True)
+    reasons = {r["index"]: r["reason"] for r in rejected_entries(strict).collect()}
+    assert reasons == {0: REASON_SERVICE_LENGTH, 1: REASON_NUL, 2: REASON_NUL}
