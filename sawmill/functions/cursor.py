@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sawmill.functions.times import ISO_MICROS, iso_text, to_utc_naive
+from sawmill.functions.times import ISO_MICROS, iso_text, parse_log_time, to_utc_naive
 
 _INTEGRAL = ("TINYINT", "SMALLINT", "INT", "BIGINT")
 
@@ -48,7 +48,7 @@ def decode_cursor(token) -> Column:
     bytes_ok = F.coalesce((_b64url(binary) == tok) & F.is_valid_utf8(binary), F.lit(False))
     doc = F.try_parse_json(F.when(bytes_ok, F.decode(binary, "UTF-8")))
     ts_v = F.try_variant_get(doc, "$.timestamp", "variant")
-    ts = F.try_to_timestamp(F.try_variant_get(ts_v, "$", "string")).cast("timestamp_ntz")
+    ts = parse_log_time(F.try_variant_get(ts_v, "$", "string"))
     id_v = F.try_variant_get(doc, "$.id", "variant")
     id_kind = F.schema_of_variant(id_v)
     as_double = F.try_variant_get(id_v, "$", "double")

@@ -119,7 +119,15 @@ def iso_millis(ts) -> Column:
     return F.date_format(F.col(ts) if isinstance(ts, str) else ts, ISO_MILLIS)
 
 
+# ISO 8601 allows a time of day without seconds ("…T10:30Z"); Spark's parser
+# wants them, so ":00" is inserted before the zone or the end of the text.
+_NO_SECONDS = r"^(\s*[+-]?\d{4,6}-\d{2}-\d{2}[T ]\d{2}:\d{2})(?=\s*(?:$|Z|[+-]\d))"
+
+
 def parse_log_time(text) -> Column:
-    """ISO 8601 text (with or without zone) → UTC ``TIMESTAMP_NTZ``; junk → NULL (#42)."""
+    """ISO 8601 text (with or without zone) → UTC ``TIMESTAMP_NTZ``; junk → NULL (#42).
+
+    Text without a zone is read in the session zone (UTC).
+    """
     col = F.col(text) if isinstance(text, str) else text
-    return F.try_to_timestamp(col).cast("timestamp_ntz")
+    return F.try_to_timestamp(F.regexp_replace(col, _NO_SECONDS, "$1:00")).cast("timestamp_ntz")

@@ -14,7 +14,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sawmill.functions.times import shift
+from sawmill.functions.times import parse_log_time, shift
 from sawmill.schema import (
     ENVELOPE_KEYS, FUTURE_TOLERANCE_MINUTES, LEVELS, OUTCOME_ALL_REJECTED, REASON_ATTRIBUTES,
     REASON_FUTURE, REASON_LEVEL, REASON_MESSAGE, REASON_NUL, REASON_SEPARATOR, REASON_SERVICE,
@@ -97,11 +97,11 @@ def validate_entries(entries: DataFrame, as_of=None, strict_storage: bool = Fals
         return F.when(_is(F.schema_of_variant(v), "STRING"), F.try_variant_get(v, "$", "string"))
 
     attr_map = F.try_variant_get("_v_attributes", "$", "map<string,variant>")
-    nested = F.exists(F.map_values(attr_map), lambda v: _starts(F.schema_of_variant(v), "OBJECT")
-                      | _starts(F.schema_of_variant(v), "ARRAY"))
+    nested = F.exists(F.map_values(attr_map),
+                      lambda v: F.coalesce(F.schema_of_variant(v).rlike("^(OBJECT|ARRAY)"), F.lit(False)))
     typed = fields.select(
         *entries.columns,
-        F.try_to_timestamp(text("timestamp")).cast("timestamp_ntz").alias("_timestamp"),
+        parse_log_time(text("timestamp")).alias("_timestamp"),
         text("level").alias("_level"), text("message").alias("_message"),
         text("service").alias("_service"),
         F.col("_v_attributes").alias("_attrs"),

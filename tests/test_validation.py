@@ -112,3 +112,9 @@ def test_strict_storage_quarantines_unstorable_entries(spark):
     strict = validate_entries(parse_ingest_bodies(df), AS_OF, strict_storage=True)
     reasons = {r["index"]: r["reason"] for r in rejected_entries(strict).collect()}
     assert reasons == {0: REASON_SERVICE_LENGTH, 1: REASON_NUL, 2: REASON_NUL}
+
+
+def test_iso_time_without_seconds_is_valid(spark):
+    e = dict(GOOD, timestamp="2026-08-03T09:30Z")
+    (row,) = accepted_logs(run(spark, json.dumps([e]))).collect()
+    assert row["timestamp"].isoformat() == "2026-08-03T09:30:00"
