@@ -11,8 +11,6 @@ bounded set only (≤ 1001 rows, already in one partition).
 
 from __future__ import annotations
 
-from datetime import timedelta
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +18,7 @@ from sawmill.functions.cursor import decode_cursor_value, encode_cursor
 from sawmill.functions.times import iso_millis, ts_literal
 from sawmill.schema import DEFAULT_LIMIT, MAX_LIMIT, MIN_LIMIT
 
+
 def _newest_first_keys():
     return F.desc_nulls_last("timestamp"), F.desc_nulls_last("id")
 
@@ -76,29 +75,27 @@ def after_cursor(df: DataFrame, ts, id_value) -> DataFrame:
     return out
 
 
-def newest_days(df: DataFrame, rows: int, growth: int = 4) -> DataFrame:
+def newest_days(df: DataFrame, rows: int) -> DataFrame:
     """Restricts a day-partitioned input to the newest days that hold ``rows`` rows.
 
     Every row of an older day is older than every row of a newer one, so the
-    top ``rows`` rows lie in those days.  The probe gallops: it counts the
-    matching rows of the newest 1, 4, 16, … days (each count prunes all older
-    day directories) and stops at the first window that holds enough rows, so
-    the work is a small multiple of the final window rather than the table.
+    top ``rows`` rows lie in those days.  One aggregate counts the matching
+    rows per day — it reads only the filter columns (row counts from Parquet
+    footers when there is no filter) and returns one row per day — and the
+    top-k that follows prunes every older day directory.
     """
     if "log_date" not in df.columns:
         return df
-    newest, oldest = df.agg(F.max("log_date"), F.min("log_date")).first()
-    if newest is None:
+    per_day = df.groupBy("log_date").agg(F.count(F.lit(1)).alias("n")).collect()
+    total, start = 0, None
+    for row in sorted(per_day, key=lambda r: r["log_date"], reverse=True):
+        total += row["n"]
+        start = row["log_date"]
+        if total >= rows:
+            break
+    if start is None:
         return df
-    span = 1
-    while True:
-        start = newest - timedelta(days=span - 1)
-        if start <= oldest:
-            return df
-        window = df.where(F.col("log_date") >= F.lit(start))
-        if window.count() >= rows:
-            return window
-        span *= growth
+    return df.where(F.col("log_date") >= F.lit(start))
 
 
 def log_page(df: DataFrame, limit: int = DEFAULT_LIMIT, cursor: str | None = None) -> DataFrame:
