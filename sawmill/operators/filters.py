@@ -1,9 +1,9 @@
 """Search filters, all AND-combined (#14–#21).
 
 Each filter is a plain ``where`` Catalyst pushes into the Parquet scan.  When
-the input carries the ``log_date`` partition column, time bounds also bound
-``log_date`` so whole day directories are pruned (Catalyst does not derive
-that from ``timestamp`` on its own).
+the input carries a day partition column (``log_date`` for logs,
+``bucket_date`` for the compacted rollup), time bounds also bound it so whole
+day directories are pruned (Catalyst does not derive that on its own).
 """
 
 from __future__ import annotations
@@ -17,8 +17,13 @@ from sawmill.functions.times import ts_literal
 from sawmill.schema import LEVELS
 
 
-def _has(df: DataFrame, name: str) -> bool:
-    return name in df.columns
+# Day partition column that goes with each time column (stored logs, compacted rollup).
+_DAY_OF = {"timestamp": "log_date", "bucket_start": "bucket_date"}
+
+
+def _day_column(df: DataFrame, column: str) -> str | None:
+    day = _DAY_OF.get(column)
+    return day if day in df.columns else None
 
 
 def filter_service(df: DataFrame, service: str) -> DataFrame:
@@ -37,8 +42,9 @@ def filter_since(df: DataFrame, since, column: str = "timestamp") -> DataFrame:
     """``timestamp >= since`` (inclusive, #16)."""
     bound = ts_literal(since)
     out = df.where(F.col(column) >= bound)
-    if _has(df, "log_date"):
-        out = out.where(F.col("log_date") >= F.to_date(bound))
+    day = _day_column(df, column)
+    if day:
+        out = out.where(F.col(day) >= F.to_date(bound))
     return out
 
 
@@ -46,8 +52,9 @@ def filter_until(df: DataFrame, until, column: str = "timestamp") -> DataFrame:
     """``timestamp < until`` (exclusive, #17)."""
     bound = ts_literal(until)
     out = df.where(F.col(column) < bound)
-    if _has(df, "log_date"):
-        out = out.where(F.col("log_date") <= F.to_date(bound))
+    day = _day_column(df, column)
+    if day:
+        out = out.where(F.col(day) <= F.to_date(bound))
     return out
 
 
