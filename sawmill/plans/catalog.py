@@ -147,6 +147,23 @@ def _store_retention(spark, d):
         "cutoff string, deleted long, batches long, remaining long")
 
 
+SEARCH_PARAMS = {"service": "svc-2", "level": "null", "since": "2024-01-03T00:00:00Z", "q": "PURCHASE",
+                 "limit": "50", "attr.user": "", "cursor": ""}
+AGGREGATE_PARAMS = {"since": "2024-01-02T00:00:00Z", "until": "2024-01-09T00:00:00Z", "bucket": "1h",
+                    "group_by": "service", "level": "warn", "service": "null"}
+
+
+def _api_search(spark, d):
+    from sawmill.plans.api import search
+    return search(_logs(spark, d), SEARCH_PARAMS)
+
+
+def _api_aggregate(spark, d):
+    from sawmill.plans.api import aggregate
+    logs = _logs(spark, d)
+    return aggregate(logs, minute_rollup(logs), AGGREGATE_PARAMS)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     A, S, U = FX.ALIGNED_SINCE, WHOLE_SINCE, WHOLE_UNTIL
     cols = list(LOG_COLUMNS)
@@ -185,6 +202,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cursor_encode": lambda s, d: _logs(s, d).select("id", encode_cursor("timestamp", "id").alias("cursor")),
         "cursor_decode": _cursor_decode,
         "render_logs": lambda s, d: render_logs(_logs(s, d)),
+        "api_search": _api_search,
         # aggregates (#29–#37)
         "agg_1m": lambda s, d: aggregate_raw(_logs(s, d), A, FX.ALIGNED_UNTIL, "1m"),
         "agg_5m_service": lambda s, d: aggregate_raw(_logs(s, d), S, U, "5m", "service"),
@@ -203,6 +221,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             _logs(s, d), minute_rollup(_logs(s, d)), _first_unaligned(_logs(s, d)), FX.ALIGNED_UNTIL,
             "1h", "level"),
         "render_buckets": lambda s, d: render_buckets(order_buckets(aggregate_raw(_logs(s, d), S, U, "1d", "level"))),
+        "api_aggregate": _api_aggregate,
         # rollup and checks (#33, #34, #49, #50)
         "minute_rollup": lambda s, d: minute_rollup(_logs(s, d)),
         "merge_rollup": lambda s, d: merge_rollup(
@@ -324,6 +343,19 @@ def oracle_sql() -> dict[str, str]:
                            "CAST(NULL AS BIGINT) AS cursor_id, false AS valid FROM logs"),
         "render_logs": W("SELECT CAST(id AS VARCHAR) AS id, strftime(\"timestamp\", '%Y-%m-%dT%H:%M:%S.%g') || 'Z' "
                          "AS \"timestamp\", level, service, message, attributes FROM logs"),
+        "api_search": W(
+            "SELECT CAST(id AS VARCHAR) AS id, strftime(\"timestamp\", '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS \"timestamp\", "
+            "level, service, message, attributes, "
+            f"CASE WHEN n > 50 THEN max(CASE WHEN rk = 50 THEN {O.cursor_sql()} END) OVER () END AS next_cursor "
+            "FROM r WHERE rk <= 50",
+            f"f AS (SELECT {cols} FROM logs WHERE service = 'svc-2' AND \"timestamp\" >= TIMESTAMP '2024-01-03 00:00:00' "
+            "AND message ILIKE '%PURCHASE%' ESCAPE '\\' ORDER BY \"timestamp\" DESC, id DESC LIMIT 51)",
+            'r AS (SELECT *, row_number() OVER (ORDER BY "timestamp" DESC, id DESC) AS rk, count(*) OVER () AS n FROM f)'),
+        "api_aggregate": W(
+            f"SELECT strftime({bucket('1 hour', 'bucket_start')}, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS start, "
+            'service AS "group", CAST(sum("count") AS BIGINT) AS "count" FROM rollup '
+            "WHERE bucket_start >= TIMESTAMP '2024-01-02 00:00:00' AND bucket_start < TIMESTAMP '2024-01-09 00:00:00' "
+            "AND level = 'warn' GROUP BY ALL", O.ROLLUP_CTE),
         "agg_1m": raw_agg("1 minute", None, f'"timestamp" >= {since} AND "timestamp" < {until}'),
         "agg_5m_service": raw_agg("5 minutes", "service", f'"timestamp" >= {ws} AND "timestamp" < {wu}'),
         "agg_1h_level": raw_agg("1 hour", "level", f'"timestamp" >= {ws} AND "timestamp" < {wu}'),
