@@ -34,6 +34,7 @@ from sawmill.operators.validate import (
 )
 from sawmill.plans import oracle as O
 from sawmill.sources import fixtures as FX
+from sawmill.sources.tables import spread
 
 LOG_COLUMNS = ("id", "timestamp", "level", "service", "message", "attributes")
 WHOLE_SINCE, WHOLE_UNTIL = "2024-01-01T00:00:00Z", "2024-02-01T00:00:00Z"
@@ -73,7 +74,8 @@ def _last_page(logs: DataFrame) -> DataFrame:
 
 
 def _cursor_decode(spark, d):
-    tokens = _logs(spark, d).select("id", encode_cursor("timestamp", "id").alias("token"))
+    # decoding is a heavy projection: spread a one-split input over all cores
+    tokens = spread(_logs(spark, d)).select("id", encode_cursor("timestamp", "id").alias("token"))
     both = tokens.select("id", F.lit("plain").alias("kind"), "token").unionByName(
         tokens.select("id", F.lit("padded").alias("kind"), F.concat("token", F.lit("=")).alias("token")))
     dec = both.select("id", "kind", decode_cursor("token").alias("c"))
