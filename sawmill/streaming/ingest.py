@@ -1,7 +1,8 @@
 """Continuous ingest with Structured Streaming (#13).
 
-Envelope records ``(body_id, value)`` arrive as files — Parquet (default) or
-JSON lines — or from any source with that key/value shape, such as Kafka.  Each micro-batch goes through
+Envelope records ``(body_id, value)`` arrive as files — Parquet (default), JSON
+lines or text — or from Kafka (``sources.bodies.read_kafka_body_stream``);
+``ingest_stream`` takes any streaming frame of that shape.  Each micro-batch goes through
 ``LogStore.ingest_batch`` inside ``foreachBatch``: raw rows, rollup deltas and
 rejected entries are written under the batch's own id and the commit row last,
 so a batch becomes visible all at once and a replay after failure rewrites the
@@ -11,31 +12,39 @@ them to their old minute, which a watermarked append aggregation would drop.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession  # noqa: F401
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from sawmill.plans.store import LogStore
 from sawmill.sources.bodies import read_body_stream
 
 
-def stream_ingest_logs(spark: SparkSession, source: str, store_root: str, checkpoint: str,
-                       as_of=None, max_files_per_trigger: int | None = None,
-                       available_now: bool = True, processing_time: str | None = None,
-                       source_format: str = "parquet", strict_storage: bool = False) -> StreamingQuery:
-    """Start the ingest stream; returns the running query.
-
-    ``as_of`` pins the clock of the 5-minute future rule (tests); by default
-    each batch reads the clock once and records it in its commit row.
-    """
-    store = LogStore(spark, store_root)
+def ingest_stream(bodies: DataFrame, store_root: str, checkpoint: str, as_of=None,
+                  available_now: bool = True, processing_time: str | None = None,
+                  strict_storage: bool = False) -> StreamingQuery:
+    """Runs any streaming frame of envelope records ``(body_id, value)`` into a store."""
+    store = LogStore(bodies.sparkSession, store_root)
 
     def process(batch: DataFrame, batch_id: int) -> None:
         store.ingest_batch(batch, batch_id, as_of, strict_storage)
 
-    writer = (read_body_stream(spark, source, source_format, max_files_per_trigger).writeStream
-              .foreachBatch(process).option("checkpointLocation", checkpoint))
+    writer = bodies.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     elif processing_time:
         writer = writer.trigger(processingTime=processing_time)
     return writer.start()
+
+
+def stream_ingest_logs(spark: SparkSession, source: str, store_root: str, checkpoint: str,
+                       as_of=None, max_files_per_trigger: int | None = None,
+                       available_now: bool = True, processing_time: str | None = None,
+                       source_format: str = "parquet", strict_storage: bool = False) -> StreamingQuery:
+    """Start the ingest stream; returns the running query.
+
+    ``as_of`` pins the clock of the 5-minute future rule (tests); by default
+    each batch reads the clock once and records it in its commit row.
+    """
+    bodies = read_body_stream(spark, source, source_format, max_files_per_trigger)
+    return ingest_stream(bodies, store_root, checkpoint, as_of, available_now, processing_time,
+                         strict_storage)

@@ -146,3 +146,13 @@ def test_stream_replays_a_failed_batch_exactly_once(spark, monkeypatch):
     assert n > visible_before and n == sum(c["accepted"] for c in commits) == 652
     assert sorted(r["id"] for r in logs.select("id").collect()) == list(range(1, n + 1))
     assert rollup_mismatches(logs, store.rollup()).count() == 0
+
+
+def test_kafka_record_shape(spark):
+    from sawmill.sources.bodies import from_kafka_records
+    rows = [(None, json.dumps([ENTRY]).encode(), "logs", 3, 17, None, 0)]
+    records = spark.createDataFrame(
+        rows, "key binary, value binary, topic string, partition int, offset long, timestamp timestamp, "
+              "timestampType int")
+    (row,) = from_kafka_records(records).collect()
+    assert row["body_id"] == (3 << 40) + 17 and json.loads(row["value"]) == [ENTRY]
