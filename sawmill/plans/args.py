@@ -182,6 +182,7 @@ def _positive(env: dict, name: str, default: int, issues: list[str]) -> int:
     raw = env.get(name)
     if raw is None or raw == "":
         return default
+    raw = str(raw)
     if not re.fullmatch(r"\d+", str(raw)):
         issues.append(f"{name} must be an integer")
         return default

@@ -32,3 +32,25 @@ def test_aggregate_routes_and_renders(small_logs):
     raw = aggregate(small_logs, rollup, dict(base, q="purchase")).collect()
     assert sum(r["count"] for r in raw) == small_logs.where("message ILIKE '%purchase%'").count()
     assert all(r["group"] is None for r in raw)
+
+
+def test_command_line_round_trip(spark, capsys):
+    import json as _json
+
+    from conftest import SF_SMALL
+    from sawmill.__main__ import main
+    from sawmill.plans.runs import write_body_files
+    from sawmill.session import work_dir
+    source = write_body_files(spark, SF_SMALL, files=2)
+    store = work_dir(spark, "cli-store")
+    assert main(["ingest", "--store", store, "--source", source]) == 0
+    assert main(["search", "--store", store, "limit=3", "level=error"]) == 0
+    assert main(["aggregate", "--store", store, "since=2024-01-01T00:00:00Z", "until=2024-02-01T00:00:00Z",
+                 "bucket=1d"]) == 0
+    assert main(["compact", "--store", store]) == 0
+    assert main(["retention", "--store", store, "--days", "10", "--batch-size", "500",
+                 "--as-of", "2024-01-31T00:00:00Z"]) == 0
+    lines = [_json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    pages = [x for x in lines if "message" in x]
+    assert len(pages) == 3 and all(x["level"] == "error" for x in pages)
+    assert lines[-1]["cutoff"] == "2024-01-21T00:00:00.000Z"
