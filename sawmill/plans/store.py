@@ -109,8 +109,26 @@ class LogStore:
             *[f.name for f in COMMITS.fields])
 
     def _committed_upto(self) -> int | None:
-        row = self.commits().agg(F.max("batch_id").alias("m")).first()
-        return None if row is None or row["m"] is None else int(row["m"])
+        """Newest finished commit, from the folder names (one listing, no data read).
+
+        A commit folder counts once its write finished: a data file has been
+        committed into it (task output stays under ``_temporary`` until the
+        job commits).  Checked from the newest down, so normally one listing.
+        """
+        ids = []
+        for child in self._children(self.path("commits")):
+            name = child.rstrip("/").rsplit("/", 1)[-1]
+            if name.startswith("batch_id="):
+                ids.append(int(name.split("=", 1)[1]))
+        for batch_id in sorted(ids, reverse=True):
+            if self._has_data_file(self.path("commits", batch_id)):
+                return batch_id
+        return None
+
+    def _has_data_file(self, path: str) -> bool:
+        fs, p = self._fs(path)
+        return any(s.isFile() and not s.getPath().getName().startswith(("_", "."))
+                   for s in fs.listStatus(p))
 
     def _visible(self, table: str, schema: T.StructType) -> DataFrame:
         upto = self._committed_upto()
