@@ -156,3 +156,16 @@ def test_kafka_record_shape(spark):
               "timestampType int")
     (row,) = from_kafka_records(records).collect()
     assert row["body_id"] == (3 << 40) + 17 and json.loads(row["value"]) == [ENTRY]
+
+
+def test_commit_in_progress_is_not_visible(spark):
+    import os
+    store = LogStore(spark, work_dir(spark, "store-test"))
+    store.ingest_batch(bodies(spark, [(0, json.dumps([ENTRY]))]), 0, AS_OF)
+    store.ingest_batch(bodies(spark, [(1, json.dumps([ENTRY, ENTRY]))]), 1, AS_OF)
+    # a third batch whose commit write has only task output under _temporary so far
+    pending = store.path("commits", 2).replace("file:", "") + "/_temporary/0"
+    os.makedirs(pending)
+    open(os.path.join(pending, "part-00000.parquet"), "w").close()
+    assert store._committed_upto() == 1
+    assert store.logs().count() == 3
