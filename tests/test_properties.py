@@ -78,3 +78,23 @@ def test_integer_attribute_text(spark, values):
     docs = [(f'{{"v": {v}}}',) for v in values]
     got = [r["m"]["v"] for r in spark.createDataFrame(docs, "a string").select(attrs_text("a").alias("m")).collect()]
     assert got == [str(v) for v in values]
+
+
+@settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.integers(1, 19), min_size=1, max_size=2, unique=True))
+def test_any_batch_split_keeps_store_consistent(spark, cuts):
+    from conftest import SF_SMALL
+    from sawmill.operators.quality import rollup_mismatches
+    from sawmill.plans.store import LogStore
+    from sawmill.session import work_dir
+    from sawmill.sources.fixtures import AS_OF, ingest_bodies
+    bodies = ingest_bodies(spark, SF_SMALL).cache()
+    store = LogStore(spark, work_dir(spark, "split-store"))
+    edges = [0, *sorted(cuts), 10**9]
+    for batch_id, (lo, hi) in enumerate(zip(edges, edges[1:])):
+        store.ingest_batch(bodies.where((F.col("body_id") >= lo) & (F.col("body_id") < hi)), batch_id, AS_OF)
+    logs = store.logs()
+    n = logs.count()
+    assert n == 652  # accepted entries of the whole input, however it was split
+    assert sorted(r["id"] for r in logs.select("id").collect()) == list(range(1, n + 1))
+    assert rollup_mismatches(logs, store.rollup()).count() == 0
