@@ -57,6 +57,8 @@ def main() -> None:
     sf = float(m.group(1)) if m else None
     # spark.checkpoint.dir: taken from the session; sawmill makes a private one only when unset
     extra = {"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "8g")}
+    if os.environ.get("BENCH_EVENT_LOG"):  # stage/task times without the UI: Spark's event log
+        extra.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": os.environ["BENCH_EVENT_LOG"]})
     spark = build_session(f"local[{cpus}]", app="sawmill-bench", shuffle_partitions=max(2 * cpus, 4),
                           extra=extra)
     qs = catalog.queries()
