@@ -6,7 +6,8 @@ Prints ONE JSON line:
 Each query runs fully (``noop`` sink, so every row is produced but none is
 collected); the time is the best of ``BENCH_REPEAT`` runs after one warm-up of
 the session.  ``stream_ingest`` times the ``availableNow`` stream over the
-body files (written beforehand) and also reports rows/s.
+body files (written beforehand) and also reports rows/s.  With
+``BENCH_EVENT_LOG=<dir>`` Spark's event log (stage and task times) goes there.
 """
 
 from __future__ import annotations
