@@ -20,7 +20,7 @@ def _group(group_by: str | None) -> Column:
     if group_by is None:
         return F.lit(None).cast("string")
     if group_by not in GROUP_BY_VALUES:
-        raise ValueError("groupBy must be one of: service, level")
+        raise ValueError("group_by must be one of: service, level")
     return F.col(group_by).cast("string")
 
 
