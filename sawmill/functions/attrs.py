@@ -1,6 +1,8 @@
 """Attribute scalars (#38–#40).
 
-``attributes`` is stored as JSON text.  ``attrs_text`` gives the reference's
+``attributes`` is JSON text in the driver-derived logs and a VARIANT in the
+store (parsed once at ingest, never again per query); ``attributes_doc`` and
+``attributes_json`` hide the difference.  ``attrs_text`` gives the reference's
 ``jsonb_each_text`` view of it — every value as text, JSON null as NULL, numbers
 in the canonical decimal text a JavaScript number prints through PostgreSQL
 ``numeric`` — all with built-in VARIANT functions, no Python UDF.
@@ -10,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _NUMERIC_SCHEMAS = ("TINYINT", "SMALLINT", "INT", "BIGINT", "FLOAT", "DOUBLE")
 
@@ -45,11 +48,30 @@ def variant_text(v: Column) -> Column:
             .otherwise(F.to_json(v)))
 
 
+def _is_variant(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, T.VariantType)
+
+
+def attributes_doc(df: DataFrame, name: str = "attributes") -> Column:
+    """The attributes as a VARIANT: a stored VARIANT as is, JSON text parsed."""
+    return F.col(name) if _is_variant(df, name) else F.try_parse_json(F.col(name))
+
+
+def attributes_json(df: DataFrame, name: str = "attributes") -> Column:
+    """The attributes as JSON text for output; never NULL (``{}``)."""
+    col = F.to_json(F.col(name)) if _is_variant(df, name) else F.col(name)
+    return F.coalesce(col, F.lit("{}"))
+
+
+def attrs_map(doc: Column) -> Column:
+    """VARIANT object → ``MAP<STRING,STRING>`` of value texts; non-objects → NULL."""
+    as_map = F.try_variant_get(doc, "$", "map<string,variant>")
+    return F.transform_values(as_map, lambda _k, v: variant_text(v))
+
+
 def attrs_text(attributes) -> Column:
     """JSON object text → ``MAP<STRING,STRING>`` (#38); non-objects → NULL."""
-    parsed = F.try_parse_json(_col(attributes))
-    as_map = F.try_variant_get(parsed, "$", "map<string,variant>")
-    return F.transform_values(as_map, lambda _k, v: variant_text(v))
+    return attrs_map(F.try_parse_json(_col(attributes)))
 
 
 def attr_text(attributes, key: str) -> Column:
@@ -73,7 +95,7 @@ def attrs_kv(attrs) -> Column:
 
 def explode_attrs(logs: DataFrame, attrs_col: str = "attributes") -> DataFrame:
     """One row per (id, key, value) of every log's attributes (#40)."""
-    return logs.select("id", F.explode(attrs_text(attrs_col)).alias("key", "value"))
+    return logs.select("id", F.explode(attrs_map(attributes_doc(logs, attrs_col))).alias("key", "value"))
 
 
 def utf16_length(text: str) -> int:

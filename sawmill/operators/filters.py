@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sawmill.functions.attrs import utf16_length, variant_text
+from sawmill.functions.attrs import attributes_doc, utf16_length, variant_text
 from sawmill.functions.patterns import like_pattern
 from sawmill.functions.times import ts_literal
 from sawmill.schema import LEVELS
@@ -81,7 +81,7 @@ def _text_equals(want: str):
     return lambda v: F.coalesce(variant_text(v) == F.lit(want), F.lit(False))
 
 
-def attribute_match(filters: dict[str, str]) -> Column:
+def attribute_match(filters: dict[str, str], doc: Column | None = None) -> Column:
     """All ``attr.key=value`` pairs as one test on the parsed ``attributes``.
 
     Each key is looked up by path in the VARIANT (no map is built), its value
@@ -89,7 +89,8 @@ def attribute_match(filters: dict[str, str]) -> Column:
     a missing key or JSON null never matches.  Equal to containment of every
     ``len:key=value`` token; the reference measures the filter key in UTF-16
     units but the stored key in characters, so a key outside the BMP can never
-    match — that is kept.
+    match — that is kept.  ``doc`` is the attributes VARIANT (default: parsed
+    from the JSON text column).
     """
     if any(utf16_length(k) != len(k) for k in filters):
         return F.lit(False)
@@ -109,14 +110,14 @@ def attribute_match(filters: dict[str, str]) -> Column:
             cond = test if cond is None else cond & test
         return cond
 
-    return bind(F.try_parse_json(F.col("attributes")), all_pairs)
+    return bind(doc if doc is not None else F.try_parse_json(F.col("attributes")), all_pairs)
 
 
 def filter_attrs(df: DataFrame, filters: dict[str, str]) -> DataFrame:
     """Every pair must match as text; missing key, JSON null or ``{}`` never match (#20)."""
     if not filters:
         return df
-    return df.where(attribute_match(filters))
+    return df.where(attribute_match(filters, attributes_doc(df)))
 
 
 def search_logs(df: DataFrame, service: str | None = None, level: str | None = None,

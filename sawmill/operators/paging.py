@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sawmill.functions.attrs import attributes_json
 from sawmill.functions.cursor import decode_cursor_value, encode_cursor
 from sawmill.functions.times import iso_millis, ts_literal
 from sawmill.schema import DEFAULT_LIMIT, MAX_LIMIT, MIN_LIMIT
@@ -130,5 +131,5 @@ def render_logs(df: DataFrame) -> DataFrame:
         F.col("id").cast("string").alias("id"),
         iso_millis("timestamp").alias("timestamp"),
         "level", "service", "message",
-        F.coalesce(F.col("attributes"), F.lit("{}")).alias("attributes"),
+        attributes_json(df).alias("attributes"),
         *extra)

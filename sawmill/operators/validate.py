@@ -137,13 +137,21 @@ def _storage_checks(strict: bool) -> list[Column]:
             F.when(has_nul, F.lit(REASON_NUL))]
 
 
-def accepted_logs(validated: DataFrame) -> DataFrame:
-    """Valid entries as typed log rows, without ids (#8); missing attributes → ``{}``."""
+def accepted_logs(validated: DataFrame, attributes_as: str = "json") -> DataFrame:
+    """Valid entries as typed log rows, without ids (#8); missing attributes → ``{}``.
+
+    ``attributes_as="variant"`` keeps the parsed VARIANT (what the store writes)
+    instead of rendering JSON text.
+    """
+    if attributes_as == "variant":
+        attrs = F.coalesce(F.col("_attrs"), F.parse_json(F.lit("{}")))
+    else:
+        attrs = F.coalesce(F.to_json("_attrs"), F.lit("{}"))
     return validated.where(F.size("errors") == 0).select(
         "body_id", "index",
         F.col("_timestamp").alias("timestamp"), F.col("_level").alias("level"),
         F.col("_service").alias("service"), F.col("_message").alias("message"),
-        F.coalesce(F.to_json("_attrs"), F.lit("{}")).alias("attributes"))
+        attrs.alias("attributes"))
 
 
 def rejected_entries(validated: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sawmill.functions.attrs import attrs_kv, attrs_text, explode_attrs
+from sawmill.functions.attrs import attributes_json, attrs_kv, attrs_text, explode_attrs
 from sawmill.functions.cursor import decode_cursor, encode_cursor, encode_cursor_value
 from sawmill.functions.times import iso_micros, parse_log_time, ts_literal
 from sawmill.operators.aggregate import (
@@ -101,8 +101,7 @@ def _parse_log_time(spark, d):
 
 def _stream_ingest(spark, d):
     from sawmill.plans.runs import streamed_store
-    return streamed_store(spark, d).logs().select(
-        "timestamp", "level", "service", "message", "attributes")
+    return _select_stored(streamed_store(spark, d).logs())
 
 
 def _visibility(spark, d):
@@ -115,7 +114,16 @@ def _visibility(spark, d):
                       F.count_if(F.col("accepted") != F.col("visible")).alias("mismatched_batches"))
 
 
-STORED = ("timestamp", "level", "service", "message", "attributes")
+STORED = ("timestamp", "level", "service", "message")
+
+
+def _stored(df: DataFrame) -> list:
+    """Stored-log columns for output: the VARIANT attributes as JSON text."""
+    return [*STORED, attributes_json(df).alias("attributes")]
+
+
+def _select_stored(df: DataFrame) -> DataFrame:
+    return df.select(*_stored(df))
 
 
 def _store(spark, d, tag="shared"):
@@ -125,7 +133,7 @@ def _store(spark, d, tag="shared"):
 
 def _store_page(spark, d):
     page = log_page(_store(spark, d).logs(), PAGE)
-    return page.select(*STORED, F.col("next_cursor").isNotNull().alias("has_next"))
+    return page.select(*_stored(page), F.col("next_cursor").isNotNull().alias("has_next"))
 
 
 def _store_exact(spark, d):
@@ -256,9 +264,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # streaming (#12, #13) and the store built by it
         "stream_ingest": _stream_ingest,
         "store_page_first": _store_page,
-        "store_search_day": lambda s, d: search_logs(
-            _store(s, d).logs(), level="warn", since="2024-01-05T00:00:00Z", until="2024-01-06T00:00:00Z"
-        ).select(*STORED),
+        "store_search_day": lambda s, d: _select_stored(search_logs(
+            _store(s, d).logs(), level="warn", since="2024-01-05T00:00:00Z", until="2024-01-06T00:00:00Z")),
+        "store_search_attrs": lambda s, d: _select_stored(search_logs(
+            _store(s, d).logs(), service="svc-3", attributes={"type": "error", "user": "11"})),
         "store_rollup": lambda s, d: _store(s, d).rollup(),
         "store_rollup_compacted": _store_compacted,
         "store_agg_exact": _store_exact,
@@ -415,6 +424,10 @@ def oracle_sql() -> dict[str, str]:
         "store_search_day": W('SELECT "timestamp", level, service, message, stored_attributes AS attributes '
                               f"{accepted} AND level = 'warn' AND \"timestamp\" >= {since} "
                               "AND \"timestamp\" < TIMESTAMP '2024-01-06 00:00:00'", O.ENTRIES_CTE),
+        "store_search_attrs": W('SELECT "timestamp", level, service, message, stored_attributes AS attributes '
+                                f"{accepted} AND service = 'svc-3' "
+                                "AND json_extract_string(stored_attributes, '$.type') = 'error' "
+                                "AND json_extract_string(stored_attributes, '$.user') = '11'", O.ENTRIES_CTE),
         "store_rollup": W(f"SELECT {bucket('1 minute')} AS bucket_start, service, level, count(*) AS \"count\" "
                           f"{accepted} GROUP BY ALL", O.ENTRIES_CTE),
         "store_rollup_compacted": W(f"SELECT {bucket('1 minute')} AS bucket_start, service, level, "

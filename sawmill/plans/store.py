@@ -40,7 +40,11 @@ from sawmill.sources.bodies import with_body_ids
 from sawmill.schema import COMMITS, DEFAULT_RETENTION_BATCH, DEFAULT_RETENTION_DAYS, LOGS, ROLLUP
 from sawmill.session import configure, work_dir
 
-_PARTITIONED_LOGS = T.StructType(LOGS.fields + [
+# Stored logs keep ``attributes`` as a VARIANT: parsed once at ingest, read by
+# attribute filters without re-parsing JSON text on every query.
+STORED_LOGS = T.StructType([
+    f if f.name != "attributes" else T.StructField("attributes", T.VariantType(), False) for f in LOGS.fields])
+_PARTITIONED_LOGS = T.StructType(STORED_LOGS.fields + [
     T.StructField("batch_id", T.LongType()), T.StructField("log_date", T.DateType())])
 _PARTITIONED_ROLLUP = T.StructType(ROLLUP.fields + [T.StructField("batch_id", T.LongType())])
 _PARTITIONED_COMMITS = T.StructType(
@@ -138,7 +142,11 @@ class LogStore:
         return df.where(F.col("batch_id") <= F.lit(upto))  # partition pruning on batch_id
 
     def logs(self) -> DataFrame:
-        """Committed raw logs with partition columns ``batch_id``, ``log_date``."""
+        """Committed raw logs with partition columns ``batch_id``, ``log_date``.
+
+        ``attributes`` is a VARIANT here; ``render_logs`` (or ``attributes_json``)
+        turns it into JSON text for output.
+        """
         return self._visible("logs", _PARTITIONED_LOGS)
 
     def rejected(self) -> DataFrame:
@@ -212,7 +220,8 @@ class LogStore:
             accepted_n = sum(s[1] for s in stats)
             rejected_n = sum(s[2] for s in stats)
             base = self._id_base(batch_id)
-            accepted = assign_arrival_ids(accepted_logs(validated), base, {s[0]: s[1] for s in stats})
+            accepted = assign_arrival_ids(accepted_logs(validated, attributes_as="variant"), base,
+                                          {s[0]: s[1] for s in stats})
             logs = accepted.select(*LOGS.fieldNames(), F.to_date("timestamp").alias("log_date"))
             # Local sort (no shuffle): the writer needs log_date order anyway, and
             # service-then-time order gives row groups tight min/max statistics,

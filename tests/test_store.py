@@ -37,7 +37,7 @@ def test_uncommitted_batch_is_invisible(spark):
     # batch 1 writes its data but "crashes" before the commit row
     spark.createDataFrame([(99, ENTRY["timestamp"])], "id long, t string").select(
         "id", F.col("t").cast("timestamp_ntz").alias("timestamp"), F.lit("info").alias("level"),
-        F.lit("a").alias("service"), F.lit("m").alias("message"), F.lit("{}").alias("attributes"),
+        F.lit("a").alias("service"), F.lit("m").alias("message"), F.parse_json(F.lit("{}")).alias("attributes"),
         F.lit("2024-01-20").cast("date").alias("log_date"),
     ).write.partitionBy("log_date").parquet(store.path("logs", 1))
     assert [r["id"] for r in store.logs().collect()] == [1]
