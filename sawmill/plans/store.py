@@ -47,8 +47,8 @@ STORED_LOGS = T.StructType([
 _PARTITIONED_LOGS = T.StructType(STORED_LOGS.fields + [
     T.StructField("batch_id", T.LongType()), T.StructField("log_date", T.DateType())])
 _PARTITIONED_ROLLUP = T.StructType(ROLLUP.fields + [T.StructField("batch_id", T.LongType())])
-_PARTITIONED_COMMITS = T.StructType(
-    [f for f in COMMITS.fields if f.name != "batch_id"] + [T.StructField("batch_id", T.LongType())])
+_COMMIT_FILE = T.StructType([f for f in COMMITS.fields if f.name != "batch_id"])  # batch_id is the folder
+_PARTITIONED_COMMITS = T.StructType(_COMMIT_FILE.fields + [T.StructField("batch_id", T.LongType())])
 _PARTITIONED_REJECTED = T.StructType([
     T.StructField("body_id", T.LongType()), T.StructField("index", T.IntegerType()),
     T.StructField("reason", T.StringType()), T.StructField("entry", T.StringType()),
@@ -112,19 +112,25 @@ class LogStore:
         return self.spark.read.schema(_PARTITIONED_COMMITS).parquet(self.path("commits")).select(
             *[f.name for f in COMMITS.fields])
 
-    def _committed_upto(self) -> int | None:
-        """Newest finished commit, from the folder names (one listing, no data read).
-
-        A commit folder counts once its write finished: a data file has been
-        committed into it (task output stays under ``_temporary`` until the
-        job commits).  Checked from the newest down, so normally one listing.
-        """
+    def _commit_ids(self) -> list[int]:
         ids = []
         for child in self._children(self.path("commits")):
             name = child.rstrip("/").rsplit("/", 1)[-1]
             if name.startswith("batch_id="):
                 ids.append(int(name.split("=", 1)[1]))
-        for batch_id in sorted(ids, reverse=True):
+        return sorted(ids)
+
+    def _committed_upto(self, below: int | None = None) -> int | None:
+        """Newest finished commit (optionally below a batch id), from the folder names.
+
+        A commit folder counts once its write finished: a data file has been
+        committed into it (task output stays under ``_temporary`` until the
+        job commits).  Checked from the newest down, so normally one listing;
+        no data is read.
+        """
+        for batch_id in reversed(self._commit_ids()):
+            if below is not None and batch_id >= below:
+                continue
             if self._has_data_file(self.path("commits", batch_id)):
                 return batch_id
         return None
@@ -203,7 +209,12 @@ class LogStore:
         """``max_id`` of the newest commit before this batch: a replay gets the same base."""
         if self._last_commit is not None and self._last_commit[0] == batch_id - 1:
             return self._last_commit[1]
-        row = (self.commits().where(F.col("batch_id") < batch_id)
+        # ids grow with the batch id, so the newest earlier commit holds the base:
+        # read that one tiny folder, not the whole commit table
+        previous = self._committed_upto(below=batch_id)
+        if previous is None:
+            return 0
+        row = (self.spark.read.schema(_COMMIT_FILE).parquet(self.path("commits", previous))
                .agg(F.max("max_id").alias("m")).first())
         return 0 if row is None or row["m"] is None else int(row["m"])
 
