@@ -145,7 +145,7 @@ def _store_exact(spark, d):
 def _store_compacted(spark, d):
     store = _store(spark, d)
     store.compact_rollup()
-    return store.rollup()
+    return store.rollup().drop("bucket_date")
 
 
 _RETENTION_RUNS: dict[tuple[str, str], tuple] = {}
@@ -268,7 +268,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             _store(s, d).logs(), level="warn", since="2024-01-05T00:00:00Z", until="2024-01-06T00:00:00Z")),
         "store_search_attrs": lambda s, d: _select_stored(search_logs(
             _store(s, d).logs(), service="svc-3", attributes={"type": "error", "user": "11"})),
-        "store_rollup": lambda s, d: _store(s, d).rollup(),
+        "store_rollup": lambda s, d: _store(s, d).rollup().drop("bucket_date"),
         "store_rollup_compacted": _store_compacted,
         "store_agg_exact": _store_exact,
         "store_retention": _store_retention,

@@ -47,6 +47,7 @@ STORED_LOGS = T.StructType([
 _PARTITIONED_LOGS = T.StructType(STORED_LOGS.fields + [
     T.StructField("batch_id", T.LongType()), T.StructField("log_date", T.DateType())])
 _PARTITIONED_ROLLUP = T.StructType(ROLLUP.fields + [T.StructField("batch_id", T.LongType())])
+_ROLLUP_GENERATION = T.StructType(ROLLUP.fields + [T.StructField("bucket_date", T.DateType())])
 _COMMIT_FILE = T.StructType([f for f in COMMITS.fields if f.name != "batch_id"])  # batch_id is the folder
 _PARTITIONED_COMMITS = T.StructType(_COMMIT_FILE.fields + [T.StructField("batch_id", T.LongType())])
 _PARTITIONED_REJECTED = T.StructType([
@@ -170,22 +171,27 @@ class LogStore:
     def rollup(self) -> DataFrame:
         """The minute rollup (#34): newest compacted generation + later committed deltas.
 
-        Generations and deltas are added, never overwritten in place, so a
-        reader sees either the old or the new generation, both complete.
+        Columns ``bucket_start, service, level, count`` plus ``bucket_date``
+        (the day of ``bucket_start``, a partition column of the compacted
+        generation): time bounds on ``bucket_start`` also bound it, so a
+        time-bounded aggregate prunes whole day folders.  Generations and
+        deltas are added, never overwritten in place, so a reader sees either
+        the old or the new generation, both complete.
         """
         return self._rollup_upto(self._committed_upto())
 
     def _rollup_upto(self, committed: int | None) -> DataFrame:
         upto = self._compacted_upto()
+        key = ["bucket_start", "service", "level"]
         deltas = self.deltas().where(F.col("batch_id") <= F.lit(committed if committed is not None else -1))
-        if upto is None:
-            parts = deltas.select("bucket_start", "service", "level", "count")
-        else:
-            base = self.spark.read.parquet(f"{self.path('rollup')}/upto={upto}")
-            parts = base.select("bucket_start", "service", "level", "count").unionByName(
-                deltas.where(F.col("batch_id") > F.lit(upto)).select("bucket_start", "service", "level", "count"))
-        return parts.groupBy("bucket_start", "service", "level").agg(
-            F.sum("count").cast("bigint").alias("count"))
+        if upto is not None:
+            deltas = deltas.where(F.col("batch_id") > F.lit(upto))
+        parts = deltas.select(*key, "count", F.to_date("bucket_start").alias("bucket_date"))
+        if upto is not None:
+            base = self.spark.read.schema(_ROLLUP_GENERATION).parquet(f"{self.path('rollup')}/upto={upto}")
+            parts = base.select(*key, "count", "bucket_date").unionByName(parts)
+        return (parts.groupBy("bucket_date", *key).agg(F.sum("count").cast("bigint").alias("count"))
+                .select(*key, "count", "bucket_date"))
 
     def compact_rollup(self) -> int | None:
         """Fold all committed deltas into a new rollup generation; returns its batch bound.
@@ -199,7 +205,7 @@ class LogStore:
         merged = self._rollup_upto(upto)
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         # range partitioning on time: each task writes a few whole days, no hot task
-        (merged.repartitionByRange(n, "bucket_start").withColumn("bucket_date", F.to_date("bucket_start"))
+        (merged.repartitionByRange(n, "bucket_start")
          .write.mode("overwrite").partitionBy("bucket_date")
          .parquet(f"{self.path('rollup')}/upto={upto}"))
         return upto

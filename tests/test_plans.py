@@ -59,3 +59,16 @@ def test_store_page_probes_newest_days_only(spark):
     days = probed.select("log_date").distinct().count()
     assert days < logs.select("log_date").distinct().count()
     assert "(log_date#" in plan(probed).split("PartitionFilters: ")[1].split(", PushedFilters")[0]
+
+
+def test_time_bounded_rollup_prunes_compacted_days(spark):
+    from sawmill.operators.aggregate import aggregate_rollup
+    store = LogStore(spark, work_dir(spark, "plan-store"))
+    store.ingest_batch(ingest_bodies(spark, SF_SMALL), 0, AS_OF)
+    store.compact_rollup()
+    agg = aggregate_rollup(store.rollup(), "2024-01-05T00:00:00Z", "2024-01-06T00:00:00Z", "1h", "level")
+    scans = [line for line in plan(agg).splitlines() if "FileScan" in line and "bucket_date#" in line]
+    assert scans and any("(bucket_date#" in line.split("PartitionFilters: ")[1].split(", PushedFilters")[0]
+                         for line in scans)
+    assert agg.agg({"count": "sum"}).first()[0] == store.logs().where(
+        "timestamp >= TIMESTAMP_NTZ'2024-01-05 00:00:00' AND timestamp < TIMESTAMP_NTZ'2024-01-06 00:00:00'").count()
