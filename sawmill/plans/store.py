@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from sawmill.functions.times import iso_text, to_utc_naive, ts_literal
 from sawmill.operators.ids import assign_arrival_ids, partition_counts
-from sawmill.operators.retention import check_positive, retention_cutoff
+from sawmill.operators.retention import check_positive, retain_rollup, retention_cutoff
 from sawmill.operators.rollup import minute_rollup
 from sawmill.operators.validate import (
     accepted_logs, parse_ingest_bodies, rejected_entries, validate_entries,
@@ -193,16 +193,27 @@ class LogStore:
         return (parts.groupBy("bucket_date", *key).agg(F.sum("count").cast("bigint").alias("count"))
                 .select(*key, "count", "bucket_date"))
 
-    def compact_rollup(self) -> int | None:
+    def compact_rollup(self, retain_from=None) -> int | None:
         """Fold all committed deltas into a new rollup generation; returns its batch bound.
 
         One shuffle aggregate of (previous generation ∪ newer deltas), written
         partitioned by ``bucket_date`` under a new ``upto=N`` folder.
+        ``retain_from`` (a cutoff) drops minutes wholly before it (#48): a new
+        generation is then written even when no batch arrived since the last one.
         """
         upto = self._committed_upto()
-        if upto is None or upto == self._compacted_upto():
+        if upto is None or (upto == self._compacted_upto() and retain_from is None):
             return self._compacted_upto()
         merged = self._rollup_upto(upto)
+        if retain_from is not None:
+            merged = retain_rollup(merged, retain_from)
+        if upto == self._compacted_upto():
+            # Same bound: materialize the new generation (reliable checkpoint to the
+            # shared checkpoint dir; it reads the old one), then replace it.  Until
+            # the write ends, readers fall back to the deltas alone: complete
+            # counts, just not yet pruned.
+            merged = merged.checkpoint(eager=True)
+            self._delete(f"{self.path('rollup')}/upto={upto}")
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         # range partitioning on time: each task writes a few whole days, no hot task
         (merged.repartitionByRange(n, "bucket_start")
@@ -292,7 +303,7 @@ class LogStore:
         self._delete(self._intent_path())
 
     def run_retention(self, as_of, days: int = DEFAULT_RETENTION_DAYS,
-                      batch_size: int = DEFAULT_RETENTION_BATCH) -> dict:
+                      batch_size: int = DEFAULT_RETENTION_BATCH, prune_rollup: bool = False) -> dict:
         """Delete committed logs older than ``as_of − days`` (#47).
 
         The summary ``(cutoff, deleted, batches)`` is one aggregate taken before
@@ -335,5 +346,7 @@ class LogStore:
             # middle leaves it behind, and the next run finishes the swaps first.
             self._write_intent(swaps)
             self._finish_swaps()
+        if prune_rollup:  # opt-in; by default old aggregates outlive their logs, as in the reference
+            self.compact_rollup(retain_from=cutoff)
         return {"cutoff": iso_text(cutoff, millis=True), "deleted": int(deleted),
                 "batches": int(deleted) // batch_size + 1}

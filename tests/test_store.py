@@ -169,3 +169,21 @@ def test_commit_in_progress_is_not_visible(spark):
     open(os.path.join(pending, "part-00000.parquet"), "w").close()
     assert store._committed_upto() == 1
     assert store.logs().count() == 3
+
+
+def test_retention_is_idempotent_and_rollup_pruning_is_opt_in(spark):
+    from pyspark.sql import functions as F
+    store = LogStore(spark, work_dir(spark, "store-test"))
+    store.ingest_batch(ingest_bodies(spark, SF_SMALL), 0, AS_OF)
+    total = store.rollup().agg(F.sum("count")).first()[0]
+    expired = store.logs().where(F.col("timestamp") < F.lit("2024-01-21 00:00:00").cast("timestamp_ntz")).count()
+    first = store.run_retention(AS_OF, 10, 500)
+    assert first["deleted"] == expired > 0
+    # the rollup still counts the deleted logs (reference behavior)
+    assert store.rollup().agg(F.sum("count")).first()[0] == total
+    again = store.run_retention(AS_OF, 10, 500)
+    assert (again["deleted"], again["batches"]) == (0, 1)
+    store.run_retention(AS_OF, 10, 500, prune_rollup=True)
+    kept = store.rollup()
+    assert kept.where(F.col("bucket_start") < F.lit("2024-01-21 00:00:00").cast("timestamp_ntz")).count() == 0
+    assert kept.agg(F.sum("count")).first()[0] == store.logs().count()
