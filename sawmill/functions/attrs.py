@@ -74,12 +74,6 @@ def attrs_text(attributes) -> Column:
     return attrs_map(F.try_parse_json(_col(attributes)))
 
 
-def attr_text(attributes, key: str) -> Column:
-    """Text of one attribute (NULL if missing or JSON null) without building the map."""
-    as_map = F.try_variant_get(F.try_parse_json(_col(attributes)), "$", "map<string,variant>")
-    return variant_text(F.try_element_at(as_map, F.lit(key)))
-
-
 def attrs_kv(attrs) -> Column:
     """Sorted ``len:key=value`` strings of a text map (#39); ``{}`` → NULL.
 

@@ -187,3 +187,19 @@ def test_retention_is_idempotent_and_rollup_pruning_is_opt_in(spark):
     kept = store.rollup()
     assert kept.where(F.col("bucket_start") < F.lit("2024-01-21 00:00:00").cast("timestamp_ntz")).count() == 0
     assert kept.agg(F.sum("count")).first()[0] == store.logs().count()
+
+
+def test_batch_body_readers_feed_ingest(spark):
+    import os
+    from sawmill.sources.bodies import read_bodies
+    folder = work_dir(spark, "batch-src")
+    bodies(spark, [(7, json.dumps([ENTRY])), (8, '{"logs":[' + json.dumps(ENTRY) + "]}")]) \
+        .write.parquet(folder + "/parquet")
+    os.makedirs(folder.replace("file:", "") + "/text")
+    with open(folder.replace("file:", "") + "/text/part-0.txt", "w") as fh:
+        fh.write(json.dumps([ENTRY, ENTRY]) + "\n" + "{broken\n")
+    store = LogStore(spark, work_dir(spark, "batch-store"))
+    first = store.ingest_batch(read_bodies(spark, folder + "/parquet"), 0, AS_OF)
+    second = store.ingest_batch(read_bodies(spark, folder + "/text", "text"), 1, AS_OF)
+    assert (first.accepted, second.accepted, second.max_id) == (2, 2, 4)
+    assert sorted(r["body_id"] for r in read_bodies(spark, folder + "/parquet").collect()) == [7, 8]
