@@ -23,7 +23,7 @@ from sawmill.operators.filters import (
 )
 from sawmill.operators.ids import assign_log_ids
 from sawmill.operators.paging import after_cursor, latest_logs, log_page, render_logs
-from sawmill.operators.quality import rollup_mismatches
+from sawmill.operators.quality import rollup_mismatches, visibility_report
 from sawmill.operators.retention import (
     delete_batch, expired_logs, oldest_expired, retain_rollup, retained_logs, retention_cutoff,
     retention_summary,
@@ -100,14 +100,11 @@ def _parse_log_time(spark, d):
 
 
 def _stream_ingest(spark, d):
-    from sawmill.plans.runs import streamed_store
-    return _select_stored(streamed_store(spark, d).logs())
+    return _select_stored(_store(spark, d).logs())
 
 
 def _visibility(spark, d):
-    from sawmill.operators.quality import visibility_report
-    from sawmill.plans.runs import streamed_store
-    store = streamed_store(spark, d)
+    store = _store(spark, d)
     report = visibility_report(store.commits(), store.logs())
     return report.agg(F.sum("accepted").cast("bigint").alias("accepted"),
                       F.sum("visible").cast("bigint").alias("visible"),
