@@ -1,5 +1,6 @@
 """Property tests; each hypothesis example is evaluated as one Spark batch."""
 
+import base64
 import re
 from datetime import datetime, timedelta
 
@@ -98,3 +99,52 @@ def test_any_batch_split_keeps_store_consistent(spark, cuts):
     assert n == 652  # accepted entries of the whole input, however it was split
     assert sorted(r["id"] for r in logs.select("id").collect()) == list(range(1, n + 1))
     assert rollup_mismatches(logs, store.rollup()).count() == 0
+
+
+B64URL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
+
+
+def _token(moment, id_value: int) -> str:
+    """A valid token, or (negative id) a well-formed token the decoders must refuse."""
+    if id_value >= 0:
+        return encode_cursor_value(moment, id_value)
+    doc = '{"timestamp":"2024-01-01T00:00:00Z","id":%d}' % id_value
+    return base64.urlsafe_b64encode(doc.encode()).decode().rstrip("=")
+
+
+def _mutations(token: str):
+    yield token
+    yield token + "="
+    yield token[:-1]
+    yield token[1:]
+    yield token.replace("e", "f", 1)
+    yield token.upper()
+
+
+@SETTINGS
+@given(st.lists(st.one_of(
+    st.text(alphabet=B64URL + "+/= ", max_size=80),
+    st.tuples(moments, st.integers(-5, 2**40)).map(lambda t: _token(*t))),
+    min_size=10, max_size=30))
+def test_python_and_spark_cursor_decoders_agree(spark, tokens):
+    tokens = [m for t in tokens for m in _mutations(t)]
+    df = spark.createDataFrame([(t,) for t in tokens], "t string")
+    got = [r["v"] for r in df.select(decode_cursor("t")["valid"].alias("v")).collect()]
+    want = [decode_cursor_value(t) is not None for t in tokens]
+    assert got == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.one_of(st.integers(-5, 1500).map(str), st.text(alphabet="0123456789 +-.e", max_size=6)))
+def test_limit_contract(raw):
+    import pytest as _pytest
+    from sawmill.plans.args import ArgumentError, is_absent, parse_search
+    text = raw.strip()
+    ok = text.isdigit() and text.isascii() and 1 <= int(text) <= 1000
+    if ok:
+        assert parse_search({"limit": raw}).limit == int(text)
+    elif is_absent(raw):
+        assert parse_search({"limit": raw}).limit == 100
+    else:
+        with _pytest.raises(ArgumentError):
+            parse_search({"limit": raw})
