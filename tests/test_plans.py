@@ -72,3 +72,19 @@ def test_time_bounded_rollup_prunes_compacted_days(spark):
                          for line in scans)
     assert agg.agg({"count": "sum"}).first()[0] == store.logs().where(
         "timestamp >= TIMESTAMP_NTZ'2024-01-05 00:00:00' AND timestamp < TIMESTAMP_NTZ'2024-01-06 00:00:00'").count()
+
+
+def test_registered_query_plans_stay_distributed(spark):
+    """No cartesian product or nested-loop join anywhere, and a window only over a bounded top-k."""
+    import __spark_entry__ as E
+    bad = {}
+    for name, build in E.queries().items():
+        text = plan(build(spark, SF_SMALL))
+        problems = [w for w in ("CartesianProduct", "BroadcastNestedLoopJoin") if w in text]
+        if "Window [" in text and "TakeOrderedAndProject" not in text:
+            problems.append("window over an unbounded input")
+        if "Window [" in text and "Exchange SinglePartition" in text:
+            problems.append("single-partition exchange feeding a window")
+        if problems:
+            bad[name] = problems
+    assert bad == {}
