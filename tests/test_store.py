@@ -203,3 +203,23 @@ def test_batch_body_readers_feed_ingest(spark):
     second = store.ingest_batch(read_bodies(spark, folder + "/text", "text"), 1, AS_OF)
     assert (first.accepted, second.accepted, second.max_id) == (2, 2, 4)
     assert sorted(r["body_id"] for r in read_bodies(spark, folder + "/parquet").collect()) == [7, 8]
+
+
+def test_retention_never_touches_an_in_flight_batch(spark):
+    import os
+    from pyspark.sql import functions as F
+    store = LogStore(spark, work_dir(spark, "store-test"))
+    old = dict(ENTRY, timestamp="2024-01-02T12:00:00Z")
+    recent = dict(ENTRY, timestamp="2024-01-25T12:00:00Z")
+    store.ingest_batch(bodies(spark, [(0, json.dumps([old, recent]))]), 0, AS_OF)
+    # batch 1 is still writing (no commit row yet) and holds an expired row too
+    spark.createDataFrame([(9, "2024-01-02 13:00:00")], "id long, t string").select(
+        "id", F.col("t").cast("timestamp_ntz").alias("timestamp"), F.lit("info").alias("level"),
+        F.lit("a").alias("service"), F.lit("m").alias("message"), F.parse_json(F.lit("{}")).alias("attributes"),
+        F.lit("2024-01-02").cast("date").alias("log_date"),
+    ).write.partitionBy("log_date").parquet(store.path("logs", 1))
+    result = store.run_retention(AS_OF, 10, 500)
+    assert result["deleted"] == 1                      # only the committed expired row
+    in_flight = store.path("logs", 1).replace("file:", "") + "/log_date=2024-01-02"
+    assert os.path.isdir(in_flight) and any(f.endswith(".parquet") for f in os.listdir(in_flight))
+    assert [r["timestamp"].isoformat() for r in store.logs().collect()] == ["2024-01-25T12:00:00"]
