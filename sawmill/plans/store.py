@@ -251,11 +251,14 @@ class LogStore:
             accepted = assign_arrival_ids(accepted_logs(validated, attributes_as="variant"), base,
                                           {s[0]: s[1] for s in stats})
             logs = accepted.select(*LOGS.fieldNames(), F.to_date("timestamp").alias("log_date"))
-            # Local sort (no shuffle): the writer needs log_date order anyway, and
-            # service-then-time order gives row groups tight min/max statistics,
-            # so service and time filters skip row groups inside each file.
+            # rebalance(log_date): AQE sizes the output partitions, so a batch writes a
+            # few well-sized files per day (a hot day is split) instead of one per task
+            # and day.  Then a local sort: the writer needs log_date order anyway, and
+            # service-then-time order gives row groups tight min/max statistics, so
+            # service and time filters skip row groups inside each file.
             writes = [
-                lambda: (logs.sortWithinPartitions("log_date", "service", "timestamp")
+                lambda: (logs.hint("rebalance", "log_date")
+                         .sortWithinPartitions("log_date", "service", "timestamp")
                          .write.mode("overwrite").partitionBy("log_date")
                          .parquet(self.path("logs", batch_id))),
                 lambda: (minute_rollup(accepted_logs(validated))
