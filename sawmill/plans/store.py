@@ -263,7 +263,7 @@ class LogStore:
                          .parquet(self.path("logs", batch_id))),
                 lambda: (minute_rollup(accepted_logs(validated))
                          .write.mode("overwrite").parquet(self.path("deltas", batch_id))),
-                lambda: (rejected_entries(validated)
+                lambda: (rejected_entries(validated).hint("rebalance")  # usually few rows: few files
                          .write.mode("overwrite").parquet(self.path("rejected", batch_id))),
             ]
             # The three outputs are independent jobs over the cached batch: submit
