@@ -54,3 +54,15 @@ def test_command_line_round_trip(spark, capsys):
     pages = [x for x in lines if "message" in x]
     assert len(pages) == 3 and all(x["level"] == "error" for x in pages)
     assert lines[-1]["cutoff"] == "2024-01-21T00:00:00.000Z"
+
+
+def test_module_entry_point_help():
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-m", "sawmill", "--help"], cwd=root, capture_output=True,
+                         text=True, timeout=120)
+    assert out.returncode == 0
+    for command in ("ingest", "search", "aggregate", "retention", "compact"):
+        assert command in out.stdout
