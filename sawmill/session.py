@@ -41,6 +41,8 @@ def build_session(master: str | None = None, app: str = "sawmill",
         builder = builder.master(master)
     conf = dict(SESSION_CONF)
     conf.setdefault("spark.ui.enabled", "false")
+    # checkpoints written for dense ids are deleted once their DataFrame is gone
+    conf.setdefault("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
