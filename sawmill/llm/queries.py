@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sawmill.llm import chat, exact_dedup, licenses, mixing
-from sawmill.llm.common import col, table
+from sawmill.llm import chat, exact_dedup, jaccard, licenses, mixing
+from sawmill.llm.common import table
+
+
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents")).drop("set_key")
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +43,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_license_scan, op5_exact_dedup, op8_chat_format, op10_mix_sources)}
+    return {f.__name__: f for f in (op2_jaccard_join, op4_license_scan, op5_exact_dedup, op8_chat_format, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
