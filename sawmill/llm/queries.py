@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sawmill.llm import chat, exact_dedup, jaccard, licenses, mixing
+from sawmill.llm import chat, embeddings, exact_dedup, jaccard, licenses, mixing
 from sawmill.llm.common import table
 
 
@@ -38,12 +38,16 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_jaccard_join, op4_license_scan, op5_exact_dedup, op8_chat_format, op10_mix_sources)}
+    return {f.__name__: f for f in (op2_jaccard_join, op4_license_scan, op5_exact_dedup, op8_chat_format, op9_embedding_dedup, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
