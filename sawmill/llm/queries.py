@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sawmill.llm import chat, embeddings, exact_dedup, jaccard, licenses, mixing
+from sawmill.llm import bpe, chat, embeddings, exact_dedup, jaccard, licenses, mixing
 from sawmill.llm.common import table
 
 
@@ -23,6 +24,17 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), digest=True)
 
 
+def encoded(docs: DataFrame) -> DataFrame:
+    """Digest columns of the encoded and decoded texts."""
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    out = bpe.bpe_decode(bpe.bpe_encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(table(spark, sf_dir, "documents"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -47,7 +59,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_jaccard_join, op4_license_scan, op5_exact_dedup, op8_chat_format, op9_embedding_dedup, op10_mix_sources)}
+    return {f.__name__: f for f in (op2_jaccard_join, op4_license_scan, op5_exact_dedup, op6_bpe, op8_chat_format, op9_embedding_dedup, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
