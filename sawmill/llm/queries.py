@@ -6,8 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sawmill.llm import bpe, chat, embeddings, exact_dedup, jaccard, licenses, mixing
-from sawmill.llm.common import table
+from sawmill.llm import bpe, chat, embeddings, exact_dedup, interpolation, jaccard, licenses, mixing
+from sawmill.llm.common import fold, table
+
+
+def op1_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rest = fold(F.col("doc_id"), 7)
+    role = F.when(rest == 2, "test").when(rest == 5, "dev").otherwise("main")
+    return interpolation.interpolated_scores(docs, role)
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +66,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_jaccard_join, op4_license_scan, op5_exact_dedup, op6_bpe, op8_chat_format, op9_embedding_dedup, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_interpolated_lm, op2_jaccard_join, op4_license_scan, op5_exact_dedup, op6_bpe, op8_chat_format, op9_embedding_dedup, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
