@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sawmill.llm import bpe, chat, embeddings, exact_dedup, interpolation, jaccard, licenses, mixing
+from sawmill.llm import bpe, chat, embeddings, exact_dedup, interpolation, jaccard, licenses, mixing, toxicity
 from sawmill.llm.common import fold, table
 
 
@@ -21,6 +21,17 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents")).drop("set_key")
 
 
+def toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Scores learned from the labels whose fold isn't held out."""
+    return toxicity.toxicity(docs, labels, fold(F.col("_id"), 4) != 2)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxic(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted",
+                      F.size("spans").alias("n_spans"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.size("sentence_ids").alias("n_license_sentences"),
@@ -66,7 +77,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_interpolated_lm, op2_jaccard_join, op4_license_scan, op5_exact_dedup, op6_bpe, op8_chat_format, op9_embedding_dedup, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_interpolated_lm, op2_jaccard_join, op3_toxicity, op4_license_scan, op5_exact_dedup, op6_bpe, op8_chat_format, op9_embedding_dedup, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
