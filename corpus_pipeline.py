@@ -1,15 +1,68 @@
-"""The corpus pipeline: documents through the training-data operators."""
+"""The corpus pipeline: toxic documents go, then exact copies, then near copies; sources are mixed to their
+targets, and the mix is encoded.
+
+Each stage reads all rows the one before it kept and returns the columns of ``documents``; the last
+returns the encoded mix.  No stage is expressed in SQL as a whole, since the first one scores with a
+trained model: tests hold each against brute force.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sawmill.llm import exact_dedup as exact
+from sawmill.llm import jaccard, mixing, queries
+from sawmill.llm.common import scratch, table
+
+
+def _with(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """``docs`` joined with what an operator tells of each ``doc_id``, null ids included."""
+    ids = told.withColumnRenamed("doc_id", "_doc").dropDuplicates(["_doc"])
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_doc")))
+
+
+def _keep(docs: DataFrame, told: DataFrame, condition: Column) -> DataFrame:
+    kept = told.where(condition).select(F.col("doc_id").alias("_doc")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted to be toxic go."""
+    return _keep(docs, queries.toxic(docs, table(spark, sf_dir, "labels")), F.col("predicted") == 0)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the smallest id stays."""
+    return _keep(docs, exact.exact_dedup(docs), F.col("kept"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents connected by links the one with the smallest id stays."""
+    return _keep(docs, jaccard.jaccard_join(docs), F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; documents of no word are never taken."""
+    plan = mixing.mix_sources(docs).where("repeats > 0").select("doc_id", "repeats")
+    return (_with(docs, plan).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "repeats")))
+            .select(*docs.columns))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix as token ids, with digests of the ids and of the decoded text."""
+    return queries.encoded(docs)
+
 
-STAGES: list = []
+STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup),
+          ("mix_sources", mix_sources), ("encode", encode)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = scratch(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sawmill.llm import bpe, chat, embeddings, exact_dedup, interpolation, jaccard, licenses, mixing, toxicity
+from sawmill.llm import bpe, chat, embeddings, exact_dedup, interpolation, jaccard, licenses, mixing, pages, toxicity
 from sawmill.llm.common import fold, table
 
 
@@ -53,6 +53,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -77,7 +81,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_interpolated_lm, op2_jaccard_join, op3_toxicity, op4_license_scan, op5_exact_dedup, op6_bpe, op8_chat_format, op9_embedding_dedup, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_interpolated_lm, op2_jaccard_join, op3_toxicity, op4_license_scan, op5_exact_dedup, op6_bpe, op7_main_text, op8_chat_format, op9_embedding_dedup, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
