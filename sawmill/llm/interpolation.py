@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,9 +24,9 @@ from pyspark.sql import types as T
 
 from sawmill.llm.common import col, partitions, text_of, written
 from sawmill.llm.frames import by_part, pack, unpack
-from sawmill.llm.words import WordHashes, mix, texts
+from sawmill.llm.words import mix, texts, word_hashes
 
-END = xxhash.xxh3_64_intdigest(b"\n")  # no word holds white space
+END = 0x656E64  # stands for a text's end among the words' hashes
 FRAME_CHARS = 32_000_000
 STEPS = 8  # quantisation steps per octave
 ROUNDS = 60
@@ -55,7 +54,7 @@ def _split(keys: np.ndarray, counts: np.ndarray, n_parts: int, high_type):
 def _frames(n_parts: int, limit: int):
     """id, text, role → frames of documents of one kind, with the words they ask for."""
     def run(batches):
-        hashes, task, number = WordHashes(), TaskContext.get().partitionId(), 0
+        task, number = TaskContext.get().partitionId(), 0
 
         def close(frame, dev, id_type):
             ids, lens, test, seq = frame
@@ -79,9 +78,10 @@ def _frames(n_parts: int, limit: int):
         id_type = None
         for b in batches:
             id_type = b.schema.field(0).type
-            for doc_id, text, role in zip(b.column(0).to_pylist(), texts(b.column(1)), b.column(2).to_pylist(), strict=True):
+            all_ = texts(b.column(1))
+            for doc_id, text, words, role in zip(b.column(0).to_pylist(), all_, word_hashes(all_), b.column(2).to_pylist(), strict=True):
                 dev = role == "dev"
-                words = np.concatenate([hashes.of(text), end])
+                words = np.concatenate([words, end])
                 for got, x in zip(open_[dev], (doc_id, len(words), role == "test", words), strict=True):
                     got.append(x)
                 size[dev] += len(text) + 1

@@ -13,7 +13,8 @@ right for a prefix filter, and this one keeps common passages out of the prefixe
 3. Each family has a pivot, and every member's overlap with it is counted.  Members linked with the pivot
    are answered by that.  For the rest, and only for members that could reach one of them (distances
    to the pivot differ by at most 1 - t, the triangle inequality of the Jaccard distance), answers are
-   derived from the pivot's: the remaining pairs of a family are compared, in blocks of bounded size.
+   derived from the pivot's: they are indexed once more among themselves, with all their shingles
+   counted, and the remaining pairs are compared in blocks of bounded size.
 4. Components of the links give each document its class id.
 
 Index entries, shingle counts and texts travel packed, many to a row.  Nothing of the documents goes
@@ -35,7 +36,7 @@ from pyspark.sql import types as T
 
 from sawmill.llm.common import col, partitions, text_of, written
 from sawmill.llm.components import components
-from sawmill.llm.words import WordHashes, mix, shingles, signed, texts
+from sawmill.llm.words import shingle_sets, texts
 
 WIDTH = 5
 PERCENT = 80
@@ -64,18 +65,17 @@ def _cells(parts: np.ndarray, n_parts: int) -> Iterator[tuple[int, np.ndarray]]:
 def _sets(width: int):
     """id, text → id, number of shingles, set key (null for an empty set)."""
     def run(batches):
-        hashes = WordHashes()
         for b in batches:
-            sets = [shingles(hashes.of(t), width) for t in texts(b.column(1))]
+            sets = list(shingle_sets(texts(b.column(1)), width))
             yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()),
                                    pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())],
                                   names=["id", "n_shingles", "set_key"])
     return run
 
 
-def _counts(width: int, n_parts: int):
+def _counts(width: int, n_parts: int, counted: float):
     """text → packed shingle counts by part of the counted hash range."""
-    limit = np.uint64(int(COUNTED * 2.0 ** 64))
+    limit = np.uint64(min(int(counted * 2.0 ** 64), (1 << 64) - 1))
     span = (int(limit) >> KEY_SHIFT) // n_parts + 1
 
     def pack(got):
@@ -87,11 +87,10 @@ def _counts(width: int, n_parts: int):
                                 pa.array([r[2] for r in rows], pa.binary())], names=["part", "keys", "counts"])
 
     def run(batches):
-        hashes, got, n = WordHashes(), [], 0
+        got, n = [], 0
         for b in batches:
-            for t in texts(b.column(0)):
-                s = shingles(hashes.of(t), width)
-                got.append(s[:np.searchsorted(s, limit)])
+            for s in shingle_sets(texts(b.column(0)), width):
+                got.append(s[:np.searchsorted(s, limit, "right")])
                 n += len(got[-1])
                 if n >= PACK:
                     yield pack(got)
@@ -110,16 +109,32 @@ def _counts(width: int, n_parts: int):
     return run, merge
 
 
-def _frequent(docs: DataFrame, width: int, limit: int) -> np.ndarray:
-    """Sorted keys of at most ``limit`` most frequent shingles."""
-    n = partitions(docs.sparkSession)
-    run, merge = _counts(width, n)
-    packed = docs.select("text").mapInArrow(run, "part int, keys binary, counts binary")
+def _frequent(docs: DataFrame, width: int, limit: int, counted: float) -> np.ndarray:
+    """Sorted keys of at most ``limit`` most frequent shingles of the texts."""
+    run, merge = _counts(width, partitions(docs.sparkSession), counted)
+    packed = docs.mapInArrow(run, "part int, keys binary, counts binary")
     top = (packed.groupBy("part").applyInArrow(merge, "key long, docs long")
            .orderBy(F.col("docs").desc(), "key").limit(limit))
     return np.sort(np.asarray(top.select("key").toArrow().column(0).to_numpy(), np.uint64))
 
 
+def _families(docs: DataFrame, width: int, percent: int, limit: int, counted: float, name: str) -> DataFrame:
+    """(``_id``, ``_family``) of the sets of the texts (one column) that chains connect with others."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(_frequent(docs, width, limit, counted))  # at most ``limit`` numbers
+    run, edges = _index(width, percent, partitions(spark), shared)
+    chains = (docs.mapInArrow(run, "part int, low binary, high binary, keys binary, sizes binary")
+              .groupBy("part").applyInArrow(edges, "a long, b long"))
+    return written(components(chains, name).select(F.col("id").alias("_id"), F.col("component").alias("_family")), name)
+
+
+def _texts_of(batches):
+    """blob → text."""
+    z = zstandard.ZstdDecompressor()
+    for b in batches:
+        yield pa.record_batch([pa.array([z.decompress(x) for x in b.column(0).to_pylist()], pa.binary()).cast(pa.string())], names=["text"])
+
+
 def ordered(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """A set in the global order: frequent shingles last."""
     if not len(frequent):
@@ -142,10 +157,9 @@ def _index(width: int, percent: int, n_parts: int, frequent):
             pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 5)], names=["part", "low", "high", "keys", "sizes"])
 
     def run(batches):
-        hashes, got, n, seen = WordHashes(), [], 0, set()
+        got, n, seen = [], 0, set()
         for b in batches:
-            for t in texts(b.column(0)):
-                s = shingles(hashes.of(t), width)
+            for s in shingle_sets(texts(b.column(0)), width):
                 if not len(s) or (key := set_key(s)) in seen:
                     continue
                 seen.add(key)
@@ -186,11 +200,10 @@ def _index(width: int, percent: int, n_parts: int, frequent):
 def _blobs(width: int):
     """text → set key, size and the compressed lower-cased text, once per task for equal sets."""
     def run(batches):
-        hashes, seen, z = WordHashes(), set(), zstandard.ZstdCompressor(level=3)
+        seen, z = set(), zstandard.ZstdCompressor(level=3)
         for b in batches:
-            rows = []
-            for t in texts(b.column(0)):
-                s = shingles(hashes.of(t), width)
+            rows, all_ = [], texts(b.column(0))
+            for t, s in zip(all_, shingle_sets(all_, width), strict=True):
                 if len(s) and (key := set_key(s)) not in seen:
                     seen.add(key)
                     if len(seen) > 1_000_000:
@@ -204,13 +217,13 @@ def _blobs(width: int):
 def _overlaps(width: int):
     """member and pivot blobs → sizes and overlap, the member's blob kept."""
     def run(batches):
-        hashes, z, last, pivot = WordHashes(), zstandard.ZstdDecompressor(), None, None
+        z, last, pivot = zstandard.ZstdDecompressor(), None, None
         for b in batches:
             n, m, both = [], [], []
-            for mine, theirs in zip(b.column("blob").to_pylist(), b.column("pivot").to_pylist(), strict=True):
+            sets = shingle_sets([z.decompress(x) for x in b.column("blob").to_pylist()], width)
+            for s, theirs in zip(sets, b.column("pivot").to_pylist(), strict=True):
                 if theirs != last:
-                    last, pivot = theirs, shingles(hashes.of(z.decompress(theirs)), width)
-                s = shingles(hashes.of(z.decompress(mine)), width)
+                    last, pivot = theirs, next(shingle_sets([z.decompress(theirs)], width))
                 n.append(len(s))
                 m.append(len(pivot))
                 both.append(len(np.intersect1d(s, pivot, assume_unique=True)))
@@ -223,11 +236,11 @@ def _overlaps(width: int):
 def _compare(width: int, percent: int):
     """The links among one group of a family's sets, as a spanning forest of them."""
     def run(group):
-        hashes, z = WordHashes(), zstandard.ZstdDecompressor()
+        z = zstandard.ZstdDecompressor()
         rows = sorted(zip(*(group.column(c).to_pylist() for c in ("set_key", "linked", "distance", "blob")), strict=True))
         keys = [r[0] for r in rows]
         linked, far = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-        sets = [shingles(hashes.of(z.decompress(r[3])), width) for r in rows]
+        sets = list(shingle_sets([z.decompress(r[3]) for r in rows], width))
         size = np.array([len(s) for s in sets])
         universe, ids = np.unique(np.concatenate(sets), return_inverse=True)
         starts = np.concatenate([[0], np.cumsum(size)[:-1]])
@@ -263,25 +276,17 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ids are rows of one class.  Null ids are ignored as smallest id: a component of null ids only has
     a null id.  An empty table gives an empty result.  Other columns are not read.
     """
-    spark = docs.sparkSession
-    n_parts = partitions(spark)
     base = docs.select(col(id_col).alias("id"), text_of(text_col).alias("text"))
     id_type = base.schema["id"].dataType
     long = T.LongType()
     sets = written(base.mapInArrow(_sets(width), T.StructType(
         [T.StructField("id", id_type), T.StructField("n_shingles", long), T.StructField("set_key", long)])), "sets")
 
-    # at most ``frequent`` numbers
-    shared = spark.sparkContext.broadcast(_frequent(base, width, frequent))
-    run, edges = _index(width, percent, n_parts, shared)
-    entries = base.select("text").mapInArrow(run, "part int, low binary, high binary, keys binary, sizes binary")
-    chains = entries.groupBy("part").applyInArrow(edges, "a long, b long")
-    families = written(components(chains, "chains"), "families")
+    families = _families(base.select("text"), width, percent, frequent, COUNTED, "chains")
 
     blobs = base.select("text").mapInArrow(_blobs(width), "set_key long, blob binary")
-    members = written(blobs.join(families.select(F.col("id").alias("_id"), F.col("component").alias("family")),
-                                 F.col("set_key") == F.col("_id"))
-                      .groupBy("family", "set_key").agg(F.min("blob").alias("blob")), "members")
+    members = written(blobs.join(families, F.col("set_key") == F.col("_id"))
+                      .groupBy(F.col("_family").alias("family"), "set_key").agg(F.min("blob").alias("blob")), "members")
     pivots = members.where("family = set_key").select(F.col("family").alias("_f"), F.col("blob").alias("pivot"))
     told = members.join(pivots, F.col("family") == F.col("_f")).drop("_f").mapInArrow(
         _overlaps(width), "family long, set_key long, blob binary, n long, pivot_n long, shared long")
@@ -296,14 +301,18 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
              .where("nearest IS NOT NULL").select(F.col("family").alias("_f"), "nearest"))
     rest = written(told.join(open_, F.col("family") == F.col("_f")).drop("_f")
                    .where(~F.col("linked") | (F.col("distance") >= F.col("nearest") - (1 - percent / 100) - 1e-9)), "rest")
-    blocks = (rest.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-              .select(F.col("family").alias("_f"), "blocks"))
+    # these few are indexed once more, with all their shingles counted: what shares just passages parts
+    again = _families(rest.select("blob").mapInArrow(_texts_of, "text string"), width, percent, frequent, 1.0, "chains-again")
+    rest = written(rest.join(again, F.col("set_key") == F.col("_id")).drop("_id").withColumnRenamed("_family", "cluster"), "clusters")
+    key = ("family", "cluster")
+    blocks = (rest.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+              .select(F.col("family").alias("_f"), F.col("cluster").alias("_c"), "blocks"))
     mine = F.pmod(F.xxhash64("set_key"), F.col("blocks"))
-    placed = (rest.join(blocks, F.col("family") == F.col("_f")).drop("_f").withColumn("mine", mine)
-              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    placed = (rest.join(blocks, (F.col("family") == F.col("_f")) & (F.col("cluster") == F.col("_c")))
+              .withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
               .withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")))
-    links = placed.select("family", "i", "j", "set_key", "linked", "distance", "blob").groupBy("family", "i", "j").applyInArrow(
-        _compare(width, percent), "a long, b long")
+    links = (placed.select(*key, "i", "j", "set_key", "linked", "distance", "blob").groupBy(*key, "i", "j")
+             .applyInArrow(_compare(width, percent), "a long, b long"))
     classes = components(stars.union(links), "links")
 
     labelled = (sets.join(classes.withColumnRenamed("id", "_id"), F.col("set_key") == F.col("_id"), "left")

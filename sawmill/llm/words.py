@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-import xxhash
 
 _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-CACHE = 1 << 20  # words whose hash a task keeps; it starts over when full
+_BASE = 0xA0761D6478BD642F | 5
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+WINDOW = 1 << 20  # bytes hashed at a time
+_powers: list[np.ndarray] = []
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -15,19 +22,55 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, by word."""
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2 ** 64, at least ``n``."""
+    if not _powers or len(_powers[0]) < n:
+        n = max(n, WINDOW + (WINDOW >> 2))
+        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+            factors = np.full(n, b, np.uint64)
+            factors[0] = 1
+            _powers.append(np.cumprod(factors, dtype=np.uint64))
+        del _powers[:-2]
+    return _powers
+
+
+def _window_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the words of ``data``: a polynomial of its bytes, taken from running sums."""
+    a = np.frombuffer(data, np.uint8)
+    space = np.concatenate([[True], _SPACE[a], [True]])
+    edge = np.flatnonzero(space[1:] != space[:-1])
+    starts, ends = edge[::2], edge[1::2]
+    up, down = _power_tables(len(a))
+    sums = np.zeros(len(a) + 1, np.uint64)
+    np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up[:len(a)], out=sums[1:])
+    return starts, mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _MIX1)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
 
-    def of(self, text: bytes) -> np.ndarray:
-        """Hashes of the lower-cased words; bytes.split() splits at 0x20 and 0x09-0x0D exactly."""
-        words = text.lower().split()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def word_hashes(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """For each text the 64-bit hashes of its words, A-Z lower-cased."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) < WINDOW):
+            size += len(texts[end]) + 1
+            end += 1
+        data = b"\n".join(texts[at:end]).lower()
+        lens = np.fromiter(map(len, texts[at:end]), np.int64, end - at)
+        starts, hashes, pos = [], [], 0
+        while pos < len(data):
+            cut = len(data)
+            if cut - pos > WINDOW and (gap := _GAP.search(data, pos + WINDOW)):
+                cut = gap.start()
+            s, h = _window_hashes(data[pos:cut])
+            starts.append(s + pos)
+            hashes.append(h)
+            pos = cut
+        if starts:
+            bounds = np.searchsorted(np.concatenate(starts), np.cumsum(lens + 1))
+            yield from np.split(np.concatenate(hashes), bounds[:-1])
+        else:
+            yield from (np.empty(0, np.uint64) for _ in range(at, end))
+        at = end
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
@@ -42,6 +85,10 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     return np.unique(mix(h))
 
 
+def shingle_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
+    return (shingles(w, k) for w in word_hashes(texts))
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text, empty for null."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
