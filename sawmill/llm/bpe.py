@@ -18,12 +18,11 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sawmill.llm.common import col, partitions, text_of, written
+from sawmill.llm.common import col, partitions, text_of
 from sawmill.llm.frames import FRAME_CHARS, Frame, by_part, pack, pack_strings, unpack, unpack_strings
 from sawmill.llm.words import texts
 
@@ -31,7 +30,7 @@ LONG = 64  # bytes from which on a word is merged with a heap
 NONE = np.iinfo(np.int64).max
 #: White space, then other characters: no pre-token reaches over the end of such a segment.
 SEGMENT = r"\s*\S+|\s+"
-SEGMENTS = 1 << 19  # segments whose pre-tokens a task keeps; it starts over when full
+SEGMENTS = 1 << 17  # segments whose pre-tokens a task keeps; it starts over when full
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -137,21 +136,31 @@ def _part_of(words: list[bytes], n_parts: int) -> np.ndarray:
 
 
 def _frames(pattern: str, n_parts: int, limit: int):
-    """id, text → frames, each with its distinct words dealt into parts."""
+    """id, text → frames: each document's pre-tokens as places among the frame's words, and the words by part.
+
+    A frame is named by a hash of its content, so a task that is run again names the same frame, or
+    another one, which then lacks its answers and is an error, never a wrong result.
+    """
     def run(batches):
         split, cut = regex.compile(pattern), regex.compile(SEGMENT)
-        task, number = TaskContext.get().partitionId(), 0
 
         def close(frame, known, id_type):
-            words = [w.encode() for w in known]
-            order, ends = by_part(_part_of(words, n_parts), n_parts)
+            seq, by_rank = frame.ranked(len(known))
+            names = list(known)
+            words = [names[i].encode() for i in by_rank.tolist()]
+            parts = _part_of(words, n_parts)
+            order, ends = by_part(parts, n_parts)
             asks = [(p, pack_strings([words[i] for i in order[ends[p]:ends[p + 1]].tolist()]))
                     for p in range(n_parts) if ends[p] < ends[p + 1]]
+            lens, packed = pack(np.array(frame.lens, np.uint32)), pack(seq)
+            name = xxhash.xxh3_64(repr(frame.ids).encode() + lens + packed)
+            for _, blob in asks:
+                name.update(blob)
             return pa.record_batch([
-                pa.array([(task << 32) + number], pa.int64()), pa.array([frame.ids], pa.list_(id_type)),
-                pa.array([pack(np.array(frame.lens, np.uint32))], pa.binary()), pa.array([pack(frame.positions(order))], pa.binary()),
+                pa.array([int(np.int64(np.uint64(name.intdigest())))], pa.int64()), pa.array([frame.ids], pa.list_(id_type)),
+                pa.array([lens], pa.binary()), pa.array([packed], pa.binary()), pa.array([pack(parts.astype(np.uint32))], pa.binary()),
                 pa.array([[{"part": p, "words": w} for p, w in asks]], pa.list_(pa.struct([("part", pa.int32()), ("words", pa.binary())])))],
-                names=["frame", "ids", "lens", "seq", "asks"])
+                names=["frame", "ids", "lens", "seq", "parts", "asks"])
 
         frame, known, segments = Frame(), {}, {}
         for b in batches:
@@ -167,12 +176,20 @@ def _frames(pattern: str, n_parts: int, limit: int):
                 frame.add(doc_id, tokens, len(text))
                 if frame.bytes >= limit:
                     yield close(frame, known, id_type)
-                    frame, known, segments, number = Frame(), {}, {}, number + 1
+                    frame, known, segments = Frame(), {}, {}
         if frame.ids:
             yield close(frame, known, id_type)
     return run
 
 
+def _asks(batches):
+    """Frames → one row per part of each."""
+    for b in batches:
+        for frame, asks in zip(b.column("frame").to_pylist(), b.column("asks").to_pylist(), strict=True):
+            yield pa.record_batch([pa.array([frame] * len(asks), pa.int64()), pa.array([a["part"] for a in asks], pa.int32()),
+                                   pa.array([a["words"] for a in asks], pa.binary())], names=["frame", "part", "words"])
+
+
 def _encode(merges):
     """The asks of one part → its answers, each distinct word merged once."""
     def run(group):
@@ -193,21 +210,25 @@ def _encode(merges):
 
 def _assemble(frames, answers):
     """A frame and its answers → one row per document."""
-    ids_out, blobs = [], []
     got = sorted(zip(*(answers.column(c).to_pylist() for c in ("part", "counts", "answer")), strict=True))
-    counts = np.concatenate([unpack(x[1]) for x in got] or [np.empty(0, np.uint32)]).astype(np.int64)
+    by_part_counts = np.concatenate([unpack(x[1]) for x in got] or [np.empty(0, np.uint32)]).astype(np.int64)
     ids = np.concatenate([unpack(x[2]) for x in got] or [np.empty(0, np.uint32)])
-    starts = np.cumsum(counts) - counts
-    for doc_ids, lens, seq in zip(*(frames.column(c).to_pylist() for c in ("ids", "lens", "seq")), strict=True):
+    names, blobs = [], []
+    for doc_ids, lens, seq, parts in zip(*(frames.column(c).to_pylist() for c in ("ids", "lens", "seq", "parts")), strict=True):
+        order = np.argsort(unpack(parts), kind="stable")
+        if len(order) != len(by_part_counts):
+            raise RuntimeError("a frame lacks answers: its documents came in another order when a task was run again")
+        counts, starts = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        counts[order], starts[order] = by_part_counts, np.cumsum(by_part_counts) - by_part_counts
         seq, at = unpack(seq), 0
         for doc_id, n in zip(doc_ids, unpack(lens).tolist(), strict=True):
             words = seq[at:at + n]
             at += n
             size = counts[words]
             take = np.repeat(starts[words] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            ids_out.append(doc_id)
+            names.append(doc_id)
             blobs.append(ids[take].astype("<u4").tobytes())
-    return pa.table({"id": pa.array(ids_out, frames.schema.field("ids").type.value_type), "ids": pa.array(blobs, pa.binary())})
+    return pa.table({"id": pa.array(names, frames.schema.field("ids").type.value_type), "ids": pa.array(blobs, pa.binary())})
 
 
 def bpe_encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", *,
@@ -216,7 +237,7 @@ def bpe_encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: s
 
     Each match of ``pattern`` is merged on its own, without special tokens.  Null and empty texts have no
     tokens.  Repeated rows and equal ids are encoded each.  An empty table gives an empty result.  Other
-    columns are not read.  The frames are written to the shared folder.
+    columns are not read.
     """
     spark = docs.sparkSession
     n_parts = partitions(spark)
@@ -225,12 +246,13 @@ def bpe_encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: s
     merges = spark.sparkContext.broadcast(Merges(ranks))
     schema = T.StructType([
         T.StructField("frame", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("lens", T.BinaryType()),
-        T.StructField("seq", T.BinaryType()),
+        T.StructField("seq", T.BinaryType()), T.StructField("parts", T.BinaryType()),
         T.StructField("asks", T.ArrayType(T.StructType([T.StructField("part", T.IntegerType()), T.StructField("words", T.BinaryType())])))])
-    frames = written(base.mapInArrow(_frames(pattern, n_parts, frame_chars), schema), "bpe-frames")
-    answers = (frames.select("frame", F.explode("asks").alias("ask")).select("frame", "ask.part", "ask.words")
+    # dealt out once: the asks and the assembly read the same shuffle
+    frames = base.mapInArrow(_frames(pattern, n_parts, frame_chars), schema).repartition(n_parts, "frame")
+    answers = (frames.mapInArrow(_asks, "frame long, part int, words binary")
                .groupBy("part").applyInArrow(_encode(merges), "frame long, part int, counts binary, answer binary"))
-    out = (frames.select("frame", "ids", "lens", "seq").groupBy("frame").cogroup(answers.groupBy("frame"))
+    out = (frames.groupBy("frame").cogroup(answers.groupBy("frame"))
            .applyInArrow(_assemble, T.StructType([T.StructField("id", id_type), T.StructField("ids", T.BinaryType())])))
     return out.select(F.col("id").alias(id_col), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
@@ -246,8 +268,10 @@ def bpe_decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids"
 
     def run(batches):
         look = table.value.__getitem__
-        for b in batches:
-            out = [b"".join(map(look, np.frombuffer(x or b"", "<u4").tolist())) for x in b.column(ids_col).to_pylist()]
-            yield pa.record_batch([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, "decoded"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                out = [b"".join(map(look, np.frombuffer(x or b"", "<u4").tolist())) for x in b.column(ids_col).to_pylist()]
+                yield pa.record_batch([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))

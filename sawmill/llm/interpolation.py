@@ -27,7 +27,7 @@ from sawmill.llm.frames import by_part, pack, unpack
 from sawmill.llm.words import mix, texts, word_hashes
 
 END = 0x656E64  # stands for a text's end among the words' hashes
-FRAME_CHARS = 32_000_000
+FRAME_CHARS = 9_000_000  # bytes of text a frame holds; a document is never split
 STEPS = 8  # quantisation steps per octave
 ROUNDS = 60
 ZERO = -10_000  # quantised estimate of an unseen event
