@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sawmill.llm.common import col, partitions, text_of
+from sawmill.llm.common import bounded_batches, col, partitions, text_of
 from sawmill.llm.frames import FRAME_CHARS, Frame, by_part, pack, pack_strings, unpack, unpack_strings
 from sawmill.llm.words import texts
 
@@ -241,6 +241,7 @@ def bpe_encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: s
     """
     spark = docs.sparkSession
     n_parts = partitions(spark)
+    bounded_batches(spark)
     base = docs.select(col(id_col).alias("id"), text_of(text_col).alias("text"))
     id_type = base.schema["id"].dataType
     merges = spark.sparkContext.broadcast(Merges(ranks))

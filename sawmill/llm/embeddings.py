@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sawmill.llm.common import col, partitions, written
+from sawmill.llm.common import bounded_batches, col, partitions, written
 from sawmill.llm.components import components
 
 COSINE = 0.9
@@ -174,6 +174,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     Null ids are ignored as smallest id.  An empty table gives an empty result.  Other columns are not read.
     """
     spark = vectors.sparkSession
+    bounded_batches(spark)
     base = vectors.select(col(id_col).alias("id"), col(vec_col).alias("vec"))
     long = T.LongType()
     rows = written(base.mapInArrow(_nodes, T.StructType([

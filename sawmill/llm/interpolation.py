@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sawmill.llm.common import col, partitions, text_of, written
+from sawmill.llm.common import bounded_batches, col, partitions, text_of, written
 from sawmill.llm.frames import by_part, pack, unpack
 from sawmill.llm.words import mix, texts, word_hashes
 
@@ -246,6 +246,7 @@ def interpolated_scores(docs: DataFrame, role: Column, id_col: str = "doc_id", t
     """
     spark = docs.sparkSession
     n_parts = partitions(spark)
+    bounded_batches(spark)
     base = docs.select(col(id_col).alias("id"), text_of(text_col).alias("text"), role.alias("role"))
     id_type = base.schema["id"].dataType
     schema = (T.StructType().add("frame", "long").add("dev", "boolean").add("ids", T.ArrayType(id_type))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sawmill.llm.common import col, partitions, text_of, written
+from sawmill.llm.common import bounded_batches, col, partitions, text_of, written
 from sawmill.llm.components import components
 from sawmill.llm.words import shingle_sets, texts
 
@@ -276,6 +276,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ids are rows of one class.  Null ids are ignored as smallest id: a component of null ids only has
     a null id.  An empty table gives an empty result.  Other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     base = docs.select(col(id_col).alias("id"), text_of(text_col).alias("text"))
     id_type = base.schema["id"].dataType
     long = T.LongType()

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sawmill.llm.common import col, partitions, text_of
+from sawmill.llm.common import bounded_batches, col, partitions, text_of
 from sawmill.llm.frames import pack_strings, unpack_strings
 
 SHARD = 256  # pages of a host that are ordered together
@@ -202,6 +202,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     pages each.  An empty table gives an empty result.  Other columns are not read.
     """
     spark = pages.sparkSession
+    bounded_batches(spark)
     url = col(url_col).cast("string")
     base = pages.select(col(id_col).alias("id"), url.alias("url"), text_of(html_col).alias("html"),
                         F.coalesce(url_host(url), F.lit("")).alias("host"), F.coalesce(url_path(url), F.lit("")).alias("path"))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sawmill.llm.common import col, text_of
+from sawmill.llm.common import bounded_batches, col, text_of
 
 SAMPLE = 6000
 SAMPLE_CHARS = 20_000
@@ -33,6 +33,7 @@ THRESHOLD = 0.3
 SPAN = 0.5  # marginal from which on a word belongs to a span
 CHAIN = 128
 WINDOW = 32
+STEPS = 200  # gradient steps at least, however small the sample
 BITS = 18
 WORD = re.compile(r"\w+")
 CACHE = 1 << 20
@@ -185,7 +186,7 @@ def fit(sample: list[tuple[str, int]], *, epochs: int = 6, rate: float = 0.3, se
     grads = [np.full(size + 1, 1e-2) for _ in range(3)]
     log_trans, bias = np.zeros((2, 2)), -4.0
     start = np.array([0.5, 0.5])
-    for _ in range(epochs):
+    for _ in range(max(epochs, STEPS * 256 // len(windows))):
         order = rng.permutation(len(windows))
         for s in range(0, len(order), 256):
             x, y = words[order[s:s + 256]], label[order[s:s + 256]]
@@ -287,6 +288,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "d
     toxic.  Without a toxic or a clean row to learn from every score is the same, low one.  Repeated rows are scored
     each.  An empty table gives an empty result.  Other columns are not read.  Narrow but for the sample.
     """
+    bounded_batches(docs.sparkSession)
     field = fit(training_sample(docs, labels, id_col, text_col, label_col, train, sample=sample, sample_chars=sample_chars))
     base = docs.select(col(id_col).alias("id"), text_of(text_col).alias("text"))
     schema = T.StructType([T.StructField("id", base.schema["id"].dataType), T.StructField("score", T.DoubleType()),
