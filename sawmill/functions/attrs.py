@@ -25,16 +25,23 @@ def number_text(v: Column) -> Column:
     """Canonical decimal text of a JSON number held in a VARIANT.
 
     The value first becomes a double, as JavaScript reads it (so ``1.0`` → ``1``
-    and integers past 2^53 lose digits), then prints as a plain decimal without
-    exponent or trailing zeros.  Magnitudes outside ``decimal(38,15)`` keep the
-    double's own text.
+    and integers past 2^53 lose digits), then its shortest text prints as a plain
+    decimal: an exponent only moves the decimal point.
     """
     d = F.try_variant_get(v, "$", "double")
-    integral = (d == F.floor(d)) & (F.abs(d) < F.lit(1e18))
-    dec = d.try_cast("decimal(38,15)")
-    plain = F.regexp_replace(F.regexp_replace(dec.cast("string"), r"0+$", ""), r"\.$", "")
-    return (F.when(integral, d.cast("bigint").cast("string"))  # fast path; -0 → "0"
-            .otherwise(F.coalesce(plain, d.cast("string"))))
+    text = F.format_string("%.16e", d)  # the cast's own text isn't always the shortest
+    for digits in (15, 14, 0):
+        shorter = F.format_string(f"%.{digits}e", d)
+        text = F.when(shorter.try_cast("double") == d, shorter).otherwise(text)
+    part = lambda k: F.regexp_extract(text, r"^(-?)(\d+)\.?(\d*)e[+]?(-?\d+)$", k)
+    whole, frac = part(2), F.regexp_replace(part(3), "0+$", "")
+    digits = F.concat(whole, frac)
+    at = F.length(whole) + F.coalesce(part(4).try_cast("int"), F.lit(0))
+    plain = (F.when(at <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -at), digits))
+             .when(at >= F.length(digits), F.concat(digits, F.repeat(F.lit("0"), at - F.length(digits))))
+             .otherwise(F.concat(F.substring(digits, F.lit(1), at), F.lit("."), F.substring(digits, at + 1, F.length(digits)))))
+    return (F.when((d == F.floor(d)) & (F.abs(d) < F.lit(2.0 ** 53)), d.cast("bigint").cast("string"))  # fast path; -0 → "0"
+            .when(text.rlike("[0-9]e[+-]"), F.concat(part(1), plain)).otherwise(d.cast("string")))
 
 
 def variant_text(v: Column) -> Column:

@@ -92,7 +92,7 @@ def decode_cursor_value(token: str):
     if id_value < 0:
         return None
     try:
-        to_utc_naive(ts)
+        to_utc_naive(ts, partial=False)
     except ValueError:
         return None
     return ts, int(id_value)

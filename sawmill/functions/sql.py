@@ -11,11 +11,29 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 _DOUBLE = "try_variant_get(v, '$', 'double')"
+
+
+def _shortest(text: str, digits: int) -> str:
+    shorter = f"format_string('%.{digits}e', {_DOUBLE})"
+    return f"CASE WHEN try_cast({shorter} AS DOUBLE) = {_DOUBLE} THEN {shorter} ELSE {text} END"
+
+
+_TEXT = f"({_shortest(_shortest(_shortest(f"format_string('%.16e', {_DOUBLE})", 15), 14), 0)})"
+
+
+def _part(k: int) -> str:
+    return f"regexp_extract({_TEXT}, '^(-?)([0-9]+)[.]?([0-9]*)e[+]?(-?[0-9]+)$', {k})"
+
+
+_DIGITS = f"concat({_part(2)}, regexp_replace({_part(3)}, '0+$', ''))"
+_AT = f"(length({_part(2)}) + coalesce(try_cast({_part(4)} AS INT), 0))"
 _NUMBER_TEXT = (
-    f"CASE WHEN {_DOUBLE} = floor({_DOUBLE}) AND abs({_DOUBLE}) < 1e18 "
+    f"CASE WHEN {_DOUBLE} = floor({_DOUBLE}) AND abs({_DOUBLE}) < 9007199254740992 "
     f"THEN CAST(CAST({_DOUBLE} AS BIGINT) AS STRING) "
-    f"ELSE coalesce(regexp_replace(regexp_replace(CAST(try_cast({_DOUBLE} AS DECIMAL(38,15)) AS STRING), "
-    f"'0+$', ''), '[.]$', ''), CAST({_DOUBLE} AS STRING)) END")
+    f"WHEN NOT rlike({_TEXT}, '[0-9]e[+-]') THEN CAST({_DOUBLE} AS STRING) "
+    f"ELSE concat({_part(1)}, CASE WHEN {_AT} <= 0 THEN concat('0.', repeat('0', -{_AT}), {_DIGITS}) "
+    f"WHEN {_AT} >= length({_DIGITS}) THEN concat({_DIGITS}, repeat('0', {_AT} - length({_DIGITS}))) "
+    f"ELSE concat(substring({_DIGITS}, 1, {_AT}), '.', substring({_DIGITS}, {_AT} + 1)) END) END")
 
 _VALUE_TEXT = (
     "CASE WHEN schema_of_variant(v) = 'VOID' THEN CAST(NULL AS STRING) "

@@ -6,6 +6,7 @@ pinned to UTC by ``sawmill.configure``), so no expression below shifts zones.
 
 from __future__ import annotations
 
+import re
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column
@@ -16,18 +17,33 @@ ISO_MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 ISO_MILLIS = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
 
-def to_utc_naive(value) -> datetime:
+# One grammar for every time given as text: a full ISO date, then optionally a time of day with
+# minutes, and a zone as Z or an offset.  24:00 is the end of its day.
+TIME_TEXT = (r"^\s*[0-9]{4}-[0-9]{2}-[0-9]{2}([Tt ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.,][0-9]{1,9})?)?"
+             r"\s*([Zz]|[+-][0-9]{2}(:?[0-9]{2})?)?)?\s*$")
+_DAY_END = r"([Tt ])24:00(:00([.,]0+)?)?"
+
+
+def to_utc_naive(value, partial: bool = True) -> datetime:
     """Python-side: ISO text or datetime → naive UTC datetime.
 
-    Text without an offset is read as UTC.  Raises ``ValueError`` on junk.
+    Text without an offset is read as UTC.  With ``partial`` a year or a year and
+    month stand for their first day.  Raises ``ValueError`` on junk.
     """
     if isinstance(value, datetime):
         dt = value
     elif isinstance(value, str):
         text = value.strip()
+        if partial and re.fullmatch(r"[0-9]{4}(-[0-9]{2})?", text):
+            text += "-01-01"[len(text) - 4:]
+        if not re.match(TIME_TEXT, text):
+            raise ValueError(f"not a timestamp: {value!r}")
+        ended = re.search(_DAY_END, text)
+        if ended:
+            text = re.sub(_DAY_END, r"\g<1>00:00:00", text)
         if text.endswith(("Z", "z")):
             text = text[:-1] + "+00:00"
-        dt = datetime.fromisoformat(text)
+        dt = datetime.fromisoformat(text) + timedelta(days=1 if ended else 0)
     else:
         raise ValueError(f"not a timestamp: {value!r}")
     if dt.tzinfo is not None:
@@ -130,4 +146,7 @@ def parse_log_time(text) -> Column:
     Text without a zone is read in the session zone (UTC).
     """
     col = F.col(text) if isinstance(text, str) else text
-    return F.try_to_timestamp(F.regexp_replace(col, _NO_SECONDS, "$1:00")).cast("timestamp_ntz")
+    ended = col.rlike(_DAY_END)
+    plain = F.when(ended, F.concat(F.regexp_replace(col, r"[Tt ]24:00.*$", "T00:00:00"), F.regexp_extract(col, r"([Zz]|[+-][0-9]{2}(:?[0-9]{2})?)\s*$", 1))).otherwise(F.regexp_replace(col, _NO_SECONDS, "$1:00"))
+    time = F.try_to_timestamp(plain).cast("timestamp_ntz")
+    return F.when(col.rlike(TIME_TEXT), F.when(ended, time + F.expr("INTERVAL 1 DAY")).otherwise(time))

@@ -140,23 +140,18 @@ def _store_exact(spark, d):
 
 
 def _store_compacted(spark, d):
-    store = _store(spark, d)
+    from sawmill.plans.runs import run_stream
+    store = run_stream(spark, d)  # its own: compaction changes what the others read
     store.compact_rollup()
     return store.rollup().drop("bucket_date")
 
 
-_RETENTION_RUNS: dict[tuple[str, str], tuple] = {}
-
-
 def _store_retention(spark, d):
-    """Retention on its own streamed store; run once per (application, input), so
-    asking again returns the same summary instead of a second, empty pass."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _RETENTION_RUNS:
-        store = _store(spark, d, "retention")
-        result = store.run_retention(FX.AS_OF, FX.RETENTION_DAYS, FX.RETENTION_BATCH)
-        _RETENTION_RUNS[key] = (result["cutoff"], result["deleted"], result["batches"], store.logs().count())
-    return spark.createDataFrame([_RETENTION_RUNS[key]],
+    """Retention on a store streamed for it."""
+    from sawmill.plans.runs import run_stream
+    store = run_stream(spark, d)
+    result = store.run_retention(FX.AS_OF, FX.RETENTION_DAYS, FX.RETENTION_BATCH)
+    return spark.createDataFrame([(result["cutoff"], result["deleted"], result["batches"], store.logs().count())],
                                  "cutoff string, deleted long, batches long, remaining long")
 
 

@@ -28,14 +28,12 @@ def write_body_files(spark: SparkSession, sf_dir: str, files: int = SOURCE_FILES
 
 
 def run_stream(spark: SparkSession, sf_dir: str, files: int = SOURCE_FILES,
-               files_per_trigger: int = 1, timeout_s: int = 1800) -> LogStore:
+               files_per_trigger: int = 1) -> LogStore:
     source = write_body_files(spark, sf_dir, files)
     root = work_dir(spark, "store")
     query = stream_ingest_logs(spark, source, root, f"{root}/_checkpoint", as_of=FX.AS_OF,
                                max_files_per_trigger=files_per_trigger)
-    if not query.awaitTermination(timeout_s):
-        query.stop()
-        raise TimeoutError("ingest stream did not finish")
+    query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
     return LogStore(spark, root)

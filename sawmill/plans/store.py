@@ -22,9 +22,11 @@ the commit marker and the retention rewrite each become one statement.
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+import uuid
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,12 +58,16 @@ _PARTITIONED_REJECTED = T.StructType([
     T.StructField("batch_id", T.LongType())])
 
 
+_INTENT = "kind string, staged string, target string, aside string"
+
+
 @dataclass
 class BatchResult:
     batch_id: int
     accepted: int
     rejected: int
     max_id: int
+    owner: str = ""
 
 
 class LogStore:
@@ -235,11 +241,36 @@ class LogStore:
                .agg(F.max("max_id").alias("m")).first())
         return 0 if row is None or row["m"] is None else int(row["m"])
 
+    def _committed(self, batch_id: int, owner: str) -> BatchResult | None:
+        """The stored result of a batch that is already visible; another owner's batch is an error."""
+        path = self.path("commits", batch_id)
+        if not self._exists(f"{path}/_SUCCESS"):
+            return None
+        row = self.spark.read.parquet(path).first()
+        theirs = row["owner"] if "owner" in row else ""
+        if theirs != owner:
+            raise ValueError(f"batch {batch_id} of this store was committed by {theirs!r}, not by {owner!r}")
+        return BatchResult(batch_id, row["accepted"], row["rejected"], row["max_id"], owner)
+
+    def _pinned_clock(self, batch_id: int, as_of) -> datetime:
+        """The batch's clock, recorded before its first write: a replay validates against the same one."""
+        if as_of is not None:
+            return to_utc_naive(as_of)
+        path = self.path("starts", batch_id)
+        if not self._exists(f"{path}/_SUCCESS"):
+            now = datetime.now(timezone.utc).replace(tzinfo=None)
+            self.spark.createDataFrame([(iso_text(now),)], "as_of string").coalesce(1).write.mode("overwrite").json(path)
+        return to_utc_naive(self.spark.read.schema("as_of string").json(path).first()["as_of"])
+
     def ingest_batch(self, bodies: DataFrame, batch_id: int, as_of=None,
-                     strict_storage: bool = False) -> BatchResult:
-        """Validate, id, write and commit one batch of envelope records (#12, #13)."""
-        as_of = to_utc_naive(as_of) if as_of is not None else \
-            datetime.now(timezone.utc).replace(tzinfo=None)
+                     strict_storage: bool = False, owner: str = "") -> BatchResult:
+        """Validate, id, write and commit one batch of envelope records (#12, #13).
+
+        A batch that ``owner`` has committed before is returned as stored and nothing is written.
+        """
+        if (stored := self._committed(batch_id, owner)) is not None:
+            return stored
+        as_of = self._pinned_clock(batch_id, as_of)
         validated = validate_entries(parse_ingest_bodies(with_body_ids(bodies)), as_of,
                                      strict_storage).persist()
         try:
@@ -270,11 +301,11 @@ class LogStore:
             # them together so the scheduler overlaps their tasks.  Any failure
             # surfaces here, before the commit row.
             with ThreadPoolExecutor(max_workers=len(writes)) as pool:
-                for done in [pool.submit(w) for w in writes]:
+                for done in [pool.submit(inheritable_thread_target(w)) for w in writes]:
                     done.result()
         finally:
             validated.unpersist()
-        result = BatchResult(batch_id, accepted_n, rejected_n, base + accepted_n)
+        result = BatchResult(batch_id, accepted_n, rejected_n, base + accepted_n, owner)
         self._commit(result, as_of)
         return result
 
@@ -283,7 +314,8 @@ class LogStore:
         commit = self.spark.createDataFrame(
             [(result.batch_id, iso_text(as_of), result.accepted, result.rejected, result.max_id)],
             "batch_id long, as_of string, accepted long, rejected long, max_id long",
-        ).select("batch_id", ts_literal(as_of).alias("as_of"), "accepted", "rejected", "max_id")
+        ).select("batch_id", ts_literal(as_of).alias("as_of"), "accepted", "rejected", "max_id",
+                 F.lit(result.owner).alias("owner"))
         commit.drop("batch_id").coalesce(1).write.mode("overwrite").parquet(self.path("commits", result.batch_id))
         self._last_commit = (result.batch_id, result.max_id)
 
@@ -292,17 +324,33 @@ class LogStore:
         return f"{self.root}/_retention_intent"
 
     def _write_intent(self, swaps: list[tuple[str, str]]) -> None:
-        self.spark.createDataFrame(swaps, "staged string, target string").coalesce(1) \
-            .write.mode("overwrite").json(self._intent_path())
+        """``swaps`` are (staged, target) folders; a target without a staged folder is dropped."""
+        steps = [("swap" if self._exists(staged) else "drop", staged, target,
+                  f"{self.root}/_retention_work/old-{uuid.uuid4().hex[:12]}") for staged, target in swaps]
+        self.spark.createDataFrame(steps, _INTENT).coalesce(1).write.mode("overwrite").json(self._intent_path())
 
     def _finish_swaps(self) -> None:
-        """Roll forward a boundary-day swap left unfinished by a lost driver."""
+        """Roll forward the boundary-day steps of the intent, also one left by a lost driver.
+
+        ``drop`` deletes a folder without survivors.  ``swap`` moves the old folder aside, the staged
+        one in, and only then deletes the old one; when the second move fails the first is undone.
+        """
         if not self._exists(f"{self._intent_path()}/_SUCCESS"):
             return
-        for row in self.spark.read.schema("staged string, target string").json(self._intent_path()).collect():
-            if self._exists(row["staged"]):      # not yet moved: replace the old day
-                self._delete(row["target"])
-                self._rename(row["staged"], row["target"])
+        for step in self.spark.read.schema(_INTENT).json(self._intent_path()).collect():
+            if step["kind"] == "swap":
+                if not self._exists(step["target"]) and self._exists(step["aside"]) and self._exists(step["staged"]):
+                    self._rename(step["aside"], step["target"])
+                if self._exists(step["staged"]):
+                    self._rename(step["target"], step["aside"])
+                    try:
+                        self._rename(step["staged"], step["target"])
+                    except Exception:
+                        self._rename(step["aside"], step["target"])
+                        raise
+                self._delete(step["aside"])
+            else:
+                self._delete(step["target"])
         self._delete(self._intent_path())
 
     def run_retention(self, as_of, days: int = DEFAULT_RETENTION_DAYS,
@@ -318,37 +366,36 @@ class LogStore:
         check_positive("batch_size", batch_size)
         self._finish_swaps()
         cutoff = retention_cutoff(as_of, days)
-        logs = self.logs()
-        deleted = logs.where(F.col("timestamp") < ts_literal(cutoff)).count()
         cutoff_day = cutoff.date()
         day_text = cutoff_day.isoformat()
         upto = self._committed_upto()
+        if upto is None or not self._exists(self.path("logs")):
+            return {"cutoff": iso_text(cutoff, millis=True), "deleted": 0, "batches": 1}
+        stored = (self.spark.read.schema(_PARTITIONED_LOGS).parquet(self.path("logs"))
+                  .where((F.col("batch_id") <= F.lit(upto)) & (F.col("log_date") <= F.lit(cutoff_day))))
+        deleted = stored.where(F.col("timestamp") < ts_literal(cutoff)).count()
         boundary_dirs = []
         for batch_dir in self._children(self.path("logs")):
             name = batch_dir.rstrip("/").rsplit("/", 1)[-1]
-            if not name.startswith("batch_id=") or upto is None or int(name.split("=", 1)[1]) > upto:
+            if not name.startswith("batch_id=") or int(name.split("=", 1)[1]) > upto:
                 continue  # in-flight batches are never touched
             for day_dir in self._children(batch_dir):
                 day = day_dir.rstrip("/").rsplit("=", 1)[-1]
                 if day < day_text:
                     self._delete(day_dir)
                 elif day == day_text and cutoff != datetime.combine(cutoff_day, datetime.min.time()):
-                    boundary_dirs.append((batch_dir, day_dir))
+                    boundary_dirs.append((name, day_dir))
         if boundary_dirs:
-            staging = work_dir(self.spark, "retention-stage")
-            survivors = (self.spark.read.schema(_PARTITIONED_LOGS).parquet(self.path("logs"))
-                         .where((F.col("log_date") == F.lit(cutoff_day))
-                                & (F.col("batch_id") <= F.lit(upto))
-                                & (F.col("timestamp") >= ts_literal(cutoff))))
-            survivors.write.mode("overwrite").partitionBy("batch_id", "log_date").parquet(staging)
-            swaps = []
-            for batch_dir, day_dir in boundary_dirs:
-                rel = batch_dir.rstrip("/").rsplit("/", 1)[-1] + "/log_date=" + day_text
-                swaps.append((f"{staging}/{rel}", day_dir))
-            # The intent is written before the first swap: a driver lost in the
-            # middle leaves it behind, and the next run finishes the swaps first.
+            # staged below the store's root: the moves stay inside one file system
+            work = f"{self.root}/_retention_work/{uuid.uuid4().hex[:12]}"
+            survivors = stored.where((F.col("log_date") == F.lit(cutoff_day)) & (F.col("timestamp") >= ts_literal(cutoff)))
+            survivors.write.mode("overwrite").partitionBy("batch_id", "log_date").parquet(f"{work}/staged")
+            swaps = [(f"{work}/staged/{name}/log_date={day_text}", day_dir) for name, day_dir in boundary_dirs]
+            # written before the first step: a driver lost in the middle leaves it behind,
+            # and the next run finishes the steps first
             self._write_intent(swaps)
             self._finish_swaps()
+            self._delete(work)
         if prune_rollup:  # opt-in; by default old aggregates outlive their logs, as in the reference
             self.compact_rollup(retain_from=cutoff)
         return {"cutoff": iso_text(cutoff, millis=True), "deleted": int(deleted),

@@ -26,7 +26,7 @@ def ingest_stream(bodies: DataFrame, store_root: str, checkpoint: str, as_of=Non
     store = LogStore(bodies.sparkSession, store_root)
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        store.ingest_batch(batch, batch_id, as_of, strict_storage)
+        store.ingest_batch(batch, batch_id, as_of, strict_storage, owner=checkpoint)
 
     writer = bodies.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     if available_now:
