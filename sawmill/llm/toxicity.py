@@ -15,7 +15,7 @@ by a seeded hash, of at most ``sample_chars`` characters each.  Everything else
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,6 +36,7 @@ WINDOW = 32
 STEPS = 200  # gradient steps at least, however small the sample
 BITS = 18
 WORD = re.compile(r"\w+")
+WIDTH = 8  # features of a word at most
 CACHE = 1 << 20
 CLIP = 25.0
 SEED = 11
@@ -122,43 +123,65 @@ def evidence(m: np.ndarray) -> tuple[float, float, float]:
     return (*np.log(top / (1 - top)), float(np.log1p(m[m > SPAN].sum())))
 
 
-def marked_features(docs: list[tuple[set[str], int]]) -> set[str]:
-    """Features of toxic documents that chance doesn't explain, found in turn for what is still unexplained."""
-    toxic = sum(y for _, y in docs)
-    if not toxic or toxic == len(docs):
-        return set()
-    in_clean = Counter(f for words, y in docs if not y for f in {x for w in words for x in features(w)})
-    left = [{x for w in words for x in features(w)} for words, y in docs if y]
-    rate, marked = toxic / len(docs), set()
+class Vocabulary:
+    """Words of a sample as numbers, with the numbers of their features."""
+
+    def __init__(self, texts: Iterable[str]):
+        known: dict[str, int] = {}
+        self.docs = [np.fromiter((known.setdefault(m.group(), len(known)) for m in WORD.finditer(t)), np.int32) for t in texts]
+        self.words = list(known)
+        names: dict[str, int] = {}
+        self.features = np.full((len(known), WIDTH), -1, np.int32)  # -1: no such feature
+        for i, w in enumerate(self.words):
+            own = [names.setdefault(f, len(names)) for f in features(w)]
+            self.features[i, :len(own)] = own
+        self.slots = np.fromiter(map(_slot, names), np.int32, len(names))
+
+    def features_of(self, doc: np.ndarray) -> np.ndarray:
+        """The distinct features of a document's words."""
+        found = np.unique(self.features[np.unique(doc)])
+        return found[found >= 0]
+
+
+def marked_features(words: Vocabulary, ys: np.ndarray) -> np.ndarray:
+    """For each feature whether toxic documents have it beyond chance; found in turn for what is still unexplained."""
+    n, toxic = len(words.slots), int(ys.sum())
+    marked = np.zeros(n, bool)
+    if not toxic or toxic == len(ys):
+        return marked
+
+    def count(sets):
+        total = np.zeros(n, np.int64)
+        for fs in sets:
+            total[fs] += 1
+        return total
+
+    in_clean = count(words.features_of(d) for d, y in zip(words.docs, ys, strict=True) if not y)
+    left = [words.features_of(d) for d, y in zip(words.docs, ys, strict=True) if y]
+    rate = toxic / len(ys)
     while left:
-        in_toxic = Counter(f for fs in left for f in fs)
-        limit = 0.01 / max(len(in_toxic), 1)
-        found = set()
-        for f, a in in_toxic.items():
-            b = in_clean.get(f, 0)
-            if a >= 3 and b <= 0.02 * a:
-                # chance that of a + b documents at least a are toxic, bounded by its largest term
-                chance = rate ** a if not b else np.exp(a * np.log(rate) + b * np.log((a + b) * np.e / b))
-                if chance < limit:
-                    found.add(f)
-        if not found - marked:
+        in_toxic = count(left)
+        at = np.flatnonzero((in_toxic >= 3) & (in_clean <= 0.02 * in_toxic))
+        a, b = in_toxic[at], in_clean[at]
+        # chance that of a + b documents at least a are toxic, bounded by its largest term
+        log_chance = a * np.log(rate) + b * np.log((a + b) * np.e / np.maximum(b, 1))
+        found = np.zeros(n, bool)
+        found[at] = log_chance < np.log(0.01 / max(np.count_nonzero(in_toxic), 1))
+        if not (found & ~marked).any():
             break
         marked |= found
-        left = [fs for fs in left if not fs & found]
+        left = [fs for fs in left if not found[fs].any()]
     return marked
 
 
 def fit(sample: list[tuple[str, int]], *, epochs: int = 6, rate: float = 0.3, seed: int = SEED) -> Field:
     """A field and its calibration from labelled texts."""
     rng = np.random.default_rng(seed)
-    docs = [WORD.findall(t) for t, _ in sample]
+    vocabulary = Vocabulary(t for t, _ in sample)
+    seqs, names = vocabulary.docs, vocabulary.words
     ys = np.array([y for _, y in sample])
-    known: dict[str, int] = {}
-    seqs = [np.array([known.setdefault(w, len(known)) for w in d], np.int64) for d in docs]
-    marked = marked_features([(set(d), int(y)) for d, y in zip(docs, ys, strict=True)])
-    names = list(known)
-    slots = [[_slot(f) for f in features(w)] for w in names]
-    hit = np.array([any(f in marked for f in features(w)) for w in names], bool) if names else np.zeros(0, bool)
+    marked = np.append(marked_features(vocabulary, ys), False)
+    hit = marked[vocabulary.features].any(1)
     size = 1 << BITS
     field = Field(np.zeros(size), np.zeros(size), np.zeros(size), np.ones((2, 2)) / 2, -6.0, np.array([-4.0, 0, 0, 0]))
     if not hit.any():
@@ -180,8 +203,8 @@ def fit(sample: list[tuple[str, int]], *, epochs: int = 6, rate: float = 0.3, se
         words[i, off:off + len(part)] = part
         body = words[i, 1:-1]
         label[i] = (body >= 0) & hit[body] & bool(ys[d])
-    width = max(map(len, slots))
-    slot = np.array([x + [size] * (width - len(x)) for x in slots] + [[size] * width])  # -1: no word
+    slot = np.append(vocabulary.slots, size)[vocabulary.features]
+    slot = np.append(slot, np.full((1, WIDTH), size, slot.dtype), 0)  # -1: no word
     own, before, after = (np.zeros(size + 1) for _ in range(3))
     grads = [np.full(size + 1, 1e-2) for _ in range(3)]
     log_trans, bias = np.zeros((2, 2)), -4.0
@@ -196,7 +219,7 @@ def fit(sample: list[tuple[str, int]], *, epochs: int = 6, rate: float = 0.3, se
             trans = np.exp(log_trans)
             m, xi = forward_backward(e, trans, start, pairs=True)
             err = np.where(real, m - y, 0.0)
-            for w, g, at, by in ((own, grads[0], slot[mid], np.repeat(err[:, :, None], width, 2)),
+            for w, g, at, by in ((own, grads[0], slot[mid], np.repeat(err[:, :, None], WIDTH, 2)),
                                  (before, grads[1], first_b, err), (after, grads[2], first_a, err)):
                 total = np.bincount(at.ravel(), by.ravel(), size + 1) + 1e-4 * w
                 total[size] = 0
@@ -208,7 +231,7 @@ def fit(sample: list[tuple[str, int]], *, epochs: int = 6, rate: float = 0.3, se
             log_trans -= rate * ((xi * both).sum((2, 3)) - seen) / max(both.sum(), 1)
     field = Field(own[:size], before[:size], after[:size], np.exp(log_trans), bias, field.calibration)
     table = np.array([field.potentials(w) for w in names]) if names else np.zeros((0, 3))
-    x = np.array([(1.0, *evidence(m)) for m in marginals(field, seqs, table)])
+    x = np.array([(1.0, *evidence(m)) for s in range(0, len(seqs), 512) for m in marginals(field, seqs[s:s + 512], table)])
     w = np.array([-2.0, 0.2, 0.0, 0.0])
     for _ in range(30):  # ridge logistic regression by Newton steps
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
