@@ -85,8 +85,8 @@ def main(argv: list[str] | None = None) -> int:
         for name, value in (("--days", args.days), ("--batch-size", args.batch_size)):
             if value is not None and value < 1:  # a destructive command takes no default for a wrong value
                 raise SystemExit(f"retention: {name} must be at least 1")
-        days, _, batch = retention_settings({"LOG_RETENTION_DAYS": args.days or "",
-                                             "RETENTION_DELETE_BATCH_SIZE": args.batch_size or ""})
+        days, batch = retention_settings({"LOG_RETENTION_DAYS": args.days or "",
+                                          "RETENTION_DELETE_BATCH_SIZE": args.batch_size or ""})
         as_of = args.as_of or datetime.now(timezone.utc).isoformat()
         print(json.dumps(store.run_retention(as_of, days, batch)))
     elif args.command == "compact":

@@ -13,20 +13,20 @@ from pyspark.sql import functions as F
 
 from sawmill.functions.times import bucket_start, iso_millis, minute_floor, resolve_bound, shift, ts_literal
 from sawmill.operators.filters import filter_level, filter_service, filter_since, filter_until, search_logs
-from sawmill.schema import BUCKET_WIDTHS, GROUP_BY_VALUES
+from sawmill.schema import BUCKET_WIDTHS, GROUP_BY_VALUES, MESSAGES
 
 
 def _group(group_by: str | None) -> Column:
     if group_by is None:
         return F.lit(None).cast("string")
     if group_by not in GROUP_BY_VALUES:
-        raise ValueError("group_by must be one of: service, level")
+        raise ValueError(MESSAGES["group_by"])
     return F.col(group_by).cast("string")
 
 
 def _check_bucket(bucket: str) -> None:
     if bucket not in BUCKET_WIDTHS:
-        raise ValueError("bucket must be one of: 1m, 5m, 1h, 1d")
+        raise ValueError(MESSAGES["bucket"])
 
 
 def order_buckets(df: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def aggregate_exact(logs: DataFrame, rollup: DataFrame, since, until, bucket: st
     # raw edges [lo, b) and [c, hi); with no whole minute inside they meet at b == c
     b = F.least(inner_lo, hi)
     c = F.greatest(inner_hi, b)
-    inner = rollup.where((F.col("bucket_start") >= inner_lo) & (F.col("bucket_start") < inner_hi))
+    inner = _rollup_range(rollup, inner_lo, inner_hi)
     if service:
         inner = filter_service(inner, service)
     if level:

@@ -21,6 +21,28 @@ GROUP_BY_VALUES = ("service", "level")
 MIN_LIMIT, DEFAULT_LIMIT, MAX_LIMIT = 1, 100, 1000
 DEFAULT_RETENTION_DAYS = 30
 DEFAULT_RETENTION_BATCH = 5000
+# Fixed values as well: argument errors, words that mean "not given", names of settings.
+ATTR_PREFIX = "attr."
+ABSENT_WORDS = ("", "null", "undefined")
+SETTING_DAYS = "LOG_RETENTION_DAYS"
+SETTING_BATCH = "RETENTION_DELETE_BATCH_SIZE"
+MESSAGES = {
+    "service": "service must be a string",
+    "service_blank": "service must be a non-empty string",
+    "level": "level must be one of: debug, info, warn, error",
+    "since": "since must be a valid ISO 8601 date",
+    "until": "until must be a valid ISO 8601 date",
+    "range": "until must be greater than since",
+    "q": "q must be a string",
+    "limit": "limit must be an integer between 1 and 1000",
+    "cursor": "cursor must be a valid base64url-encoded log cursor",
+    "no_bucket": "bucket is required",
+    "bucket": "bucket must be one of: 1m, 5m, 1h, 1d",
+    "group_by": "group_by must be one of: service, level",
+    "attribute": "attribute filter {key} must be a string",
+    "setting": "{name} must be an integer",
+    "setting_low": "{name} must be an integer greater than or equal to 1",
+}
 
 # Extra reasons of the opt-in strict_storage check (ours, not the reference's): entries
 # a relational store would refuse at insert time are quarantined instead.

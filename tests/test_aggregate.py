@@ -80,3 +80,15 @@ def test_merge_rollup_replay_and_mismatches(small_logs):
     replayed = merge_rollup(a, b, b)
     assert rollup_mismatches(small_logs, replayed).count() == b.count()
     assert sorted(merged.collect()) == sorted(whole.collect())
+
+
+def test_exact_prunes_the_rollup_by_day(spark, small_logs, tmp_path):
+    r = minute_rollup(small_logs).withColumn("bucket_date", F.to_date("bucket_start"))
+    r.write.partitionBy("bucket_date").parquet(str(tmp_path / "rollup"))
+    stored = spark.read.parquet(str(tmp_path / "rollup"))
+    out = aggregate_exact(small_logs, stored, "2024-01-03T00:00:30Z", "2024-01-05T00:00:50Z", "1h")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    pruned = [x for x in plan.split("PartitionFilters: [")[1:] if x.split("]")[0].count("bucket_date") >= 2]
+    assert pruned and "2024-01-03" in pruned[0].split("]")[0]
+    want = aggregate_raw(small_logs, "2024-01-03T00:00:30Z", "2024-01-05T00:00:50Z", "1h")
+    assert sorted(out.collect()) == sorted(want.collect())

@@ -4,7 +4,7 @@ from sawmill.operators.filters import filter_attrs, filter_message
 
 
 def test_kv_encoding_golden():
-    assert kv_token("region", "eu-west") == "6:region=eu-west"
+    assert kv_token("tier", "gold") == "4:tier=gold"
     assert kv_token("requestId", "req-123") == "9:requestId=req-123"
 
 
@@ -25,11 +25,11 @@ def test_attrs_kv_sorted_null_and_empty(spark):
 
 def test_attribute_filter_semantics(spark):
     df = spark.createDataFrame(
-        [(1, '{"region":"eu-west","n":5}'), (2, '{"region":null}'), (3, "{}"), (4, '{"😀":"x"}')],
+        [(1, '{"tier":"gold","n":5}'), (2, '{"tier":null}'), (3, "{}"), (4, '{"😀":"x"}')],
         "id long, attributes string")
     ids = lambda d: sorted(r["id"] for r in d.collect())
-    assert ids(filter_attrs(df, {"region": "eu-west", "n": "5"})) == [1]
-    assert ids(filter_attrs(df, {"region": "null"})) == []
+    assert ids(filter_attrs(df, {"tier": "gold", "n": "5"})) == [1]
+    assert ids(filter_attrs(df, {"tier": "null"})) == []
     assert ids(filter_attrs(df, {"😀": "x"})) == []  # UTF-16 key length differs: never matches
 
 

@@ -48,7 +48,7 @@ def test_log_exactly_at_cutoff_stays(spark):
 
 
 def test_settings_contract():
-    assert retention_settings({}) == (30, 60, 5000)
+    assert retention_settings({}) == (30, 5000)
     with pytest.raises(ArgumentError) as err:
         retention_settings({"LOG_RETENTION_DAYS": "0", "RETENTION_DELETE_BATCH_SIZE": "x"})
     assert len(err.value.errors) == 2
