@@ -21,14 +21,27 @@ from sawmill.session import checkpoint_root
 _ROW_BITS = 33  # monotonically_increasing_id = partition index << 33 | row position
 
 
+def in_ranges(df: DataFrame, *order: str, partitions: int | None = None) -> DataFrame:
+    """``df`` in partitions that follow each other in ``order``.
+
+    Range bounds come from a sample, which evaluates ``df`` once more: place the cheap input (the
+    bodies), not what was parsed from it.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *order)
+
+
 def assign_log_ids(rows: DataFrame, base: int = 0, order=("body_id", "index"),
-                   partitions: int | None = None) -> DataFrame:
-    """Adds ``id`` = base+1, base+2, … in ``order`` (dense, gap-free)."""
+                   partitions: int | None = None, placed: bool = False) -> DataFrame:
+    """Adds ``id`` = base+1, base+2, … in ``order`` (dense, gap-free).
+
+    ``placed`` tells that the rows already lie in ranges of ``order``'s first column (``in_ranges`` of
+    what they were made from): they are sorted in place, neither sampled nor moved.
+    """
     spark = rows.sparkSession
     checkpoint_root(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    staged = (rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
-              .checkpoint(eager=True))
+    ranged = rows if placed else in_ranges(rows, *order, partitions=partitions)
+    staged = ranged.sortWithinPartitions(*order).checkpoint(eager=True)
     tagged = staged.select("*", F.spark_partition_id().alias("_pid"),
                            F.monotonically_increasing_id().alias("_mid"))
     counts = dict(tagged.groupBy("_pid").count().collect())  # ≤ n rows

@@ -36,7 +36,7 @@ def _starts(kind: Column, prefix: str) -> Column:
     return F.coalesce(kind.startswith(prefix), F.lit(False))
 
 
-def parse_ingest_bodies(bodies: DataFrame) -> DataFrame:
+def parse_ingest_bodies(bodies: DataFrame, keep_bad: bool = False) -> DataFrame:
     """``(body_id, value)`` → ``(body_id, status, index, entry VARIANT)`` (#1).
 
     A root array is the entry list; otherwise the first non-null of
@@ -47,12 +47,14 @@ def parse_ingest_bodies(bodies: DataFrame) -> DataFrame:
     As a strict JSON body parser does, a body must start (after JSON blanks)
     with ``{`` or ``[``: a bare string, number or ``null`` is malformed.  An
     empty body reads as ``{}`` and is therefore an invalid body.
+
+    ``keep_bad`` adds ``body``, the text of bodies that are not ``ok`` (NULL for the others).
     """
     value = F.col("value")
     empty = value.isNull() | (value == "")
     strict = F.coalesce(value.rlike(r"^[ \t\n\r]*[\[{]"), F.lit(False))
     parsed = bodies.select("body_id", empty.alias("_empty"),
-                           F.when(strict, F.try_parse_json(value)).alias("_doc"))
+                           F.when(strict, F.try_parse_json(value)).alias("_doc"), *([value] if keep_bad else []))
     doc = F.col("_doc")
     members = [F.try_variant_get(doc, f"$.{k}", "variant") for k in ENVELOPE_KEYS]
     picked = F.coalesce(*[F.when(~F.is_variant_null(m), m) for m in members])
@@ -62,9 +64,10 @@ def parse_ingest_bodies(bodies: DataFrame) -> DataFrame:
         "body_id",
         F.when(F.col("_empty"), F.lit(STATUS_INVALID)).when(doc.isNull(), F.lit(STATUS_MALFORMED))
         .when(listed.isNotNull(), F.lit(STATUS_OK)).otherwise(F.lit(STATUS_INVALID)).alias("status"),
-        listed.alias("_entries"))
+        listed.alias("_entries"), *([value] if keep_bad else []))
+    bad = [F.when(F.col("status") != STATUS_OK, value).alias("body")] if keep_bad else []
     return staged.select(
-        "body_id", "status", F.posexplode_outer("_entries").alias("index", "entry"))
+        "body_id", "status", *bad, F.posexplode_outer("_entries").alias("index", "entry"))
 
 
 def validate_entries(entries: DataFrame, as_of=None, strict_storage: bool = False) -> DataFrame:
@@ -175,3 +178,15 @@ def ingest_summary(validated: DataFrame) -> DataFrame:
                .when(F.col("accepted") > 0, F.lit(STATUS_OK))
                .otherwise(F.lit(OUTCOME_ALL_REJECTED)))
     return summary.select("body_id", "accepted", "rejected", outcome.alias("outcome"))
+
+
+def body_outcomes(validated: DataFrame) -> DataFrame:
+    """``ingest_summary`` plus ``body``, the text of every malformed or invalid body.
+
+    Takes entries parsed with ``keep_bad``.  A bad body is one row already; only good ones are grouped.
+    """
+    good = ingest_summary(validated.where(F.col("status") == STATUS_OK))
+    none = F.lit(0).cast("bigint")
+    bad = validated.where(F.col("status") != STATUS_OK).select(
+        "body_id", none.alias("accepted"), none.alias("rejected"), F.col("status").alias("outcome"), "body")
+    return good.withColumn("body", F.lit(None).cast("string")).unionByName(bad)

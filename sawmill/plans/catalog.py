@@ -21,7 +21,7 @@ from sawmill.operators.filters import (
     filter_attrs, filter_level, filter_message, filter_message_literal, filter_service,
     filter_since, filter_until, search_logs,
 )
-from sawmill.operators.ids import assign_log_ids
+from sawmill.operators.ids import assign_log_ids, in_ranges
 from sawmill.operators.paging import after_cursor, latest_logs, log_page, render_logs
 from sawmill.operators.quality import rollup_mismatches, visibility_report
 from sawmill.operators.retention import (
@@ -34,7 +34,6 @@ from sawmill.operators.validate import (
 )
 from sawmill.plans import oracle as O
 from sawmill.sources import fixtures as FX
-from sawmill.sources.tables import spread
 
 LOG_COLUMNS = ("id", "timestamp", "level", "service", "message", "attributes")
 WHOLE_SINCE, WHOLE_UNTIL = "2024-01-01T00:00:00Z", "2024-02-01T00:00:00Z"
@@ -50,6 +49,13 @@ def _validated(spark, d):
     return validate_entries(parse_ingest_bodies(FX.ingest_bodies(spark, d)), FX.AS_OF)
 
 
+def _ingest_ids(spark, d):
+    """The bodies are put in order before they are parsed; entries keep their body's place."""
+    placed = in_ranges(FX.ingest_bodies(spark, d), "body_id")
+    accepted = accepted_logs(validate_entries(parse_ingest_bodies(placed), FX.AS_OF))
+    return assign_log_ids(accepted, placed=True).select("id", "body_id", "index")
+
+
 def _validated_extras(spark, d):
     return validate_entries(parse_ingest_bodies(FX.ingest_bodies_with_extras(spark, d)), FX.AS_OF)
 
@@ -74,8 +80,7 @@ def _last_page(logs: DataFrame) -> DataFrame:
 
 
 def _cursor_decode(spark, d):
-    # decoding is a heavy projection: spread a one-split input over all cores
-    tokens = spread(_logs(spark, d)).select("id", encode_cursor("timestamp", "id").alias("token"))
+    tokens = _logs(spark, d).select("id", encode_cursor("timestamp", "id").alias("token"))
     both = tokens.select("id", F.lit("plain").alias("kind"), "token").unionByName(
         tokens.select("id", F.lit("padded").alias("kind"), F.concat("token", F.lit("=")).alias("token")))
     dec = both.select("id", "kind", decode_cursor("token").alias("c"))
@@ -146,6 +151,13 @@ def _store_compacted(spark, d):
     return store.rollup().drop("bucket_date")
 
 
+def _store_bodies(spark, d):
+    """Stored outcomes of a stream that also holds malformed, invalid and empty bodies."""
+    from sawmill.plans.runs import run_stream
+    store = run_stream(spark, d, bodies=FX.ingest_bodies_with_extras)
+    return store.bodies().select("body_id", "accepted", "rejected", "outcome")
+
+
 def _store_retention(spark, d):
     """Retention on a store streamed for it."""
     from sawmill.plans.runs import run_stream
@@ -184,8 +196,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ingest_rejected": lambda s, d: rejected_entries(_validated_extras(s, d)).select(
             "body_id", "index", "reason"),
         "ingest_summary": lambda s, d: ingest_summary(_validated_extras(s, d)),
-        "ingest_ids": lambda s, d: assign_log_ids(accepted_logs(_validated(s, d))).select(
-            "id", "body_id", "index"),
+        "ingest_ids": _ingest_ids,
         # filters (#14–#21)
         "filter_service": lambda s, d: filter_service(_logs(s, d), "svc-3").select(*cols),
         "filter_level": lambda s, d: filter_level(_logs(s, d), "error").select(*cols),
@@ -256,6 +267,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # streaming (#12, #13) and the store built by it
         "stream_ingest": _stream_ingest,
         "store_page_first": _store_page,
+        "store_bodies": _store_bodies,
         "store_search_day": lambda s, d: _select_stored(search_logs(
             _store(s, d).logs(), level="warn", since="2024-01-05T00:00:00Z", until="2024-01-06T00:00:00Z")),
         "store_search_attrs": lambda s, d: _select_stored(search_logs(
@@ -307,6 +319,11 @@ def oracle_sql() -> dict[str, str]:
 
     nth_newest = lambda src: f'SELECT "timestamp", id FROM {src} ORDER BY "timestamp" DESC, id DESC LIMIT 1 OFFSET {PAGE - 1}'
     oldest_batch = f'SELECT id FROM logs WHERE "timestamp" < {cutoff} ORDER BY "timestamp", id LIMIT {FX.RETENTION_BATCH}'
+    summary = W(
+        "SELECT body_id, CAST(count_if(reason = '') AS BIGINT) AS accepted, "
+        "CAST(count_if(reason <> '') AS BIGINT) AS rejected, "
+        "CASE WHEN count_if(reason = '') > 0 THEN 'ok' ELSE 'all_rejected' END AS outcome "
+        f"FROM entries GROUP BY body_id UNION ALL SELECT * FROM ({O.EXTRA_SUMMARY})", O.ENTRIES_CTE)
     accepted = "FROM entries WHERE reason = ''"
     return {
         "ingest_entries": W("SELECT body_id, 'ok' AS status, \"index\" FROM entries "
@@ -317,11 +334,8 @@ def oracle_sql() -> dict[str, str]:
                              f"stored_attributes AS attributes {accepted}", O.ENTRIES_CTE),
         "ingest_rejected": W("SELECT body_id, \"index\", reason FROM entries WHERE reason <> '' "
                              f"UNION ALL SELECT * FROM ({O.EXTRA_VALIDATED}) WHERE reason <> ''", O.ENTRIES_CTE),
-        "ingest_summary": W(
-            "SELECT body_id, CAST(count_if(reason = '') AS BIGINT) AS accepted, "
-            "CAST(count_if(reason <> '') AS BIGINT) AS rejected, "
-            "CASE WHEN count_if(reason = '') > 0 THEN 'ok' ELSE 'all_rejected' END AS outcome "
-            f"FROM entries GROUP BY body_id UNION ALL SELECT * FROM ({O.EXTRA_SUMMARY})", O.ENTRIES_CTE),
+        "ingest_summary": summary,
+        "store_bodies": summary,
         "ingest_ids": W('SELECT CAST(row_number() OVER (ORDER BY body_id, "index") AS BIGINT) AS id, '
                         f'body_id, "index" {accepted}', O.ENTRIES_CTE),
         "filter_service": W(f"SELECT {cols} FROM logs WHERE service = 'svc-3'"),

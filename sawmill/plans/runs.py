@@ -19,17 +19,17 @@ SOURCE_FILES = 4
 _RUNS: dict[tuple[str, str, str], str] = {}
 
 
-def write_body_files(spark: SparkSession, sf_dir: str, files: int = SOURCE_FILES) -> str:
+def write_body_files(spark: SparkSession, sf_dir: str, files: int = SOURCE_FILES, bodies=FX.ingest_bodies) -> str:
     """Envelope records of the whole ``events`` table as ``files`` Parquet files."""
     source = work_dir(spark, "bodies")
-    (FX.ingest_bodies(spark, sf_dir).repartitionByRange(files, "body_id")
+    (bodies(spark, sf_dir).repartitionByRange(files, "body_id")
      .write.mode("overwrite").parquet(source))
     return source
 
 
 def run_stream(spark: SparkSession, sf_dir: str, files: int = SOURCE_FILES,
-               files_per_trigger: int = 1) -> LogStore:
-    source = write_body_files(spark, sf_dir, files)
+               files_per_trigger: int = 1, bodies=FX.ingest_bodies) -> LogStore:
+    source = write_body_files(spark, sf_dir, files, bodies)
     root = work_dir(spark, "store")
     query = stream_ingest_logs(spark, source, root, f"{root}/_checkpoint", as_of=FX.AS_OF,
                                max_files_per_trigger=files_per_trigger)

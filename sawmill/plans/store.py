@@ -6,6 +6,7 @@ Layout below ``root``::
     deltas/batch_id=N/*.parquet               minute-rollup counts of batch N
     rollup/upto=N/bucket_date=D/*.parquet     compacted rollup of batches ≤ N
     rejected/batch_id=N/*.parquet             quarantined entries with reasons
+    bodies/batch_id=N/*.parquet               outcome of every body, and the text of bad ones
     commits/batch_id=N/*.parquet              one row per finished batch, written last
 
 A batch overwrites only its own ``batch_id=N`` directories, so a replay after a
@@ -36,7 +37,7 @@ from sawmill.operators.ids import assign_arrival_ids, partition_counts
 from sawmill.operators.retention import check_positive, retain_rollup, retention_cutoff
 from sawmill.operators.rollup import minute_rollup
 from sawmill.operators.validate import (
-    accepted_logs, parse_ingest_bodies, rejected_entries, validate_entries,
+    accepted_logs, body_outcomes, parse_ingest_bodies, rejected_entries, validate_entries,
 )
 from sawmill.sources.bodies import with_body_ids
 from sawmill.schema import COMMITS, DEFAULT_RETENTION_BATCH, DEFAULT_RETENTION_DAYS, LOGS, ROLLUP
@@ -56,6 +57,10 @@ _PARTITIONED_REJECTED = T.StructType([
     T.StructField("body_id", T.LongType()), T.StructField("index", T.IntegerType()),
     T.StructField("reason", T.StringType()), T.StructField("entry", T.StringType()),
     T.StructField("batch_id", T.LongType())])
+_PARTITIONED_BODIES = T.StructType([
+    T.StructField("body_id", T.LongType()), T.StructField("accepted", T.LongType()),
+    T.StructField("rejected", T.LongType()), T.StructField("outcome", T.StringType()),
+    T.StructField("body", T.StringType()), T.StructField("batch_id", T.LongType())])
 
 
 _INTENT = "kind string, staged string, target string, aside string"
@@ -165,6 +170,10 @@ class LogStore:
     def rejected(self) -> DataFrame:
         return self._visible("rejected", _PARTITIONED_REJECTED)
 
+    def bodies(self) -> DataFrame:
+        """The outcome of every committed body; ``body`` holds the text of malformed and invalid ones."""
+        return self._visible("bodies", _PARTITIONED_BODIES)
+
     def deltas(self) -> DataFrame:
         return self._visible("deltas", _PARTITIONED_ROLLUP)
 
@@ -271,7 +280,7 @@ class LogStore:
         if (stored := self._committed(batch_id, owner)) is not None:
             return stored
         as_of = self._pinned_clock(batch_id, as_of)
-        validated = validate_entries(parse_ingest_bodies(with_body_ids(bodies)), as_of,
+        validated = validate_entries(parse_ingest_bodies(with_body_ids(bodies), keep_bad=True), as_of,
                                      strict_storage).persist()
         try:
             # one job: materializes the cache and counts per input partition
@@ -296,12 +305,14 @@ class LogStore:
                          .write.mode("overwrite").parquet(self.path("deltas", batch_id))),
                 lambda: (rejected_entries(validated).hint("rebalance")  # usually few rows: few files
                          .write.mode("overwrite").parquet(self.path("rejected", batch_id))),
+                lambda: (body_outcomes(validated).hint("rebalance")
+                         .write.mode("overwrite").parquet(self.path("bodies", batch_id))),
             ]
-            # The three outputs are independent jobs over the cached batch: submit
+            # The outputs are independent jobs over the cached batch: submit
             # them together so the scheduler overlaps their tasks.  Any failure
             # surfaces here, before the commit row.
             with ThreadPoolExecutor(max_workers=len(writes)) as pool:
-                for done in [pool.submit(inheritable_thread_target(w)) for w in writes]:
+                for done in [pool.submit(inheritable_thread_target(self.spark)(w)) for w in writes]:
                     done.result()
         finally:
             validated.unpersist()

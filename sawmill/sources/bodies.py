@@ -1,7 +1,8 @@
 """Envelope-record sources: one ingest body per record, ``(body_id, value)``.
 
 ``parquet`` / ``json`` files carry both columns, like a Kafka (key, value)
-record.  ``text`` files carry one JSON body per line; ``body_id`` is then the
+record.  ``text`` files carry one JSON body per line, ``wholetext`` files one
+JSON body per file (line breaks inside it included); ``body_id`` is then the
 position-derived ``monotonically_increasing_id`` — unique within one read (one
 micro-batch), which together with the batch id identifies a body.  A stream of
 text has no ``body_id`` column; ``LogStore.ingest_batch`` numbers each
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 from sawmill.schema import BODIES
 from sawmill.session import configure
 
-FORMATS = ("parquet", "json", "text")
+FORMATS = ("parquet", "json", "text", "wholetext")
+_TEXT = ("text", "wholetext")
 _OFFSET_BITS = 40  # Kafka offsets below 2^40 per partition; partitions below 2^23
 
 
@@ -50,19 +52,22 @@ def with_body_ids(df: DataFrame) -> DataFrame:
 
 
 def _shape(df: DataFrame, source_format: str) -> DataFrame:
-    if source_format == "text":
+    if source_format in _TEXT:
         return df.select("value") if df.isStreaming else with_body_ids(df)
     return df.select(F.col("body_id").cast("bigint"), F.col("value").cast("string"))
 
 
+def _reader(reader, source_format: str):
+    if source_format in _TEXT:
+        return reader.format("text").option("wholetext", source_format == "wholetext")
+    return reader.format(source_format).schema(BODIES)
+
+
 def read_bodies(spark: SparkSession, path: str, source_format: str = "parquet") -> DataFrame:
     """Batch read of envelope records."""
     if source_format not in FORMATS:
         raise ValueError(f"source_format must be one of: {', '.join(FORMATS)}")
-    reader = configure(spark).read
-    if source_format != "text":
-        reader = reader.schema(BODIES)
-    return _shape(reader.format(source_format).load(path), source_format)
+    return _shape(_reader(configure(spark).read, source_format).load(path), source_format)
 
 
 def read_body_stream(spark: SparkSession, path: str, source_format: str = "parquet",
@@ -70,9 +75,7 @@ def read_body_stream(spark: SparkSession, path: str, source_format: str = "parqu
     """Streaming read of envelope records from a folder of files."""
     if source_format not in FORMATS:
         raise ValueError(f"source_format must be one of: {', '.join(FORMATS)}")
-    reader = configure(spark).readStream.format(source_format)
-    if source_format != "text":
-        reader = reader.schema(BODIES)
+    reader = _reader(configure(spark).readStream, source_format)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     return _shape(reader.load(path), source_format)

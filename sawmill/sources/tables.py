@@ -7,22 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from sawmill.session import configure
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a small input over all cores when its scan has fewer splits.
-
-    A Parquet file with a single row group is one scan task however many
-    cores there are, and the per-row work (string building, JSON checks)
-    would run on one core.  Large inputs have more splits than cores and are
-    returned unchanged.  Worth it only before heavy projections: filters are
-    pushed below the repartition (they still reach the scan) and light
-    aggregates gain nothing from the extra exchange.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table, e.g. ``events``; Parquet scan with pushdown and pruning."""
     configure(spark)

@@ -1,10 +1,10 @@
 """Continuous ingest with Structured Streaming (#13).
 
 Envelope records ``(body_id, value)`` arrive as files — Parquet (default), JSON
-lines or text — or from Kafka (``sources.bodies.read_kafka_body_stream``);
+lines, text lines or whole text files — or from Kafka (``sources.bodies.read_kafka_body_stream``);
 ``ingest_stream`` takes any streaming frame of that shape.  Each micro-batch goes through
-``LogStore.ingest_batch`` inside ``foreachBatch``: raw rows, rollup deltas and
-rejected entries are written under the batch's own id and the commit row last,
+``LogStore.ingest_batch`` inside ``foreachBatch``: raw rows, rollup deltas,
+rejected entries and body outcomes are written under the batch's own id and the commit row last,
 so a batch becomes visible all at once and a replay after failure rewrites the
 same directories.  No watermark: the reference accepts logs of any age and adds
 them to their old minute, which a watermarked append aggregation would drop.
