@@ -26,6 +26,7 @@ PROBES = 4
 BLOCK = 2048
 SEED = 7
 HOT_BROADCAST = 10_000  # rows
+GROUP_ROWS = 100_000  # bucket entries that a task compares at a time, on average
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -67,29 +68,31 @@ def codes(unit: np.ndarray, tables: int, probes: int, seed: int) -> np.ndarray:
     return out
 
 
-def _nodes(batches):
-    """id, embedding → id, node (hash of a valid vector, else null), the vector's bytes in doubles."""
-    for b in batches:
-        nodes, blobs = [], []
-        for v in b.column(1).to_pylist():
-            x = np.array(v if v and None not in v else [], np.float64) + 0.0
-            ok = len(x) and np.isfinite(x).all() and x.any() and np.isfinite(x @ x) and x @ x > 0
-            blob = x.tobytes() if ok else None
-            nodes.append(int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(blob)))) if ok else None)
-            blobs.append(blob)
-        yield pa.record_batch([b.column(0), pa.array(nodes, pa.int64()), pa.array(blobs, pa.binary())],
-                              names=["id", "node", "vec"])
+def _nodes(dtype):
+    """id, embedding → id, node (hash of a valid vector, else null), the vector's bytes in its own precision."""
+    def run(batches):
+        for b in batches:
+            nodes, blobs = [], []
+            for v in b.column(1).to_pylist():
+                x = np.array(v if v and None not in v else [], np.float64) + 0.0
+                ok = len(x) and np.isfinite(x).all() and x.any() and np.isfinite(x @ x) and x @ x > 0
+                blob = x.astype(dtype).tobytes() if ok else None
+                nodes.append(int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(blob)))) if ok else None)
+                blobs.append(blob)
+            yield pa.record_batch([b.column(0), pa.array(nodes, pa.int64()), pa.array(blobs, pa.binary())],
+                                  names=["id", "node", "vec"])
+    return run
 
 
-def _coded(tables: int, probes: int, seed: int):
+def _coded(dtype, tables: int, probes: int, seed: int):
     def run(batches):
         for b in batches:
             node, vec, size = b.column("node").to_pylist(), b.column("vec").to_pylist(), b.column("size").to_pylist()
             by_dim: dict[int, list[int]] = {}
             for i, v in enumerate(vec):
-                by_dim.setdefault(len(v) // 8, []).append(i)
+                by_dim.setdefault(len(v), []).append(i)
             for at in by_dim.values():
-                x = np.frombuffer(b"".join(vec[i] for i in at), np.float64).reshape(len(at), -1)
+                x = np.frombuffer(b"".join(vec[i] for i in at), dtype).reshape(len(at), -1).astype(np.float64)
                 x = x / np.linalg.norm(x, axis=1, keepdims=True)
                 c = codes(x, tables, probes, seed)
                 yield pa.record_batch([pa.array([node[i] for i in at], pa.int64()), pa.array([size[i] for i in at], pa.int64()),
@@ -107,7 +110,7 @@ def _first_meeting(ca: np.ndarray, cb: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return first, in_a[np.arange(len(first)), first]
 
 
-def _pairs(tables: int, probes: int, cosine: float):
+def _pairs(dtype, tables: int, probes: int, cosine: float):
     """The rows of many buckets → links of each node and a forest of edges, bucket by bucket."""
     def run(group):
         table = group.column("table").to_numpy()
@@ -123,7 +126,7 @@ def _pairs(tables: int, probes: int, cosine: float):
         for lo, hi in zip(ends[:-1], ends[1:], strict=True):
             if hi - lo < 2 or not home[lo:hi].any():
                 continue
-            x = np.frombuffer(b"".join(vec[k] for k in order[lo:hi]), np.float64).reshape(hi - lo, -1)
+            x = np.frombuffer(b"".join(vec[k] for k in order[lo:hi]), dtype).reshape(hi - lo, -1).astype(np.float64)
             norm = np.sqrt(np.einsum("ij,ij->i", x, x))
             hit = np.triu((x @ x.T) / norm[:, None] / norm[None, :] >= cosine, 1)
             h, m = home[lo:hi], mine[lo:hi]
@@ -177,13 +180,15 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     bounded_batches(spark)
     base = vectors.select(col(id_col).alias("id"), col(vec_col).alias("vec"))
     long = T.LongType()
-    rows = written(base.mapInArrow(_nodes, T.StructType([
+    held = base.schema["vec"].dataType
+    dtype = np.float32 if isinstance(getattr(held, "elementType", None), T.FloatType) else np.float64
+    rows = written(base.mapInArrow(_nodes(dtype), T.StructType([
         T.StructField("id", base.schema["id"].dataType), T.StructField("node", long), T.StructField("vec", T.BinaryType())])), "vectors")
     classes = (rows.where("node IS NOT NULL").groupBy("node")
                .agg(F.count(F.lit(1)).alias("size"), F.min("vec").alias("vec")))
     # few rows of much work each: dealt out evenly first
     coded = written(classes.repartition(partitions(spark)).mapInArrow(
-        _coded(tables, probes, seed), "node long, size long, vec binary, code binary, flat array<int>"), "coded")
+        _coded(dtype, tables, probes, seed), "node long, size long, vec binary, code binary, flat array<int>"), "coded")
     placed = coded.select("node", "size", "vec", "code", F.posexplode("flat").alias("at", "code_at")).select(
         "node", "size", "vec", "code", (F.col("at") / probes).cast("int").alias("table"), (F.col("at") % probes == 0).alias("home"),
         F.octet_length("vec").alias("bytes"), F.col("code_at"))
@@ -192,15 +197,17 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     placed = placed.select("node", "size", "vec", "code", "table", "home", bucket)
     hot = written(placed.groupBy("bucket").count().where(F.col("count") > block)
                   .select(F.col("bucket").alias("_b"), F.ceil(F.col("count") / block).alias("blocks")), "hot")
+    # groups of bounded size, however many rows there are
+    parts = max(4 * partitions(spark), coded.count() * tables * probes // GROUP_ROWS)
     few = hot.limit(HOT_BROADCAST + 1).count() <= HOT_BROADCAST
     joined = placed.join(F.broadcast(hot) if few else hot, F.col("bucket") == F.col("_b"), "left")
     mine = F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1).cast("long")))
     cut = (joined.withColumn("mine", mine)
            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1).cast("long")) - 1)))
            .withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
-           .withColumn("part", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(4 * partitions(spark)))))
+           .withColumn("part", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(parts))))
     found = written(cut.select("part", "bucket", "i", "j", "mine", "table", "home", "node", "size", "vec", "code")
-                    .groupBy("part").applyInArrow(_pairs(tables, probes, cosine), "a long, b long, links long"), "found")
+                    .groupBy("part").applyInArrow(_pairs(dtype, tables, probes, cosine), "a long, b long, links long"), "found")
     links = found.where("b IS NULL").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "_a")
     label = components(found.where("b IS NOT NULL").select("a", "b"), "vector-links").withColumnRenamed("id", "_i")
     told = (classes.select("node", "size").join(links, F.col("node") == F.col("_a"), "left")
