@@ -28,6 +28,7 @@ from sawmill.llm.frames import pack_strings, unpack_strings
 
 SHARD = 256  # pages of a host that are ordered together
 BROADCAST_HOSTS = 10_000  # rows
+GROUP_PAGES = 4096  # pages that a task differences at a time, on average
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure
@@ -208,6 +209,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                         F.coalesce(url_host(url), F.lit("")).alias("host"), F.coalesce(url_path(url), F.lit("")).alias("path"))
     large = (base.groupBy("host").count().where((F.col("count") > shard) & (F.col("host") != ""))
              .select(F.col("host").alias("_h"), F.ceil(F.col("count") / shard).alias("shards")))
+    parts = max(4 * partitions(spark), base.count() // GROUP_PAGES)  # groups of bounded size
     few = large.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
     parsed = base.mapInArrow(_parse, T.StructType([base.schema["id"], *(T.StructField(c, T.StringType()) for c in ("url", "host", "path")),
                                                    T.StructField("lines", T.BinaryType())]))
@@ -216,7 +218,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     order = F.xxhash64("id", "lines")
     spread = F.when(F.col("host") == "", order).otherwise(F.xxhash64("host", "shard"))
     placed = (placed.withColumn("shard", cut).withColumn("order", order)
-              .withColumn("part", F.pmod(spread, F.lit(4 * partitions(spark)))))
+              .withColumn("part", F.pmod(spread, F.lit(parts))))
     out = placed.select("part", "host", "shard", "path", "url", "order", "id", "lines").groupBy("part").applyInArrow(
         _texts, T.StructType([base.schema["id"], T.StructField("url", T.StringType()), T.StructField("text", T.StringType()),
                               T.StructField("n_chars", T.LongType())]))
