@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -138,13 +139,17 @@ def _part_of(words: list[bytes], n_parts: int) -> np.ndarray:
 def _frames(pattern: str, n_parts: int, limit: int):
     """id, text → frames: each document's pre-tokens as places among the frame's words, and the words by part.
 
-    A frame is named by a hash of its content, so a task that is run again names the same frame, or
-    another one, which then lacks its answers and is an error, never a wrong result.
+    A frame is named by a hash of its partition, its number there and its content: frames of equal content
+    are told apart, and a task that is run again names the same frame, or another one, which then lacks
+    its answers and is an error, never a wrong result.
     """
     def run(batches):
         split, cut = regex.compile(pattern), regex.compile(SEGMENT)
 
+        place, closed = f"{TaskContext.get().partitionId()}/".encode(), 0
+
         def close(frame, known, id_type):
+            nonlocal closed
             seq, by_rank = frame.ranked(len(known))
             names = list(known)
             words = [names[i].encode() for i in by_rank.tolist()]
@@ -153,7 +158,8 @@ def _frames(pattern: str, n_parts: int, limit: int):
             asks = [(p, pack_strings([words[i] for i in order[ends[p]:ends[p + 1]].tolist()]))
                     for p in range(n_parts) if ends[p] < ends[p + 1]]
             lens, packed = pack(np.array(frame.lens, np.uint32)), pack(seq)
-            name = xxhash.xxh3_64(repr(frame.ids).encode() + lens + packed)
+            name = xxhash.xxh3_64(place + b"%d:" % closed + repr(frame.ids).encode() + lens + packed)
+            closed += 1
             for _, blob in asks:
                 name.update(blob)
             return pa.record_batch([

@@ -206,6 +206,19 @@ def test_bpe_against_the_library(docs, empty):
     assert bpe.bpe_encode(empty, ranks, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_frames_of_equal_content(spark, docs):
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    want = Counter()
+    for r in bpe.bpe_encode(docs, ranks, public_tokenizers.PATTERN).collect():
+        want[(r["doc_id"], bytes(r["ids"]))] += 2
+    got = bpe.bpe_encode(docs.union(docs), ranks, public_tokenizers.PATTERN, frame_chars=5000).collect()  # equal partitions
+    assert Counter((r["doc_id"], bytes(r["ids"])) for r in got) == want
+    # a text that fills a frame, in a row: once per copy of the mix
+    long = spark.createDataFrame([(1, "some words " * 100)] * 3 + [(2, "x")], "doc_id long, text string").coalesce(1)
+    got = Counter(r["doc_id"] for r in bpe.bpe_encode(long, ranks, public_tokenizers.PATTERN, frame_chars=1000).collect())
+    assert got == {1: 3, 2: 1}
+
+
 def test_toxicity(spark, docs, empty):
     bad = ["vile", "nasty", "scummy"]
     texts = [" ".join(words(40)) for _ in range(300)]
