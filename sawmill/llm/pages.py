@@ -1,7 +1,7 @@
 """Main text of web pages by differencing with the page of the nearest URL.
 
-Every page becomes lines, one per block element.  Within a host, pages are ordered by URL path and each
-is paired with the neighbour whose path shares the longer beginning.  A longest common
+Every page becomes lines, one per block element.  Within a host, pages are ordered by URL path and URL, and
+each is paired with the neighbour whose path shares the longer beginning.  A longest common
 subsequence aligns the two pages' lines, and shared lines are deleted: menus, notices and footers repeat
 from page to page.
 
@@ -14,21 +14,24 @@ shared, and lines inside an ``article`` or ``main`` element stay even when they
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from html.parser import HTMLParser
+from itertools import pairwise
 from os.path import commonprefix
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sawmill.llm.common import bounded_batches, col, partitions, text_of
 from sawmill.llm.frames import pack_strings, unpack_strings
 
-SHARD = 256  # pages of a host that are ordered together
-BROADCAST_HOSTS = 10_000  # rows
-GROUP_PAGES = 4096  # pages that a task differences at a time, on average
+SHARD = 256  # pages of a range, on average
+MAX_RANGES = 100_000  # beyond that ranges grow; memory doesn't, since ordered pages are read one after the other
+SAMPLED = 4  # keys a range that its cuts are taken from
+GROUP_PAGES = 4096  # pages that a task differences, on average
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure
@@ -144,43 +147,94 @@ def shared_lines(a: list, b: list) -> set[int]:
     return shared
 
 
-def _parse(batches):
-    for b in batches:
-        blobs = []
-        for html in b.column("html").to_pylist():
-            blobs.append(pack_strings([kind + text.encode("utf-8", "replace") for kind, text in page_lines(html)]))
-        yield pa.record_batch([b.column("id"), b.column("url"), b.column("host"), b.column("path"), pa.array(blobs, pa.binary())],
-                              names=["id", "url", "host", "path", "lines"])
-
-
-def nearest(paths: list[str]) -> list[int | None]:
-    """For each of the ordered paths, the neighbour with the longer common beginning (the one before on a tie)."""
-    n = len(paths)
-    both = [len(commonprefix([paths[i], paths[i + 1]])) for i in range(n - 1)]
-    return [None if n == 1 else i + 1 if i == 0 or i < n - 1 and both[i] > both[i - 1] else i - 1 for i in range(n)]
-
-
-def _texts(group):
-    """Pages of many shards → their main texts."""
-    rows = group.select(["host", "shard", "path", "url", "order", "id", "lines"]).to_pylist()
-    rows.sort(key=lambda r: (r["host"] or "", r["shard"], r["path"], r["url"] or "", r["order"]))
-    out, at = [], 0
-    while at < len(rows):
-        end = at + 1
-        while rows[at]["host"] and end < len(rows) and (rows[end]["host"], rows[end]["shard"]) == (rows[at]["host"], rows[at]["shard"]):
-            end += 1
-        lines = [unpack_strings(r["lines"]) for r in rows[at:end]]
-        bare = [[x[1:] for x in page] for page in lines]
-        for i, other in enumerate(nearest([r["path"] for r in rows[at:end]])):
-            shared = shared_lines(bare[i], bare[other]) if other is not None else set()
-            has_main = any(x[:1] == MAIN_LINE for x in lines[i])
-            kept = [x[1:].decode() for k, x in enumerate(lines[i])
-                    if x[:1] == MAIN_LINE or x[:1] == OPEN and not has_main and k not in shared]
-            text = "\n\n".join(kept)
-            out.append((rows[at + i]["id"], rows[at + i]["url"], text, len(text)))
-        at = end
-    return pa.table({"id": pa.array([r[0] for r in out], group.schema.field("id").type), "url": pa.array([r[1] for r in out], pa.string()),
-                     "text": pa.array([r[2] for r in out], pa.string()), "n_chars": pa.array([r[3] for r in out], pa.int64())})
+def _key(b) -> list[tuple]:
+    """Sort keys of a batch's rows; code points compare as the UTF-8 bytes do that Spark sorts by."""
+    return list(zip(*(b.column(c).to_pylist() for c in ("host", "path", "url_key", "order")), strict=True))
+
+
+def _ends(cuts):
+    """Keys → each range's smallest and largest key."""
+    def run(batches):
+        ends: dict[int, list] = {}
+        for b in batches:
+            for k in _key(b):
+                at = ends.setdefault(bisect_right(cuts.value, k), [k, k])
+                at[0], at[1] = min(at[0], k), max(at[1], k)
+        for r, both in ends.items():
+            yield pa.record_batch([pa.array([r] * 2, pa.int32()), *(pa.array([k[i] for k in both], t) for i, t in enumerate(
+                (pa.string(), pa.string(), pa.string(), pa.int64())))], names=["range", "host", "path", "url_key", "order"])
+    return run
+
+
+def _neighbours(ends: list[tuple[int, tuple, tuple]]) -> dict[tuple, set[int]]:
+    """For the pages at the ends of ranges (in order: range, first and last key), the other ranges whose end they neighbour."""
+    out: dict[tuple, set[int]] = {}
+    for (left, _, last), (right, first, _) in pairwise(ends):
+        if last[0] and last[0] == first[0]:
+            out.setdefault(last, set()).add(right)
+            out.setdefault(first, set()).add(left)
+    return out
+
+
+def _parse(shared):
+    """Pages → their lines in their range, and once more as a guest in each range whose end they neighbour."""
+    def run(batches):
+        cuts, also = shared.value
+        for b in batches:
+            rows, ranges, guest, blobs = [], [], [], []
+            for i, (k, html) in enumerate(zip(_key(b), b.column("html").to_pylist(), strict=True)):
+                blob = pack_strings([kind + text.encode("utf-8", "replace") for kind, text in page_lines(html)])
+                for r in (bisect_right(cuts, k), *sorted(also.get(k, ()))):
+                    guest.append(bool(rows) and rows[-1] == i)
+                    rows.append(i)
+                    ranges.append(r)
+                    blobs.append(blob)
+            some = b.select(["id", "url", "host", "path", "url_key", "order"]).take(pa.array(rows, pa.int64()))
+            yield pa.record_batch([*some.columns, pa.array(ranges, pa.int32()), pa.array(guest, pa.bool_()), pa.array(blobs, pa.binary())],
+                                  names=[*some.schema.names, "range", "guest", "lines"])
+    return run
+
+
+def nearer(before: str | None, path: str, after: str | None) -> bool | None:
+    """Whether the path after has the longer common beginning (the one before on a tie); None without neighbours."""
+    if before is None or after is None:
+        return None if before is after else before is None
+    return len(commonprefix([path, after])) > len(commonprefix([before, path]))
+
+
+def _text(before, page, after) -> str:
+    """Main text of a page between its neighbours; each is (id, url, path, place, guest, lines)."""
+    lines = page[5]
+    near = [x if x and page[3][1] and x[3] == page[3] else None for x in (before, after)]
+    choice = nearer(near[0] and near[0][2], page[2], near[1] and near[1][2])
+    shared = set() if choice is None else shared_lines([x[1:] for x in lines], [x[1:] for x in near[choice][5]])
+    has_main = any(x[:1] == MAIN_LINE for x in lines)
+    return "\n\n".join(x[1:].decode() for k, x in enumerate(lines)
+                       if x[:1] == MAIN_LINE or x[:1] == OPEN and not has_main and k not in shared)
+
+
+def _texts(id_type):
+    """Ordered pages → their main texts; three pages are held at a time."""
+    def batch(rows):
+        return pa.record_batch([pa.array([r[0] for r in rows], id_type), pa.array([r[1] for r in rows], pa.string()),
+                                pa.array([r[2] for r in rows], pa.string()), pa.array([len(r[2]) for r in rows], pa.int64())],
+                               names=["id", "url", "text", "n_chars"])
+
+    def run(batches):
+        before = page = None
+        for b in batches:
+            rows = []
+            for i in range(b.num_rows):
+                r = {c: b.column(c)[i].as_py() for c in ("id", "url", "host", "path", "range", "guest", "lines")}
+                after = (r["id"], r["url"], r["path"], (r["range"], r["host"]), r["guest"], unpack_strings(r["lines"]))
+                if page and not page[4]:
+                    rows.append((page[0], page[1], _text(before, page, after)))
+                before, page = page, after
+            if rows:
+                yield batch(rows)
+        if page and not page[4]:
+            yield batch([(page[0], page[1], _text(before, page, None))])
+    return run
 
 
 def url_host(url: Column) -> Column:
@@ -195,31 +249,40 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
               shard: int = SHARD) -> DataFrame:
     """One row per input row: ``id_col``, ``url``, ``text``, ``n_chars``.
 
-    Blocks are joined by a blank line in page order; white space inside a block is one space.  Hosts of more
-    than ``shard`` pages are cut by a hash of the path into shards whose pages are paired with one another.
+    Blocks are joined by a blank line in page order; white space inside a block is one space.
 
     A null or empty page has an empty text.  Pages without a URL or whose URL has no host have no
     neighbour.  Pages of one URL are neighbours, ordered by a hash of their content; repeated rows are
     pages each.  An empty table gives an empty result.  Other columns are not read.
+
+    Pages are cut into ranges of about ``shard`` pages by (host, path, URL, hash), which shape the
+    work and never the result: the pages at a range's ends also go to the range beside it.  Only rows that
+    are equal in all of these can't be cut apart.
     """
     spark = pages.sparkSession
     bounded_batches(spark)
     url = col(url_col).cast("string")
     base = pages.select(col(id_col).alias("id"), url.alias("url"), text_of(html_col).alias("html"),
-                        F.coalesce(url_host(url), F.lit("")).alias("host"), F.coalesce(url_path(url), F.lit("")).alias("path"))
-    large = (base.groupBy("host").count().where((F.col("count") > shard) & (F.col("host") != ""))
-             .select(F.col("host").alias("_h"), F.ceil(F.col("count") / shard).alias("shards")))
-    parts = max(4 * partitions(spark), base.count() // GROUP_PAGES)  # groups of bounded size
-    few = large.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    parsed = base.mapInArrow(_parse, T.StructType([base.schema["id"], *(T.StructField(c, T.StringType()) for c in ("url", "host", "path")),
-                                                   T.StructField("lines", T.BinaryType())]))
-    placed = parsed.join(F.broadcast(large) if few else large, F.col("host") == F.col("_h"), "left")
-    cut = F.pmod(F.xxhash64("path"), F.coalesce("shards", F.lit(1).cast("long")))
-    order = F.xxhash64("id", "lines")
-    spread = F.when(F.col("host") == "", order).otherwise(F.xxhash64("host", "shard"))
-    placed = (placed.withColumn("shard", cut).withColumn("order", order)
-              .withColumn("part", F.pmod(spread, F.lit(parts))))
-    out = placed.select("part", "host", "shard", "path", "url", "order", "id", "lines").groupBy("part").applyInArrow(
-        _texts, T.StructType([base.schema["id"], T.StructField("url", T.StringType()), T.StructField("text", T.StringType()),
-                              T.StructField("n_chars", T.LongType())]))
+                        F.coalesce(url_host(url), F.lit("")).alias("host"), F.coalesce(url_path(url), F.lit("")).alias("path"),
+                        F.coalesce(url, F.lit("")).alias("url_key"))
+    base = base.withColumn("order", F.xxhash64("id", "html"))
+    id_type = base.schema["id"]
+    key = ("host", "path", "url_key", "order")
+    n = base.count()
+    ranges = min(n // shard + 1, MAX_RANGES)
+    # at most about SAMPLED keys a range go to the driver
+    some = base.where(F.pmod("order", F.lit(max(1, n // (SAMPLED * ranges)))) == 0).select(*key).distinct()
+    picked = sorted(_key(some.toArrow()))
+    cuts = picked[len(picked) // ranges or 1::len(picked) // ranges or 1]
+    shared = spark.sparkContext.broadcast(cuts)
+    ends = (base.select(*key).mapInArrow(_ends(shared), "range int, host string, path string, url_key string, order long")
+            .groupBy("range").agg(F.min(F.struct(*key)).alias("first"), F.max(F.struct(*key)).alias("last")).collect())
+    also = _neighbours(sorted((r["range"], tuple(r["first"]), tuple(r["last"])) for r in ends))
+    parsed = base.mapInArrow(_parse(spark.sparkContext.broadcast((cuts, also))), T.StructType([
+        id_type, *(T.StructField(c, T.StringType()) for c in ("url", "host", "path", "url_key")), T.StructField("order", T.LongType()),
+        T.StructField("range", T.IntegerType()), T.StructField("guest", T.BooleanType()), T.StructField("lines", T.BinaryType())]))
+    parts = max(4 * partitions(spark), min(n // GROUP_PAGES, MAX_RANGES // 4))
+    out = (parsed.repartition(parts, "range").sortWithinPartitions("range", *key)
+           .mapInArrow(_texts(to_arrow_type(id_type.dataType)), T.StructType([
+               id_type, T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])))
     return out.withColumnRenamed("id", id_col)

@@ -347,6 +347,17 @@ def test_pages(spark):
     assert pages.main_text(df.where("false")).count() == 0
 
 
+def test_pages_are_paired_with_the_nearest_of_a_large_host(spark):
+    # a section's notice is shared by the two pages of the section only
+    html = "<div>Notice of section {0}</div><p>Story {1}</p>"
+    rows = [(2 * k + h, f"http://a.com/s{k:04}/{h}", html.format(k, 2 * k + h)) for k in range(200) for h in (0, 1)]
+    # pages of one path, told apart by the query only; neighbours share every line but the story
+    rows += [(1000 + k, f"http://b.com/view?id={k:04}", html.format("b", 1000 + k)) for k in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    for shard in (pages.SHARD, 3, 1):
+        assert {r["page_id"]: r["text"] for r in pages.main_text(df, shard=shard).collect()} == {r[0]: f"Story {r[0]}" for r in rows}
+
+
 def test_every_query_is_registered():
     assert [k.split("_")[0] for k in queries.queries()] == [f"op{i}" for i in range(1, 11)]
     assert set(queries.oracle_sql()) <= set(queries.queries())
