@@ -358,6 +358,15 @@ def test_pages_are_paired_with_the_nearest_of_a_large_host(spark):
         assert {r["page_id"]: r["text"] for r in pages.main_text(df, shard=shard).collect()} == {r[0]: f"Story {r[0]}" for r in rows}
 
 
+def test_pages_of_one_path_are_cut_into_ranges(spark, monkeypatch):
+    rows = [(k, f"http://b.com/view?id={k // 2}", "<p>x") for k in range(4000)]
+    seen = []
+    monkeypatch.setattr(pages, "_neighbours", lambda ends, f=pages._neighbours: seen.append(ends) or f(ends))
+    assert pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), shard=100).count() == 4000
+    keys = sorted((r[1], r[0]) for r in rows)
+    assert len(seen[0]) >= 20 and seen[0][0][1][2] == keys[0][0] and seen[0][-1][2][2] == keys[-1][0]
+
+
 def test_every_query_is_registered():
     assert [k.split("_")[0] for k in queries.queries()] == [f"op{i}" for i in range(1, 11)]
     assert set(queries.oracle_sql()) <= set(queries.queries())
