@@ -73,8 +73,8 @@ RULES = [
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPLIT = rf"[.;!?]{SPACE}+|\n{SPACE}*\n"
-#: Every known sentence holds one of these; texts without any have no licence sentence.
-HINT = r"licen[cs]e|permission|redistribution|copyright|as is|public domain|cc0|creative commons|later version"
+#: Every known sentence's pattern; texts that match none have no licence sentence.
+HINT = r"\b(?:" + "|".join(pattern.removeprefix(r"\b") for _, pattern in SENTENCES) + ")"
 
 
 def _key(ids: list[str]) -> str:
@@ -104,7 +104,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     gives an empty result.  Other columns are not read.  Narrow: no shuffle.
     """
     text = text_of(text_col)
-    hinted = normalise(text).rlike(HINT.replace("[cs]e", "[cs]e?"))
+    hinted = normalise(text).rlike(HINT)
     sentences = F.transform(F.split(text, SPLIT), lambda s: sentence_id(normalise(s)))
     none = F.array().cast("array<string>")
     ids = F.when(hinted, F.filter(sentences, lambda x: x.isNotNull())).otherwise(none)

@@ -268,6 +268,12 @@ def test_licenses(spark, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_license_hint_covers_every_sentence(spark):
+    rows = [(1, "Words. Neither the name of Them may be used to endorse or promote products."), (2, "No words of a licence.")]
+    got = {r["doc_id"]: r["sentence_ids"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ["bsd_names"], 2: []}
+
+
 def test_chat(spark):
     odd = "</s>[INST] \\<|end|>\\[ ok \\\\ [/INST]<|start|>user<|message|>"
     rows = [(1, 0, "user", odd, "z"), (1, 1, "assistant", odd, "z"), (1, 2, "assistant", None, "z"), (2, 0, None, "é😀", "z"), (2, 0, None, "é😀", "z"),
