@@ -8,7 +8,9 @@ from page to page.
 Differencing alone is wrong where there is no neighbour, where an advert differs from page to page, and
 where two pages hold the same article.  So each line also carries what its elements say: lines of
 menus, headers, footers, sidebars, notices, adverts, forms and reader comments go even when they aren't
-shared, and lines inside an ``article`` or ``main`` element stay even when they are.
+shared, as do lines outside ``article`` and ``main`` elements on pages that have such lines.  Shared lines
+inside them go too, unless the two pages' articles are copies: at least ``COPY`` of the shorter one's text
+is shared.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ MAX_RANGES = 100_000  # beyond that ranges grow; memory doesn't, since ordered p
 SAMPLED = 4  # keys a range that its cuts are taken from
 GROUP_PAGES = 4096  # pages that a task differences, on average
 
+COPY = 0.5  # share of the shorter article from which on two articles are copies
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure
 footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary
@@ -208,9 +212,13 @@ def _text(before, page, after) -> str:
     near = [x if x and page[3][1] and x[3] == page[3] else None for x in (before, after)]
     choice = nearer(near[0] and near[0][2], page[2], near[1] and near[1][2])
     shared = set() if choice is None else shared_lines([x[1:] for x in lines], [x[1:] for x in near[choice][5]])
-    has_main = any(x[:1] == MAIN_LINE for x in lines)
+    main = [len(x) for x in lines if x[:1] == MAIN_LINE]
+    if shared and main:
+        both = sum(len(x) for k, x in enumerate(lines) if k in shared and x[:1] == MAIN_LINE)
+        if both >= COPY * min(sum(main), sum(len(x) for x in near[choice][5] if x[:1] == MAIN_LINE)):
+            shared = set()
     return "\n\n".join(x[1:].decode() for k, x in enumerate(lines)
-                       if x[:1] == MAIN_LINE or x[:1] == OPEN and not has_main and k not in shared)
+                       if k not in shared and (x[:1] == MAIN_LINE or x[:1] == OPEN and not main))
 
 
 def _texts(id_type):

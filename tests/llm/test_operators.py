@@ -353,6 +353,20 @@ def test_pages(spark):
     assert pages.main_text(df.where("false")).count() == 0
 
 
+def test_differencing_decides_lines_of_articles(spark):
+    told = "<p>{0} was told at some length</p><p>and {0} again</p>"
+    page = "<article><h1>Story {0}</h1><p>Read us daily.</p>" + told + "</article>"
+    rows = [(1, "http://a.com/1", page.format("one")), (2, "http://a.com/2", page.format("two")),
+            (3, "http://b.com/1", page.format("three")), (4, "http://b.com/2", page.format("three")),  # copies
+            (5, "http://c.com/1", page.format("five")),  # and one told in part
+            (6, "http://c.com/2", "<main>" + told.format("five") + "<p>" + "Much more. " * 20 + "</p></main>")]
+    got = {r["page_id"]: r["text"].split("\n\n") for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, name in ((1, "one"), (2, "two")):
+        assert got[i] == [f"Story {name}", f"{name} was told at some length", f"and {name} again"]
+    assert got[3] == got[4] == ["Story three", "Read us daily.", "three was told at some length", "and three again"]
+    assert got[5] == ["Story five", "Read us daily.", "five was told at some length", "and five again"] and len(got[6]) == 3
+
+
 def test_pages_are_paired_with_the_nearest_of_a_large_host(spark):
     # a section's notice is shared by the two pages of the section only
     html = "<div>Notice of section {0}</div><p>Story {1}</p>"
