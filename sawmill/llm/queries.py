@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sawmill.llm import bpe, chat, embeddings, exact_dedup, interpolation, jaccard, licenses, mixing, pages, toxicity
+from sawmill.llm import (
+    bpe,
+    chat,
+    embeddings,
+    exact_dedup,
+    interpolation,
+    jaccard,
+    lexical,
+    licenses,
+    merkle,
+    mixing,
+    packing,
+    pages,
+    toxicity,
+)
 from sawmill.llm.common import fold, table
 
 
@@ -80,10 +94,29 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7) == 0  # a null id is not tampered with
+    leaves = table(spark, sf_dir, "documents").select("doc_id", "lang", merkle.document_leaf(F.col("n_chars")).alias("leaf"), F.when(
+        tampered & F.col("n_chars").isNotNull(), merkle.document_leaf(F.col("n_chars") + 1)).alias("tampered"))
+    leaves = leaves.select("doc_id", "lang", "leaf", F.coalesce("tampered", "leaf").alias("claimed"))
+    out = merkle.merkle_manifest(leaves, "lang", "doc_id", claimed="claimed", proofs=False)
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digest=True)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_interpolated_lm, op2_jaccard_join, op3_toxicity, op4_license_scan, op5_exact_dedup, op6_bpe, op7_main_text, op8_chat_format, op9_embedding_dedup, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_interpolated_lm, op2_jaccard_join, op3_toxicity, op4_license_scan, op5_exact_dedup, op6_bpe, op7_main_text, op8_chat_format, op9_embedding_dedup, op10_mix_sources, op11_lexical_search,
+                                   op12_merkle_manifest, op13_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op4_license_scan": licenses.oracle(), "op5_exact_dedup": exact_dedup.ORACLE,
-            "op8_chat_format": chat.ORACLE, "op10_mix_sources": mixing.ORACLE}
+            "op8_chat_format": chat.ORACLE, "op10_mix_sources": mixing.ORACLE,
+            "op11_lexical_search": lexical.ORACLE, "op12_merkle_manifest": merkle.ORACLE}
