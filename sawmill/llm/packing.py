@@ -19,12 +19,15 @@ Every round is written to the shared folder, which also ends its lineage.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,81 +39,108 @@ from sawmill.llm.words import texts
 CAPACITY = 4096
 RANGE_ROWS = 1 << 16  # pieces and gaps swept by one task
 BROADCAST_ROWS = 100_000  # of the meetings of ranges; beyond it their join shuffles
-SEGMENTS = 1 << 18  # distinct segments whose ids a task keeps
-BAR = b"|"
-JOINED = 1 << 20  # bytes of new segments given to the tokenizer at a time
+SEGMENTS = 1 << 19  # distinct segments whose ids a task keeps
+JOINED = 1 << 20  # bytes of new words given to the tokenizer at a time
+#: a-z, and the letters of U+00C0-U+00FF in UTF-8.
+_LATIN = rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]"
+_PLAIN = re.compile(rb"(?:[a-z]|%s)+" % _LATIN)
+_MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in "'<>")  # neither contractions nor special tokens
+_MARKED = re.compile(rb"(.*(?:[a-z]|%s))[%s]+" % (_LATIN, re.escape(_MARKS)), re.DOTALL)
+_BOUND = re.compile(rb"(?<![a-z0-9])(?<!%s)[.,;:!?] " % _LATIN)  # a mark that may belong to what is before it
 
 
-class _Known(dict):
-    """Ids of the segments kept, and beside them those that are new in this batch."""
+def spaced(text: bytes) -> bytes:
+    """``text`` with a space before each mark that a letter or digit precedes and a space follows, which parts no token.
 
-    new: dict[bytes, bytes] = {}
-
-    def __missing__(self, segment: bytes) -> bytes:
-        return self.new[segment]
+    A-Z are lower-cased where that can't change the ids: names of special tokens stay, and so does a text with
+    combining marks (U+0300-U+037F), since there are letters that compose with them in lower case only."""
+    if b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text:
+        text = text.lower()
+    if not _BOUND.search(text):
+        for mark in (b". ", b", ", b"; ", b": ", b"! ", b"? "):
+            text = text.replace(mark, b" " + mark)
+    return text
 
 
 class Words:
     """Token ids of whole texts.  White space never is part of a token of this tokenizer, so a text's ids are
-    those of its segments between white space; new segments of a batch are encoded as one text, parted by bars."""
+    those of its segments between white space; nor does one reach over a word's end into a mark after it, so a
+    segment's ids are those of its word and of the marks that end it.  Of these, new ones are encoded many at a time."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.bar = self._ids("|")
-        self.parted = len(self.bar) == 1 and len(self._ids("a | b")) == len(self._ids("a")) + len(self._ids("b")) + 1
-        self.known = _Known()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.known: dict[bytes, bytes] = {}
 
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def _ids(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4")
 
-    def _learn(self, segments: list[bytes]) -> dict[bytes, bytes]:
-        plain = [s for s in segments if self.parted and BAR not in s]
-        out = {s: np.array(self._ids(s.decode()), "<u4").tobytes() for s in segments if not (self.parted and BAR not in s)}
+    def _words(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Words of letters alone, as one text: each one's ids end where a word ends."""
         at = 0
-        while at < len(plain):
+        while at < len(words):
             end, size = at, 0
-            while end < len(plain) and (end == at or size < JOINED):
-                size += len(plain[end]) + 3
+            while end < len(words) and (end == at or size < JOINED):
+                size += len(words[end]) + 1
                 end += 1
-            ids = np.array(self._ids(b" | ".join(plain[at:end]).decode()), "<u4")
-            parts = np.split(ids, np.flatnonzero(ids == self.bar[0]))
-            if len(parts) != end - at:
-                raise RuntimeError("the tokenizer joins a segment with its neighbour")
-            out.update((s, p[i > 0:].tobytes()) for i, (s, p) in enumerate(zip(plain[at:end], parts, strict=True)))
+            ids = self._ids(b" ".join(words[at:end]))
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(ends) == end - at:
+                raw, start = ids.tobytes(), 0
+                for w, e in zip(words[at:end], ends.tolist(), strict=True):
+                    yield w, raw[start:e]
+                    start = e
+            else:
+                yield from ((w, self._ids(w).tobytes()) for w in words[at:end])
             at = end
+
+    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of segments that aren't known."""
+        cut = [(s, m.span(1)[1]) for s in new if s[-1:] in _MARKS and (m := _MARKED.fullmatch(s))]
+        alone = {s for s in new}.difference(s for s, _ in cut)
+        parts = alone.union(s[:n] for s, n in cut).union(s[n:] for s, n in cut).difference(self.known)
+        plain = [p for p in parts if p.isalpha() or _PLAIN.fullmatch(p)]
+        out = {p: self._ids(p).tobytes() for p in parts.difference(plain)}
+        out.update(self._words(plain))
+        look = lambda p: out[p] if p in out else self.known[p]
+        out.update([(s, look(s[:n]) + look(s[n:])) for s, n in cut])
+        self.known.update(islice(out.items(), max(0, SEGMENTS - len(self.known))))
         return out
 
-    def encode(self, all_texts: list[bytes]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = []
-        for t in all_texts:
-            # lower case changes nothing in ASCII text, but for the names of special tokens
-            split.append((t.lower() if t.isascii() and b"<|" not in t else t).split())
-        new = list({s for words in split for s in words if s not in self.known})
-        self.known.new = learnt = self._learn(new)
-        for s in new[:SEGMENTS - len(self.known)]:
-            self.known[s] = learnt[s]
-        for words in split:
-            yield b"".join(map(self.known.__getitem__, words))
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and how many each has."""
+        split = pc.ascii_split_whitespace(pa.array(list(map(spaced, texts(column))), pa.binary()).cast(pa.string()))
+        segments = split.values.dictionary_encode()
+        names = segments.dictionary.cast(pa.binary()).to_pylist()
+        new = self._learn([s for s in names if s not in self.known])
+        found = [self.known[s] if s in self.known else new[s] for s in names]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        start, which = np.cumsum(size) - size, segments.indices.to_numpy()
+        n = size[which]
+        end = np.concatenate([[0], np.cumsum(n)])
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(start[which] - end[:-1], n) + np.arange(end[-1])]
+        return ids, np.diff(end[split.offsets.to_numpy()])
 
 
 def _pieces(path: str, capacity: int, end_id: int, step: int):
     """id, text -> one row per piece: id, piece, start, length, ids."""
     def run(batches):
-        words, end = Words(path), np.uint32(end_id).tobytes()
+        words = Words(path)
         for whole in batches:
             for b in (whole.slice(at, step) for at in range(0, whole.num_rows, step)):
-                row, number, ids = [], [], []
-                for i, x in enumerate(words.encode(texts(b.column(1)))):
-                    x += end
-                    for p, at in enumerate(range(0, len(x), 4 * capacity)):
-                        row.append(i)
-                        number.append(p)
-                        ids.append(x[at:at + 4 * capacity])
-                yield pa.record_batch([b.column(0).take(pa.array(row, pa.int64())), pa.array(number, pa.int32()),
-                                       pa.array([p * capacity for p in number], pa.int64()),
-                                       pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                                      names=["id", "piece", "start", "length", "ids"])
+                ids, n = words.encode(b.column(1))
+                ids = np.insert(ids, np.cumsum(n), np.uint32(end_id)).astype("<u4").tobytes()
+                n = n + 1
+                pieces = -(-n // capacity)
+                row = np.repeat(np.arange(len(n)), pieces)
+                number = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                length = np.minimum(n[row] - number * capacity, capacity)
+                end = np.cumsum(length) * 4
+                cut = [ids[x:y] for x, y in zip((end - 4 * length).tolist(), end.tolist(), strict=True)]
+                yield pa.record_batch([b.column(0).take(pa.array(row)), pa.array(number, pa.int32()), pa.array(number * capacity),
+                                       pa.array(length), pa.array(cut, pa.binary())], names=["id", "piece", "start", "length", "ids"])
     return run
 
 
@@ -124,7 +154,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     """
     bounded_batches(docs.sparkSession)
     base = docs.select(col(id_col).alias("id"), text_of(text_col).alias("text"))
-    out = base.mapInArrow(_pieces(tokenizer, capacity, end_id, 512), T.StructType([
+    out = base.mapInArrow(_pieces(tokenizer, capacity, end_id, 1024), T.StructType([
         base.schema["id"], T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
         T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())]))
     return out.withColumnRenamed("id", id_col)
