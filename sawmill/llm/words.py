@@ -7,14 +7,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-_MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_BASE = 0xA0761D6478BD642F | 5
+_MIX1, _MIX2, _MIX3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
 WINDOW = 1 << 20  # bytes hashed at a time
-_powers: list[np.ndarray] = []
+LONG = 64  # bytes from which on a word is hashed by itself
+#: Masks of the first 0 to 8 bytes of a block.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -22,28 +24,29 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2 ** 64, at least ``n``."""
-    if not _powers or len(_powers[0]) < n:
-        n = max(n, WINDOW + (WINDOW >> 2))
-        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
-            factors = np.full(n, b, np.uint64)
-            factors[0] = 1
-            _powers.append(np.cumprod(factors, dtype=np.uint64))
-        del _powers[:-2]
-    return _powers
+def _absorb(h: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """A word's hash after its next 8 bytes; not linear in them, so words don't cancel out."""
+    h = (h ^ block) * _MIX3
+    h = (h ^ (h >> np.uint64(32))) * _MIX1
+    return h ^ (h >> np.uint64(29))
 
 
 def _window_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the words of ``data``: a polynomial of its bytes, taken from running sums."""
-    a = np.frombuffer(data, np.uint8)
-    space = np.concatenate([[True], _SPACE[a], [True]])
+    """Starts and hashes of the words of ``data``, taken from blocks of 8 bytes; of long words from the library's 64-bit hash."""
+    space = np.concatenate([[True], _SPACE[np.frombuffer(data, np.uint8)], [True]])
     edge = np.flatnonzero(space[1:] != space[:-1])
     starts, ends = edge[::2], edge[1::2]
-    up, down = _power_tables(len(a))
-    sums = np.zeros(len(a) + 1, np.uint64)
-    np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up[:len(a)], out=sums[1:])
-    return starts, mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _MIX1)
+    size = ends - starts
+    blocks = np.ndarray(len(data) + 1, "<u8", data + bytes(8), strides=(1,))  # the 8 bytes from each place on
+    h = size.astype(np.uint64) * _MIX1
+    rest, at = np.flatnonzero(size <= LONG), 0
+    while len(rest):
+        left = size[rest] - at
+        h[rest] = _absorb(h[rest], blocks[starts[rest] + at] & _FIRST[np.minimum(left, 8)])
+        rest, at = rest[left > 8], at + 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] ^= np.uint64(xxhash.xxh3_64_intdigest(data[starts[i]:ends[i]]))
+    return starts, mix(h)
 
 
 def word_hashes(texts: list[bytes]) -> Iterator[np.ndarray]:
