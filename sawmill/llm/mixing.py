@@ -5,8 +5,8 @@ Each source has a weight and a size in words.  Targets are ``weight * level``, c
 weight until none is above its cap.  A target becomes whole repetitions of the source plus a
 fraction; the fraction is taken from the start of a seeded order of the documents.
 
-The cut of a source's order is found by three rounds of sums (4,096 hash ranges, 4,096 ranges inside
-the one that holds the cut, then the rows of that range), so no task sorts or holds a whole source.
+The cut of a source's order is found by rounds of sums (4,096 hash ranges, 4,096 ranges inside the one that
+holds the cut, then its distinct ids and sizes, file parts and rows), so no task sorts or holds a whole source.
 Whether a row is taken depends on the row and on one cut per source, so texts are never shuffled.
 """
 
@@ -58,45 +58,53 @@ def source_weights(sizes: DataFrame) -> DataFrame:
     return sizes.sparkSession.createDataFrame(ranked, "source string, size long, weight long")
 
 
-def _boundary(parts: DataFrame, keys: list[str], rest: str) -> DataFrame:
-    """The range of each source in which its running size passes ``rest``, with what is left there."""
+BROADCAST_BYTES = 8 << 20  # of a table with a row per source; beyond it its joins shuffle
+
+
+def _per_source(df: DataFrame, bounded: bool) -> DataFrame:
+    return F.broadcast(df) if bounded else df
+
+
+def _boundary(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """The range of each source in which its running size passes ``left``, with what is ``left`` there."""
     upto = Window.partitionBy("source").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("words").over(upto), F.lit(0))
-    return (parts.withColumn("_before", before)
-            .where((F.col("_before") <= F.col(rest)) & (F.col("_before") + F.col("words") > F.col(rest)))
-            .withColumn("_left", F.col(rest) - F.col("_before")))
+    return (parts.withColumn("_before", F.coalesce(F.sum("words").over(upto), F.lit(0)))
+            .where((F.col("_before") <= F.col("left")) & (F.col("_before") + F.col("words") > F.col("left")))
+            .select(F.col("source").alias("_s"), *(F.col(k).alias(f"_{k}") for k in keys), (F.col("left") - F.col("_before")).alias("left")))
+
+
+def _within(rows: DataFrame, cut: DataFrame, keys: list[str], bounded: bool) -> DataFrame:
+    """The rows of each source's cut range, with what is ``left`` there."""
+    same = F.col("source").eqNullSafe(F.col("_s"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return rows.drop("left").join(_per_source(cut, bounded), same).drop("_s", *(f"_{k}" for k in keys))
 
 
-def mix_plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row per source: ``whole`` repetitions and the cut (``base``, ``upto``) of the fraction.
+def mix_plan(sizes: DataFrame, targets: DataFrame, bounded: bool = False) -> DataFrame:
+    """One row per source: ``whole`` repetitions, and the last row ``upto`` of the order that is taken once more.
 
-    ``sizes`` has ``id``, ``source``, ``size`` and ``u``, the seeded order.
+    ``sizes`` has ``id``, ``source``, ``size``, ``u`` (the seeded order) and ``n``, a number no other row has, its
+    upper bits those of the file part.  The cut is narrowed by ranges of ``u``, by rows of one (u, id, size), which may be many, by
+    file part, and by row; only rows of one file part are ever sorted.
     """
     plan = targets.where("size > 0").select(
-        F.col("source"), F.col("size").alias("source_size"), "target",
-        F.floor(F.col("target") / F.col("size")).alias("whole"))
-    plan = plan.withColumn("frac", F.col("target") - F.col("whole") * F.col("source_size"))
+        F.col("source"), F.col("size").alias("source_size"), "target", F.floor(F.col("target") / F.col("size")).alias("whole"))
+    plan = plan.withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
     shift = 48 - RANGE_BITS
-    one = F.shiftright("u", shift)
-    two = F.shiftright("u", shift - RANGE_BITS).bitwiseAND((1 << RANGE_BITS) - 1)
-    rows = sizes.where("size > 0").withColumn("b1", one).withColumn("b2", two)
-    by_source = rows["source"].eqNullSafe(plan["source"])
-    parts = (rows.groupBy("source", "b1").agg(F.sum("size").alias("words"))
-             .join(plan.select(F.col("source").alias("_s"), "frac"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s"))
-    cut1 = _boundary(parts, ["b1"], "frac").select(F.col("source").alias("_s"), F.col("b1").alias("_b1"), F.col("_left").alias("left1"))
-    inner = (rows.join(cut1, F.col("source").eqNullSafe(F.col("_s")) & (F.col("b1") == F.col("_b1")))
-             .drop("_s", "_b1"))
-    parts2 = inner.groupBy("source", "b1", "b2", "left1").agg(F.sum("size").alias("words"))
-    cut2 = _boundary(parts2, ["b2"], "left1").select(
-        F.col("source").alias("_s"), F.col("b1").alias("_b1"), F.col("b2").alias("_b2"), F.col("_left").alias("left2"))
-    last = rows.join(cut2, F.col("source").eqNullSafe(F.col("_s")) & (F.col("b1") == F.col("_b1")) & (F.col("b2") == F.col("_b2")))
-    upto = Window.partitionBy("source").orderBy("u", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    taken = (F.coalesce(F.sum("size").over(upto), F.lit(0)) + F.col("size") / 2) <= F.col("left2")
-    ends = (last.withColumn("_taken", taken).groupBy("source").agg(
-        F.max(F.when(F.col("_taken"), F.struct("u", "id", "size"))).alias("upto"),
-        F.first(F.shiftleft("b1", shift) + F.shiftleft("b2", shift - RANGE_BITS)).alias("base"))
-        .withColumnRenamed("source", "_s"))
-    return plan.join(ends, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s", "frac")
+    rows = (sizes.where("size > 0").withColumn("b1", F.shiftright("u", shift))
+            .withColumn("b2", F.shiftright("u", shift - RANGE_BITS).bitwiseAND((1 << RANGE_BITS) - 1))
+            .withColumn("part", F.shiftright("n", 33)))
+    rows = rows.join(_per_source(plan.select(F.col("source").alias("_s"), "left"), bounded), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    for keys in (["b1"], ["b2"], ["u", "id", "size"], ["part"]):
+        parts = rows.groupBy("source", *keys, "left").agg(F.sum("size").alias("words"))
+        rows = _within(rows, _boundary(parts, keys), keys, bounded)
+    upto = Window.partitionBy("source").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    taken = (F.coalesce(F.sum("size").over(upto), F.lit(0)) + F.col("size") / 2) <= F.col("left")
+    last = F.coalesce(F.max(F.when(F.col("_taken"), F.col("n"))), F.min(F.shiftleft("part", 33)) - 1)
+    ends = (rows.withColumn("_taken", taken).groupBy("source", "u", "id", "size").agg(last.alias("n"))
+            .select(F.col("source").alias("_s"), F.struct("u", "id", "size", "n").alias("upto")))
+    return plan.join(ends, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s", "left")
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *,
@@ -108,22 +116,22 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     at most half of one document.
 
     Null texts and texts without a word have size 0 and are taken 0 times.  A null source is a source
-    of its own, last in order.  Repeated rows and equal ids are separate documents; rows equal in id
-    and size share one fate.  A source without words has target 0.  An empty table gives an empty
+    of its own, last in order.  Repeated rows and equal ids are separate documents, each taken or not; which of rows equal in id
+    and size are taken once more is left open.  A source without words has target 0.  An empty table gives an empty
     result.  Other columns are not read.
     """
     sizes = written(docs.select(col(id_col).alias("id"), col(source_col).cast("string").alias("source"),
-                                word_count(text_of(text_col)).alias("size"), _order(col(id_col), seed).alias("u")),
-                    "mix-sizes")
+                                word_count(text_of(text_col)).alias("size"), _order(col(id_col), seed).alias("u"),
+                                F.monotonically_increasing_id().alias("n")), "mix-sizes")
     sources = written(source_weights(sizes), "mix-sources")
+    bounded = (sources.agg(F.sum(F.coalesce(F.octet_length("source"), F.lit(0)) + 128)).first()[0] or 0) <= BROADCAST_BYTES
     targets = water_fill(sources, max_epochs)
-    plan = mix_plan(sizes, targets).select(F.col("source").alias("_s"), "whole", "base", "upto", F.lit(True).alias("_has"))
+    plan = mix_plan(sizes, targets, bounded).select(F.col("source").alias("_s"), "whole", "upto")
     every = targets.select(F.col("source").alias("_t"), F.col("size").alias("source_size"), "target")
     plan = every.join(plan, F.col("_t").eqNullSafe(F.col("_s")), "left").drop("_s")
-    row = F.struct("u", "id", "size")
-    extra = (F.col("u") < F.col("base")) | (row <= F.col("upto"))
+    extra = F.struct("u", "id", "size", "n") <= F.col("upto")
     repeats = F.when(F.col("size") > 0, F.coalesce("whole", F.lit(0)) + F.coalesce(extra, F.lit(False)).cast("long")).otherwise(0)
-    return (sizes.join(plan, F.col("source").eqNullSafe(F.col("_t")), "left")
+    return (sizes.join(_per_source(plan, bounded), F.col("source").eqNullSafe(F.col("_t")), "left")
             .select(F.col("id").alias(id_col), "size", "source_size", "target",
                     F.least(repeats, F.lit(max_epochs)).cast("long").alias("repeats"))
             .withColumn("taken", F.col("repeats") * F.col("size")))
