@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sawmill.llm.common import bounded_batches, col, partitions, text_of
+from sawmill.llm.common import bounded_batches, col, lean, parts_for, text_of, written
 from sawmill.llm.frames import FRAME_CHARS, Frame, by_part, pack, pack_strings, unpack, unpack_strings
 from sawmill.llm.words import texts
 
@@ -31,7 +32,7 @@ LONG = 64  # bytes from which on a word is merged with a heap
 NONE = np.iinfo(np.int64).max
 #: White space, then other characters: no pre-token reaches over the end of such a segment.
 SEGMENT = r"\s*\S+|\s+"
-SEGMENTS = 1 << 17  # segments whose pre-tokens a task keeps; it starts over when full
+SEGMENTS = 1 << 16  # segments whose pre-tokens a task keeps; it starts over when full
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -51,10 +52,14 @@ class Merges:
                 left, right = ranks.get(token[:i]), ranks.get(token[i:])
                 if left is not None and right is not None:
                     pairs[left << 32 | right] = rank
-        self.pairs = pairs
         self.keys = np.array(sorted(pairs), np.int64)
         self.merged = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
 
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        """The same for single look-ups; made where a long word needs it."""
+        return dict(zip(self.keys.tolist(), self.merged.tolist(), strict=True))
+
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 32 | right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
@@ -139,9 +144,8 @@ def _part_of(words: list[bytes], n_parts: int) -> np.ndarray:
 def _frames(pattern: str, n_parts: int, limit: int):
     """id, text → frames: each document's pre-tokens as places among the frame's words, and the words by part.
 
-    A frame is named by a hash of its partition, its number there and its content: frames of equal content
-    are told apart, and a task that is run again names the same frame, or another one, which then lacks
-    its answers and is an error, never a wrong result.
+    A frame is named by a hash of its partition, its number there and its content, so frames of equal content
+    are told apart.
     """
     def run(batches):
         split, cut = regex.compile(pattern), regex.compile(SEGMENT)
@@ -223,7 +227,7 @@ def _assemble(frames, answers):
     for doc_ids, lens, seq, parts in zip(*(frames.column(c).to_pylist() for c in ("ids", "lens", "seq", "parts")), strict=True):
         order = np.argsort(unpack(parts), kind="stable")
         if len(order) != len(by_part_counts):
-            raise RuntimeError("a frame lacks answers: its documents came in another order when a task was run again")
+            raise RuntimeError("a frame lacks answers")
         counts, starts = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
         counts[order], starts[order] = by_part_counts, np.cumsum(by_part_counts) - by_part_counts
         seq, at = unpack(seq), 0
@@ -246,7 +250,7 @@ def bpe_encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: s
     columns are not read.
     """
     spark = docs.sparkSession
-    n_parts = partitions(spark)
+    n_parts = parts_for(docs)
     bounded_batches(spark)
     base = docs.select(col(id_col).alias("id"), text_of(text_col).alias("text"))
     id_type = base.schema["id"].dataType
@@ -255,11 +259,11 @@ def bpe_encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: s
         T.StructField("frame", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("lens", T.BinaryType()),
         T.StructField("seq", T.BinaryType()), T.StructField("parts", T.BinaryType()),
         T.StructField("asks", T.ArrayType(T.StructType([T.StructField("part", T.IntegerType()), T.StructField("words", T.BinaryType())])))])
-    # dealt out once: the asks and the assembly read the same shuffle
-    frames = base.mapInArrow(_frames(pattern, n_parts, frame_chars), schema).repartition(n_parts, "frame")
-    answers = (frames.mapInArrow(_asks, "frame long, part int, words binary")
+    # written, so that a task that is run again finds the same frames
+    frames = written(base.mapInArrow(lean(_frames(pattern, n_parts, frame_chars)), schema), "bpe-frames")
+    answers = (frames.select("frame", "asks").mapInArrow(_asks, "frame long, part int, words binary")
                .groupBy("part").applyInArrow(_encode(merges), "frame long, part int, counts binary, answer binary"))
-    out = (frames.groupBy("frame").cogroup(answers.groupBy("frame"))
+    out = (frames.drop("asks").groupBy("frame").cogroup(answers.groupBy("frame"))
            .applyInArrow(_assemble, T.StructType([T.StructField("id", id_type), T.StructField("ids", T.BinaryType())])))
     return out.select(F.col("id").alias(id_col), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
@@ -281,4 +285,4 @@ def bpe_decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids"
                 out = [b"".join(map(look, np.frombuffer(x or b"", "<u4").tolist())) for x in b.column(ids_col).to_pylist()]
                 yield pa.record_batch([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
+    return encoded.mapInArrow(lean(run), T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sawmill.session import checkpoint_root
 
-import uuid
-
 #: White space as the contracts define it: space and 0x09-0x0D.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,12 +52,41 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-BATCH_BYTES = 16 << 20
+PART_BYTES = 64 << 20
+MOST_PARTS = 1 << 16
+
+
+def parts_for(df: DataFrame) -> int:
+    """Parts for keys dealt by hash: the session's shuffle partitions, or one for every 64 MB that the plan of ``df`` expects, if more."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size if size < 1 << 60 else 0  # beyond: a plan without statistics
+    return max(partitions(df.sparkSession), min(-(-known // PART_BYTES), MOST_PARTS))
+
+
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 16 MB to Python workers, for this session's later queries."""
+    """Arrow batches of at most 4 MB to Python workers, for this session's later queries."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(key)
     if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
+
+
+def lean(run):
+    """``run``, a function of Arrow batches for ``mapInArrow``, whose worker gives memory back when a task has ended: Spark keeps
+    the worker for later tasks, and what it once took counts against its executor."""
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+    return wrapped
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)

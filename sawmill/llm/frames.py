@@ -1,7 +1,7 @@
 """Frames: blocks of documents whose tokens are kept as positions in a dictionary of their own.
 
 An operator that must look up every token of the corpus in a table built from the corpus would shuffle
-one row per token.  A frame holds a few million tokens: its distinct tokens go to the lookup once,
+one row per token.  A frame holds about a million tokens: its distinct tokens go to the lookup once,
 dealt by hash into parts, and the answers come back to the frame, where the stored positions put
 the documents together again.
 """
@@ -13,7 +13,7 @@ from array import array
 import numpy as np
 import zstandard
 
-FRAME_CHARS = 10_000_000  # bytes of text after which a frame is closed; a document is never split
+FRAME_CHARS = 5_000_000  # bytes of text after which a frame is closed; a document is never split
 
 
 def pack(values: np.ndarray) -> bytes:

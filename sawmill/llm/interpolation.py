@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sawmill.llm.common import bounded_batches, col, partitions, text_of, written
+from sawmill.llm.common import bounded_batches, col, lean, parts_for, text_of, written
 from sawmill.llm.frames import by_part, pack, unpack
 from sawmill.llm.words import mix, texts, word_hashes
 
@@ -245,18 +245,18 @@ def interpolated_scores(docs: DataFrame, role: Column, id_col: str = "doc_id", t
     shared folder.
     """
     spark = docs.sparkSession
-    n_parts = partitions(spark)
+    n_parts = parts_for(docs)
     bounded_batches(spark)
     base = docs.select(col(id_col).alias("id"), text_of(text_col).alias("text"), role.alias("role"))
     id_type = base.schema["id"].dataType
     schema = (T.StructType().add("frame", "long").add("dev", "boolean").add("ids", T.ArrayType(id_type))
               .add("test", T.ArrayType(T.BooleanType())).add("lens", "binary").add("seq", "binary").add("keys", "binary")
               .add("asks", T.DataType.fromDDL(ASKS)))
-    frames = written(base.mapInArrow(_frames(n_parts, frame_chars), schema), "lm-frames")
+    frames = written(base.mapInArrow(lean(_frames(n_parts, frame_chars)), schema), "lm-frames")
     words = written(frames.select("frame", "dev", F.explode("asks").alias("a")).select("frame", "dev", "a.*")
                     .groupBy("part").applyInArrow(_merge(np.uint32), MERGED), "lm-words")
     body = frames.drop("asks")
-    pairs = written(body.mapInArrow(_bigram_asks(n_parts), "frame long, dev boolean, part int, low binary, high binary, counts binary")
+    pairs = written(body.mapInArrow(lean(_bigram_asks(n_parts)), "frame long, dev boolean, part int, low binary, high binary, counts binary")
                     .groupBy("part").applyInArrow(_merge(np.uint16), MERGED), "lm-pairs")
     v, n, v_main, n_main = (x or 0 for x in words.agg(*(F.sum(c) for c in ("v", "n", "v_main", "n_main"))).first())
 
