@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sawmill.llm.common import bounded_batches, col, partitions, text_of, written
+from sawmill.llm.common import bounded_batches, col, lean, parts_for, text_of, written
 from sawmill.llm.components import components
 from sawmill.llm.words import shingle_sets, texts
 
@@ -44,8 +44,10 @@ FREQUENT = 1 << 18
 HOT = 8  # documents from which on a shingle counts as frequent
 COUNTED = 0.35  # share of the hash range in which shingles are counted: prefixes come from its start
 KEY_SHIFT = 28  # counts are kept by the upper 36 bits of a shingle's hash
-PACK = 2_000_000  # entries a task gathers before it sends them on
-BLOCK = 512  # sets of a family compared at a time
+PACK = 500_000  # entries a task gathers before it sends them on
+BLOCK = 512  # sets of a family compared at a time, and
+BLOCK_SHINGLES = 1 << 19  # shingles of them, on average
+FILTER_BITS = 1 << 27  # of a filter of set keys, at most
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -109,21 +111,21 @@ def _counts(width: int, n_parts: int, counted: float):
     return run, merge
 
 
-def _frequent(docs: DataFrame, width: int, limit: int, counted: float) -> np.ndarray:
+def _frequent(docs: DataFrame, width: int, limit: int, counted: float, n_parts: int) -> np.ndarray:
     """Sorted keys of at most ``limit`` most frequent shingles of the texts."""
-    run, merge = _counts(width, partitions(docs.sparkSession), counted)
-    packed = docs.mapInArrow(run, "part int, keys binary, counts binary")
+    run, merge = _counts(width, n_parts, counted)
+    packed = docs.mapInArrow(lean(run), "part int, keys binary, counts binary")
     top = (packed.groupBy("part").applyInArrow(merge, "key long, docs long")
            .orderBy(F.col("docs").desc(), "key").limit(limit))
     return np.sort(np.asarray(top.select("key").toArrow().column(0).to_numpy(), np.uint64))
 
 
-def _families(docs: DataFrame, width: int, percent: int, limit: int, counted: float, name: str) -> DataFrame:
+def _families(docs: DataFrame, width: int, percent: int, limit: int, counted: float, name: str, n_parts: int) -> DataFrame:
     """(``_id``, ``_family``) of the sets of the texts (one column) that chains connect with others."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(_frequent(docs, width, limit, counted))  # at most ``limit`` numbers
-    run, edges = _index(width, percent, partitions(spark), shared)
-    chains = (docs.mapInArrow(run, "part int, low binary, high binary, keys binary, sizes binary")
+    shared = spark.sparkContext.broadcast(_frequent(docs, width, limit, counted, n_parts))  # at most ``limit`` numbers
+    run, edges = _index(width, percent, n_parts, shared)
+    chains = (docs.mapInArrow(lean(run), "part int, low binary, high binary, keys binary, sizes binary")
               .groupBy("part").applyInArrow(edges, "a long, b long"))
     return written(components(chains, name).select(F.col("id").alias("_id"), F.col("component").alias("_family")), name)
 
@@ -163,7 +165,7 @@ def _index(width: int, percent: int, n_parts: int, frequent):
                 if not len(s) or (key := set_key(s)) in seen:
                     continue
                 seen.add(key)
-                if len(seen) > 1_000_000:  # a copy that is sent again is dropped by the reducer
+                if len(seen) > 200_000:  # a copy that is sent again is dropped by the reducer
                     seen.clear()
                 m = len(s)
                 prefix = ordered(s, frequent.value)[:m - -(-percent * m // 100) + 1]
@@ -197,18 +199,46 @@ def _index(width: int, percent: int, n_parts: int, frequent):
     return run, edges
 
 
-def _blobs(width: int):
-    """text → set key, size and the compressed lower-cased text, once per task for equal sets."""
+def _key_filter(keys: DataFrame, key: str) -> np.ndarray:
+    """Bits of hashed keys, 16 for each key but ``FILTER_BITS`` at most: what isn't marked is not among them."""
+    n = keys.count()
+    bits = min(FILTER_BITS, max(1 << 15, 1 << (16 * n).bit_length()))
+    at = F.pmod(F.xxhash64(key), F.lit(bits)) + 1
+    rows = (keys.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("pos"))
+            .groupBy("bucket").agg(F.bitmap_construct_agg("pos").alias("bits")).collect())  # 16 MB at most
+    out = np.zeros(bits >> 3, np.uint8)
+    for bucket, block in rows:
+        out[(bucket - 1) << 12:((bucket - 1) << 12) + len(block)] = np.frombuffer(block, np.uint8)
+    return out
+
+
+def _xxhash64_of(keys: np.ndarray) -> np.ndarray:
+    """Spark's ``xxhash64`` of one long (fixed values: the primes of XXH64; seed 42)."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    h = np.full(len(keys), np.uint64(42) + p5 + np.uint64(8))
+    h ^= turn(keys.view(np.uint64) * p2, 31) * p1
+    h = turn(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
+def _blobs(width: int, wanted):
+    """text → set key and the compressed text, for the wanted keys (and a few others), once per task for equal sets."""
     def run(batches):
         seen, z = set(), zstandard.ZstdCompressor(level=3)
         for b in batches:
-            rows, all_ = [], texts(b.column(0))
-            for t, s in zip(all_, shingle_sets(all_, width), strict=True):
-                if len(s) and (key := set_key(s)) not in seen:
+            all_ = texts(b.column(0))
+            keys = np.array([set_key(s) if len(s) else 0 for s in shingle_sets(all_, width)], np.int64)
+            at = np.mod(_xxhash64_of(keys), np.int64(8 * len(wanted.value)))
+            rows = []
+            for i in np.flatnonzero(wanted.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).tolist():
+                if (key := int(keys[i])) not in seen:
                     seen.add(key)
-                    if len(seen) > 1_000_000:
+                    if len(seen) > 200_000:  # a copy that is sent again is dropped later
                         seen.clear()
-                    rows.append((key, z.compress(t)))
+                    rows.append((key, z.compress(all_[i])))
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()),
                                    pa.array([r[1] for r in rows], pa.binary())], names=["set_key", "blob"])
     return run
@@ -277,22 +307,24 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     a null id.  An empty table gives an empty result.  Other columns are not read.
     """
     bounded_batches(docs.sparkSession)
+    n_parts = parts_for(docs)
     base = docs.select(col(id_col).alias("id"), text_of(text_col).alias("text"))
     id_type = base.schema["id"].dataType
     long = T.LongType()
-    sets = written(base.mapInArrow(_sets(width), T.StructType(
+    sets = written(base.mapInArrow(lean(_sets(width)), T.StructType(
         [T.StructField("id", id_type), T.StructField("n_shingles", long), T.StructField("set_key", long)])), "sets")
 
-    families = _families(base.select("text"), width, percent, frequent, COUNTED, "chains")
+    families = _families(base.select("text"), width, percent, frequent, COUNTED, "chains", n_parts)
 
-    blobs = base.select("text").mapInArrow(_blobs(width), "set_key long, blob binary")
+    wanted = docs.sparkSession.sparkContext.broadcast(_key_filter(families, "_id"))
+    blobs = base.select("text").mapInArrow(lean(_blobs(width, wanted)), "set_key long, blob binary")
     members = written(blobs.join(families, F.col("set_key") == F.col("_id"))
                       .groupBy(F.col("_family").alias("family"), "set_key").agg(F.min("blob").alias("blob")), "members")
     pivots = members.where("family = set_key").select(F.col("family").alias("_f"), F.col("blob").alias("pivot"))
     told = members.join(pivots, F.col("family") == F.col("_f")).drop("_f").mapInArrow(
-        _overlaps(width), "family long, set_key long, blob binary, n long, pivot_n long, shared long")
+        lean(_overlaps(width)), "family long, set_key long, blob binary, n long, pivot_n long, shared long")
     union = F.col("n") + F.col("pivot_n") - F.col("shared")
-    told = written(told.select("family", "set_key", "blob",
+    told = written(told.select("family", "set_key", "blob", "n",
                                (100 * F.col("shared") >= percent * union).alias("linked"),
                                (1 - F.col("shared") / union).alias("distance")), "told")
     stars = told.where("linked AND set_key != family").select(F.col("set_key").alias("a"), F.col("family").alias("b"))
@@ -303,10 +335,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rest = written(told.join(open_, F.col("family") == F.col("_f")).drop("_f")
                    .where(~F.col("linked") | (F.col("distance") >= F.col("nearest") - (1 - percent / 100) - 1e-9)), "rest")
     # these few are indexed once more, with all their shingles counted: what shares just passages parts
-    again = _families(rest.select("blob").mapInArrow(_texts_of, "text string"), width, percent, frequent, 1.0, "chains-again")
+    again = _families(rest.select("blob").mapInArrow(_texts_of, "text string"), width, percent, frequent, 1.0, "chains-again", n_parts)
     rest = written(rest.join(again, F.col("set_key") == F.col("_id")).drop("_id").withColumnRenamed("_family", "cluster"), "clusters")
     key = ("family", "cluster")
-    blocks = (rest.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    blocks = (rest.groupBy(*key).agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
               .select(F.col("family").alias("_f"), F.col("cluster").alias("_c"), "blocks"))
     mine = F.pmod(F.xxhash64("set_key"), F.col("blocks"))
     placed = (rest.join(blocks, (F.col("family") == F.col("_f")) & (F.col("cluster") == F.col("_c")))
