@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sawmill.llm import (
@@ -35,9 +35,9 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents")).drop("set_key")
 
 
-def toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def toxic(docs: DataFrame, labels: DataFrame, name: Column | None = None) -> DataFrame:
     """Scores learned from the labels whose fold isn't held out."""
-    return toxicity.toxicity(docs, labels, fold(F.col("_id"), 4) != 2)
+    return toxicity.toxicity(docs, labels, fold(F.col("_id"), 4) != 2, name=name)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +74,7 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
-    probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
+    probe = spark.sql(f"SELECT * FROM VALUES (-1, 0, 'user', '{said}'), (-1, 1, 'assistant', '{said}') AS t (conv_id, turn, role, text)").to(rows.schema)
     out = chat.format_chat(rows.unionByName(probe).withColumn("parts", chat.text_parts(F.col("text"))))
     out = out.withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn(
         "loss", chat.loss_text(F.col("formatted"), F.col("loss_spans")))

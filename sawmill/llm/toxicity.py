@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sawmill.llm.common import bounded_batches, col, text_of
+from sawmill.llm.common import bounded_batches, col, lean, text_of
 
 SAMPLE = 6000
 SAMPLE_CHARS = 20_000
@@ -300,8 +300,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
 
 def toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text",
              label_col: str = "toxic", *, threshold: float = THRESHOLD, sample: int = SAMPLE,
-             sample_chars: int = SAMPLE_CHARS) -> DataFrame:
-    """One row per input row: ``id_col``, ``score``, ``predicted``, ``spans``.
+             sample_chars: int = SAMPLE_CHARS, name: Column | None = None) -> DataFrame:
+    """One row per input row: ``id_col`` (or ``name`` in its place), ``score``, ``predicted``, ``spans``.
 
     ``train`` is a condition on the column ``_id``, the ids labels may be learned from.  ``spans`` holds start, end
     (code points) and score of the toxic spans.  Only texts are scored; ids and labels pick the sample.
@@ -313,9 +313,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "d
     """
     bounded_batches(docs.sparkSession)
     field = fit(training_sample(docs, labels, id_col, text_col, label_col, train, sample=sample, sample_chars=sample_chars))
-    base = docs.select(col(id_col).alias("id"), text_of(text_col).alias("text"))
+    base = docs.select((col(id_col) if name is None else name).alias("id"), text_of(text_col).alias("text"))
     schema = T.StructType([T.StructField("id", base.schema["id"].dataType), T.StructField("score", T.DoubleType()),
                            T.StructField("spans", T.DataType.fromDDL("array<struct<start:int,end:int,score:double>>"))])
     shared = docs.sparkSession.sparkContext.broadcast(field)  # 2 ** BITS weights per table: a fixed size
-    return base.mapInArrow(_score(shared), schema).select(
+    return base.mapInArrow(lean(_score(shared)), schema).select(
         F.col("id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")
