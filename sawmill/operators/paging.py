@@ -99,11 +99,12 @@ def newest_days(df: DataFrame, rows: int) -> DataFrame:
     return df.where(F.col("log_date") >= F.lit(start))
 
 
-def log_page(df: DataFrame, limit: int = DEFAULT_LIMIT, cursor: str | None = None) -> DataFrame:
+def log_page(df: DataFrame, limit: int = DEFAULT_LIMIT, cursor: str | None = None, *, newest: bool = True) -> DataFrame:
     """One page newest first plus ``next_cursor`` (#25).
 
     ``next_cursor`` is the token of the last shown row when a further row
     exists, else NULL.  An invalid cursor is an error before any scan.
+    ``newest=False`` tells that ``df`` already holds only days that the page needs.
     """
     check_limit(limit)
     if cursor:
@@ -111,7 +112,7 @@ def log_page(df: DataFrame, limit: int = DEFAULT_LIMIT, cursor: str | None = Non
         if decoded is None:
             raise ValueError("cursor must be a valid base64url-encoded log cursor")
         df = after_cursor(df, *decoded)
-    fetched = newest_rows(newest_days(df, limit + 1), limit + 1)
+    fetched = newest_rows(newest_days(df, limit + 1) if newest else df, limit + 1)
     # The window runs over the fetched ≤ limit+1 rows, which the top-k already
     # gathered into a single partition: no exchange, no unbounded group.
     order = Window.orderBy(*_newest_first_keys())

@@ -167,6 +167,45 @@ def _store_retention(spark, d):
                                  "cutoff string, deleted long, batches long, remaining long")
 
 
+def _manifest_store(spark, d, tag="shared"):
+    from sawmill.plans.manifest import ManifestStore
+    from sawmill.plans.runs import streamed_store
+    return streamed_store(spark, d, f"manifest-{tag}", ManifestStore)
+
+
+def _manifest_packed(spark, d):
+    """All logs after the days' small files were packed and the rollup folded."""
+    store = _manifest_store(spark, d, "packed")
+    store.compact_logs(min_files=2)
+    return _select_stored(store.logs())
+
+
+def _manifest_page(spark, d):
+    page = _manifest_store(spark, d).page(PAGE)
+    return page.select(*_stored(page), F.col("next_cursor").isNotNull().alias("has_next"))
+
+
+def _manifest_search_day(spark, d):
+    day = ("2024-01-05T00:00:00Z", "2024-01-06T00:00:00Z")
+    return _select_stored(search_logs(_manifest_store(spark, d).logs(*day), level="warn", since=day[0], until=day[1]))
+
+
+def _manifest_rollup(spark, d):
+    store = _manifest_store(spark, d, "packed")
+    store.compact_rollup()
+    return store.rollup().drop("bucket_date")
+
+
+def _manifest_retention(spark, d):
+    """Retention as one version of a store streamed for it."""
+    from sawmill.plans.manifest import ManifestStore
+    from sawmill.plans.runs import run_stream
+    store = run_stream(spark, d, store_class=ManifestStore)
+    result = store.run_retention(FX.AS_OF, FX.RETENTION_DAYS, FX.RETENTION_BATCH)
+    return spark.createDataFrame([(result["cutoff"], result["deleted"], result["batches"], store.logs().count())],
+                                 "cutoff string, deleted long, batches long, remaining long")
+
+
 SEARCH_PARAMS = {"service": "svc-2", "level": "null", "since": "2024-01-03T00:00:00Z", "q": "PURCHASE",
                  "limit": "50", "attr.user": "", "cursor": ""}
 AGGREGATE_PARAMS = {"since": "2024-01-02T00:00:00Z", "until": "2024-01-09T00:00:00Z", "bucket": "1h",
@@ -276,6 +315,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "store_rollup_compacted": _store_compacted,
         "store_agg_exact": _store_exact,
         "store_retention": _store_retention,
+        # the same over a manifest: files opened by list
+        "manifest_logs_packed": _manifest_packed,
+        "manifest_page_first": _manifest_page,
+        "manifest_search_day": _manifest_search_day,
+        "manifest_rollup_compacted": _manifest_rollup,
+        "manifest_retention": _manifest_retention,
     }
 
 
@@ -325,7 +370,7 @@ def oracle_sql() -> dict[str, str]:
         "CASE WHEN count_if(reason = '') > 0 THEN 'ok' ELSE 'all_rejected' END AS outcome "
         f"FROM entries GROUP BY body_id UNION ALL SELECT * FROM ({O.EXTRA_SUMMARY})", O.ENTRIES_CTE)
     accepted = "FROM entries WHERE reason = ''"
-    return {
+    out = {
         "ingest_entries": W("SELECT body_id, 'ok' AS status, \"index\" FROM entries "
                             f"UNION ALL SELECT * FROM ({O.EXTRA_ENTRIES})", O.ENTRIES_CTE),
         "ingest_validated": W('SELECT body_id, "index", reason FROM entries '
@@ -446,3 +491,6 @@ def oracle_sql() -> dict[str, str]:
                              f"CAST(count_if(\"timestamp\" < {cutoff}) // {FX.RETENTION_BATCH} + 1 AS BIGINT) AS batches, "
                              f"count_if(\"timestamp\" >= {cutoff}) AS remaining {accepted}", O.ENTRIES_CTE),
     }
+    same = {"manifest_logs_packed": "stream_ingest", "manifest_page_first": "store_page_first", "manifest_search_day": "store_search_day",
+            "manifest_rollup_compacted": "store_rollup_compacted", "manifest_retention": "store_retention"}
+    return out | {name: out[of] for name, of in same.items()}

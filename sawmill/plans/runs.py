@@ -28,23 +28,23 @@ def write_body_files(spark: SparkSession, sf_dir: str, files: int = SOURCE_FILES
 
 
 def run_stream(spark: SparkSession, sf_dir: str, files: int = SOURCE_FILES,
-               files_per_trigger: int = 1, bodies=FX.ingest_bodies) -> LogStore:
+               files_per_trigger: int = 1, bodies=FX.ingest_bodies, store_class: type[LogStore] = LogStore) -> LogStore:
     source = write_body_files(spark, sf_dir, files, bodies)
     root = work_dir(spark, "store")
     query = stream_ingest_logs(spark, source, root, f"{root}/_checkpoint", as_of=FX.AS_OF,
-                               max_files_per_trigger=files_per_trigger)
+                               max_files_per_trigger=files_per_trigger, store_class=store_class)
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
-    return LogStore(spark, root)
+    return store_class(spark, root)
 
 
-def streamed_store(spark: SparkSession, sf_dir: str, tag: str = "shared") -> LogStore:
+def streamed_store(spark: SparkSession, sf_dir: str, tag: str = "shared", store_class: type[LogStore] = LogStore) -> LogStore:
     """One streamed store per (application, input, tag) — reused across queries.
 
     Queries that change a store (retention) use their own tag.
     """
     key = (spark.sparkContext.applicationId, sf_dir, tag)
     if key not in _RUNS:
-        _RUNS[key] = run_stream(spark, sf_dir).root
-    return LogStore(spark, _RUNS[key])
+        _RUNS[key] = run_stream(spark, sf_dir, store_class=store_class).root
+    return store_class(spark, _RUNS[key])

@@ -297,10 +297,7 @@ class LogStore:
             # service-then-time order gives row groups tight min/max statistics, so
             # service and time filters skip row groups inside each file.
             writes = [
-                lambda: (logs.hint("rebalance", "log_date")
-                         .sortWithinPartitions("log_date", "service", "timestamp")
-                         .write.mode("overwrite").partitionBy("log_date")
-                         .parquet(self.path("logs", batch_id))),
+                lambda: self._write_logs(logs, batch_id),
                 lambda: (minute_rollup(accepted_logs(validated))
                          .write.mode("overwrite").parquet(self.path("deltas", batch_id))),
                 lambda: (rejected_entries(validated).hint("rebalance")  # usually few rows: few files
@@ -320,6 +317,10 @@ class LogStore:
         self._commit(result, as_of)
         return result
 
+    def _write_logs(self, logs: DataFrame, batch_id: int) -> None:
+        (logs.hint("rebalance", "log_date").sortWithinPartitions("log_date", "service", "timestamp")
+         .write.mode("overwrite").partitionBy("log_date").parquet(self.path("logs", batch_id)))
+
     def _commit(self, result: BatchResult, as_of: datetime) -> None:
         """Writes the batch's commit row — the last write, which makes the batch visible."""
         commit = self.spark.createDataFrame(

@@ -18,12 +18,14 @@ from pyspark.sql.streaming import StreamingQuery
 from sawmill.plans.store import LogStore
 from sawmill.sources.bodies import read_body_stream
 
+MAX_BYTES = "1g"  # of source files in a micro-batch
+
 
 def ingest_stream(bodies: DataFrame, store_root: str, checkpoint: str, as_of=None,
                   available_now: bool = True, processing_time: str | None = None,
-                  strict_storage: bool = False) -> StreamingQuery:
-    """Runs any streaming frame of envelope records ``(body_id, value)`` into a store."""
-    store = LogStore(bodies.sparkSession, store_root)
+                  strict_storage: bool = False, store_class: type[LogStore] = LogStore) -> StreamingQuery:
+    """Runs any streaming frame of envelope records ``(body_id, value)`` into a store of ``store_class``."""
+    store = store_class(bodies.sparkSession, store_root)
 
     def process(batch: DataFrame, batch_id: int) -> None:
         store.ingest_batch(batch, batch_id, as_of, strict_storage, owner=checkpoint)
@@ -39,12 +41,16 @@ def ingest_stream(bodies: DataFrame, store_root: str, checkpoint: str, as_of=Non
 def stream_ingest_logs(spark: SparkSession, source: str, store_root: str, checkpoint: str,
                        as_of=None, max_files_per_trigger: int | None = None,
                        available_now: bool = True, processing_time: str | None = None,
-                       source_format: str = "parquet", strict_storage: bool = False) -> StreamingQuery:
+                       source_format: str = "parquet", strict_storage: bool = False,
+                       store_class: type[LogStore] = LogStore, max_bytes_per_trigger: str = MAX_BYTES) -> StreamingQuery:
     """Start the ingest stream; returns the running query.
 
+    A micro-batch takes at most ``max_files_per_trigger`` files if given, else files of at most ``max_bytes_per_trigger``
+    (one file at least), so no option reads a whole backlog at once.
+
     ``as_of`` pins the clock of the 5-minute future rule (tests); by default
     each batch reads the clock once and records it in its commit row.
     """
-    bodies = read_body_stream(spark, source, source_format, max_files_per_trigger)
+    bodies = read_body_stream(spark, source, source_format, max_files_per_trigger, max_bytes_per_trigger)
     return ingest_stream(bodies, store_root, checkpoint, as_of, available_now, processing_time,
-                         strict_storage)
+                         strict_storage, store_class)
