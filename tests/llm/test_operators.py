@@ -64,6 +64,22 @@ def test_word_hashes_match_split():
     assert got[2][0] == got[5][0] and got[3][0] != got[3][1] and got[2][1] == got[5][1]
 
 
+def test_words_that_cancel_out_in_sums_are_told_apart(spark):
+    def thue_morse(n):
+        x = b"a"
+        while len(x) < n:
+            x += x.translate(bytes.maketrans(b"ab", b"ba"))
+        return x
+    for n in (8, 16, 64, 128, 512, 1024, 2048):
+        one = thue_morse(n)
+        two = one.translate(bytes.maketrans(b"ab", b"ba"))
+        a, b, both = word_hashes([one, two, one + b" " + two])
+        assert a[0] != b[0] and both.tolist() == [a[0], b[0]]
+    x, y = thue_morse(512).decode(), thue_morse(512).decode().translate(str.maketrans("ab", "ba"))
+    got = jaccard.jaccard_join(spark.createDataFrame([(1, x), (2, y), (3, x)], "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {1: 1, 2: 2, 3: 1}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 150)] + [(7, 7), (200, 201), (201, 200)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -310,6 +326,15 @@ def test_mixing(docs, empty):
     assert mixing.mix_sources(empty).count() == 0
 
 
+def test_mixing_meets_targets_among_equal_rows(spark):
+    rows_ = [(7, "w " * 10, "a")] * 100 + [(None, "w " * 10, "b")] * 100
+    got = mixing.mix_sources(spark.createDataFrame(rows_, "doc_id long, text string, source string").repartition(3)).collect()
+    for source, target in ((7, 2000 / 3), (None, 4000 / 3)):
+        mine = [r for r in got if r["doc_id"] == source]
+        assert len(mine) == 100 and abs(mine[0]["target"] - target) < 1e-6
+        assert abs(sum(r["taken"] for r in mine) - target) <= 5 and max(r["repeats"] for r in mine) <= 3
+
+
 def test_water_filling(spark):
     rows = [(10, 1), (1000, 2), (1, 3), (0, 1), (500, 2)]
     got = mixing.water_fill(spark.createDataFrame(rows, "size long, weight long")).collect()

@@ -52,6 +52,24 @@ def test_stages(spark):
     assert five.count() == four.count()
 
 
+def test_rows_of_one_id_and_null_ids(spark):
+    rows = [(7, "a b c", "x", 1), (7, "a  b c", "x", 2), (2, "a b c", "y", 3), (7, "other words", "y", 4), (None, "other words", "x", 5),
+            (None, "alone here", "x", 6), (None, "alone here", "x", 6), (3, None, "x", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size long")
+    kept = sorted((r["doc_id"] or -1, r["text"] or "") for r in P.exact_dedup(spark, docs, SF).collect())
+    assert kept == [(-1, "alone here"), (2, "a b c"), (3, ""), (7, "other words")]
+    near = P.near_dedup(spark, docs, SF)
+    assert near.columns == docs.columns
+    kept = sorted((r["doc_id"] or -1, r["text"] or "") for r in near.collect())
+    assert kept == [(-1, "alone here"), (2, "a b c"), (3, ""), (7, "other words")]
+    mixed = P.mix_sources(spark, docs, SF)
+    assert mixed.columns == docs.columns
+    by_source = {r["source"]: r["n"] for r in mixed.selectExpr("source", "size(split(text, ' +')) AS w").groupBy("source").sum("w").withColumnRenamed("sum(w)", "n").collect()}
+    total = 3 + 3 + 3 + 2 + 2 + 2 + 2
+    assert abs(by_source["x"] - total / 3) <= 2 and abs(by_source["y"] - 2 * total / 3) <= 2
+    assert P.toxicity(spark, docs, SF).count() == len(rows)
+
+
 def test_empty_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
     for name, stage in P.STAGES:
