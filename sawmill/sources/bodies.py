@@ -71,7 +71,7 @@ def read_bodies(spark: SparkSession, path: str, source_format: str = "parquet")
 
 
 def read_body_stream(spark: SparkSession, path: str, source_format: str = "parquet",
-                     max_files_per_trigger: int | None = None, max_bytes_per_trigger: str | None = None) -> DataFrame:
+                     max_files_per_trigger: int | None = None, max_bytes_per_trigger: int | None = None) -> DataFrame:
     """Streaming read of envelope records from a folder of files; a limit on files goes before one on bytes."""
     if source_format not in FORMATS:
         raise ValueError(f"source_format must be one of: {', '.join(FORMATS)}")
@@ -79,5 +79,5 @@ def read_body_stream(spark: SparkSession, path: str, source_format: str = "parqu
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     elif max_bytes_per_trigger:
-        reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
+        reader = reader.option("maxBytesPerTrigger", str(max_bytes_per_trigger))
     return _shape(reader.load(path), source_format)

@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from sawmill.plans.store import LogStore
 from sawmill.sources.bodies import read_body_stream
 
-MAX_BYTES = "1g"  # of source files in a micro-batch
+MAX_BYTES = 1 << 30  # of source files in a micro-batch
 
 
 def ingest_stream(bodies: DataFrame, store_root: str, checkpoint: str, as_of=None,
@@ -42,7 +42,7 @@ def stream_ingest_logs(spark: SparkSession, source: str, store_root: str, checkp
                        as_of=None, max_files_per_trigger: int | None = None,
                        available_now: bool = True, processing_time: str | None = None,
                        source_format: str = "parquet", strict_storage: bool = False,
-                       store_class: type[LogStore] = LogStore, max_bytes_per_trigger: str = MAX_BYTES) -> StreamingQuery:
+                       store_class: type[LogStore] = LogStore, max_bytes_per_trigger: int = MAX_BYTES) -> StreamingQuery:
     """Start the ingest stream; returns the running query.
 
     A micro-batch takes at most ``max_files_per_trigger`` files if given, else files of at most ``max_bytes_per_trigger``

@@ -183,7 +183,7 @@ def test_default_micro_batches_are_bounded(spark):
         body(spark, i, ["2024-03-10T02:00:00Z"]).coalesce(1).write.mode("append").parquet(source)
     size = max(os.path.getsize(os.path.join(source, f)) for f in os.listdir(source) if f.endswith(".parquet"))
     root = work_dir(spark, "bounded-store")
-    query = stream_ingest_logs(spark, source, root, f"{root}/_ck", as_of=AT, store_class=ManifestStore, max_bytes_per_trigger=str(size))
+    query = stream_ingest_logs(spark, source, root, f"{root}/_ck", as_of=AT, store_class=ManifestStore, max_bytes_per_trigger=size)
     query.awaitTermination(300)
     assert query.exception() is None
     store = ManifestStore(spark, root)
