@@ -10,10 +10,13 @@ in the canonical decimal text a JavaScript number prints through PostgreSQL
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_NUMBER = re.compile(r"-?([0-9]+(\.[0-9]+)?|Infinity)")  # texts that a number can have
 _NUMERIC_SCHEMAS = ("TINYINT", "SMALLINT", "INT", "BIGINT", "FLOAT", "DOUBLE")
 
 
@@ -21,6 +24,38 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, wherever ``body`` uses it: a one-element lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _plain_decimal(text: Column) -> Column:
+    """``1.25e-07`` → ``0.000000125``: the exponent only moves the decimal point."""
+    def moved(parts: Column) -> Column:  # sign, digits before the point, digits after it, exponent
+        digits, at = F.concat(parts[1], parts[2]), F.length(parts[1]) + parts[3].cast("int")
+        plain = (F.when(at <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -at), digits))
+                 .when(at >= F.length(digits), F.concat(digits, F.repeat(F.lit("0"), at - F.length(digits))))
+                 .otherwise(F.concat(F.substring(digits, F.lit(1), at), F.lit("."), F.substring(digits, at + 1, F.length(digits)))))
+        return F.concat(parts[0], plain)
+
+    cut = F.regexp_replace(text, r"^(-?)([0-9]+)\.?([0-9]*?)0*e[+]?(-?[0-9]+)$", "$1,$2,$3,$4")
+    return bind(F.split(cut, ","), moved)
+
+
+def _double_text(d: Column) -> Column:
+    def decimal(text: Column) -> Column:
+        return F.when(text.rlike("[0-9]e[+-]"), _plain_decimal(text)).otherwise(d.cast("string"))
+
+    def shorter_or(text: Column, digits: int) -> Column:
+        return bind(F.format_string(f"%.{digits}e", d), lambda x: F.when(x.try_cast("double") == d, x).otherwise(text))
+
+    text = F.format_string("%.16e", d)  # the cast's own text isn't always the shortest
+    for digits in (15, 14, 0):
+        text = shorter_or(text, digits)
+    return (F.when((d == F.floor(d)) & (F.abs(d) < F.lit(2.0 ** 53)), d.cast("bigint").cast("string"))  # fast path; -0 → "0"
+            .otherwise(bind(text, decimal)))
+
+
 def number_text(v: Column) -> Column:
     """Canonical decimal text of a JSON number held in a VARIANT.
 
@@ -28,31 +63,32 @@ def number_text(v: Column) -> Column:
     and integers past 2^53 lose digits), then its shortest text prints as a plain
     decimal: an exponent only moves the decimal point.
     """
-    d = F.try_variant_get(v, "$", "double")
-    text = F.format_string("%.16e", d)  # the cast's own text isn't always the shortest
-    for digits in (15, 14, 0):
-        shorter = F.format_string(f"%.{digits}e", d)
-        text = F.when(shorter.try_cast("double") == d, shorter).otherwise(text)
-    part = lambda k: F.regexp_extract(text, r"^(-?)(\d+)\.?(\d*)e[+]?(-?\d+)$", k)
-    whole, frac = part(2), F.regexp_replace(part(3), "0+$", "")
-    digits = F.concat(whole, frac)
-    at = F.length(whole) + F.coalesce(part(4).try_cast("int"), F.lit(0))
-    plain = (F.when(at <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -at), digits))
-             .when(at >= F.length(digits), F.concat(digits, F.repeat(F.lit("0"), at - F.length(digits))))
-             .otherwise(F.concat(F.substring(digits, F.lit(1), at), F.lit("."), F.substring(digits, at + 1, F.length(digits)))))
-    return (F.when((d == F.floor(d)) & (F.abs(d) < F.lit(2.0 ** 53)), d.cast("bigint").cast("string"))  # fast path; -0 → "0"
-            .when(text.rlike("[0-9]e[+-]"), F.concat(part(1), plain)).otherwise(d.cast("string")))
+    return bind(F.try_variant_get(v, "$", "double"), _double_text)
+
+
+def _is_number(kind: Column) -> Column:
+    return kind.isin(*_NUMERIC_SCHEMAS) | kind.startswith("DECIMAL")
 
 
 def variant_text(v: Column) -> Column:
     """Text of one flat JSON value: string as is, boolean/number as text, null → NULL."""
-    kind = F.schema_of_variant(v)
-    is_number = kind.isin(*_NUMERIC_SCHEMAS) | kind.startswith("DECIMAL")
-    return (F.when(kind == "VOID", F.lit(None).cast("string"))
-            .when(kind == "STRING", F.try_variant_get(v, "$", "string"))
-            .when(kind == "BOOLEAN", F.try_variant_get(v, "$", "string"))
-            .when(is_number, number_text(v))
-            .otherwise(F.to_json(v)))
+    return bind(F.schema_of_variant(v), lambda kind: (
+        F.when(kind.isin("STRING", "BOOLEAN"), F.try_variant_get(v, "$", "string"))
+        .when(_is_number(kind), number_text(v))
+        .when(kind != "VOID", F.to_json(v))))
+
+
+def variant_text_is(v: Column, want: str) -> Column:
+    """``variant_text(v) = want``, with a number's text made only where the number is the wanted one."""
+    other = F.try_variant_get(v, "$", "string")
+    number = F.lit(False)
+    if _NUMBER.fullmatch(want):
+        number = bind(F.try_variant_get(v, "$", "double"),
+                      lambda d: F.when(d == F.lit(float(want)), _double_text(d) == F.lit(want)).otherwise(F.lit(False)))
+    return F.coalesce(bind(F.schema_of_variant(v), lambda kind: (
+        F.when(kind.isin("STRING", "BOOLEAN"), other == F.lit(want))
+        .when(_is_number(kind), number)
+        .when(kind != "VOID", F.to_json(v) == F.lit(want)))), F.lit(False))
 
 
 def _is_variant(df: DataFrame, name: str) -> bool:

@@ -16,6 +16,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sawmill.functions.attrs import bind
 from sawmill.functions.times import ISO_MICROS, iso_text, parse_log_time, to_utc_naive
 
 _INTEGRAL = ("TINYINT", "SMALLINT", "INT", "BIGINT")
@@ -39,27 +40,32 @@ def encode_cursor(ts, id_col) -> Column:
 def decode_cursor(token) -> Column:
     """Token column → ``STRUCT<timestamp NTZ, id BIGINT, valid BOOLEAN>`` (#27).
 
-    Every step is an unconditional subexpression, so whole-stage codegen
-    evaluates each once per row (common subexpression elimination); the
-    validity test only combines their results.
+    The steps are bound one after the other, so each is evaluated once a row and the plan holds each once.
     """
     tok = F.col(token) if isinstance(token, str) else token
+
+    def text(binary: Column) -> Column:
+        return F.when((_b64url(binary) == tok) & F.is_valid_utf8(binary), F.decode(binary, "UTF-8"))
+
+    def members(doc: Column) -> Column:
+        return F.struct(F.try_variant_get(doc, "$.timestamp", "variant").alias("ts"),
+                        F.try_variant_get(doc, "$.id", "variant").alias("id"))
+
+    def typed(m: Column) -> Column:
+        kind = F.schema_of_variant(m["id"])
+        numeric = kind.isin(*_INTEGRAL, "FLOAT", "DOUBLE") | kind.startswith("DECIMAL")
+        ts = F.when(F.schema_of_variant(m["ts"]) == "STRING", F.try_variant_get(m["ts"], "$", "string"))
+        return F.struct(bind(ts, parse_log_time).alias("ts"),
+                        F.when(numeric, F.try_variant_get(m["id"], "$", "double")).alias("id"))
+
+    def judged(m: Column) -> Column:
+        whole = m["id"].try_cast("bigint")
+        valid = F.coalesce(m["ts"].isNotNull() & (m["id"] >= 0) & (m["id"] == F.floor(m["id"])) & whole.isNotNull(), F.lit(False))
+        return F.struct(F.when(valid, m["ts"]).alias("timestamp"), F.when(valid, whole).alias("id"), valid.alias("valid"))
+
     binary = F.try_to_binary(F.translate(tok, "-_", "+/"), F.lit("base64"))
-    bytes_ok = F.coalesce((_b64url(binary) == tok) & F.is_valid_utf8(binary), F.lit(False))
-    doc = F.try_parse_json(F.when(bytes_ok, F.decode(binary, "UTF-8")))
-    ts_v = F.try_variant_get(doc, "$.timestamp", "variant")
-    ts = parse_log_time(F.try_variant_get(ts_v, "$", "string"))
-    id_v = F.try_variant_get(doc, "$.id", "variant")
-    id_kind = F.schema_of_variant(id_v)
-    as_double = F.try_variant_get(id_v, "$", "double")
-    numeric = id_kind.isin(*_INTEGRAL, "FLOAT", "DOUBLE") | id_kind.startswith("DECIMAL")
-    valid = F.coalesce(
-        (F.schema_of_variant(ts_v) == "STRING") & ts.isNotNull() & numeric
-        & (as_double >= 0) & (as_double == F.floor(as_double)) & as_double.try_cast("bigint").isNotNull(),
-        F.lit(False))
-    return F.struct(F.when(valid, ts).alias("timestamp"),
-                    F.when(valid, as_double.try_cast("bigint")).alias("id"),
-                    valid.alias("valid"))
+    doc = bind(binary, lambda b: F.try_parse_json(text(b)))
+    return bind(bind(bind(doc, members), typed), judged)
 
 
 def encode_cursor_value(ts, id_value: int) -> str:

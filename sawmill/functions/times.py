@@ -140,6 +140,11 @@ def iso_millis(ts) -> Column:
 _NO_SECONDS = r"^(\s*[+-]?\d{4,6}-\d{2}-\d{2}[T ]\d{2}:\d{2})(?=\s*(?:$|Z|[+-]\d))"
 
 
+# Most texts have this form, which Spark's parser reads as it is.
+_COMMON = (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ]([01][0-9]|2[0-3]):[0-9]{2}:[0-9]{2}([.][0-9]{1,9})?"
+           r"(Z|[+-][0-9]{2}:[0-9]{2})?$")
+
+
 def parse_log_time(text) -> Column:
     """ISO 8601 text (with or without zone) → UTC ``TIMESTAMP_NTZ``; junk → NULL (#42).
 
@@ -147,6 +152,10 @@ def parse_log_time(text) -> Column:
     """
     col = F.col(text) if isinstance(text, str) else text
     ended = col.rlike(_DAY_END)
-    plain = F.when(ended, F.concat(F.regexp_replace(col, r"[Tt ]24:00.*$", "T00:00:00"), F.regexp_extract(col, r"([Zz]|[+-][0-9]{2}(:?[0-9]{2})?)\s*$", 1))).otherwise(F.regexp_replace(col, _NO_SECONDS, "$1:00"))
-    time = F.try_to_timestamp(plain).cast("timestamp_ntz")
-    return F.when(col.rlike(TIME_TEXT), F.when(ended, time + F.expr("INTERVAL 1 DAY")).otherwise(time))
+    start = F.concat(F.regexp_replace(col, r"[Tt ]24:00.*$", "T00:00:00"),
+                     F.regexp_extract(col, r"([Zz]|[+-][0-9]{2}(:?[0-9]{2})?)\s*$", 1))
+    read = lambda c: F.try_to_timestamp(c).cast("timestamp_ntz")
+    return (F.when(col.rlike(_COMMON), read(col))
+            .when(~col.rlike(TIME_TEXT), F.lit(None))
+            .when(ended, read(start) + F.expr("INTERVAL 1 DAY"))
+            .otherwise(read(F.regexp_replace(col, _NO_SECONDS, "$1:00"))))

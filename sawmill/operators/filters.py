@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sawmill.functions.attrs import attributes_doc, utf16_length, variant_text
+from sawmill.functions.attrs import attributes_doc, utf16_length, variant_text_is
 from sawmill.functions.patterns import like_pattern
 from sawmill.functions.times import ts_literal
 from sawmill.schema import LEVELS
@@ -77,8 +77,8 @@ def _key_path(key: str) -> str | None:
     return None
 
 
-def _text_equals(want: str):
-    return lambda v: F.coalesce(variant_text(v) == F.lit(want), F.lit(False))
+def _text_is(want: str):
+    return lambda v: variant_text_is(v, want)
 
 
 def attribute_match(filters: dict[str, str], doc: Column | None = None) -> Column:
@@ -106,7 +106,7 @@ def attribute_match(filters: dict[str, str], doc: Column | None = None) -> Colum
             path = _key_path(key)
             value = (F.try_variant_get(doc, path, "variant") if path is not None else
                      F.try_element_at(F.try_variant_get(doc, "$", "map<string,variant>"), F.lit(key)))
-            test = bind(value, _text_equals(filters[key]))
+            test = bind(value, _text_is(filters[key]))
             cond = test if cond is None else cond & test
         return cond
 
