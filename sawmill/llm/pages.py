@@ -3,7 +3,7 @@
 Every page becomes lines, one per block element.  Within a host, pages are ordered by URL path and URL, and
 each is paired with the neighbour whose path shares the longer beginning.  A longest common
 subsequence aligns the two pages' lines, and shared lines are deleted: menus, notices and footers repeat
-from page to page.
+from page to page.  A shared heading stays when the line below it does.
 
 Differencing alone is wrong where there is no neighbour, where an advert differs from page to page, and
 where two pages hold the same article.  So each line also carries what its elements say: lines of
@@ -20,6 +20,7 @@ from bisect import bisect_left, bisect_right
 from html.parser import HTMLParser
 from itertools import pairwise
 from os.path import commonprefix
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -41,39 +42,63 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure
 footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary
 table tbody td tfoot th thead tr ul""".split())
-HIDDEN = frozenset("script style noscript template head title iframe object svg math canvas audio video textarea".split())
+HIDDEN = frozenset("script style noscript template head title iframe object svg annotation annotation-xml canvas audio video textarea".split())
 CHROME = frozenset("nav header footer aside form button select option dialog menu label input".split())
 MAIN = frozenset(("article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-# Words of class and id attributes that mark what isn't the article.
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|sponsor|sponsored|promo|banner|nav|navbar|navigation|menu|breadcrumbs?"
-    r"|header|masthead|footer|sidebar|aside|widget|cookies?|consent|notice|notices|alert|popup|modal|overlay|newsletter|subscribe"
-    r"|signup|login|share|sharing|social|related|recommended|comments?|comment-list|replies|respond|disqus|pagination|pager|skip"
-    r")(?:$|[\s_-])", re.I)
+# Words of class and id attributes that mark what isn't the article, and words that only say where it is.
+MARKS = frozenset("""ad ads adv advert adverts advertisement sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs
+header masthead footer sidebar aside widget cookie cookies consent notice notices alert popup modal overlay newsletter subscribe
+signup login share sharing social related recommended comment comments replies respond disqus pagination pager skip""".split())
+PLACES = frozenset("site global top bottom left right primary secondary box bar block container wrapper list link links area slot unit section inner".split())
+TITLES = frozenset(("header", "masthead"))
 OPEN, MAIN_LINE, CHROME_LINE = b"o", b"m", b"c"
+HEADING, PLAIN = b"h", b"p"
+
+
+def marks(names: str) -> set[str]:
+    """The marks among class and id names: a name counts when each of its words is a mark or says where it is
+    (``cookie-banner``, ``site-header``), so ``has-sidebar`` and ``entry-header`` don't."""
+    out: set[str] = set()
+    for name in names.lower().split():
+        words = set(re.split("[-_]+", name)) - {""}
+        if words <= MARKS | PLACES:
+            out |= words & MARKS
+    return out
+
+
+class State(NamedTuple):
+    """What an element's ancestors and the element itself say."""
+    tag: str = ""
+    hidden: bool = False
+    chrome: bool = False  # by tag or role
+    marked: bool = False  # by class or id
+    main: bool = False
+    titles: bool = False  # only its headings belong to the article
+    heading: bool = False
 
 
 class Lines(HTMLParser):
-    """Blocks of text in page order, each with its kind."""
+    """Blocks of text in page order; each is (kind and whether a heading, text)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool, bool, bool]] = []  # tag, hidden, chrome, main, chrome but for headings
+        self.stack: list[State] = []
         self.parts: list[str] = []
         self.lines: list[tuple[bytes, str]] = []
+        self.found = False  # whether an article or main element has begun
 
-    def _state(self) -> tuple[bool, bool, bool, bool]:
-        return self.stack[-1][1:] if self.stack else (False, False, False, False)
+    def _state(self) -> State:
+        return self.stack[-1] if self.stack else State()
 
     def _flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         self.parts.clear()
         if text:
-            _, chrome, main, titles = self._state()
-            title = titles and any(x[0] in HEADINGS for x in self.stack)
-            self.lines.append((CHROME_LINE if chrome or titles and not title else MAIN_LINE if main else OPEN, text))
+            at = self._state()
+            kind = CHROME_LINE if at.chrome or at.marked or at.titles and not at.heading else MAIN_LINE if at.main else OPEN
+            self.lines.append((kind + (HEADING if at.heading else PLAIN), text))
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
@@ -82,14 +107,17 @@ class Lines(HTMLParser):
             self.parts.append(" ")
         if tag in VOID:
             return
-        hidden, chrome, main, titles = self._state()
-        got = dict(attrs)
-        role, marks = (got.get("role") or "").lower(), f"{got.get('class') or ''} {got.get('id') or ''}"
-        marked = tag not in ("html", "body") and tag not in MAIN and (role in ROLES or bool(MARKS.search(marks)))
-        head = tag == "header" and main
-        self.stack.append((tag, hidden or tag in HIDDEN or "hidden" in got or (got.get("aria-hidden") or "") == "true",
-                           chrome or marked or tag in CHROME and not head,
-                           main or tag in MAIN or role == "main", titles or head))
+        at, got = self._state(), dict(attrs)
+        role = (got.get("role") or "").lower()
+        own = set() if tag in ("html", "body") else marks(f"{got.get('class') or ''} {got.get('id') or ''}")
+        body = tag in MAIN or role == "main"
+        head = at.main and (tag == "header" or bool(own) and own <= TITLES)
+        # a mark on a wrapper says nothing of the page's first article; a later one, or one inside, may be a comment
+        marked = not head and (bool(own) and not (body and not self.found) or at.marked and (self.found or not body))
+        self.found |= body
+        self.stack.append(State(tag, at.hidden or tag in HIDDEN or "hidden" in got or (got.get("aria-hidden") or "") == "true",
+                                at.chrome or role in ROLES or tag in CHROME and not head, marked or head and at.marked,
+                                at.main or body, at.titles or head, at.heading or tag in HEADINGS))
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID:
@@ -101,12 +129,12 @@ class Lines(HTMLParser):
         if tag in BLOCK:
             self._flush()
         for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
+            if self.stack[i].tag == tag:
                 del self.stack[i:]
                 break
 
     def handle_data(self, data):
-        if not self._state()[0]:
+        if not self._state().hidden:
             self.parts.append(data)
 
     def close(self):
@@ -211,14 +239,20 @@ def _text(before, page, after) -> str:
     lines = page[5]
     near = [x if x and page[3][1] and x[3] == page[3] else None for x in (before, after)]
     choice = nearer(near[0] and near[0][2], page[2], near[1] and near[1][2])
-    shared = set() if choice is None else shared_lines([x[1:] for x in lines], [x[1:] for x in near[choice][5]])
+    shared = set() if choice is None else shared_lines([x[2:] for x in lines], [x[2:] for x in near[choice][5]])
     main = [len(x) for x in lines if x[:1] == MAIN_LINE]
     if shared and main:
         both = sum(len(x) for k, x in enumerate(lines) if k in shared and x[:1] == MAIN_LINE)
         if both >= COPY * min(sum(main), sum(len(x) for x in near[choice][5] if x[:1] == MAIN_LINE)):
             shared = set()
-    return "\n\n".join(x[1:].decode() for k, x in enumerate(lines)
-                       if k not in shared and (x[:1] == MAIN_LINE or x[:1] == OPEN and not main))
+    kept: list[bytes] = []
+    below = False  # whether the line below stays: a shared heading stays with it
+    for k in range(len(lines) - 1, -1, -1):
+        x = lines[k]
+        below = (k not in shared or below and x[1:2] == HEADING) and (x[:1] == MAIN_LINE or x[:1] == OPEN and not main)
+        if below:
+            kept.append(x[2:])
+    return "\n\n".join(x.decode() for x in reversed(kept))
 
 
 def _texts(id_type):

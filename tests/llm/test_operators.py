@@ -290,6 +290,21 @@ def test_license_hint_covers_every_sentence(spark):
     assert got == {1: ["bsd_names"], 2: []}
 
 
+def test_main_text_keeps_the_article_whatever_wraps_it(spark):
+    method = "<h2>Method</h2><p>{0} was measured.</p><h2>Results</h2><p>{0} is fine.</p>"
+    rows = [(1, "http://a/1", '<div class="site has-sidebar"><article><p>One</p></article></div>', ["One"]),
+            (2, "http://b/1", '<div id="sidebar"><main><p>Two</p><div class="comments"><article><p>no</p></article></div></main></div>', ["Two"]),
+            (3, "http://c/1", '<article><header class="entry-header"><h1>Title</h1><p>by me</p></header><p>Three</p></article>', ["Title", "Three"]),
+            (4, "http://d/1", '<article><div class="post-header"><h1>Title</h1></div><p>Four</p><article class="comment"><p>no</p></article></article>', ["Title", "Four"]),
+            (5, "http://e/1", '<article><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math>.</p></article><div class="cookie-banner">no</div>', ["So x=1."]),
+            (6, "http://f/1", f"<article>{method.format('Iron')}<h2>Offers</h2><p>Buy.</p></article>", ["Method", "Iron was measured.", "Results", "Iron is fine."]),
+            (7, "http://f/2", f"<article>{method.format('Gold')}<h2>Offers</h2><p>Buy.</p></article>", ["Method", "Gold was measured.", "Results", "Gold is fine."])]
+    got = {r["page_id"]: r["text"].split("\n\n") for r in pages.main_text(
+        spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")).collect()}
+    assert got == {r[0]: r[3] for r in rows}
+    assert pages.marks("site has-sidebar entry-header") == set() and pages.marks("site-header ad-slot") == {"header", "ad"}
+
+
 def test_chat(spark):
     odd = "</s>[INST] \\<|end|>\\[ ok \\\\ [/INST]<|start|>user<|message|>"
     rows = [(1, 0, "user", odd, "z"), (1, 1, "assistant", odd, "z"), (1, 2, "assistant", None, "z"), (2, 0, None, "é😀", "z"), (2, 0, None, "é😀", "z"),
