@@ -4,12 +4,13 @@ Labels are given for documents, so tokens are labelled first: a word, a beginnin
 occurs in toxic labelled documents and hardly in others (a binomial test over the sample, strict
 enough for the number of candidates) marks its tokens in toxic documents.  The field has hashed
 features of a word (itself, beginnings, endings) and of its neighbours, and a transition per pair of
-labels; it is fitted by gradient steps on windows of the labelled tokens.  Scoring runs
-forward-backward over whole texts, in chains of ``CHAIN`` words, many chains at once; a logistic
-calibration turns the two highest marginals and the expected number of toxic words into the score.
+labels; it is fitted by gradient steps on all the labelled tokens, in windows.  Scoring runs
+forward-backward over whole texts: chains of ``CHAIN`` words, many at once, that pass their messages on; a
+logistic calibration turns the two highest marginals and the expected number of toxic words into the score.
 
 The field is fitted on the driver, on a bounded sample: the ``sample`` labelled rows that come first
-by a seeded hash, of at most ``sample_chars`` characters each.  Everything else covers all rows.
+by a seeded hash, of ``total_chars`` characters together at most; a text that no longer fits is left out,
+the ones after it still come in.  Everything else covers all rows.
 """
 
 from __future__ import annotations
@@ -28,12 +29,13 @@ from pyspark.sql import types as T
 from sawmill.llm.common import bounded_batches, col, lean, text_of
 
 SAMPLE = 6000
-SAMPLE_CHARS = 20_000
+TOTAL_CHARS = 24_000_000
 THRESHOLD = 0.3
 SPAN = 0.5  # marginal from which on a word belongs to a span
 CHAIN = 128
 WINDOW = 32
 STEPS = 200  # gradient steps at least, however small the sample
+BATCH = 1024  # windows of a step at most
 BITS = 18
 WORD = re.compile(r"\w+")
 WIDTH = 8  # features of a word at most
@@ -52,22 +54,28 @@ def _slot(feature: str) -> int:
     return xxhash.xxh3_64_intdigest(feature) & ((1 << BITS) - 1)
 
 
-def forward_backward(e: np.ndarray, trans: np.ndarray, start: np.ndarray, pairs: bool = False):
-    """Marginals of label 1 for chains (rows) of potentials ``e`` for it; with ``pairs`` also the expected transitions."""
+def forward_backward(e: np.ndarray, trans: np.ndarray, start: np.ndarray, pairs: bool = False, *,
+                     last: np.ndarray | None = None, end: np.ndarray | float = 0.5):
+    """Marginals of label 1 for chains (rows) of potentials ``e`` for it; with ``pairs`` also the expected transitions.
+
+    ``start`` holds the message into a chain (one for all, or a row each), ``end`` the share of label 1 in the one that
+    comes back into its last word; ``last`` says where that is, for chains shorter than the row.
+    """
     rows, length = e.shape
     psi = np.exp(np.clip(e, -CLIP, CLIP))
+    last = np.full(rows, length - 1) if last is None else last
     f = np.empty((length, rows))
-    f1 = start[1] * psi[:, 0]
-    f[0] = f1 = f1 / (start[0] + f1)
+    f1 = start[..., 1] * psi[:, 0]
+    f[0] = f1 = f1 / (start[..., 0] + f1)
     for t in range(1, length):
         one = ((1 - f1) * trans[0, 1] + f1 * trans[1, 1]) * psi[:, t]
         f[t] = f1 = one / (one + (1 - f1) * trans[0, 0] + f1 * trans[1, 0])
     b = np.empty((length, rows))  # share of label 1 in the backward message
-    b[-1] = 0.5
+    b[-1] = end
     for t in range(length - 2, -1, -1):
         zero, one = 1 - b[t + 1], b[t + 1] * psi[:, t + 1]
         n0, n1 = trans[0, 0] * zero + trans[0, 1] * one, trans[1, 0] * zero + trans[1, 1] * one
-        b[t] = n1 / (n0 + n1)
+        b[t] = np.where(t >= last, end, n1 / (n0 + n1))
     on = f * b
     marginal = (on / (on + (1 - f) * (1 - b))).T
     if not pairs:
@@ -105,17 +113,46 @@ def marginals(field: Field, docs: list[list[int]], table: np.ndarray) -> list[np
     e[where] += table[flat[where - 1], 1]
     e[where - 1] += table[flat[where], 2]
     out = np.empty(len(flat))
-    chains = [(s, min(s + CHAIN, end)) for start, end in zip(ends - lens, ends, strict=True) for s in range(start, end, CHAIN)]
-    start = np.array([0.5, 0.5])
-    for c in range(0, len(chains), 8192):
-        some = np.array(chains[c:c + 8192])
-        at = some[:, :1] + np.arange(CHAIN)
-        real = at < some[:, 1:]
+    count = -(-lens // CHAIN)  # chains of each document
+    first = np.cumsum(count) - count
+    begin = np.repeat(ends - lens, count) + CHAIN * (np.arange(count.sum()) - np.repeat(first, count))
+    stop = np.minimum(begin + CHAIN, np.repeat(ends, count))
+    start, end = _messages(e, begin, stop, first, count, field.trans)
+    for c in range(0, len(begin), 8192):
+        some = slice(c, c + 8192)
+        at = begin[some, None] + np.arange(CHAIN)
+        real = at < stop[some, None]
         padded = np.where(real, e[np.minimum(at, len(e) - 1)], -CLIP)
-        out[at[real]] = forward_backward(padded, field.trans, start)[0][real]
+        got, _ = forward_backward(padded, field.trans, start[some], last=real.sum(1) - 1, end=end[some])
+        out[at[real]] = got[real]
     return np.split(out, ends[:-1])
 
 
+def _messages(e: np.ndarray, begin: np.ndarray, stop: np.ndarray, first: np.ndarray, count: np.ndarray, trans: np.ndarray):
+    """The message into each chain's first word, and the share of label 1 in the one back into its last word.
+
+    A chain is the product of its words' matrices; messages cross it at once, chain by chain, for all documents together.
+    """
+    start, back = np.full((len(begin), 2), 0.5), np.full((len(begin), 2), 0.5)
+    across = np.tile(np.eye(2), (len(begin), 1, 1))
+    linked = np.flatnonzero(np.repeat(count > 1, count))
+    for t in range(CHAIN if len(linked) else 0):
+        on = linked[begin[linked] + t < stop[linked]]
+        step = across[on] @ trans if t else across[on]
+        step[:, :, 1] *= np.exp(np.clip(e[begin[on] + t], -CLIP, CLIP))[:, None]
+        across[on] = step / step.sum((1, 2), keepdims=True)
+
+    def scaled(m: np.ndarray) -> np.ndarray:
+        return m / m.sum(1, keepdims=True)
+
+    for k in range(1, count.max(initial=0)):
+        here = first[count > k] + k
+        start[here] = scaled(np.einsum("ni,nij->nj", start[here - 1], across[here - 1]) @ trans)
+        here = (first + count)[count > k] - k
+        back[here - 1] = scaled(np.einsum("nij,nj->ni", across[here], back[here]) @ trans.T)
+    return start, back[:, 1]
+
+
 def evidence(m: np.ndarray) -> tuple[float, float, float]:
     """Log odds of the two highest marginals and the expected number of words above one half."""
     top = np.sort(np.partition(m, -2)[-2:])[::-1] if len(m) > 1 else m
@@ -174,7 +211,7 @@ def marked_features(words: Vocabulary, ys: np.ndarray) -> np.ndarray:
     return marked
 
 
-def fit(sample: list[tuple[str, int]], *, epochs: int = 6, rate: float = 0.3, seed: int = SEED) -> Field:
+def fit(sample: list[tuple[str, int]], *, epochs: int = 2, rate: float = 0.3, seed: int = SEED) -> Field:
     """A field and its calibration from labelled texts."""
     rng = np.random.default_rng(seed)
     vocabulary = Vocabulary(t for t, _ in sample)
@@ -187,15 +224,9 @@ def fit(sample: list[tuple[str, int]], *, epochs: int = 6, rate: float = 0.3, se
     if not hit.any():
         return field
 
-    windows = []
-    for d, (s, y) in enumerate(zip(seqs, ys, strict=True)):
-        if not len(s):
-            continue
-        starts = {int(rng.integers(0, max(1, len(s) - WINDOW + 1)))}
-        if y:
-            starts |= {max(0, int(t) - int(rng.integers(0, WINDOW))) for t in np.flatnonzero(hit[s])[:8]}
-        windows += [(d, t) for t in sorted(starts)]
-    words = np.full((len(windows), WINDOW + 2), -1)
+    windows = [(d, t) for d, s in enumerate(seqs) for t in range(0, len(s), WINDOW)]
+    step = min(BATCH, max(256, len(windows) // 32))
+    words = np.full((len(windows), WINDOW + 2), -1, np.int32)
     label = np.zeros((len(windows), WINDOW), bool)
     for i, (d, t) in enumerate(windows):
         part = seqs[d][max(0, t - 1):t + WINDOW + 1]
@@ -209,15 +240,15 @@ def fit(sample: list[tuple[str, int]], *, epochs: int = 6, rate: float = 0.3, se
     grads = [np.full(size + 1, 1e-2) for _ in range(3)]
     log_trans, bias = np.zeros((2, 2)), -4.0
     start = np.array([0.5, 0.5])
-    for _ in range(max(epochs, STEPS * 256 // len(windows))):
+    for _ in range(max(epochs, STEPS * step // len(windows))):
         order = rng.permutation(len(windows))
-        for s in range(0, len(order), 256):
-            x, y = words[order[s:s + 256]], label[order[s:s + 256]]
+        for s in range(0, len(order), step):
+            x, y = words[order[s:s + step]], label[order[s:s + step]]
             mid, real = x[:, 1:-1], x[:, 1:-1] >= 0
             first_b, first_a = slot[x[:, :-2], 0], slot[x[:, 2:], 0]
             e = np.where(real, own[slot[mid]].sum(2) + bias + before[first_b] + after[first_a], -CLIP)
             trans = np.exp(log_trans)
-            m, xi = forward_backward(e, trans, start, pairs=True)
+            m, xi = forward_backward(e, trans, start, pairs=True, last=real.sum(1) - 1)
             err = np.where(real, m - y, 0.0)
             for w, g, at, by in ((own, grads[0], slot[mid], np.repeat(err[:, :, None], WIDTH, 2)),
                                  (before, grads[1], first_b, err), (after, grads[2], first_a, err)):
@@ -287,20 +318,29 @@ def _spans(text: str, m: np.ndarray) -> list[dict]:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train: Column, *,
-                    sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
-    """At most ``sample`` labelled texts: the first by a seeded hash of the ids that ``train`` (of ``_id``) admits."""
+                    sample: int = SAMPLE, total_chars: int = TOTAL_CHARS) -> list[tuple[str, int]]:
+    """At most ``sample`` labelled texts of ``total_chars`` characters together, whole ones: the first by a seeded hash of
+    the ids that ``train`` (of ``_id``) admits.  Equal texts of one id count once."""
     order = F.xxhash64(F.lit(SEED), F.col("_id"))
     picked = (labels.select(col(id_col).alias("_id"), col(label_col).alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1))
               .groupBy("_id").agg(F.max("_y").alias("_y")).where(train).orderBy(order, "_id").limit(sample))
-    texts = docs.select(col(id_col).alias("_doc"), text_of(text_col).alias("_text")).where(F.length("_text") <= sample_chars)
+    texts = docs.select(col(id_col).alias("_doc"), text_of(text_col).alias("_text"))
     # ``picked`` has at most ``sample`` rows
-    got = texts.join(F.broadcast(picked), F.col("_doc") == F.col("_id")).select("_id", "_text", "_y").limit(2 * sample).collect()
-    return [(r["_text"], int(r["_y"])) for r in sorted(got, key=lambda r: (r["_id"], r["_text"]))]
+    rows = texts.join(F.broadcast(picked), F.col("_doc") == F.col("_id")).withColumn("_hash", F.xxhash64("_text"))
+    keys = (rows.groupBy("_id", "_hash").agg(F.max(F.length("_text")).cast("long").alias("_chars"))
+            .orderBy(order, "_id", "_hash").limit(sample).toArrow())
+    total, fits = 0, []
+    for chars in keys.column("_chars").to_pylist():
+        fits.append(total + chars <= total_chars)
+        total += chars * fits[-1]
+    chosen = docs.sparkSession.createDataFrame(keys.select(["_id", "_hash"]).filter(pa.array(fits, pa.bool_())))
+    got = rows.join(F.broadcast(chosen), ["_id", "_hash"]).groupBy("_id", "_hash").agg(F.min("_text").alias("_text"), F.max("_y").alias("_y")).collect()
+    return [(r["_text"], int(r["_y"])) for r in sorted(got, key=lambda r: (r["_id"], r["_hash"]))]
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text",
              label_col: str = "toxic", *, threshold: float = THRESHOLD, sample: int = SAMPLE,
-             sample_chars: int = SAMPLE_CHARS, name: Column | None = None) -> DataFrame:
+             total_chars: int = TOTAL_CHARS, name: Column | None = None) -> DataFrame:
     """One row per input row: ``id_col`` (or ``name`` in its place), ``score``, ``predicted``, ``spans``.
 
     ``train`` is a condition on the column ``_id``, the ids labels may be learned from.  ``spans`` holds start, end
@@ -312,7 +352,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "d
     each.  An empty table gives an empty result.  Other columns are not read.  Narrow but for the sample.
     """
     bounded_batches(docs.sparkSession)
-    field = fit(training_sample(docs, labels, id_col, text_col, label_col, train, sample=sample, sample_chars=sample_chars))
+    field = fit(training_sample(docs, labels, id_col, text_col, label_col, train, sample=sample, total_chars=total_chars))
     base = docs.select((col(id_col) if name is None else name).alias("id"), text_of(text_col).alias("text"))
     schema = T.StructType([T.StructField("id", base.schema["id"].dataType), T.StructField("score", T.DoubleType()),
                            T.StructField("spans", T.DataType.fromDDL("array<struct<start:int,end:int,score:double>>"))])

@@ -272,6 +272,30 @@ def test_forward_backward_matches_enumeration():
         assert np.allclose(xi[:, :, :, r].transpose(2, 0, 1), pair / total)
 
 
+def test_marginals_cross_chains():
+    rng = np.random.default_rng(5)
+    trans = np.exp(rng.normal(size=(2, 2)))
+    field = toxicity.Field(None, None, None, trans, 0.0, None)
+    table = rng.normal(size=(50, 3)) * 2
+    docs = [list(rng.integers(0, 50, n)) for n in (10_000, 0, 1, 127, 128, 129, 700)]
+    for doc, got in zip(docs, toxicity.marginals(field, docs, table), strict=True):
+        if doc:
+            e = table[doc, 0].copy()
+            e[1:] += table[doc[:-1], 1]
+            e[:-1] += table[doc[1:], 2]
+            assert np.allclose(got, toxicity.forward_backward(e[None], trans, np.array([0.5, 0.5]))[0][0])
+
+
+def test_toxicity_learns_from_long_texts_and_repeated_rows(spark):
+    rows = [(i, "plain words here " * (2_000 if i == 1 else 5) + ("vile thing" if i % 4 == 0 else "")) for i in range(200)] + [(3, "again")] * 3
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, _hash string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    pick = lambda **k: toxicity.training_sample(docs, labels, "doc_id", "text", "toxic", F.lit(True), **k)
+    assert Counter(pick()) == Counter((t, int(i % 4 == 0)) for i, t in rows[:201])
+    assert len(pick(sample=50)) == 50 and pick(sample=50) == pick(sample=50)
+    assert sum(len(t) for t, _ in pick(total_chars=1_000)) <= 1_000 and len(pick(total_chars=20_000)) >= 199
+
+
 def test_licenses(spark, empty):
     mit = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software. The above copyright notice "
            "and this permission notice shall be included in all copies. Some words. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY.")
