@@ -134,13 +134,21 @@ def _messages(e: np.ndarray, begin: np.ndarray, stop: np.ndarray, first: np.ndar
     A chain is the product of its words' matrices; messages cross it at once, chain by chain, for all documents together.
     """
     start, back = np.full((len(begin), 2), 0.5), np.full((len(begin), 2), 0.5)
-    across = np.tile(np.eye(2), (len(begin), 1, 1))
+    across = np.empty((len(begin), 2, 2))
     linked = np.flatnonzero(np.repeat(count > 1, count))
-    for t in range(CHAIN if len(linked) else 0):
-        on = linked[begin[linked] + t < stop[linked]]
-        step = across[on] @ trans if t else across[on]
-        step[:, :, 1] *= np.exp(np.clip(e[begin[on] + t], -CLIP, CLIP))[:, None]
-        across[on] = step / step.sum((1, 2), keepdims=True)
+    linked = linked[np.argsort(begin[linked] - stop[linked], kind="stable")]  # long ones first: those that go on are a beginning
+    words = (stop - begin)[linked]
+    m = np.repeat(np.eye(2)[:, :, None], len(linked), 2)
+    for t in range(words.max(initial=0)):
+        k = int(np.searchsorted(-words, -t))
+        zero, one = m[:, 0, :k], m[:, 1, :k]
+        if t:
+            zero, one = zero * trans[0, 0] + one * trans[1, 0], zero * trans[0, 1] + one * trans[1, 1]
+        m[:, 1, :k] = one * np.exp(np.clip(e[begin[linked[:k]] + t], -CLIP, CLIP))
+        m[:, 0, :k] = zero
+        if t % 8 == 7:  # before numbers leave a double's range
+            m[:, :, :k] /= m[:, :, :k].sum((0, 1))
+    across[linked] = (m / m.sum((0, 1))).transpose(2, 0, 1)
 
     def scaled(m: np.ndarray) -> np.ndarray:
         return m / m.sum(1, keepdims=True)
