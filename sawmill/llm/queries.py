@@ -48,7 +48,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.size("sentence_ids").alias("n_license_sentences"),
+    return found.select("doc_id", F.size("sentence_ids").alias("n_identifiers"),
                         F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"))
 
 

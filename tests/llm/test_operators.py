@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -296,19 +297,65 @@ def test_toxicity_learns_from_long_texts_and_repeated_rows(spark):
     assert sum(len(t) for t, _ in pick(total_chars=1_000)) <= 1_000 and len(pick(total_chars=20_000)) >= 199
 
 
+# Expected by hand, from the licences' own texts and headers.
+LICENSE_CASES = [
+    ("Words.\nReleased under the MIT License.", ["MIT"]),
+    ("Licensed under the Apache License, Version 2.0. Licensed under CC BY-NC 4.0.", ["Apache-2.0", "CC-BY-NC-4.0"]),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software. The above copyright notice "
+     "and this permission notice shall be included in all copies. Some words. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY.", ["MIT"]),
+    (None, []), ("", []), ("no licence at all. None.", []),
+    ("GNU General Public License, version 3, or (at your option) any later version.", ["GPL-3.0-or-later"]),
+    ("GNU General Public License, version 3. More words.", ["GPL-3.0-only"]),
+    ("This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\n"
+     "the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nYou should have received a copy of the "
+     "GNU General Public License along with this program.", ["GPL-3.0-or-later"]),
+    (" * modify it under the terms of the GNU General Public License\n * as published by the Free Software Foundation; either version 2\n"
+     " * of the License, or (at your option) any later version.", ["GPL-2.0-or-later"]),
+    ("under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either\nversion 2.1 of the License, "
+     "or (at your option) any later version.", ["LGPL-2.1-or-later"]),
+    ("Licensed under either the MIT license or the Apache License, Version 2.0.", ["MIT", "Apache-2.0"]),
+    ("Not licensed under the Apache License, Version 2.0.", []),
+    ("It is no longer licensed under the GNU General Public License, version 2, or any later version.", []),
+    ("Not released under the Apache License, Version 2.0 but released under the MIT License.", ["MIT"]),
+    ("Unlike the MIT License, the Apache License, Version 2.0 speaks of patents.", []),
+    ("Version 3 of the program is out, or later.", []),
+    ("SPDX-License-Identifier: GPL-2.0-or-later", ["GPL-2.0-or-later"]), ("SPDX-License-Identifier: MIT", ["MIT"]),
+    ("// SPDX-License-Identifier: LGPL-3.0-only", ["LGPL-3.0-only"]), ("released under AGPLv3", ["AGPL-3.0-only"]),
+    ("This file is distributed under the GPL.", ["GPL-1.0-or-later"]),
+    ("Licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.", ["CC-BY-SA-3.0"]),
+    ("licensed under Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International", ["CC-BY-NC-ND-4.0"]),
+    ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
+     "You may obtain a copy of the License at http://x", ["Apache-2.0"]),
+    ("Redistribution and use in source and binary forms are permitted:\n1. Redistributions of source code must retain the above copyright notice.\n"
+     "2. Redistributions in binary form must reproduce the above copyright notice.\n3. Neither the name of Them may be used to endorse or promote products.",
+     ["BSD-3-Clause"]),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ["MPL-2.0"]),
+    ("This is free and unencumbered software released into the public domain.", ["Unlicense"]),
+    ("available under the 3-clause BSD license", ["BSD-3-Clause"]), ("covered by the Eclipse Public License 2.0", ["EPL-2.0"]),
+    ("Cc and MIT are words. " * 20_000 + "Released under MIT", ["MIT"]),
+]
+
+
 def test_licenses(spark, empty):
-    mit = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software. The above copyright notice "
-           "and this permission notice shall be included in all copies. Some words. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY.")
-    cases = [(1, "Words.\nReleased under the MIT License."), (2, "Licensed under the Apache License, Version 2.0. Licensed under CC BY-NC 4.0."),
-             (3, mit), (4, None), (5, ""), (6, "no licence at all. None."), (3, mit),
-             (7, "GNU General Public License, version 3, or (at your option) any later version."), (8, "GNU General Public License, version 3. More words.")]
-    got = licenses.scan_licenses(spark.createDataFrame([(*c, "x") for c in cases], "doc_id long, text string, licenses string")).collect()
-    assert Counter((r["doc_id"], tuple(r["licenses"])) for r in got) == Counter({
-        (1, ("MIT",)): 1, (2, ("Apache-2.0", "CC-BY-NC-4.0")): 1, (3, ("MIT",)): 2, (4, ()): 1, (5, ()): 1, (6, ()): 1, (7, ("GPL-3.0-only",)): 1, (8, ("GPL-3.0-only",)): 1})
+    rows = [(i, text, "x") for i, (text, _) in enumerate(LICENSE_CASES)]
+    got = licenses.scan_licenses(spark.createDataFrame([*rows, rows[2], (None, "MIT", "x")], "doc_id long, text string, licenses string")).collect()
+    by_id = {r["doc_id"]: r["licenses"] for r in got}
+    assert [by_id[i] for i in range(len(rows))] == [licences for _, licences in LICENSE_CASES]
+    assert len(got) == len(rows) + 2 and by_id[None] == []
     assert licenses.scan_licenses(empty).count() == 0
 
 
-def test_license_hint_covers_every_sentence(spark):
+def test_license_oracle_agrees_with_the_cases(tmp_path):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(i, text) for i, (text, _) in enumerate(LICENSE_CASES)])
+    got = dict(con.execute(f"SELECT doc_id, licenses FROM ({licenses.oracle()})").fetchall())
+    assert [got[i] for i in range(len(LICENSE_CASES))] == [",".join(licences) for _, licences in LICENSE_CASES]
+
+
+def test_every_license_rule_names_known_phrases(spark):
+    known = {name for name, _ in licenses.PHRASES} | {"m_" + name for name, *_ in licenses.GNU}
+    assert {i for _, ids in licenses.RULES for i in ids} <= known
     rows = [(1, "Words. Neither the name of Them may be used to endorse or promote products."), (2, "No words of a licence.")]
     got = {r["doc_id"]: r["sentence_ids"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: ["bsd_names"], 2: []}
