@@ -10,7 +10,6 @@ identifiers follow one another there wins and consumes them. Other sentences don
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -167,25 +166,17 @@ NEGATED = "<x_not>(?:<(?:[knv]_[a-z0-9_]+|or_later)>)*"  # up to the next grant,
 BEFORE_GRANT = "^(?:<[^g][^>]*>)*"
 SCOPE = "<(?:grant|x_not)>"
 LOOSE = "(<[km]_[^>]+>)(<v_[^>]+>)?(<or_later>)?|<(?:v_[^>]+|or_later)>"
-#: Each phrase that counts holds one of these, so a text without any has no licence sentence.
-HINTS = ["licen", "permission", "redistribut", "provided", "gpl", "domain", "apache", "mozilla", "mpl", "epl", "eclipse", "eupl", "cddl",
-         "ofl", "ms-pl", "ms pl", "bsd", "cc0", "cc", "creative", "misrepresented", "plainly", "removed", "endorse", "advertising", "mit"]
-#: "cc" and "mit" are parts of many words; what they begin counts after a grant only, which holds one of these.
-WIDE, GRANT_HINTS = {"cc", "mit"}, ["under", "licen", "covered", "subject"]
+#: Every phrase but ``GLUE`` and versions holds a word that begins like this, so a text without any has no licence sentence.
+HINT = (r"(?i)(?:^|[^a-z0-9])(?:(?:un)?licen|permission|redistribut|provided|domain|apache|mozilla|creative|(?:free|0)?bsd|advertising|"
+        r"misrepresented|plainly|removed|endorse|(?:[al]?gpl|mpl|epl|eupl|cddl|ofl|cc0?|mit|ms)(?![a-uw-z]))")
+#: What a sentence may add to the one before it.
+SENTENCE_HINT = HINT[:-1] + r"|version|v[^a-z]|later|newer)"
 
 
 def normalise(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, UPPER, LOWER), "[^a-z0-9]+", " ")
 
 
-def hinted(text: Column) -> Column:
-    low = F.lower(text)
-
-    def any_of(words):
-        return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
-    return any_of([h for h in HINTS if h not in WIDE]) | (any_of(GRANT_HINTS) & any_of(sorted(WIDE)))
-
-
 def sentence_ids(sentence: Column) -> Column:
     """Identifiers of all phrases of a normalised sentence, as ``<id><id>``, after grants and negations are settled."""
     def name_of(phrase: Column) -> Column:
@@ -210,10 +201,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     read.  Whole texts are read, of any length.  Narrow: no shuffle.
     """
     text = text_of(text_col)
-    each = F.transform(F.split(F.regexp_replace(text, SHORT, "$1 $2"), SPLIT), lambda s: sentence_ids(normalise(s)))
+    sentences = F.filter(F.split(F.regexp_replace(text, SHORT, "$1 $2"), SPLIT), lambda s: s.rlike(SENTENCE_HINT))
+    each = F.transform(sentences, lambda s: sentence_ids(normalise(s)))
     sequence = F.regexp_replace(F.regexp_replace(F.concat_ws("", each), SCOPE, ""), LOOSE, "$1$2$3")
     none = F.array().cast("array<string>")
-    found = docs.select(col(id_col).alias(id_col), F.when(hinted(text), sequence).otherwise(F.lit("")).alias("_sequence"))
+    found = docs.select(col(id_col).alias(id_col), F.when(text.rlike(HINT), sequence).otherwise(F.lit("")).alias("_sequence"))
     names = F.create_map(*[F.lit(x) for key, name in {_key(ids): name for name, ids in reversed(RULES)}.items() for x in (key, name)])
     matched = F.transform(F.regexp_extract_all("_sequence", F.lit(RULE_PATTERN), 0), lambda x: F.element_at(names, x))
     known = F.col("_sequence") != ""
