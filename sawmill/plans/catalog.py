@@ -17,6 +17,7 @@ from sawmill.functions.times import iso_micros, parse_log_time, ts_literal
 from sawmill.operators.aggregate import (
     aggregate_exact, aggregate_logs, aggregate_raw, aggregate_rollup, order_buckets, render_buckets,
 )
+from sawmill.operators.attr_stats import attr_estimates, attr_sketches, attr_statistics, merge_attr_sketches
 from sawmill.operators.filters import (
     filter_attrs, filter_level, filter_message, filter_message_literal, filter_service,
     filter_since, filter_until, search_logs,
@@ -94,6 +95,15 @@ def _attrs_text(spark, d):
         "id", *[F.try_element_at(m, F.lit(k)).alias(k) for k in ("k", "user", "type")])
 
 
+def _attr_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of each service's attributes, merged: exact counts, and whether the estimate is within 4 % of the exact number."""
+    logs = _logs(spark, sf_dir)
+    merged = attr_estimates(merge_attr_sketches(attr_sketches(logs, "service"))).select("key", "n_logs", F.col("n_values").alias("estimate"))
+    exact = attr_statistics(logs).select("key", "n_values")
+    return merged.join(exact, "key").select(
+        "key", "n_logs", (F.abs(F.col("estimate") - F.col("n_values")) <= 0.04 * F.col("n_values")).alias("estimate_close"))
+
+
 def _parse_log_time(spark, d):
     ts = F.col("timestamp")
     return _logs(spark, d).select(
@@ -293,6 +303,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "attrs_kv": lambda s, d: _logs(s, d).select(
             "id", F.array_join(attrs_kv(attrs_text("attributes")), "|").alias("kv")),
         "explode_attrs": lambda s, d: explode_attrs(_logs(s, d)),
+        "attr_statistics": lambda s, d: attr_statistics(_logs(s, d)).select("key", "n_logs", "n_values", F.array_join(
+            F.transform("top_values", lambda x: F.concat_ws("=", x["value"], x["n"].cast("string"))), "|").alias("top_values")),
+        "attr_sketches": _attr_sketches,
         "parse_log_time": _parse_log_time,
         # retention (#43–#48)
         "retention_expired": lambda s, d: expired_logs(_logs(s, d), CUTOFF).select(*cols),
@@ -363,6 +376,9 @@ def oracle_sql() -> dict[str, str]:
                  f"{O.cursor_sql()} END) OVER () END AS next_cursor FROM r WHERE rk <= {PAGE}", *ctes)
 
     nth_newest = lambda src: f'SELECT "timestamp", id FROM {src} ORDER BY "timestamp" DESC, id DESC LIMIT 1 OFFSET {PAGE - 1}'
+    exploded = ("SELECT id, 'k' AS key, CAST(k AS VARCHAR) AS value FROM logs WHERE attributes <> '{}' "
+                "UNION ALL SELECT id, 'user', CAST(user_id AS VARCHAR) FROM logs WHERE attributes <> '{}' "
+                "UNION ALL SELECT id, 'type', event_type FROM logs WHERE attributes <> '{}'")
     oldest_batch = f'SELECT id FROM logs WHERE "timestamp" < {cutoff} ORDER BY "timestamp", id LIMIT {FX.RETENTION_BATCH}'
     summary = W(
         "SELECT body_id, CAST(count_if(reason = '') AS BIGINT) AS accepted, "
@@ -453,9 +469,13 @@ def oracle_sql() -> dict[str, str]:
                         "json_extract_string(attributes, '$.type') AS type FROM logs"),
         "attrs_kv": W("SELECT id, CASE WHEN attributes = '{}' THEN NULL ELSE "
                       "concat('1:k=', k, '|4:type=', event_type, '|4:user=', user_id) END AS kv FROM logs"),
-        "explode_attrs": W("SELECT id, 'k' AS key, CAST(k AS VARCHAR) AS value FROM logs WHERE attributes <> '{}' "
-                           "UNION ALL SELECT id, 'user', CAST(user_id AS VARCHAR) FROM logs WHERE attributes <> '{}' "
-                           "UNION ALL SELECT id, 'type', event_type FROM logs WHERE attributes <> '{}'"),
+        "explode_attrs": W(exploded),
+        "attr_statistics": W(
+            f"SELECT key, CAST(sum(n) AS BIGINT) AS n_logs, count(*) AS n_values, "
+            f"string_agg(value || '=' || n, '|' ORDER BY n DESC, value) FILTER (WHERE r <= 10) AS top_values FROM ("
+            f"SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, value) AS r FROM ("
+            f"SELECT key, value, count(*) AS n FROM ({exploded}) GROUP BY key, value)) GROUP BY key"),
+        "attr_sketches": W(f"SELECT key, count(*) AS n_logs, true AS estimate_close FROM ({exploded}) GROUP BY key"),
         "parse_log_time": W("SELECT id, \"timestamp\" AS parsed_utc, \"timestamp\" - INTERVAL 2 HOUR AS parsed_offset, "
                             "date_trunc('second', \"timestamp\") AS parsed_plain FROM logs"),
         "retention_expired": W(f'SELECT {cols} FROM logs WHERE "timestamp" < {cutoff}'),
