@@ -1,6 +1,6 @@
 """Attribute statistics: what keys logs carry, how many values each has, and the commonest ones.
 
-``attr_statistics`` is exact.  ``attr_sketches`` makes one small row per key and group (a batch, a day): the exact number of
+``attr_statistics`` and ``attr_top_values`` are exact.  ``attr_sketches`` makes one small row per key and group (a batch, a day): the exact number of
 logs, a HyperLogLog sketch of the values and a sketch of the frequent ones.  Such rows can be kept beside a
 batch and merged (``merge_attr_sketches``) without reading a log again; ``attr_estimates`` reads them.
 
@@ -19,21 +19,22 @@ TRACKED = 4096  # values of a frequent-values sketch: a count of N logs is off b
 TOP = 10
 
 
-def attr_statistics(logs: DataFrame, top: int = TOP, attrs_col: str = "attributes") -> DataFrame:
-    """Per key: ``n_logs``, ``n_values`` (distinct) and ``top_values`` (array of (value, n), the commonest first, then by value).
+def attr_counts(logs: DataFrame, attrs_col: str = "attributes") -> DataFrame:
+    """Logs per (key, value), with partial counts before the shuffle."""
+    return explode_attrs(logs, attrs_col).groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"))
 
-    Logs are counted per (key, value) first, with partial counts before the shuffle; the ``top`` of a key is cut down in every
-    task before its rows meet, so neither a hot value nor a key with very many values makes a large group.
-    """
-    counts = explode_attrs(logs, attrs_col).groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy("key").agg(F.sum("n").alias("n_logs"), F.count("value").alias("n_values"))
+
+def attr_statistics(logs: DataFrame, attrs_col: str = "attributes") -> DataFrame:
+    """Per key: ``n_logs`` and ``n_values`` (distinct), exact; neither a hot value nor a key with very many values makes a large group."""
+    return attr_counts(logs, attrs_col).groupBy("key").agg(F.sum("n").alias("n_logs"), F.count("value").alias("n_values"))
+
+
+def attr_top_values(logs: DataFrame, top: int = TOP, attrs_col: str = "attributes") -> DataFrame:
+    """(key, rank, value, n) of the ``top`` commonest values of every key, ties by value; each task cuts its rows of a key to ``top``
+    before they meet."""
     order = Window.partitionBy("key").orderBy(F.desc("n"), "value")
-    first = counts.where(F.col("value").isNotNull()).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= top)
-    lists = first.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("_rank", "value", "n"))).alias("_top"))
-    return totals.join(lists, "key", "left").select(
-        "key", "n_logs", "n_values",
-        F.coalesce(F.transform("_top", lambda x: F.struct(x["value"].alias("value"), x["n"].alias("n"))),
-                   F.array().cast("array<struct<value:string,n:bigint>>")).alias("top_values"))
+    named = attr_counts(logs, attrs_col).where(F.col("value").isNotNull())
+    return named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("key", "rank", "value", "n")
 
 
 def attr_sketches(logs: DataFrame, *by: str, attrs_col: str = "attributes") -> DataFrame:

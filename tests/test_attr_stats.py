@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from sawmill.operators.attr_stats import attr_estimates, attr_sketches, attr_statistics, merge_attr_sketches
+from sawmill.operators.attr_stats import attr_estimates, attr_sketches, attr_statistics, attr_top_values, merge_attr_sketches
 
 LOGS = "id long, batch_id long, attributes string"
 
@@ -30,13 +30,16 @@ def brute():
 
 
 def test_statistics_equal_brute_force(logs):
-    got = {r["key"]: r for r in attr_statistics(logs, top=3).collect()}
+    got = {r["key"]: r for r in attr_statistics(logs).collect()}
+    top = defaultdict(list)
+    for r in attr_top_values(logs, top=3).orderBy("key", "rank").collect():
+        top[r["key"]].append((r["value"], r["n"]))
     want = brute()
     assert set(got) == set(want)
     for key, counts in want.items():
         named = sorted(((v, n) for v, n in counts.items() if v is not None), key=lambda x: (-x[1], x[0]))
         assert (got[key]["n_logs"], got[key]["n_values"]) == (sum(counts.values()), len(named))
-        assert [tuple(x) for x in got[key]["top_values"]] == named[:3]
+        assert top[key] == named[:3]
 
 
 def test_merged_sketches_stay_within_their_bounds(logs):
@@ -62,5 +65,5 @@ def test_no_logs(spark):
 
 
 def test_top_values_are_cut_before_the_shuffle(logs):
-    plan = attr_statistics(logs)._jdf.queryExecution().executedPlan().toString()
+    plan = attr_top_values(logs)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Python" not in plan
