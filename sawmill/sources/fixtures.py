@@ -93,14 +93,16 @@ def entry_json(events: DataFrame, as_of: str = AS_OF) -> DataFrame:
     return log.select("event_id", entry.alias("entry"))
 
 
-def bodies_from_events(events: DataFrame, as_of: str = AS_OF) -> DataFrame:
+def bodies_from_events(events: DataFrame, as_of: str = AS_OF, ranges: int | None = None) -> DataFrame:
     """Envelope records ``(body_id, value)``: one body per ``event_id div 50``.
 
     Each group holds at most 50 entries, so ``collect_list`` is bounded.  Events are dealt by body
     before their JSON is built: the grouping needs no second shuffle, and columns travel, not text.
+    With ``ranges`` they are dealt into that many ranges of bodies, whose bounds come from a sample of the events.
     """
     body_id = F.floor(F.col("event_id") / BODY_SIZE)
-    entries = entry_json(events.repartition(body_id), as_of).withColumn("body_id", body_id)
+    dealt = events.repartitionByRange(ranges, body_id) if ranges else events.repartition(body_id)
+    entries = entry_json(dealt, as_of).withColumn("body_id", body_id)
     grouped = entries.groupBy("body_id").agg(
         F.array_sort(F.collect_list(F.struct("event_id", "entry"))).alias("items"))
     listed = F.array_join(F.transform("items", lambda x: x["entry"]), ",")
@@ -111,8 +113,8 @@ def bodies_from_events(events: DataFrame, as_of: str = AS_OF) -> DataFrame:
     return grouped.select(F.col("body_id").cast("bigint").alias("body_id"), value.alias("value"))
 
 
-def ingest_bodies(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> DataFrame:
-    return bodies_from_events(read_table(spark, sf_dir, "events"), as_of)
+def ingest_bodies(spark: SparkSession, sf_dir: str, as_of: str = AS_OF, ranges: int | None = None) -> DataFrame:
+    return bodies_from_events(read_table(spark, sf_dir, "events"), as_of, ranges)
 
 
 # Fixed edge-case bodies (FIXTURES.md §3), appended with negative body ids.
@@ -133,7 +135,8 @@ EXTRA_BODIES = (
 )
 
 
-def ingest_bodies_with_extras(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> DataFrame:
-    """``ingest_bodies`` plus the fixed edge-case bodies."""
+def ingest_bodies_with_extras(spark: SparkSession, sf_dir: str, as_of: str = AS_OF, ranges: int | None = None) -> DataFrame:
+    """``ingest_bodies`` plus the fixed edge-case bodies, in a partition of their own."""
     from sawmill.schema import BODIES
-    return ingest_bodies(spark, sf_dir, as_of).unionByName(spark.createDataFrame(list(EXTRA_BODIES), BODIES))
+    extras = spark.createDataFrame(list(EXTRA_BODIES), BODIES).coalesce(1)
+    return ingest_bodies(spark, sf_dir, as_of, ranges).unionByName(extras)

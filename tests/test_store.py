@@ -223,3 +223,17 @@ def test_retention_never_touches_an_in_flight_batch(spark):
     in_flight = store.path("logs", 1).replace("file:", "") + "/log_date=2024-01-02"
     assert os.path.isdir(in_flight) and any(f.endswith(".parquet") for f in os.listdir(in_flight))
     assert [r["timestamp"].isoformat() for r in store.logs().collect()] == ["2024-01-25T12:00:00"]
+
+
+def test_body_files_grow_in_number_with_the_events(spark, monkeypatch):
+    from sawmill.plans import runs
+    monkeypatch.setattr(runs, "EVENTS_PER_FILE", 200)
+    bodies = spark.read.parquet(runs.write_body_files(spark, SF_SMALL, files=3))
+    sizes = [r["count"] for r in bodies.groupBy("_metadata.file_path").count().collect()]
+    assert len(sizes) > 3 and max(sizes) * 50 <= 2 * 200
+    assert sorted(bodies.collect()) == sorted(ingest_bodies(spark, SF_SMALL).collect())
+    store = run_stream(spark, SF_SMALL, files=3)
+    assert store.commits().count() == 3
+    assert rollup_mismatches(store.logs(), store.rollup()).count() == 0
+    monkeypatch.setattr(runs, "FILES_PER_BATCH", 1)
+    assert run_stream(spark, SF_SMALL, files=3).commits().count() == len(sizes)
