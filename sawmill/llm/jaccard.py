@@ -14,7 +14,8 @@ right for a prefix filter, and this one keeps common passages out of the prefixe
    are answered by that.  For the rest, and only for members that could reach one of them (distances
    to the pivot differ by at most 1 - t, the triangle inequality of the Jaccard distance), answers are
    derived from the pivot's: they are indexed once more among themselves, with all their shingles
-   counted, and the remaining pairs are compared in blocks of bounded size.
+   counted.  Sets that meet in a list of at most ``PAIRED`` entries are compared pair by pair, as many pairs
+   as the lists name; longer lists are chained, and their clusters compared in blocks of bounded size.
 4. Components of the links give each document its class id.
 
 Index entries, shingle counts and texts travel packed, many to a row.  Nothing of the documents goes
@@ -45,6 +46,8 @@ HOT = 8  # documents from which on a shingle counts as frequent
 COUNTED = 0.35  # share of the hash range in which shingles are counted: prefixes come from its start
 KEY_SHIFT = 28  # counts are kept by the upper 36 bits of a shingle's hash
 PACK = 500_000  # entries a task gathers before it sends them on
+PAIRED = 32  # entries of a list whose pairs are named one by one
+KEPT = 256  # shingle sets a task keeps while it compares pairs
 BLOCK = 512  # sets of a family compared at a time, and
 BLOCK_SHINGLES = 1 << 19  # shingles of them, on average
 FILTER_BITS = 1 << 27  # of a filter of set keys, at most
@@ -124,12 +127,18 @@ def _families(docs: DataFrame, width: int, percent: int, limit: int, counted: fl
     """(``_id``, ``_family``) of the sets of the texts (one column) that chains connect with others."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(_frequent(docs, width, limit, counted, n_parts))  # at most ``limit`` numbers
-    run, edges = _index(width, percent, n_parts, shared)
-    chains = (docs.mapInArrow(lean(run), "part int, low binary, high binary, keys binary, sizes binary")
-              .groupBy("part").applyInArrow(edges, "a long, b long"))
+    run, edges, _ = _index(width, percent, n_parts, shared)
+    chains = docs.mapInArrow(lean(run), ENTRIES).groupBy("part").applyInArrow(edges, "a long, b long")
     return written(components(chains, name).select(F.col("id").alias("_id"), F.col("component").alias("_family")), name)
 
 
+def _pairs(docs: DataFrame, width: int, percent: int, limit: int, name: str, n_parts: int) -> DataFrame:
+    """(``a``, ``b``, ``chained``): the pairs of sets of the texts that meet in short lists, and the chains of long ones."""
+    shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, width, limit, 1.0, n_parts))
+    run, _, pairs = _index(width, percent, n_parts, shared)
+    return written(docs.mapInArrow(lean(run), ENTRIES).groupBy("part").applyInArrow(pairs, "a long, b long, chained boolean").distinct(), name)
+
+
 def _texts_of(batches):
     """blob → text."""
     z = zstandard.ZstdDecompressor()
@@ -137,6 +146,9 @@ def _texts_of(batches):
         yield pa.record_batch([pa.array([z.decompress(x) for x in b.column(0).to_pylist()], pa.binary()).cast(pa.string())], names=["text"])
 
 
+ENTRIES = "part int, low binary, high binary, keys binary, sizes binary"
+
+
 def ordered(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """A set in the global order: frequent shingles last."""
     if not len(frequent):
@@ -178,7 +190,8 @@ def _index(width: int, percent: int, n_parts: int, frequent):
         if n:
             yield pack(got)
 
-    def edges(group):
+    def lists(group):
+        """Keys, sizes, early or not, and run of the entries: a run is one list, each size within reach of the next."""
         read = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in group.column(c).to_pylist()])
         token = read("low", np.uint32).astype(np.uint64) | (read("high", np.uint8).astype(np.uint64) << np.uint64(32))
         key, flags = read("keys", np.int64), read("sizes", np.uint32)
@@ -188,15 +201,43 @@ def _index(width: int, percent: int, n_parts: int, frequent):
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
         token, key, size, early = token[new], key[new], size[new], early[new]
-        start = np.ones(len(token), bool)  # of a run: one list, each size within reach of the next
+        start = np.ones(len(token), bool)
         start[1:] = (token[1:] != token[:-1]) | (100 * size[:-1] < percent * size[1:])
+        return key, size, early, start
+
+    def chain(key, early, start):
         at = np.flatnonzero(start)
         useful = np.logical_or.reduceat(early, at) if len(at) else early
         run_of = np.cumsum(start) - 1
         link = np.flatnonzero(~start & useful[run_of])
-        pairs = np.unique(np.stack([key[link - 1], key[link]], 1), axis=0) if len(link) else np.empty((0, 2), np.int64)
+        return np.unique(np.stack([key[link - 1], key[link]], 1), axis=0) if len(link) else np.empty((0, 2), np.int64)
+
+    def edges(group):
+        key, _, early, start = lists(group)
+        pairs = chain(key, early, start)
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
-    return run, edges
+
+    def pairs(group):
+        """Pairs of short runs, the smaller set's entry an early one; and the chains of long runs."""
+        key, size, early, start = lists(group)
+        at = np.flatnonzero(start)
+        length = np.diff(np.r_[at, len(key)])
+        left = np.repeat(at + length, length) - np.arange(len(key)) - 1  # entries after this one in its run
+        long = np.repeat(length > PAIRED, length)
+        named = [np.empty((0, 2), np.int64)]
+        rest = np.flatnonzero(~long & early & (left > 0))
+        for gap in range(1, PAIRED):
+            rest = rest[left[rest] >= gap]
+            rest = rest[100 * size[rest] >= percent * size[rest + gap]]  # sizes ascend: what is out of reach stays so
+            if not len(rest):
+                break
+            named.append(np.unique(np.sort(np.stack([key[rest], key[rest + gap]], 1), axis=1), axis=0))
+        named = np.unique(np.concatenate(named), axis=0)
+        chained = chain(key[long], early[long], start[long])
+        both = np.concatenate([named, chained])
+        return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64()),
+                         "chained": pa.array(np.arange(len(both)) >= len(named))})
+    return run, edges, pairs
 
 
 def _key_filter(keys: DataFrame, key: str) -> np.ndarray:
@@ -263,6 +304,31 @@ def _overlaps(width: int):
     return run
 
 
+def _links(width: int, percent: int):
+    """Pairs with the blobs of both → those that link.  Some sets are kept, as pairs come by ``b``."""
+    def run(batches):
+        z, kept = zstandard.ZstdDecompressor(), {}
+
+        def set_of(key, blob):
+            if (got := kept.pop(key, None)) is None:
+                got = next(shingle_sets([z.decompress(blob)], width))
+            kept[key] = got  # the last one used comes last
+            if len(kept) > KEPT:
+                del kept[next(iter(kept))]
+            return got
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                out = []
+                for a, x, b, y in zip(*(c.to_pylist() for c in whole.slice(at, 256).select(["a", "blob_a", "b", "blob_b"]).columns), strict=True):
+                    s, t = set_of(b, y), set_of(a, x)
+                    both = len(np.intersect1d(s, t, assume_unique=True))
+                    if 100 * both >= percent * (len(s) + len(t) - both):
+                        out.append((a, b))
+                yield pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
+    return run
+
+
 def _compare(width: int, percent: int):
     """The links among one group of a family's sets, as a spanning forest of them."""
     def run(group):
@@ -335,8 +401,17 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rest = written(told.join(open_, F.col("family") == F.col("_f")).drop("_f")
                    .where(~F.col("linked") | (F.col("distance") >= F.col("nearest") - (1 - percent / 100) - 1e-9)), "rest")
     # these few are indexed once more, with all their shingles counted: what shares just passages parts
-    again = _families(rest.select("blob").mapInArrow(_texts_of, "text string"), width, percent, frequent, 1.0, "chains-again", n_parts)
-    rest = written(rest.join(again, F.col("set_key") == F.col("_id")).drop("_id").withColumnRenamed("_family", "cluster"), "clusters")
+    met = _pairs(rest.select("blob").mapInArrow(_texts_of, "text string"), width, percent, frequent, "pairs", n_parts)
+    facts = [rest.select(F.col("set_key").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("family", "linked", "distance"))) for x in "ab"]
+    near = F.abs(F.col("distance_a") - F.col("distance_b")) <= 1 - percent / 100 + 1e-9
+    open_pairs = (met.where("NOT chained").join(facts[0], "a").join(facts[1], "b")
+                  .where((F.col("family_a") == F.col("family_b")) & ~(F.col("linked_a") & F.col("linked_b")) & near).select("a", "b"))
+    blob = [rest.select(F.col("set_key").alias(x), F.col("blob").alias(f"blob_{x}")) for x in "ab"]
+    named = open_pairs.join(blob[0], "a").join(blob[1], "b").mapInArrow(lean(_links(width, percent)), "a long, b long")
+
+    again = components(met.where("chained").select("a", "b"), "chains-again")
+    again = written(again.select(F.col("id").alias("_id"), F.col("component").alias("cluster")), "chains-again")
+    rest = written(rest.join(again, F.col("set_key") == F.col("_id")).drop("_id"), "clusters")
     key = ("family", "cluster")
     blocks = (rest.groupBy(*key).agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
               .select(F.col("family").alias("_f"), F.col("cluster").alias("_c"), "blocks"))
@@ -344,8 +419,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     placed = (rest.join(blocks, (F.col("family") == F.col("_f")) & (F.col("cluster") == F.col("_c")))
               .withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
               .withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")))
-    links = (placed.select(*key, "i", "j", "set_key", "linked", "distance", "blob").groupBy(*key, "i", "j")
-             .applyInArrow(_compare(width, percent), "a long, b long"))
+    # one column of its own, so that the blocks of a cluster are dealt out and do not stay where the cluster lies
+    links = (placed.select(F.struct(*key, "i", "j").alias("cell"), "set_key", "linked", "distance", "blob").groupBy("cell")
+             .applyInArrow(_compare(width, percent), "a long, b long")).unionByName(named)
     classes = components(stars.union(links), "links")
 
     labelled = (sets.join(classes.withColumnRenamed("id", "_id"), F.col("set_key") == F.col("_id"), "left")

@@ -501,3 +501,27 @@ def test_pages_of_one_path_are_cut_into_ranges(spark, monkeypatch):
 def test_every_query_is_registered():
     assert [k.split("_")[0] for k in queries.queries()] == [f"op{i}" for i in range(1, 11)]
     assert set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_loosely_chained_texts_are_not_compared_all_with_all(spark, monkeypatch):
+    rng = random.Random(3)
+    word = lambda n: [f"w{rng.randrange(10 ** 9)}" for _ in range(n)]
+    passages = [word(30) for _ in range(61)]
+    texts = [" ".join(word(30) + passages[i] + word(30) + passages[i + 1]) for i in range(60)]
+    texts += [t + " tail" for t in texts[::7]]
+    # many near copies of each other in a list longer than those paired one by one, each a little further from the first
+    base = word(150)
+    texts += [" ".join(base[:150 - i] + word(i)) for i in range(52)]
+    clusters = {}
+    real = jaccard.written
+
+    def seen(df, name):
+        clusters[name] = out = real(df, name)
+        return out
+
+    monkeypatch.setattr(jaccard, "written", seen)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = jaccard.jaccard_join(docs).drop("set_key")
+    assert Counter(tuple(r) for r in got.collect()) == brute_jaccard(list(enumerate(texts)))
+    loose = {jaccard.set_key(s) for s in jaccard.shingle_sets([t.encode() for t in texts[:60]], 5)}
+    assert not any(r["set_key"] in loose for r in clusters["clusters"].select("set_key").collect())
