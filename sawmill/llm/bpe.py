@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sawmill.llm.common import bounded_batches, col, lean, parts_for, text_of, written
+from sawmill.llm.common import bounded_batches, bucketed, col, lean, parts_for, text_of
 from sawmill.llm.frames import FRAME_CHARS, Frame, by_part, pack, pack_strings, unpack, unpack_strings
 from sawmill.llm.words import texts
 
@@ -259,8 +259,8 @@ def bpe_encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: s
         T.StructField("frame", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("lens", T.BinaryType()),
         T.StructField("seq", T.BinaryType()), T.StructField("parts", T.BinaryType()),
         T.StructField("asks", T.ArrayType(T.StructType([T.StructField("part", T.IntegerType()), T.StructField("words", T.BinaryType())])))])
-    # written, so that a task that is run again finds the same frames
-    frames = written(base.mapInArrow(lean(_frames(pattern, n_parts, frame_chars)), schema), "bpe-frames")
+    # written, so that a task that is run again finds the same frames; by frame, so that only answers travel to them
+    frames = bucketed(base.mapInArrow(lean(_frames(pattern, n_parts, frame_chars)), schema), "bpe-frames", "frame", n_parts)
     answers = (frames.select("frame", "asks").mapInArrow(_asks, "frame long, part int, words binary")
                .groupBy("part").applyInArrow(_encode(merges), "frame long, part int, counts binary, answer binary"))
     out = (frames.drop("asks").groupBy("frame").cogroup(answers.groupBy("frame"))
