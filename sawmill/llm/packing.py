@@ -23,6 +23,7 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -39,7 +40,7 @@ from sawmill.llm.words import texts
 CAPACITY = 4096
 RANGE_ROWS = 1 << 16  # pieces and gaps swept by one task
 BROADCAST_ROWS = 100_000  # of the meetings of ranges; beyond it their join shuffles
-SEGMENTS = 1 << 19  # distinct segments whose ids a task keeps
+SEGMENTS = 1 << 19  # distinct segments whose ids a worker keeps
 JOINED = 1 << 20  # bytes of new words given to the tokenizer at a time
 #: a-z, and the letters of U+00C0-U+00FF in UTF-8.
 _LATIN = rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]"
@@ -124,10 +125,16 @@ class Words:
         return ids, np.diff(end[split.offsets.to_numpy()])
 
 
+@lru_cache(1)
+def words_of(path: str) -> Words:
+    """The one of this Python worker: what one task learned, its later tasks know."""
+    return Words(path)
+
+
 def _pieces(path: str, capacity: int, end_id: int, step: int):
     """id, text -> one row per piece: id, piece, start, length, ids."""
     def run(batches):
-        words = Words(path)
+        words = words_of(path)
         for whole in batches:
             for b in (whole.slice(at, step) for at in range(0, whole.num_rows, step)):
                 ids, n = words.encode(b.column(1))

@@ -9,6 +9,7 @@ from hashlib import sha256
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -204,3 +205,13 @@ def test_pack_needs_hardly_more_than_its_total(spark, rows_, ranges):
 
 def test_ranges_meet_by_rank():
     assert packing._meetings([(0, 3, 0), (1, 0, 2), (2, 1, 0), (3, 0, 5)]) == [(0, 0, 1, 0, 2), (2, 0, 3, 0, 1), (0, 2, 3, 1, 1)]
+
+
+def test_a_worker_keeps_what_its_tasks_learned(monkeypatch):
+    calls, real = [], packing.Words._ids
+    monkeypatch.setattr(packing.Words, "_ids", lambda self, text: calls.append(text) or real(self, text))
+    run = packing._pieces(public_tokenizers.path("word_bpe_49k.json"), 4096, 1, 1024)
+    rows = pa.record_batch([pa.array([1, 2]), pa.array(["Some words, anew xyzzyq.", "other words"])], names=["id", "text"])
+    first = [b.to_pylist() for b in run(iter([rows]))]
+    calls.clear()
+    assert [b.to_pylist() for b in run(iter([rows]))] == first and not calls
