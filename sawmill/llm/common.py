@@ -44,20 +44,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-    """``df`` written as Parquet to the shared folder in buckets of ``key``: a grouping by ``key`` reads it without a shuffle.
-
-    Spark writes buckets for tables only, so it is one for as long as it takes to read its plan; the files stay.
-    """
-    spark = df.sparkSession
-    as_table = f"sawmill_{name.replace('-', '_')}_{uuid.uuid4().hex[:12]}"
-    df.write.bucketBy(buckets, key).format("parquet").option("path", scratch(spark, name)).saveAsTable(as_table)
-    out = spark.table(as_table)
-    out.schema  # resolved before the name goes
-    spark.sql(f"DROP TABLE {as_table}")
-    return out
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
