@@ -8,13 +8,14 @@ labels; it is fitted by gradient steps on all the labelled tokens, in windows.
 forward-backward over whole texts: chains of ``CHAIN`` words, many at once, that pass their messages on; a
 logistic calibration turns the two highest marginals and the expected number of toxic words into the score.
 
-The field is fitted on the driver, on a bounded sample: the ``sample`` labelled rows that come first
+The field is fitted in one task, on a bounded sample: the ``sample`` labelled rows that come first
 by a seeded hash, of ``total_chars`` characters together at most; a text that no longer fits is left out,
-the ones after it still come in.  Everything else covers all rows.
+the ones after it still come in.  Only the fitted field reaches the driver.  Everything else covers all rows.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -325,10 +326,10 @@ def _spans(text: str, m: np.ndarray) -> list[dict]:
     return out
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train: Column, *,
-                    sample: int = SAMPLE, total_chars: int = TOTAL_CHARS) -> list[tuple[str, int]]:
-    """At most ``sample`` labelled texts of ``total_chars`` characters together, whole ones: the first by a seeded hash of
-    the ids that ``train`` (of ``_id``) admits.  Equal texts of one id count once."""
+def sample_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train: Column, *,
+                sample: int = SAMPLE, total_chars: int = TOTAL_CHARS) -> DataFrame:
+    """``_id``, ``_hash``, ``_text``, ``_y`` of at most ``sample`` labelled texts of ``total_chars`` characters together, whole
+    ones: the first by a seeded hash of the ids that ``train`` (of ``_id``) admits.  Equal texts of one id count once."""
     order = F.xxhash64(F.lit(SEED), F.col("_id"))
     picked = (labels.select(col(id_col).alias("_id"), col(label_col).alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1))
               .groupBy("_id").agg(F.max("_y").alias("_y")).where(train).orderBy(order, "_id").limit(sample))
@@ -342,8 +343,27 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
         fits.append(total + chars <= total_chars)
         total += chars * fits[-1]
     chosen = docs.sparkSession.createDataFrame(keys.select(["_id", "_hash"]).filter(pa.array(fits, pa.bool_())))
-    got = rows.join(F.broadcast(chosen), ["_id", "_hash"]).groupBy("_id", "_hash").agg(F.min("_text").alias("_text"), F.max("_y").alias("_y")).collect()
-    return [(r["_text"], int(r["_y"])) for r in sorted(got, key=lambda r: (r["_id"], r["_hash"]))]
+    return rows.join(F.broadcast(chosen), ["_id", "_hash"]).groupBy("_id", "_hash").agg(F.min("_text").alias("_text"), F.max("_y").alias("_y"))
+
+
+def _ordered(rows: Iterable[tuple]) -> list[tuple[str, int]]:
+    return [(text, int(y)) for _, _, text, y in sorted(rows, key=lambda r: (r[0], r[1]))]
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train: Column, **limits) -> list[tuple[str, int]]:
+    """The texts and labels of ``sample_rows``, in order of id and hash."""
+    return _ordered(sample_rows(docs, labels, id_col, text_col, label_col, train, **limits).select("_id", "_hash", "_text", "_y").collect())
+
+
+def _fitted(sample: DataFrame) -> Field:
+    """``fit`` of ``sample_rows`` in one task: the sample is bounded, but what a fit takes of memory would come on top of all
+    that the driver holds."""
+    def run(batches):
+        field = fit(_ordered(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)))
+        yield pa.record_batch([pa.array([pickle.dumps(field)], pa.binary())], names=["field"])
+
+    got = sample.select("_id", "_hash", "_text", "_y").coalesce(1).mapInArrow(lean(run), "field binary").collect()
+    return pickle.loads(got[0]["field"]) if got else fit([])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text",
@@ -360,7 +380,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "d
     each.  An empty table gives an empty result.  Other columns are not read.  Narrow but for the sample.
     """
     bounded_batches(docs.sparkSession)
-    field = fit(training_sample(docs, labels, id_col, text_col, label_col, train, sample=sample, total_chars=total_chars))
+    field = _fitted(sample_rows(docs, labels, id_col, text_col, label_col, train, sample=sample, total_chars=total_chars))
     base = docs.select((col(id_col) if name is None else name).alias("id"), text_of(text_col).alias("text"))
     schema = T.StructType([T.StructField("id", base.schema["id"].dataType), T.StructField("score", T.DoubleType()),
                            T.StructField("spans", T.DataType.fromDDL("array<struct<start:int,end:int,score:double>>"))])

@@ -287,6 +287,18 @@ def test_marginals_cross_chains():
             assert np.allclose(got, toxicity.forward_backward(e[None], trans, np.array([0.5, 0.5]))[0][0])
 
 
+def test_toxicity_fits_its_field_in_a_task(spark, monkeypatch):
+    texts = [f"some plain words about topic {i} here" + (" vilewordish" if i % 3 == 0 else "") for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    here = toxicity.fit(toxicity.training_sample(docs, labels, "doc_id", "text", "toxic", F.lit(True)))
+    monkeypatch.setattr(toxicity, "Vocabulary", None)  # here only: the tasks have modules of their own
+    field = toxicity._fitted(toxicity.sample_rows(docs, labels, "doc_id", "text", "toxic", F.lit(True)))
+    assert np.array_equal(field.own, here.own) and np.array_equal(field.calibration, here.calibration)
+    got = toxicity.toxicity(docs, labels, F.lit(True)).collect()
+    assert {r["doc_id"] for r in got if r["predicted"]} == set(range(0, 300, 3))
+
+
 def test_toxicity_learns_from_long_texts_and_repeated_rows(spark):
     rows = [(i, "plain words here " * (2_000 if i == 1 else 5) + ("vile thing" if i % 4 == 0 else "")) for i in range(200)] + [(3, "again")] * 3
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, _hash string")
