@@ -142,7 +142,8 @@ def _part_of(words: list[bytes], n_parts: int) -> np.ndarray:
 
 
 def _frames(pattern: str, n_parts: int, limit: int):
-    """id, text → frames: each document's pre-tokens as places among the frame's words, and the words by part.
+    """id, text → frames: a row with each document's pre-tokens as places among the frame's words, keyed by the frame, and
+    one row of words for each part that it asks, keyed by the part.
 
     A frame is named by a hash of its partition, its number there and its content, so frames of equal content
     are told apart.
@@ -166,11 +167,13 @@ def _frames(pattern: str, n_parts: int, limit: int):
             closed += 1
             for _, blob in asks:
                 name.update(blob)
+            name, none = int(np.int64(np.uint64(name.intdigest()))), [None] * len(asks)
             return pa.record_batch([
-                pa.array([int(np.int64(np.uint64(name.intdigest())))], pa.int64()), pa.array([frame.ids], pa.list_(id_type)),
-                pa.array([lens], pa.binary()), pa.array([packed], pa.binary()), pa.array([pack(parts.astype(np.uint32))], pa.binary()),
-                pa.array([[{"part": p, "words": w} for p, w in asks]], pa.list_(pa.struct([("part", pa.int32()), ("words", pa.binary())])))],
-                names=["frame", "ids", "lens", "seq", "parts", "asks"])
+                pa.array([name, *(p for p, _ in asks)], pa.int64()), pa.array([name] * (1 + len(asks)), pa.int64()),
+                pa.array([None, *(p for p, _ in asks)], pa.int32()), pa.array([None, *(w for _, w in asks)], pa.binary()),
+                pa.array([frame.ids, *none], pa.list_(id_type)), pa.array([lens, *none], pa.binary()),
+                pa.array([packed, *none], pa.binary()), pa.array([pack(parts.astype(np.uint32)), *none], pa.binary())],
+                names=["key", "frame", "part", "words", "ids", "lens", "seq", "parts"])
 
         frame, known, segments = Frame(), {}, {}
         for b in batches:
@@ -192,17 +195,10 @@ def _frames(pattern: str, n_parts: int, limit: int):
     return run
 
 
-def _asks(batches):
-    """Frames → one row per part of each."""
-    for b in batches:
-        for frame, asks in zip(b.column("frame").to_pylist(), b.column("asks").to_pylist(), strict=True):
-            yield pa.record_batch([pa.array([frame] * len(asks), pa.int64()), pa.array([a["part"] for a in asks], pa.int32()),
-                                   pa.array([a["words"] for a in asks], pa.binary())], names=["frame", "part", "words"])
-
-
 def _encode(merges):
-    """The asks of one part → its answers, each distinct word merged once."""
+    """The asks of one part → its answers, each distinct word merged once; a frame's own row has none."""
     def run(group):
+        group = group.filter(group.column("part").is_valid())
         asked = [unpack_strings(x) for x in group.column("words").to_pylist()]
         known: dict[bytes, int] = {}
         at = [[known.setdefault(w, len(known)) for w in words] for words in asked]
@@ -219,7 +215,8 @@ def _encode(merges):
 
 
 def _assemble(frames, answers):
-    """A frame and its answers → one row per document."""
+    """A frame and its answers → one row per document; asks have no documents."""
+    frames = frames.filter(frames.column("part").is_null())
     got = sorted(zip(*(answers.column(c).to_pylist() for c in ("part", "counts", "answer")), strict=True))
     by_part_counts = np.concatenate([unpack(x[1]) for x in got] or [np.empty(0, np.uint32)]).astype(np.int64)
     ids = np.concatenate([unpack(x[2]) for x in got] or [np.empty(0, np.uint32)])
@@ -241,6 +238,13 @@ def _assemble(frames, answers):
     return pa.table({"id": pa.array(names, frames.schema.field("ids").type.value_type), "ids": pa.array(blobs, pa.binary())})
 
 
+def _in_order(rows: DataFrame) -> bool:
+    """Whether a task of ``rows`` surely finds the same rows in the same order when it is run again: they come from files or a
+    local table and nothing was shuffled, limited or cached on the way."""
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    return not any(x in plan for x in ("Exchange", "Limit", "TakeOrdered", "InMemoryTableScan", "ExistingRDD"))
+
+
 def bpe_encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", *,
                frame_chars: int = FRAME_CHARS) -> DataFrame:
     """One row per input row: ``id_col``, ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit integers).
@@ -256,14 +260,15 @@ def bpe_encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: s
     id_type = base.schema["id"].dataType
     merges = spark.sparkContext.broadcast(Merges(ranks))
     schema = T.StructType([
-        T.StructField("frame", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("lens", T.BinaryType()),
-        T.StructField("seq", T.BinaryType()), T.StructField("parts", T.BinaryType()),
-        T.StructField("asks", T.ArrayType(T.StructType([T.StructField("part", T.IntegerType()), T.StructField("words", T.BinaryType())])))])
-    # written, so that a task that is run again finds the same frames
-    frames = written(base.mapInArrow(lean(_frames(pattern, n_parts, frame_chars)), schema), "bpe-frames")
-    answers = (frames.select("frame", "asks").mapInArrow(_asks, "frame long, part int, words binary")
-               .groupBy("part").applyInArrow(_encode(merges), "frame long, part int, counts binary, answer binary"))
-    out = (frames.drop("asks").groupBy("frame").cogroup(answers.groupBy("frame"))
+        T.StructField("key", T.LongType()), T.StructField("frame", T.LongType()), T.StructField("part", T.IntegerType()),
+        T.StructField("words", T.BinaryType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("lens", T.BinaryType()),
+        T.StructField("seq", T.BinaryType()), T.StructField("parts", T.BinaryType())])
+    # a task that is run again must find the same frames: its rows must come in the same order
+    base = base if _in_order(base) else written(base, "bpe-texts")
+    # dealt once by key: the parts take their asks from that shuffle, and the frames that wait there meet their answers
+    frames = base.mapInArrow(lean(_frames(pattern, n_parts, frame_chars)), schema)
+    answers = frames.groupBy("key").applyInArrow(_encode(merges), "frame long, part int, counts binary, answer binary")
+    out = (frames.groupBy("key").cogroup(answers.groupBy("frame"))
            .applyInArrow(_assemble, T.StructType([T.StructField("id", id_type), T.StructField("ids", T.BinaryType())])))
     return out.select(F.col("id").alias(id_col), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 

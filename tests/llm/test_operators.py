@@ -16,7 +16,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from sawmill.llm import bpe, chat, embeddings, exact_dedup, interpolation, jaccard, licenses, mixing, pages, queries, toxicity
-from sawmill.llm.common import fold
+from sawmill.llm.common import fold, written
 from sawmill.llm.components import components
 from sawmill.llm.words import shingle_sets, word_hashes
 
@@ -223,6 +223,22 @@ def test_bpe_against_the_library(docs, empty):
     assert bpe.bpe_encode(empty, ranks, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_deals_frames_and_asks_in_one_shuffle(spark, tmp_path, monkeypatch):
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rows = [(i % 50, f"some Words {i * i} and {i} more of them") for i in range(300)] + [(None, "no id"), (7, None), (8, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/docs")
+    stored, took = spark.read.parquet(f"{tmp_path}/docs"), []
+    monkeypatch.setattr(bpe, "written", lambda df, name: took.append(name) or written(df, name))
+    encode = lambda df: bpe.bpe_encode(df, ranks, public_tokenizers.PATTERN, frame_chars=500)
+    out = encode(stored)
+    got = Counter((r["doc_id"], r["n_tokens"], bytes(r["ids"])) for r in out.collect())
+    assert sum(got.values()) == len(rows) and not took  # no frame is kept beside the shuffle
+    assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()  # and all of them are made once
+    # rows that were shuffled may come in another order if a task is run again: they are written first
+    assert got == Counter((r["doc_id"], r["n_tokens"], bytes(r["ids"])) for r in encode(stored.repartition(5)).collect())
+    assert took == ["bpe-texts"]
+
+
 def test_bpe_frames_of_equal_content(spark, docs):
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     want = Counter()
