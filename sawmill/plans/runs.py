@@ -17,8 +17,8 @@ from sawmill.sources.tables import read_table
 from sawmill.streaming.ingest import stream_ingest_logs
 
 SOURCE_FILES = 4  # at least
-EVENTS_PER_FILE = 125_000  # about 20 MB of bodies, which one task reads and parses
-FILES_PER_BATCH = 128  # at most: what a micro-batch caches is bounded
+EVENTS_PER_FILE = 31_250  # about 5 MB of bodies, which one task reads and parses: several tasks a core keep all cores busy
+FILES_PER_BATCH = 512  # at most: what a micro-batch caches is bounded
 _RUNS: dict[tuple[str, str, str], str] = {}
 
 

@@ -37,7 +37,7 @@ from sawmill.operators.ids import assign_arrival_ids, partition_counts
 from sawmill.operators.retention import check_positive, retain_rollup, retention_cutoff
 from sawmill.operators.rollup import minute_rollup
 from sawmill.operators.validate import (
-    accepted_logs, body_outcomes, parse_ingest_bodies, rejected_entries, validate_entries,
+    accepted_logs, body_outcomes, kept_fields, parse_ingest_bodies, rejected_entries, validate_entries,
 )
 from sawmill.sources.bodies import with_body_ids
 from sawmill.schema import COMMITS, DEFAULT_RETENTION_BATCH, DEFAULT_RETENTION_DAYS, LOGS, ROLLUP
@@ -280,8 +280,8 @@ class LogStore:
         if (stored := self._committed(batch_id, owner)) is not None:
             return stored
         as_of = self._pinned_clock(batch_id, as_of)
-        validated = validate_entries(parse_ingest_bodies(with_body_ids(bodies), keep_bad=True), as_of,
-                                     strict_storage).persist()
+        validated = kept_fields(validate_entries(parse_ingest_bodies(with_body_ids(bodies), keep_bad=True), as_of,
+                                                 strict_storage)).persist()
         try:
             # one job: materializes the cache and counts per input partition
             stats = partition_counts(validated, F.size("errors") == 0, F.size("errors") > 0)

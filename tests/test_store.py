@@ -237,3 +237,15 @@ def test_body_files_grow_in_number_with_the_events(spark, monkeypatch):
     assert rollup_mismatches(store.logs(), store.rollup()).count() == 0
     monkeypatch.setattr(runs, "FILES_PER_BATCH", 1)
     assert run_stream(spark, SF_SMALL, files=3).commits().count() == len(sizes)
+
+
+def test_a_cached_batch_keeps_only_what_its_outputs_take(spark):
+    from sawmill.operators import validate as V
+    rows = [(0, json.dumps([ENTRY, dict(ENTRY, level="verbose"), dict(ENTRY, attributes={"a": 1}), 5])), (1, "{broken"), (2, "[]"), (3, None)]
+    whole = V.validate_entries(V.parse_ingest_bodies(bodies(spark, rows), keep_bad=True), AS_OF)
+    kept = V.kept_fields(whole)
+    for output in (V.accepted_logs, V.rejected_entries, V.body_outcomes):
+        assert sorted(map(str, output(kept).collect())) == sorted(map(str, output(whole).collect()))
+    assert kept.where("size(errors) = 0").count() == 2
+    assert kept.where("size(errors) = 0 AND (entry IS NOT NULL OR reason IS NOT NULL)").count() == 0
+    assert kept.where("size(errors) > 0 AND (_message IS NOT NULL OR _attrs IS NOT NULL)").count() == 0
