@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sawmill.llm import exact_dedup as exact
 from sawmill.llm import jaccard, mixing, queries
-from sawmill.llm.common import scratch, table
+from sawmill.llm.common import scratch, table, written
 
 
 KEY, ROWS = "_stage_key", "_stage_rows"
@@ -27,8 +27,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _once(docs: DataFrame, told: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose key is among ``told`` (``KEY``, ``ROWS``: how many rows have it, and more); equal rows once."""
-    rows = _keyed(docs).join(told.withColumnRenamed(KEY, "_told"), F.col(KEY) == F.col("_told")).drop("_told")
+    """The rows of ``docs`` whose key is among ``told`` (``KEY``, ``ROWS``: how many rows have it, and more); equal rows once.
+
+    ``told`` is written first: both parts of the result read it, and the driver plans what leads to it once."""
+    rows = _keyed(docs).join(written(told, "stage-told").withColumnRenamed(KEY, "_told"), F.col(KEY) == F.col("_told")).drop("_told")
     return rows.where(f"{ROWS} = 1").unionByName(rows.where(f"{ROWS} > 1").dropDuplicates([KEY]))
 
 

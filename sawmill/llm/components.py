@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,26 +20,48 @@ def _with_min(rows: DataFrame, key: str, value: str) -> DataFrame:
     return rows.join(least, F.col(key) == F.col("_k")).drop("_k")
 
 
+def forest(pairs: np.ndarray) -> np.ndarray:
+    """Pairs (id, smallest id of its component) that connect what ``pairs`` (rows of two longs) connect: stars, no more than the pairs."""
+    ids, at = np.unique(pairs, return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    root = np.arange(len(ids))
+    while True:
+        hi, lo = np.maximum(root[a], root[b]), np.minimum(root[a], root[b])
+        parted = hi != lo
+        if not parted.any():
+            break
+        a, b = a[parted], b[parted]
+        np.minimum.at(root, hi[parted], lo[parted])  # only roots are hung up, below smaller ones
+        while not np.array_equal(root, up := root[root]):
+            root = up
+    leaf = np.flatnonzero(root != np.arange(len(ids)))
+    return np.stack([ids[leaf], ids[root[leaf]]], 1)
+
+
+def _open(edges: DataFrame) -> bool:
+    """Whether an id of the (distinct) edges has two smaller neighbours, or a smaller and a larger one: else they are stars."""
+    ends = edges.select(F.col("hi").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        edges.select("lo", F.lit(0), F.lit(1)))
+    of = ends.groupBy("v").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    return of.where("up > 1 OR (up > 0 AND down > 0)").agg(F.count(F.lit(1))).first()[0] > 0
+
+
 def components(edges: DataFrame, name: str = "edges") -> DataFrame:
     """(``id``, ``component``) for every id of ``edges`` (``a``, ``b``: longs); the component is its smallest id.
 
-    Alternating large-star and small-star rounds: each is two joins on the remaining edges, whose
-    number never grows; rounds grow with the logarithm of the size.  Every round's edges are written
-    to the shared folder.  Only a count and a checksum reach the driver.
+    Alternating large-star and small-star rounds, until the edges are stars: each is two joins on the
+    remaining edges, whose number never grows; rounds grow with the logarithm of the size.  Every round's
+    edges are written to the shared folder.  Only a count reaches the driver, whose memory every round takes
+    some of: edges that a task holds together come as its ``forest``, which leaves few rounds.
     """
     pairs = edges.where("a != b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
-    current, seen = written(pairs, name), None
-    while True:
-        now = tuple(current.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("hi", "lo"), F.lit(1 << 40)))).first())
-        if now == seen or not now[0]:
-            break
-        seen = now
+    current = written(pairs, name)
+    while _open(current):
         both = current.select(F.col("hi").alias("v"), F.col("lo").alias("u")).union(current.select("lo", "hi"))
         large = _with_min(both, "v", "u").where("u > v").select(F.col("u").alias("hi"), F.least("_m", "v").alias("lo"))
         small = _with_min(large.distinct(), "hi", "lo")
         flat = small.select("hi", F.col("_m").alias("lo")).union(
             small.where("lo != _m").select(F.col("lo").alias("hi"), F.col("_m").alias("lo")))
         current = written(flat.distinct(), name)
-    leaves = current.groupBy("hi").agg(F.min("lo").alias("component")).withColumnRenamed("hi", "id")
     roots = current.select("lo").distinct().select(F.col("lo").alias("id"), F.col("lo").alias("component"))
-    return leaves.union(roots)
+    return current.select(F.col("hi").alias("id"), F.col("lo").alias("component")).union(roots)

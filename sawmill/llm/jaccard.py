@@ -9,7 +9,7 @@ right for a prefix filter, and this one keeps common passages out of the prefixe
    not); a block that is too small or too large for every set beside it, or in which no set has the
    shingle at such an early position, is skipped whole.  What is left of a list is chained, set to
    next larger set, which connects whatever can be linked with a number of edges linear in the
-   list; the chains' components are the families.
+   list; the chains of a part are joined where they lie, and the components of all are the families.
 3. Each family has a pivot, and every member's overlap with it is counted.  Members linked with the pivot
    are answered by that.  For the rest, and only for members that could reach one of them (distances
    to the pivot differ by at most 1 - t, the triangle inequality of the Jaccard distance), answers are
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sawmill.llm.common import bounded_batches, col, lean, parts_for, text_of, written
-from sawmill.llm.components import components
+from sawmill.llm.components import components, forest
 from sawmill.llm.words import shingle_sets, texts
 
 WIDTH = 5
@@ -210,7 +210,7 @@ def _index(width: int, percent: int, n_parts: int, frequent):
         useful = np.logical_or.reduceat(early, at) if len(at) else early
         run_of = np.cumsum(start) - 1
         link = np.flatnonzero(~start & useful[run_of])
-        return np.unique(np.stack([key[link - 1], key[link]], 1), axis=0) if len(link) else np.empty((0, 2), np.int64)
+        return forest(np.stack([key[link - 1], key[link]], 1)) if len(link) else np.empty((0, 2), np.int64)
 
     def edges(group):
         key, _, early, start = lists(group)

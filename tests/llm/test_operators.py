@@ -16,6 +16,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from sawmill.llm import bpe, chat, embeddings, exact_dedup, interpolation, jaccard, licenses, mixing, pages, queries, toxicity
+from sawmill.llm import components as components_module
 from sawmill.llm.common import fold, written
 from sawmill.llm.components import components
 from sawmill.llm.words import shingle_sets, word_hashes
@@ -88,6 +89,48 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_forest_connects_what_its_pairs_connect():
+    forest, rng = components_module.forest, np.random.default_rng(5)
+    for n, m in ((2, 1), (30, 20), (300, 280), (50, 400)):
+        ids = rng.integers(-(1 << 62), 1 << 62, n)
+        pairs = ids[rng.integers(0, n, (m, 2))]
+        root = {int(i): int(i) for i in ids}
+        for _ in range(n):
+            for a, b in pairs.tolist():
+                root[a] = root[b] = min(root[a], root[b])
+        assert sorted(map(tuple, forest(pairs).tolist())) == sorted((i, root[i]) for i in set(pairs.ravel().tolist()) if root[i] != i)
+    line = np.stack([np.arange(5000), np.arange(1, 5001)], 1)
+    assert (forest(line)[:, 1] == 0).all() and len(forest(line)) == 5000
+
+
+def _rounds(monkeypatch):
+    """Counts by name what components write: their edges, and those of each round."""
+    names, real = Counter(), components_module.written
+
+    def seen(df, name):
+        names[name] += 1
+        return real(df, name)
+
+    monkeypatch.setattr(components_module, "written", seen)
+    return names
+
+
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    names = _rounds(monkeypatch)
+    edges = [(0, i) for i in range(1, 40)] + [(i, 100) for i in range(101, 120)]
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), "stars").collect()}
+    assert got == {**{i: 0 for i in range(40)}, **{i: 100 for i in range(100, 120)}} and names["stars"] == 1
+
+
+def test_chains_of_near_copies_take_few_rounds(spark, monkeypatch):
+    names = _rounds(monkeypatch)
+    base = words(200)
+    some = [(i, " ".join(base[:2 * k] + words(1) + base[2 * k + 1:])) for i, k in enumerate(range(90))]
+    got = jaccard.jaccard_join(spark.createDataFrame(some, "doc_id long, text string").repartition(4)).drop("set_key")
+    assert Counter(tuple(r) for r in got.collect()) == brute_jaccard(some)
+    assert names["chains"] <= 2  # the chains, and a round where parts differ
+
+
 def test_exact_dedup(docs, empty):
     groups = {}
     for i, t in collected(docs):
@@ -290,7 +333,7 @@ def test_forward_backward_matches_enumeration():
 
 
 def test_marginals_cross_chains():
-    rng = np.random.default_rng(5)
+    forest, rng = components_module.forest, np.random.default_rng(5)
     trans = np.exp(rng.normal(size=(2, 2)))
     field = toxicity.Field(None, None, None, trans, 0.0, None)
     table = rng.normal(size=(50, 3)) * 2

@@ -75,3 +75,10 @@ def test_empty_documents(spark):
     for name, stage in P.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0, name
+
+
+def test_what_a_stage_was_told_is_planned_once(spark):
+    docs = spark.createDataFrame([(i, f"some words of text {i % 7} and {i % 5}", "x") for i in range(40)], "doc_id long, text string, source string")
+    for stage in (P.exact_dedup, P.near_dedup, P.mix_sources):
+        plan = stage(spark, docs, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join") == 2 and plan.count("Aggregate") <= 1 and "MapInArrow" not in plan
