@@ -10,6 +10,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -122,6 +123,51 @@ def test_components_of_stars_take_no_round(spark, monkeypatch):
     assert got == {**{i: 0 for i in range(40)}, **{i: 100 for i in range(100, 120)}} and names["stars"] == 1
 
 
+def test_components_of_edges_in_few_tasks_take_no_round(spark, monkeypatch):
+    names = _rounds(monkeypatch)
+    edges = [(i, i + 1) for i in range(400) if i % 50] + [(900, 401), (5, 5)]  # lines, that took a round for each halving
+    got = [tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long").repartition(4), "lines").collect()]
+    assert sorted(got) == sorted([(i, 1 + (i - 1) // 50 * 50) for i in range(1, 401)] + [(401, 401), (900, 401)]) and names["lines"] == 1
+
+
+def test_components_of_edges_in_many_tasks(spark, monkeypatch):
+    """Tasks that hold a part of the edges leave rounds; ids are named once, also where tasks name an edge twice."""
+    names, plans, real = _rounds(monkeypatch), [], components_module._open
+
+    def told(edges):
+        plans.append(edges)
+        return real(edges)
+
+    monkeypatch.setattr(components_module, "_open", told)
+    rng = np.random.default_rng(8)
+    edges = [(int(a) % 300 - 20, int(b) % 300 - 20) for a, b in rng.integers(0, 300, (260, 2))] + [(1000 + i, 1001 + i) for i in range(60)]
+    edges += [(2000, 2001 + i) for i in range(80)] + edges[:50]
+    root = {i: i for e in edges for i in e if e[0] != e[1]}
+    for _ in root:
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        got = [tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long"), "parts").collect()]
+    finally:
+        spark.conf.set(key, "true")
+    assert sorted(got) == sorted(root.items()) and names["parts"] == len(plans) > 1
+
+
+def test_stars_of_a_task_are_joined_few_at_a_time(monkeypatch):
+    monkeypatch.setattr(components_module, "HELD", 16)
+    rng = np.random.default_rng(9)
+    for n in (0, 1, 15, 16, 17, 200):
+        pairs = np.sort(rng.integers(0, 90, (n, 2)), axis=1)[:, ::-1]
+        batches = [pa.record_batch([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["hi", "lo"]) for x in np.array_split(pairs, 3)]
+        out = list(components_module._stars(iter(batches)))
+        got = np.array([[a, b] for x in out for a, b in zip(*(c.to_pylist() for c in x.columns), strict=True)]).reshape(-1, 2)
+        forest = lambda x: sorted(map(tuple, components_module.forest(x).tolist()))
+        assert len(got) <= n and all(x.num_rows <= 32 for x in out) and (not n or forest(got) == forest(pairs))
+
+
 def test_chains_of_near_copies_take_few_rounds(spark, monkeypatch):
     names = _rounds(monkeypatch)
     base = words(200)
