@@ -616,7 +616,7 @@ def test_pages_of_one_path_are_cut_into_ranges(spark, monkeypatch):
 
 
 def test_every_query_is_registered():
-    assert [k.split("_")[0] for k in queries.queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [k.split("_")[0] for k in queries.queries()] == [f"op{i}" for i in range(1, 14)]
     assert set(queries.oracle_sql()) <= set(queries.queries())
 
 
