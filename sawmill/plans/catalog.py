@@ -184,9 +184,12 @@ def _manifest_store(spark, d, tag="shared"):
 
 
 def _manifest_packed(spark, d):
-    """All logs after the days' small files were packed and the rollup folded."""
-    store = _manifest_store(spark, d, "packed")
+    """All logs after the days' small files were packed and the rollup folded, on a store streamed for it."""
+    from sawmill.plans.manifest import ManifestStore
+    from sawmill.plans.runs import run_stream
+    store = run_stream(spark, d, store_class=ManifestStore)  # its own: a shared one may be packed or folded already
     store.compact_logs(min_files=2)
+    store.compact_rollup()
     return _select_stored(store.logs())
 
 
@@ -201,7 +204,7 @@ def _manifest_search_day(spark, d):
 
 
 def _manifest_rollup(spark, d):
-    store = _manifest_store(spark, d, "packed")
+    store = _manifest_store(spark, d, "folded")
     store.compact_rollup()
     return store.rollup().drop("bucket_date")
 

@@ -126,6 +126,37 @@ def test_rollup_compaction_rewrites_touched_days_only(spark, store):
     assert rollup_mismatches(store.logs(), store.rollup().drop("bucket_date")).count() == 0
 
 
+def test_the_packed_query_packs_and_folds_whenever_it_is_called(spark, tmp_path, monkeypatch):
+    from sawmill.plans import catalog
+    # batches are ranges of ids and each holds all three days: every day has small files to pack
+    rows = [(i, f"2024-01-0{3 + i % 3}T{i % 24:02d}:30:00", i % 7, "view", 1.5, '{"k": 1}') for i in range(400)]
+    (spark.createDataFrame(rows, "event_id long, t string, user_id long, event_type string, value double, props string")
+     .select("event_id", F.col("t").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value", "props")
+     .write.parquet(f"{tmp_path}/events.parquet"))
+    changes, append = [], ManifestStore._append
+
+    def noted(self, kind, *a, **b):
+        changes.append((self.root, kind))
+        return append(self, kind, *a, **b)
+    monkeypatch.setattr(ManifestStore, "_append", noted)
+    stores = set()
+    for _ in range(2):
+        changes.clear()
+        logs = catalog.queries()["manifest_logs_packed"](spark, str(tmp_path))
+        kinds = [kind for _, kind in changes]
+        assert kinds[-2:] == ["compact", "rollup"] and set(kinds[:-2]) == {"ingest"} and len(kinds) > 3
+        packed = ManifestStore(spark, changes[-1][0])
+        stores.add(packed.root)
+        files = packed.snapshot()
+        assert files.of("logs").count() == 3 and files.of("deltas").count() == 0 and files.of("rollup").count() == 3
+        assert logs.count() == packed.commits().agg(F.sum("accepted")).first()[0] > 0
+        assert rollup_mismatches(packed.logs(), packed.rollup().drop("bucket_date")).count() == 0
+    # the other query that folds still has deltas of its own to fold
+    changes.clear()
+    catalog.queries()["manifest_rollup_compacted"](spark, str(tmp_path))
+    assert changes[-1][1] == "rollup" and changes[-1][0] not in stores
+
+
 def test_retention_is_one_version(spark, store):
     reader = store.logs()
     before = store.snapshot().version
